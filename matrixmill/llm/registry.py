@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules, wordpiece
+from . import packing, quality_model, quality_rules, toxicity, wordpiece
 
 
 def queries() -> dict:
     return {
         "op1_wordpiece_counts": wordpiece.op1_wordpiece_counts,
         "op2_compression_bands": quality_rules.op2_compression_bands,
+        "op4_factorisation_machine": quality_model.op4_factorisation_machine,
+        "op6_noisy_or_sentences": toxicity.op6_noisy_or_sentences,
+        "op7_best_two_fit": packing.op7_best_two_fit,
     }
 
 
