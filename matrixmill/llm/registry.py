@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality_model, quality_rules, toxicity, wordpiece
+from . import ngram_join, packing, quality_model, quality_rules, toxicity, wordpiece
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_factorisation_machine": quality_model.op4_factorisation_machine,
         "op6_noisy_or_sentences": toxicity.op6_noisy_or_sentences,
         "op7_best_two_fit": packing.op7_best_two_fit,
+        "op8_token_combination_join": ngram_join.op8_token_combination_join,
     }
 
 
