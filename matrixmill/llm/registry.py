@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, quality_model, quality_rules, toxicity, wordpiece
+from . import ngram_join, packing, quality_model, quality_rules, revisits, toxicity, wordpiece
 
 
 def queries() -> dict:
@@ -13,8 +13,9 @@ def queries() -> dict:
         "op6_noisy_or_sentences": toxicity.op6_noisy_or_sentences,
         "op7_best_two_fit": packing.op7_best_two_fit,
         "op8_token_combination_join": ngram_join.op8_token_combination_join,
+        "op9_revisit_resolution": revisits.op9_revisit_resolution,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_revisit_resolution": revisits.ORACLE}
