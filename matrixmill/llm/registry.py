@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, quality_model, quality_rules, revisits, toxicity, wordpiece
+from . import ngram_join, packing, quality_model, quality_rules, revisits, toxicity, vector_graph, wordpiece
 
 
 def queries() -> dict:
     return {
         "op1_wordpiece_counts": wordpiece.op1_wordpiece_counts,
         "op2_compression_bands": quality_rules.op2_compression_bands,
+        "op3_robust_pruned_graph": vector_graph.op3_robust_pruned_graph,
         "op4_factorisation_machine": quality_model.op4_factorisation_machine,
         "op6_noisy_or_sentences": toxicity.op6_noisy_or_sentences,
         "op7_best_two_fit": packing.op7_best_two_fit,
