@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, quality_model, quality_rules, revisits, toxicity, vector_graph, wordpiece
+from . import language_id, ngram_join, packing, quality_model, quality_rules, revisits, toxicity, vector_graph, wordpiece
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_compression_bands": quality_rules.op2_compression_bands,
         "op3_robust_pruned_graph": vector_graph.op3_robust_pruned_graph,
         "op4_factorisation_machine": quality_model.op4_factorisation_machine,
+        "op5_bidirectional_gru": language_id.op5_bidirectional_gru,
         "op6_noisy_or_sentences": toxicity.op6_noisy_or_sentences,
         "op7_best_two_fit": packing.op7_best_two_fit,
         "op8_token_combination_join": ngram_join.op8_token_combination_join,
