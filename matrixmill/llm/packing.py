@@ -12,6 +12,8 @@ cut into pieces of `capacity`; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
@@ -27,6 +29,9 @@ CAPACITY = 4096
 END_ID = 1
 #: rows that one task ranks, about
 RANKED_TOGETHER = 200_000
+#: No token of the vocabulary spans ASCII white space, nor the place between a letter or digit and one of these marks,
+#: and its text is lower-cased first; so the chunks between such places can be looked up whole.
+cut_words = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])").sub
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,9 +42,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task; its threads would also keep memory
         tokenizer = tokenizers.Tokenizer.from_str(spec)
         tokenizer.encode_special_tokens = True
-        memo = worker_memo(f"bpe:{tokenizer_path}", 200_000)
+        memo = worker_memo(f"bpe:{tokenizer_path}", 250_000)
 
         def encoded(chunks: list[bytes]) -> list[bytes]:
             found = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
@@ -47,11 +53,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
         def each(rows: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids)}
-            # no token spans ASCII white space, so the chunks between it can be looked up whole
-            chunks = [(t or "").encode().split() for t in rows["text"]]
+            chunks = [cut_words(b" ", (t or "").encode().lower()).split() for t in rows["text"]]
             new = memo.missing(set().union(*chunks))
-            for i in range(0, len(new), 20_000):
-                memo.update(zip(new[i : i + 20_000], encoded(new[i : i + 20_000]), strict=True))
+            for i in range(0, len(new), 5000):
+                memo.update(zip(new[i : i + 5000], encoded(new[i : i + 5000]), strict=True))
             for doc_id, doc in zip(rows["doc_id"], chunks, strict=True):
                 ids = b"".join([*map(memo.__getitem__, doc), end])
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
