@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, ngram_join, packing, quality_model, quality_rules, revisits, toxicity, vector_graph, wordpiece
+from . import language_id, nbest, ngram_join, packing, quality_model, quality_rules, revisits, toxicity, vector_graph, wordpiece
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_best_two_fit": packing.op7_best_two_fit,
         "op8_token_combination_join": ngram_join.op8_token_combination_join,
         "op9_revisit_resolution": revisits.op9_revisit_resolution,
+        "op10_nbest_segmentation": nbest.op10_nbest_segmentation,
     }
 
 
