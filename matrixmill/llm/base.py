@@ -131,3 +131,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, trainable: C
     rows = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(chosen, "doc_id")
     rows = rows.orderBy(order, "doc_id", F.xxhash64("text")).limit(2 * per_class).select("doc_id", "text", "label").collect()
     return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+
+
+def keep_texts(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], list[bool]]], columns: tuple[str, ...]) -> DataFrame:
+    """The rows of df, all columns as they are, for which make()'s function says so; columns: what it reads, the text last."""
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = make()
+        for batch in batches:
+            for part in slices(batch, columns[-1]):
+                yield part.filter(pa.array(each(part.select(list(columns)).to_pydict()), pa.bool_()))
+
+    return df.mapInArrow(run, schema)

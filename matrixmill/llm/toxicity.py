@@ -22,10 +22,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import held_out, id_mod, map_texts, read, training_sample, worker_memo
+from .base import held_out, id_mod, keep_texts, map_texts, read, training_sample, worker_memo
 
 #: bound of the training sample: documents of each class, characters of a document
-PER_CLASS, MAX_CHARS = 2000, 40_000
+PER_CLASS, MAX_CHARS = 1500, 20_000
 PRIOR = 1e-6
 PENALTY = 0.3
 #: toxic documents of the sample that must hold a feature
@@ -34,6 +34,7 @@ STEPS = 300
 #: what a toxic document weighs against another one
 POSITIVE = 2.0
 LIFT = 4
+CELL_BITS = 20
 PREFIXES = range(3, 11)
 SENTENCE = re.compile(r"[.!?\n]+\s*")
 WORD = re.compile(r"\w+")
@@ -65,16 +66,21 @@ def learn(sample: list[tuple[str, int]], prior: float = PRIOR, penalty: float =
     y = np.array([label for _, label in sample], float)
     if len(set(y)) < 2:
         return {}
-    bags = [[{f for w in set(WORD.findall(text[a:b].lower())) for f in word_features(w)} for a, b in sentences(text)] for text, _ in sample]
-    df = [Counter(), Counter()]
-    for label, bag in zip(y, bags, strict=True):
-        df[int(label)].update(set().union(*bag))
     n = [len(y) - y.sum(), y.sum()]
+    # counts by hash first, so that memory stays fixed; then exact counts of the few features whose cells pass
+    cells = np.zeros((2, 1 << CELL_BITS), np.int32)
+    words = [set(WORD.findall(text.lower())) for text, _ in sample]
+    for label, known in zip(y, words, strict=True):
+        cells[int(label), list({zlib.crc32(f.encode()) >> 32 - CELL_BITS for w in known for f in word_features(w)})] += 1
+    passing = (cells[1] >= LEAST_DOCS) & (cells[1] / n[1] >= LIFT / 2 * cells[0] / n[0])
+    df = [Counter(), Counter()]
+    for label, known in zip(y, words, strict=True):
+        df[int(label)].update({f for w in known for f in word_features(w) if passing[zlib.crc32(f.encode()) >> 32 - CELL_BITS]})
     vocabulary = {f: i for i, f in enumerate(sorted(f for f, k in df[1].items() if k >= LEAST_DOCS and k / n[1] >= LIFT * df[0][f] / n[0]))}
     doc, sent, feature = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            ids = sorted(vocabulary[f] for f in s & vocabulary.keys())
+    for d, (text, _) in enumerate(sample):
+        for a, b in sentences(text):
+            ids = sorted({vocabulary[f] for w in WORD.findall(text[a:b].lower()) for f in word_features(w) if f in vocabulary})
             sent += [len(doc)] * len(ids)
             feature += ids
             doc.append(d)
@@ -111,19 +117,27 @@ def score_text(text: str, known: dict[str, frozenset], weights: dict[str, float]
     return -float(np.expm1(log_none)), len(spans), found
 
 
+def scorer(weights: dict[str, float], prior: float = PRIOR):
+    """What make() of map_texts and keep_texts needs: texts to (score, number of sentences, toxic sentences)."""
+    name, nothing = zlib.crc32(repr(sorted(weights.items())).encode()), frozenset()
+    known = worker_memo(f"toxicity:{name}")
+
+    def each(texts: list[str | None]) -> list[tuple[float, int, list[dict]]]:
+        for w in known.missing(set(WORD.findall(" ".join(t or "" for t in texts).lower()))):
+            known[w] = weights.keys() & word_features(w) or nothing
+        return [score_text(t or "", known, weights, prior) for t in texts]
+
+    return each
+
+
 def noisy_or(docs: DataFrame, weights: dict[str, float], prior: float = PRIOR) -> DataFrame:
     """Score, prediction and offending sentences (character spans) of each document."""
 
-    name = zlib.crc32(repr(sorted(weights.items())).encode())
-    nothing = frozenset()
-
     def make():
-        known = worker_memo(f"toxicity:{name}")
+        score = scorer(weights, prior)
 
         def each(rows: dict) -> dict:
-            for w in known.missing(set(WORD.findall(" ".join(t or "" for t in rows["text"]).lower()))):
-                known[w] = weights.keys() & word_features(w) or nothing
-            got = [score_text(t or "", known, weights, prior) for t in rows["text"]]
+            got = score(rows["text"])
             return {
                 "doc_id": rows["doc_id"],
                 "score": [min(1.0, max(0.0, s)) for s, _, _ in got],
@@ -137,6 +151,16 @@ def noisy_or(docs: DataFrame, weights: dict[str, float], prior: float = PRIOR) -
     return map_texts(docs, make, SCHEMA)
 
 
+def without_toxic(docs: DataFrame, weights: dict[str, float], prior: float = PRIOR) -> DataFrame:
+    """The documents that are not predicted toxic, all their columns."""
+
+    def make():
+        score = scorer(weights, prior)
+        return lambda rows: [s < 0.5 for s, _, _ in score(rows["text"])]
+
+    return keep_texts(docs, make, ("text",))
+
+
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None) -> dict[str, float]:
     trainable = id_mod(F.col("doc_id"), 5) != 0 if trainable is None else trainable
     return learn(training_sample(docs, labels, "toxic", trainable, PER_CLASS, MAX_CHARS))
