@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import held_out, id_mod, map_texts, read, training_sample
+from .base import held_out, id_mod, keep_texts, map_texts, read, training_sample
 
 #: bound of the training sample: documents of each class, characters of a document
 PER_CLASS, MAX_CHARS = 2000, 40_000
@@ -121,15 +121,20 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None) ->
     return machine
 
 
+def _scored(machine: Machine, texts: list, sizes: list) -> list[float]:
+    out: list[float] = []
+    for k in range(0, len(texts), 64):
+        out += machine.probabilities([features(t, n) for t, n in zip(texts[k : k + 64], sizes[k : k + 64], strict=True)]).tolist()
+    return out
+
+
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """Score and prediction of each document."""
     docs = docs.select("doc_id", (F.col("n_chars") if "n_chars" in docs.columns else F.length("text")).cast("long").alias("n_chars"), "text")
 
     def make():
         def each(rows: dict) -> dict:
-            got: list[float] = []
-            for k in range(0, len(rows["text"]), 64):
-                got += machine.probabilities([features(t, n) for t, n in zip(rows["text"][k : k + 64], rows["n_chars"][k : k + 64], strict=True)]).tolist()
+            got = _scored(machine, rows["text"], rows["n_chars"])
             return {"doc_id": rows["doc_id"], "score": got, "predicted": [int(s >= 0.5) for s in got]}
 
         return each
@@ -137,6 +142,16 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return map_texts(docs, make, SCHEMA, ("doc_id", "n_chars", "text"))
 
 
+def only_good(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The documents of predicted quality 1, all their columns."""
+    sized = "n_chars" in docs.columns
+
+    def make():
+        return lambda rows: [s >= 0.5 for s in _scored(machine, rows["text"], rows["n_chars"] if sized else [len(t or "") for t in rows["text"]])]
+
+    return keep_texts(docs, make, ("n_chars", "text") if sized else ("text",))
+
+
 def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, read(spark, sf_dir, "labels")))
