@@ -126,7 +126,7 @@ def _(spark, d):
     return X.usable_contexts(X.moments(expression(spark, d)))
 
 
-@query("flt7_submatrix", f"WITH {E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL) SELECT id, \"row\", col, round(value, 6) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10 AND col < 64")
+@query("flt7_submatrix", f"WITH {E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL) SELECT id, \"row\", col, round(value, 6) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10 AND col < 60")
 def _(spark, d):
     rows, cols = label_clusters(spark, d)
     return vector_cells(spark, d).join(rows, "row").join(cols, ["id", "col"]).select("id", "row", "col", r6("value"))
@@ -218,7 +218,7 @@ def _(spark, d):
     return X.cube(e, DAYS, X.in_all_contexts(e, DAYS)).select("context", "subject", "feature", r6("value"))
 
 
-@query("agg9_bicluster_pattern", f"WITH {E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL) SELECT id, col, round(avg(value), 6) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10 AND col < 64 GROUP BY 1, 2")
+@query("agg9_bicluster_pattern", f"WITH {E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL) SELECT id, col, round(avg(value), 6) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10 AND col < 60 GROUP BY 1, 2")
 def _(spark, d):
     return S.patterns(vector_cells(spark, d), *label_clusters(spark, d)).select("id", "col", r6("value"))
 
@@ -566,7 +566,7 @@ def _(spark, d):
     return M.masked(cells, price_clusters(spark, d))
 
 
-@query("st9_share", f"WITH {E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL), pt AS (SELECT id, col, avg(value) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10 AND col < 64 GROUP BY 1, 2), sp AS (SELECT col, min(value) AS lo, max(value) AS hi, count(*) AS n FROM v GROUP BY 1) SELECT id, pt.col, round(count(*) FILTER (v.value > greatest(pt.value - (hi - lo) * 0.3 / 2, lo) AND v.value <= least(pt.value + (hi - lo) * 0.3 / 2, hi)) / max(n), 6) AS share FROM pt JOIN sp USING (col) JOIN v ON v.col = pt.col GROUP BY 1, 2")
+@query("st9_share", f"WITH {E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL), pt AS (SELECT id, col, avg(value) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10 AND col < 60 GROUP BY 1, 2), sp AS (SELECT col, min(value) AS lo, max(value) AS hi, count(*) AS n FROM v GROUP BY 1) SELECT id, pt.col, round(count(*) FILTER (v.value > greatest(pt.value - (hi - lo) * 0.3 / 2, lo) AND v.value <= least(pt.value + (hi - lo) * 0.3 / 2, hi)) / max(n), 6) AS share FROM pt JOIN sp USING (col) JOIN v ON v.col = pt.col GROUP BY 1, 2")
 def _(spark, d):
     cells = vector_cells(spark, d)
     return S.column_shares(cells, S.patterns(cells, *label_clusters(spark, d))).select("id", "col", r6("share"))
@@ -577,7 +577,7 @@ def _(spark, d):
     return S.bicluster_significance(vector_cells(spark, d), *label_clusters(spark, d))
 
 
-@query("st11_uniform_null", "SELECT CAST(label AS BIGINT) AS id, count(*) AS n, round(pow(0.3, len([c FOR c IN range(label % 10, 60, 10) IF c < 64])), 9) AS p FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL GROUP BY label")
+@query("st11_uniform_null", "SELECT CAST(label AS BIGINT) AS id, count(*) AS n, round(pow(0.3, len([c FOR c IN range(label % 10, 60, 10) IF c < 60])), 9) AS p FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL GROUP BY label")
 def _(spark, d):
     return S.bicluster_significance(vector_cells(spark, d), *label_clusters(spark, d), uniform=True).select("id", "n", F.round("p", 9).alias("p"))
 
