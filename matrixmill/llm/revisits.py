@@ -64,7 +64,9 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
     found = near.join(spans, ["canonical_url", "_span"]).withColumn("target_id", F.when(F.col("kind") == "revisit", F.coalesce("_near", "_before")["record_id"]))
     found = found.drop("_span", "_full", "_near", "_before").unionByName(rows.filter(~joinable).withColumn("target_id", F.lit(None).cast(rows.schema["record_id"].dataType)))
     full = rows.filter(joinable & is_full).groupBy(F.col("record_id").alias("target_id")).agg(F.first("headers").alias("_stored"))
-    out = found.join(full, "target_id", "left")
+    # rows without a target would all meet under one null key
+    out = found.filter("target_id is not null").join(full, "target_id", "left")
+    out = out.unionByName(found.filter("target_id is null"), allowMissingColumns=True)
     own, stored = bare_tag(F.col("headers")), bare_tag(F.col("_stored"))
     dates = F.col("headers")["last-modified"], F.col("_stored")["last-modified"]
     tags = own.isNotNull() & stored.isNotNull()
