@@ -596,7 +596,7 @@ def _(spark, d):
 
 @query("pm8_closed_itemsets")
 def _(spark, d):
-    return M.closed_itemsets(D.transactions(D.discretized(user_day(spark, d)), 5), 0.2)
+    return M.closed_itemsets(D.transactions(D.discretized(user_day(spark, d)), 5), 0.12)
 
 
 @query("pm9_closed_sequences")
@@ -608,7 +608,7 @@ def _(spark, d):
 
 @query("pm10_to_biclusters")
 def _(spark, d):
-    return M.to_biclusters(M.closed_itemsets(D.transactions(D.discretized(user_day(spark, d)), 5), 0.2), 5)
+    return M.to_biclusters(M.closed_itemsets(D.transactions(D.discretized(user_day(spark, d)), 5), 0.12), 5)
 
 
 @query("pm11_support_search")

@@ -39,7 +39,7 @@ def in_order(sequence, pattern):
     """Whether the pattern's column groups are subsets of later and later groups of the sequence."""
     start = F.lit(0)
     step = lambda at, group: F.when(at < 0, at).otherwise(
-        F.coalesce(F.element_at(F.filter(F.transform(sequence, lambda s, i: F.when((i >= at) & (F.size(F.array_except(group, s)) == 0), i + 1)), lambda x: x.isNotNull()), F.lit(1)), F.lit(-1))
+        F.coalesce(F.get(F.filter(F.transform(sequence, lambda s, i: F.when((i >= at) & (F.size(F.array_except(group, s)) == 0), i + 1)), lambda x: x.isNotNull()), F.lit(0)), F.lit(-1))
     )
     return F.aggregate(pattern, start, step) >= 0
 
