@@ -201,10 +201,9 @@ def _(spark, d):
     return X.moments(expression(spark, d)).select("feature", "context", "n", *map(r6, ("mean", "std", "var", "lo", "hi")))
 
 
-@query("agg7_cluster_medians", f"WITH {E1} SELECT subject % 5 AS id, feature, context, round(median(value), 6) AS value FROM e GROUP BY 1, 2, 3")
+@query("agg7_cluster_medians", f"WITH {E1} SELECT subject % 10 AS id, subject AS feature, context, round(median(value), 6) AS value FROM e WHERE feature IN ('click','error','purchase','signup','view') GROUP BY 1, 2, 3")
 def _(spark, d):
-    e = expression(spark, d)
-    return e.groupBy((F.col("subject") % 5).alias("id"), "feature", "context").agg(F.median("value").alias("value")).select("id", "feature", "context", r6("value"))
+    return TC.medians(event_cube(spark, d), _clusters(spark, d)).select("id", "feature", "context", r6("value"))
 
 
 @query("agg8_common_subjects", f"WITH {E1} SELECT subject FROM e WHERE context IN (0,1,2,3,4,5,6) GROUP BY 1 HAVING count(DISTINCT context) = 7")
@@ -689,3 +688,18 @@ def _small_boxes(spark, d):
     return above("day", "contexts").join(above("pr", "subjects"), "id").join(above("brand", "features"), "id").withColumn("id", F.col("id").cast("long"))
 
 
+
+
+@query("srt3_score_page", f"WITH {_P} SELECT feature, a, b, round(p, 6) AS p FROM q ORDER BY q.p, feature, a, b LIMIT 10 OFFSET 10")
+def _(spark, d):
+    return X.page(_shares(spark, d), ["p", "feature", "a", "b"], 1).select("feature", "a", "b", r6("p"))
+
+
+@query("mth1_least_columns", f"WITH {E2}, {VC} SELECT CAST(greatest(2, floor(sqrt(count(DISTINCT col)))) AS INTEGER) AS min_cols FROM v")
+def _(spark, d):
+    return X.least_columns(X.matrix_statistics(vector_cells(spark, d)))
+
+
+@query("set4_set_algebra", f"WITH {PC} SELECT a, b, rows_a + rows_b - common_rows AS n_union, common_rows AS n_common, common_rows = rows_a AS inside FROM ov")
+def _(spark, d):
+    return M.set_algebra(price_clusters(spark, d))

@@ -119,3 +119,13 @@ def density_curve(expression: DataFrame, m: DataFrame, points: int = 25) -> Data
     at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1)
     each = rows.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("z", (at - F.col("value")) / h)
     return each.groupBy("feature", "context", "point").agg((F.sum(F.exp(-F.col("z") * F.col("z") / 2)) / F.max(F.col("n") * h * F.sqrt(F.lit(2 * 3.141592653589793)))).alias("density"))
+
+
+def page(table: DataFrame, order: list[str], number: int, size: int = 10) -> DataFrame:
+    """One page of a table in the given order; pages count from 0."""
+    return table.orderBy(*order).offset(number * size).limit(size)
+
+
+def least_columns(stats: DataFrame) -> DataFrame:
+    """The default smallest number of columns of a pattern: the root of their number, two at least."""
+    return stats.select(F.greatest(F.lit(2), F.floor(F.sqrt("n_cols"))).cast("int").alias("min_cols"))

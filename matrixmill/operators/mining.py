@@ -194,3 +194,11 @@ def symbolic_biclusters(items: DataFrame, transactions: DataFrame, bins: int, mi
     second = to_biclusters(support_search(again, min_clusters, min_rows), bins)
     both = first.unionByName(second).select("rows", "cols").distinct().withColumn("id", F.xxhash64("rows", "cols")).select("id", "rows", "cols")
     return ordered(filter_overlapping(merge(_cut(both), tau_merge), tau_filter))
+
+
+def set_algebra(b: DataFrame) -> DataFrame:
+    """(a, b, n_union, n_common, inside) of the row sets of biclusters that overlap: sizes of union and intersection, and whether a lies in b."""
+    o = overlaps(b).select("a", "b")
+    left, right = b.select(F.col("id").alias("a"), F.col("rows").alias("x")), b.select(F.col("id").alias("b"), F.col("rows").alias("y"))
+    both = o.join(left, "a").join(right, "b")
+    return both.select("a", "b", F.size(F.array_union("x", "y")).alias("n_union"), F.size(F.array_intersect("x", "y")).alias("n_common"), (F.size(F.array_except("x", "y")) == 0).alias("inside"))
