@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .base import cut, read
 
 K, SHARD, BLOCK = 10, 8192, 512
-DEGREE, BEAM, SEARCH_BEAM, ALPHA = 24, 40, 64, 1.2
+DEGREE, BEAM, SEARCH_BEAM, ALPHA = 24, 40, 100, 1.2
 
 
 def usable(vectors: DataFrame) -> DataFrame:
