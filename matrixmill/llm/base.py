@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -98,8 +99,8 @@ class Memo(dict):
         """The keys that are not held and must be added now; lets the passing keys of the last slice go."""
         for k in self.passing:
             self.pop(k, None)
-        new = sorted((k for k in keys if k not in self), key=len)
-        stay = min(max(0, self.most - len(self)), sum(len(k) <= self.LONG for k in new))
+        new = sorted(keys - self.keys(), key=len)
+        stay = min(max(0, self.most - len(self)), bisect_right(new, self.LONG, key=len))
         self.passing = new[stay:]
         return new
 

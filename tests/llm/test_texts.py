@@ -182,3 +182,13 @@ def test_extra_columns_do_not_matter(spark, docs, f):
     d = docs("one two three", None)
     more = d.withColumn("score", F.lit(3)).withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(None))
     assert sorted(map(str, f(d).collect())) == sorted(map(str, f(more).collect()))
+
+
+def test_scores_from_both_ends_equal_the_search():
+    p = nbest.Pieces(open(PIECES, "rb").read())
+    rng = random.Random(7)
+    parts = ["the", "▁hello", "日本", "a" * 80, "x", "\n", ""] + ["".join(rng.choices("abtherinég▁日", k=rng.randint(1, 14))) for _ in range(800)]
+    for part, (score, n, lost, exact, ids) in zip(parts, p.best_and_second(parts), strict=True):
+        want = p.choices(part, 2)
+        assert score == want[0][0] and n == len(ids) // 4 and exact == p.exact(part, ids)
+        assert lost == (want[0][0] - want[1][0] if len(want) > 1 else nbest.FAR)
