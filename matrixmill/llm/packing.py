@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task; its threads would also keep memory
         tokenizer = tokenizers.Tokenizer.from_str(spec)
         tokenizer.encode_special_tokens = True
-        memo = worker_memo(f"bpe:{tokenizer_path}", 250_000)
+        memo = worker_memo(f"bpe:{tokenizer_path}", 400_000)
 
         def encoded(chunks: list[bytes]) -> list[bytes]:
             found = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
