@@ -180,7 +180,7 @@ def prefix_of(s: np.ndarray, counts: np.ndarray, most: float) -> tuple[np.ndarra
     """Signatures (int64) of one set, and whether they are all single shingles, ascending. counts: the counters; cells over `most` are frequent."""
     n = len(s)
     e = n // 5
-    if not e:  # only an equal set can link
+    if n < 4:  # only an equal set can link; 4 shingles can lie in a set of 5
         return np.zeros(0, np.int64), False
     count = counts[cell(s)]
     # the order for all: by counter, then by hash. A signature of one shingle is its place in that order.

@@ -70,6 +70,25 @@ def test_similar_sets_share_a_signature(share):
             assert len(np.intersect1d(ngram_join.signatures_of(x, counts, 50), ngram_join.signatures_of(y, counts, 50)))
 
 
+@pytest.mark.parametrize("frequent", [8, 0])
+def test_four_shingles_link_with_five(spark, docs, monkeypatch, frequent):
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    texts = ["a b c d e f g h", "a b c d e f g h i"]  # appended
+    texts += ["0 k l m n o p q r", "k l m n o p q r", "k l m n o p q r s"]  # put in front; two sets of 5 that only their part of 4 connects
+    texts += ["s t u v w x y z s t u v w x y z s t u v w x y z", "s t u v w x y z", "s t u v w x y", "1 2 3 4 5 6 7", "1 2 3 4 5 6 7 8"]
+    check(spark, docs, texts)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.7, 1.0])
+def test_part_of_four_shares_a_signature(share):
+    rng = np.random.default_rng(7)
+    counts = np.where(rng.random(ngram_join.CELLS) < share, 100, rng.integers(1, 9, ngram_join.CELLS)).astype(np.int32)
+    for _ in range(500):
+        y = np.unique(rng.integers(0, 2**63, 5).astype(np.uint64) * np.uint64(2))
+        x = np.sort(rng.permutation(y)[:4])
+        assert len(np.intersect1d(ngram_join.signatures_of(x, counts, 50), ngram_join.signatures_of(y, counts, 50)))
+
+
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     data = b" ".join([b"a", b"bc" * 40_000, b"d", b"ee", *[b"%d" % i for i in range(300)]])
     whole = [int(ngram_join.word_hashes(w)[0]) for w in data.split()]
