@@ -1,18 +1,19 @@
 """Approximate nearest neighbours: a robust-pruned directed graph in each shard, queried by beam search.
 
-Vectors are dealt by hash into shards of about SHARD rows. In a shard, vectors join the graph in batches of growing
+Vectors are dealt by hash of id and components into shards of about SHARD rows. In a shard, vectors join the graph in batches of growing
 size: a greedy search from the medoid proposes neighbours, and relaxed pruning keeps one only if no neighbour kept
 before is closer to it by the factor ALPHA than the vector itself, so kept edges point different ways. Reverse edges
 are added and pruned alike; a second pass over all vectors refines the graph. The index is one row a shard. Queries
 come in blocks, and each block meets each shard once; a beam search there returns the k nearest found, with exact
 distances in double precision; a block's answers of all shards are merged by rank.
 
-Equal vectors are one node with the list of their ids, so groups of copies, however large, neither cut the graph
-into pieces nor lose ties. Vectors of different length never compare: shards and searches go by length.
+Repeated rows are counted before they are dealt, and equal vectors of a shard are one node with the list of their ids,
+so groups of copies, however large, neither fill a shard, cut the graph into pieces nor lose ties. Vectors of different length never compare: shards and searches go by length.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries or
-candidates; repeated rows are candidates each, and a query's own row is left out by its id; fewer candidates than k
-give fewer rows; an empty table gives an empty result; other columns are ignored.
+candidates; repeated rows are candidates each, and a query's own rows are left out by its id; a query that is repeated
+is asked once, and different vectors under one query id are queries each, with ranks 1 to k of their own under that id;
+fewer candidates than k give fewer rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ DEGREE, BEAM, SEARCH_BEAM, ALPHA = 24, 40, 100, 1.2
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the vectors that take part, as doubles."""
+    """(vec_id, embedding) of the vectors that take part, as doubles without negative zeros."""
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(finite & F.exists(v, lambda x: x != 0))
+    return vectors.select(F.col("vec_id").cast("long"), F.transform(v.cast("array<double>"), lambda x: x + F.lit(0.0)).alias("embedding")).filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(finite & F.exists(v, lambda x: x != 0))
 
 
 def distances(x: np.ndarray, norms: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -127,61 +128,64 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
     return edges, entry
 
 
-INDEX = "shard int, dim int, n int, entry int, nodes binary, edges binary, firsts binary, ids binary"
+INDEX = "shard int, dim int, n int, entry int, nodes binary, edges binary, firsts binary, ids binary, copies binary"
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
-    """One row a shard: distinct vectors (float64), edges, and the ids of each node, ascending."""
+    """One row a shard: distinct vectors (float64), edges, and the ids of each node, ascending, with how many rows each id has there."""
     rows = usable(vectors)
-    shards = max(1, -(-rows.count() // shard_rows))
+    key = F.xxhash64("vec_id", "embedding")
+    shards = max(1, -(-rows.select(key).distinct().count() // shard_rows))
 
     def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(f["embedding"].to_numpy()).astype(np.float64) + 0.0  # no negative zeros
-        ids = f["vec_id"].to_numpy()
+        x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
+        ids, copies = f["vec_id"].to_numpy(), f["copies"].to_numpy()
         nodes, of = np.unique(x, axis=0, return_inverse=True)
         order = np.lexsort((ids, of.ravel()))
         firsts = np.searchsorted(of.ravel()[order], np.arange(len(nodes) + 1))
         edges, entry = build(nodes.astype(np.float32))
-        return pd.DataFrame([(key[0], key[1], len(nodes), entry, nodes.tobytes(), edges.astype("<i4").tobytes(), firsts.astype("<i8").tobytes(), ids[order].astype("<i8").tobytes())], columns=[c.split()[0] for c in INDEX.split(", ")])
+        return pd.DataFrame([(key[0], key[1], len(nodes), entry, nodes.tobytes(), edges.astype("<i4").tobytes(), firsts.astype("<i8").tobytes(), ids[order].astype("<i8").tobytes(), copies[order].astype("<i8").tobytes())], columns=[c.split()[0] for c in INDEX.split(", ")])
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("dim", F.size("embedding"))
+    distinct = rows.groupBy("vec_id", "embedding").agg(F.count(F.lit(1)).alias("copies"))
+    dealt = distinct.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int")).withColumn("dim", F.size("embedding"))
     return dealt.groupBy("shard", "dim").applyInPandas(one, INDEX)
 
 
-ANSWER = "query_id long, vec_id long, score double"
+ANSWER = "query long, query_id long, vec_id long, score double"
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_BEAM, block_rows: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found in all shards, ties to the smaller id."""
+    """(query_id, rank, vec_id, score): the k nearest found in all shards, ties to the smaller id, for each distinct (vec_id, embedding) of the queries."""
     index = cut(index)
-    queries = usable(queries).withColumn("dim", F.size("embedding"))
+    # numbered, then kept: the number tells different vectors of one id apart
+    queries = cut(usable(queries).distinct().withColumn("query", F.monotonically_increasing_id())).withColumn("dim", F.size("embedding"))
     blocks = max(1, -(-queries.count() // block_rows))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    pairs = index.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "n", "entry", "nodes", "edges", "firsts", "ids")
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    pairs = index.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "n", "entry", "nodes", "edges", "firsts", "ids", "copies")
     # every block of queries goes to every shard of its vectors' length: the shards are few and their names bounded
     names = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    sent = queries.join(names, "dim").select("vec_id", "embedding", "dim", "block", F.explode("shards").alias("shard"))
+    sent = queries.join(names, "dim").select("query", "vec_id", "embedding", "dim", "block", F.explode("shards").alias("shard"))
 
     def one(key: tuple, shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, int, float]] = []
         if len(shard) and len(asked):
             s = shard.iloc[0]
             nodes = np.frombuffer(s["nodes"]).reshape(s["n"], -1)
             edges = np.frombuffer(s["edges"], "<i4").reshape(s["n"], -1).astype(np.int64)
-            firsts, ids = np.frombuffer(s["firsts"], "<i8"), np.frombuffer(s["ids"], "<i8")
+            firsts, ids, copies = (np.frombuffer(s[c], "<i8") for c in ("firsts", "ids", "copies"))
             x = nodes.astype(np.float32)
             q = np.stack(asked["embedding"].to_numpy())
             found, _ = search(x, (x**2).sum(axis=1), edges, int(s["entry"]), q.astype(np.float32), max(beam, k + 1))
-            for qid, v, near in zip(asked["vec_id"].tolist(), q, found, strict=True):
+            for query, qid, v, near in zip(asked["query"].tolist(), asked["vec_id"].tolist(), q, found, strict=True):
                 near = near[near >= 0]
                 exact = np.sqrt(((nodes[near] - v) ** 2).sum(axis=1))
                 # of equal vectors the k + 1 smallest ids are all that can rank
-                rows = [(d, i) for d, at in zip(exact.tolist(), near.tolist(), strict=True) for i in ids[firsts[at] : min(firsts[at + 1], firsts[at] + k + 1)].tolist() if i != qid]
-                out += [(qid, i, d) for d, i in sorted(rows)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                rows = [(d, int(ids[p])) for d, at in zip(exact.tolist(), near.tolist(), strict=True) for p in range(firsts[at], min(firsts[at + 1], firsts[at] + k + 1)) if ids[p] != qid for _ in range(min(k, copies[p]))]
+                out += [(query, qid, i, d) for d, i in sorted(rows)[:k]]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"])
 
     answers = pairs.groupBy("shard", "dim", "block").cogroup(sent.groupBy("shard", "dim", "block")).applyInPandas(one, ANSWER)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     return answers.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -137,6 +137,26 @@ def test_recall_with_copies_and_odd_vectors(spark):
     assert all(short not in [v for _, v, _ in a] for a in got.values())
 
 
+def test_repeated_queries_and_ids(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (40, 8)).astype(np.float32)
+    x[7] = x[0]
+    rows = [(i, x[i]) for i in range(40)] + [(0, x[0])] * 14 + [(5, x[5])] * 2 + [(1, x[i]) for i in range(20, 30)]
+    table = vectors(spark, [v for _, v in rows], [i for i, _ in rows])
+    found = vector_graph.search_index(vector_graph.build_index(table, 20), table.filter("vec_id in (0, 1)")).collect()
+    d = np.stack([v for _, v in rows]).astype(np.float64)
+
+    def want(q, v):
+        dist = np.sqrt(((d - v) ** 2).sum(axis=1))
+        return sorted((dist[p], i) for p, (i, _) in enumerate(rows) if i != q)[:10]
+
+    # row 0 stands there 15 times and asks once; id 1 has 11 vectors, each a query of its own
+    asked = [(0, x[0]), (1, x[1])] + [(1, x[i]) for i in range(20, 30)]
+    expected = sorted((q, rank, i, s) for q, v in asked for rank, (s, i) in enumerate(want(q, v.astype(np.float64)), 1))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found)
+    assert [g[:3] for g in got] == [e[:3] for e in expected] and [g[3] for g in got] == pytest.approx([e[3] for e in expected], abs=1e-12)
+
+
 def test_no_vectors(spark):
     table = vectors(spark, [None, [0.0, 0.0]])
     assert vector_graph.search_index(vector_graph.build_index(table), table).count() == 0
