@@ -154,6 +154,21 @@ def test_cube_merge_and_delete(spark):
     assert sorted(r.id for r in TC.without_covered(inner, 0.9).collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("axis", [0, 1, 2])
+def test_neighbouring_cubes_merge_along_each_axis(spark, axis):
+    one, two, both = [[0, 1], [3, 4], [6, 7]], [[0, 1], [3, 4], [6, 7]], [[0, 1], [3, 4], [6, 7]]
+    one[axis], two[axis], both[axis] = [10], [11, 12], [10, 11, 12]
+    got = TC.merge(spark.createDataFrame([(1, *one), (2, *two)], BOX), 1.0).collect()
+    assert [(r.contexts, r.subjects, r.features) for r in got] == [tuple(both)]
+
+
+def test_cubes_that_share_nothing_merge_by_size(spark):
+    # 1001 of 11 x 11 x 11 cells are covered, 0.752
+    boxes = spark.createDataFrame([(1, list(range(10)), list(range(10)), list(range(10))), (2, [50], [50], [50])], BOX)
+    assert [(len(r.contexts), len(r.subjects), len(r.features)) for r in TC.merge(boxes, 0.75).collect()] == [(11, 11, 11)]
+    assert TC.merge(boxes, 0.76).count() == 2
+
+
 def test_planted_cube_is_found(spark):
     random.seed(1)
     cells = []
