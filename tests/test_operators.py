@@ -144,6 +144,17 @@ def test_ratio_runs():
     assert TC.runs([1, 1.01, 2, 2.01, 2.02, 9], 0.05, 2) == [(0, 1), (2, 4)]
 
 
+def test_ratio_runs_extend_both_ways():
+    chain = [1.0, 1.03, 1.06, 1.061, 1.062, 1.063, 1.1, 1.13]
+    # the widest run is 1.03 to 1.063; pairs and one more slide on from there to 1.1, but 1.063 to 1.13 is too wide
+    assert TC.runs(chain, 0.04, 2) == [(1, 6)]
+    # the widest run is 1.02 to 1.06: 1.0 joins on the left, 1.07 on the right
+    assert TC.runs([1.0, 1.02, 1.035, 1.05, 1.055, 1.06, 1.07], 0.04, 2) == [(0, 6)]
+    # with least = 5 a sixth ratio must keep within the window
+    assert TC.runs([1.0, 1.01, 1.02, 1.03, 1.04, 1.06], 0.04, 5) == [(0, 4)]
+    assert TC.runs([1.0, 1.01, 1.02, 1.03, 1.04, 1.05, 1.06], 0.04, 3) == [(0, 6)]
+
+
 BOX = "id long, contexts array<int>, subjects array<int>, features array<int>"
 
 
