@@ -67,7 +67,10 @@ def symbolic_significance(items: DataFrame, rows: DataFrame, pattern: DataFrame,
     """(id, n, p, significance): chance that MORE than n rows show the pattern (id, col, bin).
 
     constant: product of the symbols' frequencies, 0.01 for one never seen; order: 1 / (columns)!; additive: the sum over all shifts that keep the symbols in range.
+    Other kinds, multiplicative among them, are rejected.
     """
+    if kind not in ("constant", "order", "additive"):
+        raise ValueError(f"no significance for patterns of kind {kind!r}")
     n_rows = items.agg(F.count_distinct("row").alias("total"))
     size = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     freq = symbol_frequencies(items).select("col", "bin", "frequency")

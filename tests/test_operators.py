@@ -144,6 +144,11 @@ def test_ratio_runs():
     assert TC.runs([1, 1.01, 2, 2.01, 2.02, 9], 0.05, 2) == [(0, 1), (2, 4)]
 
 
+def test_symbolic_significance_rejects_unknown_kinds():
+    with pytest.raises(ValueError, match="multiplicative"):
+        S.symbolic_significance(None, None, None, "multiplicative")
+
+
 def test_ratio_runs_extend_both_ways():
     chain = [1.0, 1.03, 1.06, 1.061, 1.062, 1.063, 1.1, 1.13]
     # the widest run is 1.03 to 1.063; pairs and one more slide on from there to 1.1, but 1.063 to 1.13 is too wide
