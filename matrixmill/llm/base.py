@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from bisect import bisect_right
@@ -22,9 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """The cluster's shared folder; a folder of our own only where none is set and all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -32,10 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later jobs restart from there, not from the inputs."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matrixmill-{uuid.uuid4().hex}"
+    return kept_at(df, f"{shared_dir(df.sparkSession)}/matrixmill-{uuid.uuid4().hex}")
+
+
+def kept_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """The tables that one job keeps in the shared folder; those that nothing will read again are deleted."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/matrixmill-{uuid.uuid4().hex}"
+        out = kept_at(df, path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            _, path = self.paths.pop(id(df))
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*[df for k, (df, _) in self.paths.items() if k not in map(id, tables)])
 
 
 def id_mod(doc_id: Column, n: int) -> Column:
@@ -108,9 +135,19 @@ class Memo(dict):
 _MEMOS: dict[str, Memo] = {}
 
 
-def worker_memo(key: str, most: int = 300_000) -> Memo:
-    """The memo that the tasks of one Python worker share under this key; only the latest key of a kind is held."""
+def release_memos(but: tuple[str, ...] = ()) -> None:
+    """Let go the memos that earlier jobs left in this Python worker."""
+    gone = [k for k in _MEMOS if k not in but]
+    for k in gone:
+        del _MEMOS[k]
+    if gone:
+        pa.default_memory_pool().release_unused()
+
+
+def worker_memo(key: str, most: int = 300_000, beside: tuple[str, ...] = ()) -> Memo:
+    """The memo that the tasks of one Python worker share under this key; only the latest key of a kind is held, and no other kind but those beside it."""
     kind = key.split(":")[0]
+    release_memos((kind, *beside))
     if kind not in _MEMOS or getattr(_MEMOS[kind], "key", None) != key:
         _MEMOS[kind] = Memo(most)
         _MEMOS[kind].key = key

@@ -245,7 +245,7 @@ def segmentations(docs: DataFrame, model_path: str, n: int = N, with_ids: bool =
     def make():
         pieces = Pieces(model)
         choices = lru_cache(20_000)(pieces.choices)  # the cheapest second choices are often the same
-        memo, parts = worker_memo("pieces:", 300_000), worker_memo("piece parts:", 200_000)
+        memo, parts = worker_memo("pieces:", 300_000, ("piece parts",)), worker_memo("piece parts:", 200_000, ("pieces",))
         if not hasattr(memo, "ids"):
             memo.ids, memo.figures = [], np.zeros((0, 4), np.int64)  # best ids; score, pieces, cost of the second choice, exactness
 

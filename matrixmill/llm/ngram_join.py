@@ -1,24 +1,29 @@
 """N-gram Jaccard join on token-combination prefixes.
 
 A document is the set of its five-word shingles, hashed to 64 bits. Two sets link when 100 * intersection is at
-least 80 * union. A set of n shingles may miss at most e = n // 5 of them in a partner, so, in one order for all
-documents (rare first), a prefix of e + 1 shingles of each meets. Where the prefix reaches frequent shingles it is
-extended and those are indexed by pairs: frequent shingles fall into classes, a shared pair within a class is a
-signature, and the prefix grows by one shingle for each class it touches, which is what a class without a shared
-pair can hide. Rare shingles are indexed singly. So no link is missed, and frequent shingles make no long lists.
-Classes depend on the power of two below n; a set near such a bound is indexed on both sides of it.
-
-Documents with equal sets are one class, found by a 128-bit digest, and only classes are compared. In each list of a
-signature every class is first compared with the list's smallest one, where lengths and the shared part of both
-prefixes leave a link possible; exact verification makes links, links make components. Lists that then still hold several components get their remaining pairs across components compared.
-So a group of near copies costs as many comparisons as it has members, and no link between
-two components is lost.
-
-The order is by a table of CELLS counters over all documents, then by hash: shingles that many documents share come
-late, and those whose counter holds over FREQUENT times the mean are the frequent ones. The table, and the filters of
-candidates, have a fixed size, so they can be sent to every task.
+least 80 * union. A set of n shingles may miss at most e = n // 5 of them in a partner. In one order for all documents
+(rare first) a prefix of each is indexed: rare shingles singly, frequent ones by combinations of k within small groups
+of their class, k = 2, 3, 4 as the class grows more frequent. A group without a shared combination can hide at most
+k - 1 shared shingles, so the prefix is extended until the shingles it proves missing exceed e. So no link is missed,
+and frequent shingles make no long lists unless the documents share many of them. Groups depend on the power of two
+below n; a set near such a bound is indexed on both sides of it.
+
+Two bounds rule pairs out without their sets, and never a link. By position: of the first signature two sets share,
+each knows how many of its shingles before it the other lacks, which leaves room for partners up to a size. By a
+256-bit parity sketch: the bits in which two sketches differ are at most the shingles in which the sets differ.
+
+Documents with equal sets are one class, found by a 128-bit digest, and only classes are compared. In a round, each
+class is compared with one member of one list it stands in; exact verification makes links, links make components.
+While lists that hold several components would still cost many comparisons, further rounds take other members. Last,
+in each list what is outside its largest component is compared with all that is in another component and not ruled
+out. So a group of near copies costs about as many comparisons as it has members, and no link between two components
+is lost.
+
+The order is by a table of CELLS counters over all documents, then by hash. What a counter holds above the mean and its
+noise tells the class. The table, and the filters of candidates, have a fixed size, so they can be sent to every task.
 
 Defined cases: null and empty texts, and texts without a word, have no shingles and are components of their own;
+a row without an id gets the component of the documents with the very same set, if any, else none;
 with fewer than five words the whole sequence is one shingle; repeated rows form one class; texts are read whole;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -27,24 +32,31 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, map_texts, read
+from .base import Tables, cut, map_texts, read, release_memos
 
 WIDTH = 5
-CELL_BITS, FILTER_BITS, FREQUENT, BLOCK = 20, 24, 8, 1 << 14
+CELL_BITS, FILTER_BITS, BLOCK = 20, 24, 1 << 14
 CELLS = 1 << CELL_BITS
-#: frequent shingles of a prefix in one class, about
-TOGETHER = 4
+#: counts above the noise from which shingles are combined by 2, 3 and 4
+CLASSES = (32, 1024, 32768)
+#: star rounds go on while a comparison of all open pairs would cost more than so many times the indexed entries
+DEAR = 4
+SKETCH = ("s0", "s1", "s2", "s3")
+ENTRY = ("d1", "n", "room", *SKETCH)
 #: bytes that are hashed at once, about; longer words than LONG are hashed one by one
 PIECE, LONG = 1 << 19, 1 << 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+_ODD, _ALL = int(_MIX[0]), (1 << 64) - 1
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _BYTE = np.random.default_rng(2024).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,12 +159,13 @@ def added(parts: DataFrame, cells: int, kind: type = np.int32) -> np.ndarray:
     return out
 
 
-def described(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, d1, d2) of each document, and the counters over all shingles of all documents. The texts are read once for both."""
+def described(docs: DataFrame, tables: Tables) -> tuple[DataFrame, np.ndarray]:
+    """A table with (doc_id, n, d1, d2) of each document where block is null, and the counters over all shingles of all documents. The texts are read once for both."""
 
     def make():
         from pyspark import TaskContext
 
+        release_memos()
         counts = np.zeros(CELLS, np.int64)
 
         def each(rows: dict | None) -> dict:
@@ -168,119 +181,153 @@ def described(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
         return each
 
-    both = cut(map_texts(docs, make, "doc_id long, n long, d1 long, d2 long, block int, task long, counts binary", flush=True))
-    return both.filter("block is null").select("doc_id", "n", "d1", "d2"), added(both.filter("block is not null").select("block", "task", "counts"), CELLS)
+    both = tables.keep(map_texts(docs, make, "doc_id long, n long, d1 long, d2 long, block int, task long, counts binary", flush=True))
+    return both, added(both.filter("block is not null").select("block", "task", "counts"), CELLS)
 
 
-def signatures_of(s: np.ndarray, counts: np.ndarray, most: float) -> np.ndarray:
-    return prefix_of(s, counts, most)[0]
+def bounds(counts: np.ndarray) -> tuple[int, ...]:
+    """The least count that tells shingles apart, and the counts above which they are combined: CLASSES above the mean of a cell and its noise."""
+    mean = float(counts.mean())
+    return int(max(0, mean - 5 * mean**0.5)), *(int(mean + 5 * mean**0.5) + c for c in CLASSES)
 
 
-def prefix_of(s: np.ndarray, counts: np.ndarray, most: float) -> tuple[np.ndarray, bool]:
-    """Signatures (int64) of one set, and whether they are all single shingles, ascending. counts: the counters; cells over `most` are frequent."""
+def mix_int(x: int) -> int:
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
+    return x ^ x >> 31
+
+
+def combined(tokens: list[int], kinds: list[int], missing: int, e: int, level: int) -> tuple[list[int], list[int]]:
+    """Signatures of frequent shingles in order, and of each how many shingles before it a partner is known to lack.
+
+    kinds: the k of each shingle's class. missing: the rare shingles before them. Small sets have fewer classes, so that
+    what their groups can hide never uses up the set.
+    """
+    largest = min(len(CLASSES) + 1, level)
+    held: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    sigs, lacks = [], []
+    for t, kind in zip(tokens, kinds, strict=True):
+        k = min(kind, largest)
+        group = held.setdefault((k, mix_int(t ^ 0xA5A5A5A5A5A5A5A5) % -(-(1 << level) // (5 * (k + 2)))), [])
+        for others in combinations(group, k - 1):
+            x = level + 1
+            for o, _ in others:
+                x = mix_int(x * _ODD + o & _ALL)
+            sigs.append(mix_int(x * _ODD + t & _ALL))
+            lacks.append(others[0][1])
+        group.append((t, missing))
+        if len(group) >= k:
+            missing += 1
+            if missing > e:
+                break
+    return sigs, lacks
+
+
+def prefix_of(s: np.ndarray, counts: np.ndarray, most: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set (int64), and for each the room it leaves: 4 times a partner's size is at most that. counts: the counters; most: bounds()."""
     n = len(s)
     e = n // 5
     if n < 4:  # only an equal set can link; 4 shingles can lie in a set of 5
-        return np.zeros(0, np.int64), False
-    count = counts[cell(s)]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    count = counts[cell(s)].astype(np.int64)
     # the order for all: by counter, then by hash. A signature of one shingle is its place in that order.
-    place = (np.minimum(count, (1 << 19) - 1).astype(np.int64) << 44) | (s >> np.uint64(20)).astype(np.int64)
-    often = count > most
-    rare = place[~often]
+    place = (np.clip(count - most[0], 0, (1 << 19) - 1) << 44) | (s >> np.uint64(20)).astype(np.int64)
+    rare = place[count <= most[1]]
     if len(rare) > e:
-        return np.sort(rare[rare <= np.partition(rare, e)[e]]), True
-    common = s[often][np.lexsort((s[often], place[often]))]
-    level, out = n.bit_length() - 1, [rare]
-    for lv in (level, level - 1) if 4 * n < 5 << level else (level,):
-        groups = max(1, -(-(1 << lv) // (5 * TOGETHER)))
-        at = (mix(common ^ np.uint64(0xA5A5A5A5)) % np.uint64(groups)).astype(np.int64)
-        # a shingle adds to what the prefix proves unless it is the first of its class
-        seen_before = np.ones(len(at), bool)
-        seen_before[np.unique(at, return_index=True)[1]] = False
-        upto = np.searchsorted(np.cumsum(seen_before), e + 1 - len(rare)) + 1
-        at, tokens = at[:upto], common[:upto]
-        order = np.lexsort((tokens, at))  # within a class by hash, so that a pair has one form
-        at, tokens = at[order], tokens[order]
-        start = np.searchsorted(at, np.arange(groups))
-        stop = np.append(start[1:], len(at))
-        for a, b in zip(start, stop, strict=True):
-            if b - a > 1:
-                i, j = np.triu_indices(b - a, 1)
-                out.append(mix(tokens[a + i] * _MIX[0] + tokens[a + j] * _MIX[1] + np.uint64(lv + 1)).view(np.int64))
-    return np.concatenate(out), False
+        first = np.sort(rare[rare <= np.partition(rare, e)[e]])
+        return first, 5 * n - 9 * np.arange(len(first))
+    first = np.sort(rare)
+    often = count > most[1]
+    order = np.lexsort((s[often], place[often]))
+    tokens, kinds = s[often][order].tolist(), (np.searchsorted(most[1:], count[often][order], "left") + 1).tolist()
+    level, sigs, lacks = n.bit_length() - 1, first.tolist(), list(range(len(first)))
+    for lv in (level, level - 1) if level > 2 and 4 * n < 5 << level else (level,):
+        more, before = combined(tokens, kinds, len(first), e, lv)
+        sigs += more
+        lacks += before
+    return np.array(sigs, np.uint64).view(np.int64), 5 * n - 9 * np.array(lacks, np.int64)
+
+
+def sketch(s: np.ndarray) -> list[int]:
+    """256 parities, by the lowest byte of the shingles: two sketches differ in at most as many bits as the sets in shingles."""
+    return np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(bool)).view(np.int64).tolist()
 
 
 def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(d1, n, singles, last, sigs): once for the equal sets that one task meets. singles: length of a prefix of single shingles, else null; last: its end."""
-    most = FREQUENT * max(1.0, float(counts.mean()))
+    """(d1, n, sketch, sigs, rooms): once for the equal sets that one task meets."""
+    most = bounds(counts)
 
     def make():
         met: set[int] = set()
+        names = ("d1", "n", *SKETCH, "sigs", "rooms")
 
         def each(rows: dict) -> dict:
-            out: dict[str, list] = {"d1": [], "n": [], "singles": [], "last": [], "sigs": []}
+            out: dict[str, list] = {k: [] for k in names}
             for s in sets(rows["text"]):
                 d1 = digest(s)[0]
                 if d1 not in met:
                     met.add(d1)
-                    x, plain = prefix_of(s, counts, most)
-                    if len(x):
-                        for k, v in zip(out, (d1, len(s), len(x) if plain else None, int(x[-1]) if plain else None, x), strict=True):
+                    sigs, rooms = prefix_of(s, counts, most)
+                    if len(sigs):
+                        for k, v in zip(names, (d1, len(s), *sketch(s), sigs, rooms), strict=True):
                             out[k].append(v)
             return out
 
         return each
 
-    return map_texts(docs, make, "d1 long, n long, singles long, last long, sigs array<long>")
+    return map_texts(docs, make, f"d1 long, n long, {', '.join(f'{s} long' for s in SKETCH)}, sigs array<long>, rooms array<long>")
 
 
-def only_shared(sigs: DataFrame, shared: np.ndarray) -> DataFrame:
-    """(sig, d1) of the signatures that the filter lets through; the rest, which stand alone, need not move."""
-
-    def run(batches):
-        flags = np.unpackbits(shared).view(bool)
-        for b in batches:
-            lists = b.column(1)
-            flat = lists.flatten().to_numpy()
-            owner = np.repeat(b.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
-            keep = flags[cell(mix(flat.view(np.uint64)), FILTER_BITS)]
-            yield pa.RecordBatch.from_pydict({"sig": flat[keep], "d1": owner[keep]})
+def flags(ids: DataFrame, column: str) -> np.ndarray:
+    """A filter of fixed size: the bits given by the last FILTER_BITS bits of a column. What arrives here is at most its 2^18 words."""
+    c = F.col(column)
+    at = F.shiftright(c.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6).cast("int")
+    words = ids.groupBy(at.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
 
-    return sigs.select("d1", "sigs").mapInArrow(run, "sig long, d1 long")
 
+def flagged(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    x = x.view(np.int64)
+    return (words[(x & ((1 << FILTER_BITS) - 1)) >> 6] >> (x & 63)) & 1 == 1
 
-def marked(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size, one bit a cell: the cells of the given ids (column d1)."""
 
-    def make():
-        from pyspark import TaskContext
+def only_shared(sigs: DataFrame, shared: np.ndarray) -> DataFrame:
+    """(sig, d1, n, room, sketch) of the signatures that the filter lets through; the rest, which stand alone, need not move."""
 
-        flags = np.zeros(1 << FILTER_BITS, bool)
+    def run(batches):
+        for b in batches:
+            lists = b.column(len(ENTRY) - 1)
+            flat = lists.flatten().to_numpy()
+            keep = flagged(flat, shared)
+            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))[keep]
+            cols = {"sig": flat[keep], "room": b.column(len(ENTRY)).flatten().to_numpy()[keep]}
+            cols |= {k: b.column(i).to_numpy()[owner] for i, k in enumerate(("d1", "n", *SKETCH))}
+            yield pa.RecordBatch.from_pydict({k: cols[k] for k in ("sig", *ENTRY)})
 
-        def each(rows: dict | None) -> dict | None:
-            if rows is not None:
-                flags[cell(mix(np.array(rows["d1"], np.int64).view(np.uint64)), FILTER_BITS)] = True
-                return None
-            held = blocks(flags)
-            return {"block": [b for b, _ in held], "task": [TaskContext.get().partitionId()] * len(held), "counts": [c for _, c in held]}
+    return sigs.select("d1", "n", *SKETCH, "sigs", "rooms").mapInArrow(run, f"sig long, {', '.join(f'{k} long' for k in ENTRY)}")
 
-        return each
 
-    return np.packbits(added(map_texts(ids.withColumn("text", F.lit("")), make, "block int, task long, counts binary", ("d1", "text"), flush=True), 1 << FILTER_BITS, bool))
+def may_link(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Whether sizes, positions and sketches leave a link possible between two entries of one list."""
+    differ = sum((F.bit_count(x(k).bitwiseXOR(y(k))) for k in SKETCH), F.lit(0))
+    return (4 * x("n") <= y("room")) & (4 * y("n") <= x("room")) & (9 * differ <= x("n") + y("n"))
 
 
 def shingle_arrays(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(d1, d2, n, shingles) of the documents that the filter lets through, once for each class."""
+    """(d1, d2, n, shingles) of the documents whose ids the filter lets through, once for each class. Only their texts are hashed."""
 
     def make():
+        release_memos()
         met: set[tuple[int, int]] = set()
-        flags = np.unpackbits(wanted).view(bool)
 
         def each(rows: dict) -> dict:
             out: dict[str, list] = {"d1": [], "d2": [], "n": [], "shingles": []}
-            for s in sets(rows["text"]):
+            hit = flagged(np.array(rows["h"], np.int64), wanted)
+            for s in sets([t for t, x in zip(rows["text"], hit, strict=True) if x]):
                 d = digest(s)
-                if len(s) and d not in met and flags[cell(mix(np.array([d[0]], np.int64).view(np.uint64)), FILTER_BITS)][0]:
+                if len(s) and d not in met:
                     met.add(d)
                     for k, v in zip(out, (*d, len(s), s.view(np.int64)), strict=True):
                         out[k].append(v)
@@ -288,78 +335,98 @@ def shingle_arrays(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
 
         return each
 
-    found = map_texts(docs, make, "d1 long, d2 long, n long, shingles array<long>")
+    found = map_texts(docs.select(F.xxhash64("doc_id").alias("h"), "text"), make, "d1 long, d2 long, n long, shingles array<long>", ("h", "text"))
     return found.groupBy("d1", "d2", "n").agg(F.first("shingles").alias("shingles"))
 
 
-def promising(pairs: DataFrame, sigs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) that lengths and prefixes do not rule out.
-
-    Of two prefixes of single shingles let x be the one that ends first. All x has in common with the other up to
-    there are the signatures both hold, so the intersection is at most those plus what x has left; a link needs 4/9 of
-    both sizes together. Documents that share one passage fall here, before any set moves.
-    """
-    info = sigs.groupBy("d1").agg(F.first("n").alias("n"), F.first("singles").alias("singles"), F.first("last").alias("last"))
-    held = members.groupBy("d1").agg(F.collect_set("sig").alias("held"))  # at most a prefix long
-    known = cut(info.join(held, "d1"))
-    side = lambda c: known.select(F.col("d1").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("n", "singles", "last", "held")))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= 80 * F.greatest("n_a", "n_b"))
-    common = F.size(F.array_intersect("held_a", "held_b"))
-    left = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a") - F.col("singles_a")).otherwise(F.col("n_b") - F.col("singles_b"))
-    open_ = F.col("singles_a").isNull() | F.col("singles_b").isNull()
-    return near.filter(open_ | (9 * (common + left) >= 4 * (F.col("n_a") + F.col("n_b")))).select("a", "b")
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of d1 values the links between classes, as (a1, a2, b1, b2)."""
-    arrays = cut(shingle_arrays(docs, marked(pairs.select(F.explode(F.array("a", "b")).alias("d1")))))
-    left = arrays.select(F.col("d1").alias("a"), F.col("d2").alias("a2"), F.col("n").alias("a_n"), F.col("shingles").alias("a_set"))
-    right = arrays.select(F.col("d1").alias("b"), F.col("d2").alias("b2"), F.col("n").alias("b_n"), F.col("shingles").alias("b_set"))
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
+    """Of pairs (a, b) of d1 values the links, as (u, v) of the classes' representatives."""
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct().join(classes, "d1").select(F.xxhash64("rep").alias("h"))
+    arrays = tables.keep(shingle_arrays(docs, flags(reps, "h")).join(classes, ["d1", "d2"]))
+    left = arrays.select(F.col("d1").alias("a"), F.col("rep").alias("u"), F.col("n").alias("a_n"), F.col("shingles").alias("a_set"))
+    right = arrays.select(F.col("d1").alias("b"), F.col("rep").alias("v"), F.col("n").alias("b_n"), F.col("shingles").alias("b_set"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")).cast("long"))
-    return both.filter(100 * F.col("common") >= 80 * (F.col("a_n") + F.col("b_n") - F.col("common"))).select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2")
+    links = tables.keep(both.filter(100 * F.col("common") >= 80 * (F.col("a_n") + F.col("b_n") - F.col("common"))).select("u", "v"))
+    tables.drop(arrays)
+    return links
 
 
-def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """(u, component) for every end of a link: the smallest end reachable. Rounds of neighbour minima and pointer jumps, each kept in the shared folder."""
-    both = cut(links.select(u, v).union(links.select(v, u)).filter(f"{u} <> {v}").toDF("u", "v").distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
+def components(links: DataFrame, tables: Tables) -> DataFrame:
+    """(u, component) for every end of a link (u, v): the smallest end reachable. Rounds of neighbour minima and pointer jumps, each kept in the shared folder."""
+    both = tables.keep(links.select("u", "v").union(links.select("v", "u")).filter("u <> v").distinct())
+    labels = tables.keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
     while True:
         near = both.join(labels.withColumnRenamed("u", "v").withColumnRenamed("c", "m"), "v").groupBy("u").agg(F.min("m").alias("m"))
         lower = labels.join(near, "u").select("u", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         up = labels.select(F.col("u").alias("c"), F.col("c").alias("top"))
-        after = cut(lower.join(up, "c", "left").select("u", "old", F.least("c", F.coalesce("top", "c")).alias("c")))
-        labels = after.select("u", "c")
-        if after.filter("c <> old").isEmpty():
-            return labels.withColumnRenamed("c", "component")
+        after = tables.keep(lower.join(up, "c", "left").select("u", "old", F.least("c", F.coalesce("top", "c")).alias("c")))
+        done = after.filter("c <> old").isEmpty()
+        tables.drop(labels)
+        labels = after
+        if done:
+            tables.drop(both)
+            return labels.select("u", F.col("c").alias("component"))
+
+
+def star(entries: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of d1 values: each entry's class with the smallest head, in this turn's order, of the lists it stands in; only heads of another component that it may link with."""
+    order = F.xxhash64("d1", F.lit(turn)).alias("order")
+    heads = entries.groupBy("sig").agg(F.min(F.struct(order, *ENTRY, "c")).alias("head"))
+    met = entries.join(heads, "sig").filter((F.col("c") != F.col("head.c")) & may_link(F.col, lambda k: F.col(f"head.{k}")))
+    chosen = met.groupBy("d1").agg(F.min(F.struct("head.order", F.col("head.d1").alias("d"))).alias("to"))
+    return chosen.select(F.least("d1", "to.d").alias("a"), F.greatest("d1", "to.d").alias("b")).distinct()
+
+
+def across(rest: DataFrame, shares: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every list: what is outside its largest component with all of other components that it may link with."""
+    x = rest.join(shares.select("sig", "largest"), "sig").filter("c <> largest").alias("x")
+    y = rest.alias("y")
+    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & may_link(lambda k: F.col(f"x.{k}"), lambda k: F.col(f"y.{k}")))
+    return met.select(F.least("x.d1", "y.d1").alias("a"), F.greatest("x.d1", "y.d1").alias("b")).distinct()
+
+
+def still_mixed(entries: DataFrame, classes: DataFrame, found: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """The entries of the lists that hold several components, with component c; and for each list its size and largest component."""
+    of = classes.join(found, classes.rep == found.u, "left").select("d1", F.coalesce("component", "rep").alias("c")).groupBy("d1").agg(F.min("c").alias("c"))
+    labelled = entries.drop("c").join(of, "d1")
+    mixed = labelled.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("sig")
+    rest = tables.keep(labelled.join(mixed, "sig").dropDuplicates(["sig", "d1"]))
+    sizes = rest.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
+    return rest, tables.keep(sizes.groupBy("sig").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("top")).select("sig", "size", F.col("top.k").alias("k"), F.col("top.c").alias("largest")))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_class (documents with the very same set) of each document."""
-    rows, counts = described(docs)
-    classes = cut(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class")))
-    sigs = cut(signatures(docs, counts))
-    lists = cut(sigs.select("d1", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi").select("sig", "lo"))
-    members = cut(only_shared(sigs, marked(lists.select(F.col("sig").alias("d1")))).join(lists, "sig").select("sig", "lo", "d1"))
-    done = cut(members.filter("lo <> d1").select(F.col("lo").alias("a"), F.col("d1").alias("b")).distinct())
-    reps1 = classes.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("rep").alias("u"))
-    reps2 = classes.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("rep").alias("v"))
-
-    def ends(links: DataFrame) -> DataFrame:
-        return links.join(reps1, ["a1", "a2"]).join(reps2, ["b1", "b2"]).select("u", "v")
-
-    links = cut(ends(verified(cut(promising(done, sigs, members)), docs)))
-    # lists that still hold several components: their pairs across components
-    found = components(links)
-    of = classes.join(found, classes.rep == found.u, "left").select("d1", F.coalesce("component", "rep").alias("c")).groupBy("d1").agg(F.min("c").alias("c"))
-    labelled = members.select("sig", "d1").distinct().join(of, "d1")
-    mixed = labelled.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("sig")
-    rest = cut(labelled.join(mixed, "sig"))
-    pairs = rest.select("sig", F.col("d1").alias("a"), F.col("c").alias("ca")).join(rest.select("sig", F.col("d1").alias("b"), F.col("c").alias("cb")), "sig").filter("a < b and ca <> cb").select("a", "b").distinct()
-    pairs = cut(promising(pairs.join(done, ["a", "b"], "left_anti"), sigs, members))
-    if not pairs.isEmpty():
-        found = components(links.union(ends(verified(pairs, docs))))
-    ids = classes.join(found, classes.rep == found.u, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), "n_class")
-    ids = cut(ids)
+    """doc_id, n_shingles, component_id and n_class (documents with the very same set) of each document.
+
+    Two small tables (a row a document, a row a class) stay in the shared folder for the result to read; all others are deleted.
+    """
+    tables = Tables(docs.sparkSession)
+    both, counts = described(docs, tables)
+    rows = both.filter("block is null").select("doc_id", "n", "d1", "d2")
+    docs = docs.filter("doc_id is not null")
+    classes = tables.keep(rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class")))
+    sigs = tables.keep(signatures(docs, counts))
+    shared = sigs.select("d1", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi")
+    entries = tables.keep(only_shared(sigs, flags(shared, "sig")).withColumn("c", F.col("d1")))
+    tables.drop(sigs)
+    budget, cost, turn, last = DEAR * entries.count(), float("inf"), 0, False
+    links = tested = shares = None
+    found = classes.select(F.col("rep").alias("u"), F.col("rep").alias("component")).limit(0)
+    while True:
+        pairs = across(entries, shares) if last else star(entries, turn)
+        pairs = tables.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            new = verified(pairs, classes, docs, tables)
+            links = new if links is None else tables.keep(links.union(new))
+            found = components(links, tables)
+        if last:
+            break
+        tested, turn = pairs if tested is None else tables.keep(tested.union(pairs)), turn + 1
+        entries, shares = still_mixed(entries, classes, found, tables)
+        before, cost = cost, shares.agg(F.coalesce(F.sum(F.col("size") * (F.col("size") - F.col("k"))), F.lit(0))).first()[0]
+        last = cost <= budget or cost > 0.7 * before
+    ids = tables.keep(classes.join(found, classes.rep == found.u, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), "n_class"))
+    tables.drop_all_but(both, ids)
     out = rows.join(ids, ["d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
 
@@ -376,4 +443,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op8_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents"))
+    return jaccard_components(read(spark, sf_dir, "documents")).drop("n_class")

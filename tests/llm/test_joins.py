@@ -52,41 +52,78 @@ def test_components_of_near_copies(spark, docs, odd):
 
 
 def test_frequent_shingles_are_joined_by_pairs(spark, docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 0)  # every shingle that occurs is frequent
+    monkeypatch.setattr(ngram_join, "CLASSES", (-100, 4, 9))  # every shingle is frequent, in one of three classes
     check(spark, docs, near_copies(random.Random(2), 12, 12, 200))
 
 
+def links_by_hand(x, y):
+    both = len(np.intersect1d(x, y))
+    return 100 * both >= 80 * (len(x) + len(y) - both)
+
+
+def prefix_allows(x, y, counts, most):
+    """Whether some shared signature leaves a link possible, by position and by sketch."""
+    (sx, rx), (sy, ry) = (ngram_join.prefix_of(s, counts, most) for s in (x, y))
+    _, i, j = np.intersect1d(sx, sy, return_indices=True)
+    differ = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(ngram_join.sketch(x), ngram_join.sketch(y)))
+    return bool(((4 * len(y) <= rx[i]) & (4 * len(x) <= ry[j])).any()) and 9 * differ <= len(x) + len(y)
+
+
 @pytest.mark.parametrize("share", [0.0, 0.3, 0.7, 1.0])
-def test_similar_sets_share_a_signature(share):
+@pytest.mark.parametrize("sizes", [(4, 13), (13, 400)])
+def test_no_bound_rules_out_a_link(share, sizes):
     rng = np.random.default_rng(3)
-    counts = np.where(rng.random(ngram_join.CELLS) < share, 100, rng.integers(1, 9, ngram_join.CELLS)).astype(np.int32)
-    for _ in range(300):
-        n = int(rng.integers(5, 400))
+    frequent = rng.choice([60, 2000, 50_000], ngram_join.CELLS)
+    counts = np.where(rng.random(ngram_join.CELLS) < share, frequent, rng.integers(1, 9, ngram_join.CELLS)).astype(np.int32)
+    most, seen = (0, 50, 1000, 30_000), 0
+    for _ in range(600):
+        n = int(rng.integers(*sizes))
         x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
-        keep = np.sort(rng.permutation(x)[: len(x) - int(rng.integers(0, len(x) // 9 + 1))])
-        y = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, len(keep) // 9 + 1))).astype(np.uint64)]))
-        both = len(np.intersect1d(x, y))
-        if 100 * both >= 80 * (len(x) + len(y) - both) and not np.array_equal(x, y):
-            assert len(np.intersect1d(ngram_join.signatures_of(x, counts, 50), ngram_join.signatures_of(y, counts, 50)))
-
-
-@pytest.mark.parametrize("frequent", [8, 0])
-def test_four_shingles_link_with_five(spark, docs, monkeypatch, frequent):
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    texts = ["a b c d e f g h", "a b c d e f g h i"]  # appended
-    texts += ["0 k l m n o p q r", "k l m n o p q r", "k l m n o p q r s"]  # put in front; two sets of 5 that only their part of 4 connects
-    texts += ["s t u v w x y z s t u v w x y z s t u v w x y z", "s t u v w x y z", "s t u v w x y", "1 2 3 4 5 6 7", "1 2 3 4 5 6 7 8"]
+        keep = np.sort(rng.permutation(x)[: len(x) - int(rng.integers(0, len(x) // 5 + 1))])
+        y = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, len(keep) // 5 + 1))).astype(np.uint64)]))
+        if links_by_hand(x, y) and not np.array_equal(x, y) and min(len(x), len(y)) > 3:
+            seen += 1
+            assert prefix_allows(x, y, counts, most)
+    assert seen > 100
+
+
+@pytest.mark.parametrize("frequent", [(32, 1024, 32768), (-100, 2, 4)])
+def test_all_small_sizes(spark, docs, monkeypatch, frequent):
+    """Texts of 1 to 18 words and the same with a word put before or behind, or changed: 4 shingles link with 5."""
+    monkeypatch.setattr(ngram_join, "CLASSES", frequent)
+    texts = []
+    for n in range(1, 19):
+        words = [f"v{n}x{i}" for i in range(n)]
+        texts += [" ".join(w) for w in (words, words + ["z"], ["y", *words], [*words[:-1], "q"], words * 3, words[::-1])]
     check(spark, docs, texts)
 
 
-@pytest.mark.parametrize("share", [0.0, 0.3, 0.7, 1.0])
-def test_part_of_four_shares_a_signature(share):
-    rng = np.random.default_rng(7)
-    counts = np.where(rng.random(ngram_join.CELLS) < share, 100, rng.integers(1, 9, ngram_join.CELLS)).astype(np.int32)
-    for _ in range(500):
-        y = np.unique(rng.integers(0, 2**63, 5).astype(np.uint64) * np.uint64(2))
-        x = np.sort(rng.permutation(y)[:4])
-        assert len(np.intersect1d(ngram_join.signatures_of(x, counts, 50), ngram_join.signatures_of(y, counts, 50)))
+def test_hot_table(spark, docs, monkeypatch):
+    """Exact copies, a large group of near copies, one passage that is most of many texts yet does not link them; several rounds."""
+    monkeypatch.setattr(ngram_join, "DEAR", 0)
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = ["copied text of more than five words here"] * 60
+    texts += [f"{passage} {' '.join(f'u{rng.randrange(10**6)}' for _ in range(rng.randint(4, 16)))}" for _ in range(120)]
+    texts += near_copies(rng, 1, 120, 90) + near_copies(rng, 20, 2)
+    rng.shuffle(texts)
+    check(spark, docs, texts)
+
+
+def test_rows_without_an_id(spark):
+    text = "a b c d e f g"
+    table = spark.createDataFrame([(None, text, 1), (None, "other words of this row here", 1), (4, text, 2)], "doc_id long, text string, sig int")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.jaccard_components(table).collect())
+    assert got == [(0, 2, 0), (0, 3, 4), (4, 3, 4)]
+
+
+def test_clashing_columns(spark, docs):
+    texts = near_copies(random.Random(11), 4, 4)
+    d = docs(*texts)
+    for name in ("n", "sig", "d1", "c", "component", "component_id", "h", "block", "u"):
+        d = d.withColumn(name, F.lit(1))
+    out = ngram_join.one_of_each(d)
+    assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == sorted({c for _, c in brute_components(texts)})
 
 
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
