@@ -12,12 +12,12 @@ Two bounds rule pairs out without their sets, and never a link. By position: of
 each knows how many of its shingles before it the other lacks, which leaves room for partners up to a size. By a
 256-bit parity sketch: the bits in which two sketches differ are at most the shingles in which the sets differ.
 
-Documents with equal sets are one class, found by a 128-bit digest, and only classes are compared. In a round, each
-class is compared with one member of one list it stands in; exact verification makes links, links make components.
-While lists that hold several components would still cost many comparisons, further rounds take other members. Last,
-in each list what is outside its largest component is compared with all that is in another component and not ruled
-out. So a group of near copies costs about as many comparisons as it has members, and no link between two components
-is lost.
+Documents with equal sets are one class, found by a 128-bit digest, and only classes are compared. First, lists of up
+to SMALL members are compared whole, and each member of a longer one with two heads, of which it takes the first of all
+its lists; exact verification makes links, links make components. Last, in each longer list that then holds several
+components, what is outside its largest component is compared with all that is in another component and not ruled out;
+a pair that stands in an earlier list too, as the signatures before tell, is left to that one. So a group of near copies
+costs about as many comparisons as it has members, and no link between two components is lost.
 
 The order is by a table of CELLS counters over all documents, then by hash. What a counter holds above the mean and its
 noise tells the class. The table, and the filters of candidates, have a fixed size, so they can be sent to every task.
@@ -49,8 +49,10 @@ CELL_BITS, FILTER_BITS, BLOCK = 20, 24, 1 << 14
 CELLS = 1 << CELL_BITS
 #: counts above the noise from which shingles are combined by 2, 3 and 4
 CLASSES = (32, 1024, 32768)
-#: star rounds go on while a comparison of all open pairs would cost more than so many times the indexed entries
-DEAR = 4
+#: lists of up to so many members are compared whole by their first and last one
+SMALL = 3
+#: signatures before each that tell whether a pair met in an earlier list
+BEFORE = 4
 SKETCH = ("s0", "s1", "s2", "s3")
 ENTRY = ("d1", "n", "room", *SKETCH)
 #: bytes that are hashed at once, about; longer words than LONG are hashed one by one
@@ -154,7 +156,7 @@ def added(parts: DataFrame, cells: int, kind: type = np.int32) -> np.ndarray:
 
     some = parts.groupBy("block", F.pmod("task", F.lit(64))).applyInPandas(lambda k, f: add(k, f), "block int, task long, counts binary")
     out = np.zeros(cells, kind)
-    for r in some.groupBy("block").applyInPandas(add, "block int, task long, counts binary").toLocalIterator():
+    for r in some.groupBy("block").applyInPandas(add, "block int, task long, counts binary").collect():
         out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(r.counts), "<i4")
     return out
 
@@ -197,34 +199,37 @@ def mix_int(x: int) -> int:
     return x ^ x >> 31
 
 
-def combined(tokens: list[int], kinds: list[int], missing: int, e: int, level: int) -> tuple[list[int], list[int]]:
-    """Signatures of frequent shingles in order, and of each how many shingles before it a partner is known to lack.
+def combined(tokens: list[int], kinds: list[int], missing: int, e: int, level: int) -> list[tuple[int, int, int]]:
+    """Of frequent shingles in order: place of a combination's first shingle, signature, and how many shingles before it a partner is known to lack.
 
     kinds: the k of each shingle's class. missing: the rare shingles before them. Small sets have fewer classes, so that
     what their groups can hide never uses up the set.
     """
     largest = min(len(CLASSES) + 1, level)
-    held: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    sigs, lacks = [], []
-    for t, kind in zip(tokens, kinds, strict=True):
+    held: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    found: list[tuple[int, int, int]] = []
+    for at, (t, kind) in enumerate(zip(tokens, kinds, strict=True)):
         k = min(kind, largest)
         group = held.setdefault((k, mix_int(t ^ 0xA5A5A5A5A5A5A5A5) % -(-(1 << level) // (5 * (k + 2)))), [])
         for others in combinations(group, k - 1):
             x = level + 1
-            for o, _ in others:
+            for o, _, _ in others:
                 x = mix_int(x * _ODD + o & _ALL)
-            sigs.append(mix_int(x * _ODD + t & _ALL))
-            lacks.append(others[0][1])
-        group.append((t, missing))
+            found.append((others[0][2], mix_int(x * _ODD + t & _ALL), others[0][1]))
+        group.append((t, missing, at))
         if len(group) >= k:
             missing += 1
             if missing > e:
                 break
-    return sigs, lacks
+    return found
 
 
 def prefix_of(s: np.ndarray, counts: np.ndarray, most: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set (int64), and for each the room it leaves: 4 times a partner's size is at most that. counts: the counters; most: bounds()."""
+    """Signatures of one set (int64), and for each the room it leaves: 4 times a partner's size is at most that. counts: the counters; most: bounds().
+
+    They come in an order that is the same for all sets: by their first shingle, then by value. What two sets lack
+    before a signature holds for the first one they share.
+    """
     n = len(s)
     e = n // 5
     if n < 4:  # only an equal set can link; 4 shingles can lie in a set of 5
@@ -240,12 +245,12 @@ def prefix_of(s: np.ndarray, counts: np.ndarray, most: tuple[int, ...]) -> tuple
     often = count > most[1]
     order = np.lexsort((s[often], place[often]))
     tokens, kinds = s[often][order].tolist(), (np.searchsorted(most[1:], count[often][order], "left") + 1).tolist()
-    level, sigs, lacks = n.bit_length() - 1, first.tolist(), list(range(len(first)))
+    level, more = n.bit_length() - 1, []
     for lv in (level, level - 1) if level > 2 and 4 * n < 5 << level else (level,):
-        more, before = combined(tokens, kinds, len(first), e, lv)
-        sigs += more
-        lacks += before
-    return np.array(sigs, np.uint64).view(np.int64), 5 * n - 9 * np.array(lacks, np.int64)
+        more += combined(tokens, kinds, len(first), e, lv)
+    more.sort()
+    lacks = np.concatenate([np.arange(len(first)), np.array([x[2] for x in more], np.int64)])
+    return np.concatenate([first, np.array([x[1] for x in more], np.uint64).view(np.int64)]), 5 * n - 9 * lacks
 
 
 def sketch(s: np.ndarray) -> list[int]:
@@ -293,8 +298,8 @@ def flagged(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (words[(x & ((1 << FILTER_BITS) - 1)) >> 6] >> (x & 63)) & 1 == 1
 
 
-def only_shared(sigs: DataFrame, shared: np.ndarray) -> DataFrame:
-    """(sig, d1, n, room, sketch) of the signatures that the filter lets through; the rest, which stand alone, need not move."""
+def only_shared(sigs: DataFrame, shared: np.ndarray, before: int = 0) -> DataFrame:
+    """(sig, d1, n, room, sketch, before) of the signatures that the filter lets through; the rest, which stand alone, need not move. before: so many of the set's signatures that came through ahead of it."""
 
     def run(batches):
         for b in batches:
@@ -304,9 +309,15 @@ def only_shared(sigs: DataFrame, shared: np.ndarray) -> DataFrame:
             owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))[keep]
             cols = {"sig": flat[keep], "room": b.column(len(ENTRY)).flatten().to_numpy()[keep]}
             cols |= {k: b.column(i).to_numpy()[owner] for i, k in enumerate(("d1", "n", *SKETCH))}
-            yield pa.RecordBatch.from_pydict({k: cols[k] for k in ("sig", *ENTRY)})
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            size = np.minimum(place, before)
+            start = np.repeat(np.arange(len(owner)) - size, size)
+            ahead = cols["sig"][start + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+            cols["before"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ahead, pa.int64()))
+            yield pa.RecordBatch.from_pydict({k: cols[k] for k in ("sig", *ENTRY, "before")})
 
-    return sigs.select("d1", "n", *SKETCH, "sigs", "rooms").mapInArrow(run, f"sig long, {', '.join(f'{k} long' for k in ENTRY)}")
+    out = sigs.select("d1", "n", *SKETCH, "sigs", "rooms").mapInArrow(run, f"sig long, {', '.join(f'{k} long' for k in ENTRY)}, before array<long>")
+    return out if before else out.drop("before")
 
 
 def may_link(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
@@ -368,31 +379,29 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
             return labels.select("u", F.col("c").alias("component"))
 
 
-def star(entries: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of d1 values: each entry's class with the smallest head, in this turn's order, of the lists it stands in; only heads of another component that it may link with."""
-    order = F.xxhash64("d1", F.lit(turn)).alias("order")
-    heads = entries.groupBy("sig").agg(F.min(F.struct(order, *ENTRY, "c")).alias("head"))
-    met = entries.join(heads, "sig").filter((F.col("c") != F.col("head.c")) & may_link(F.col, lambda k: F.col(f"head.{k}")))
-    chosen = met.groupBy("d1").agg(F.min(F.struct("head.order", F.col("head.d1").alias("d"))).alias("to"))
-    return chosen.select(F.least("d1", "to.d").alias("a"), F.greatest("d1", "to.d").alias("b")).distinct()
+def heads_met(entries: DataFrame) -> DataFrame:
+    """(sig, d1, size, lo, hi) of the entries of lists with several classes: the list's length, and the d1 of its first and last class where the entry may link with them."""
+    entry = F.struct(*ENTRY)
+    tops = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min(entry).alias("x"), F.max(entry).alias("y")).filter("x.d1 <> y.d1")
+    fit = {h: (F.col("d1") != F.col(f"{h}.d1")) & may_link(F.col, lambda k, h=h: F.col(f"{h}.{k}")) for h in ("x", "y")}
+    met = entries.join(tops, "sig")
+    return met.select("sig", "d1", "size", *(F.when(fit[h], F.col(f"{h}.d1")).alias(c) for h, c in (("x", "lo"), ("y", "hi"))))
 
 
-def across(rest: DataFrame, shares: DataFrame) -> DataFrame:
-    """Pairs (a, b) of every list: what is outside its largest component with all of other components that it may link with."""
-    x = rest.join(shares.select("sig", "largest"), "sig").filter("c <> largest").alias("x")
-    y = rest.alias("y")
-    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & may_link(lambda k: F.col(f"x.{k}"), lambda k: F.col(f"y.{k}")))
-    return met.select(F.least("x.d1", "y.d1").alias("a"), F.greatest("x.d1", "y.d1").alias("b")).distinct()
+def first_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of d1 values: all of the short lists; of longer ones each class with the first of the first and the last of the last heads."""
+    short = met.filter(F.col("size") <= SMALL).select("d1", F.explode(F.array("lo", "hi")).alias("d"))
+    long = met.filter(F.col("size") > SMALL).groupBy("d1").agg(F.array(F.min("lo"), F.max("hi")).alias("d")).select("d1", F.explode("d").alias("d"))
+    return short.unionByName(long).filter("d is not null").select(F.least("d1", "d").alias("a"), F.greatest("d1", "d").alias("b")).distinct()
 
 
-def still_mixed(entries: DataFrame, classes: DataFrame, found: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """The entries of the lists that hold several components, with component c; and for each list its size and largest component."""
-    of = classes.join(found, classes.rep == found.u, "left").select("d1", F.coalesce("component", "rep").alias("c")).groupBy("d1").agg(F.min("c").alias("c"))
-    labelled = entries.drop("c").join(of, "d1")
-    mixed = labelled.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("sig")
-    rest = tables.keep(labelled.join(mixed, "sig").dropDuplicates(["sig", "d1"]))
-    sizes = rest.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
-    return rest, tables.keep(sizes.groupBy("sig").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("top")).select("sig", "size", F.col("top.k").alias("k"), F.col("top.c").alias("largest")))
+def across(rest: DataFrame, largest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every list: what is outside its largest component with all of other components that it may link with, where no earlier list has the pair."""
+    x = rest.join(largest, "sig").filter("c <> largest").alias("x")
+    y = rest.alias("y")
+    fit = may_link(lambda k: F.col(f"x.{k}"), lambda k: F.col(f"y.{k}")) & ~F.arrays_overlap("x.before", "y.before")
+    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & fit)
+    return met.select(F.least("x.d1", "y.d1").alias("a"), F.greatest("x.d1", "y.d1").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -407,24 +416,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = tables.keep(rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class")))
     sigs = tables.keep(signatures(docs, counts))
     shared = sigs.select("d1", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi")
-    entries = tables.keep(only_shared(sigs, flags(shared, "sig")).withColumn("c", F.col("d1")))
-    tables.drop(sigs)
-    budget, cost, turn, last = DEAR * entries.count(), float("inf"), 0, False
-    links = tested = shares = None
-    found = classes.select(F.col("rep").alias("u"), F.col("rep").alias("component")).limit(0)
-    while True:
-        pairs = across(entries, shares) if last else star(entries, turn)
-        pairs = tables.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            new = verified(pairs, classes, docs, tables)
-            links = new if links is None else tables.keep(links.union(new))
-            found = components(links, tables)
-        if last:
-            break
-        tested, turn = pairs if tested is None else tables.keep(tested.union(pairs)), turn + 1
-        entries, shares = still_mixed(entries, classes, found, tables)
-        before, cost = cost, shares.agg(F.coalesce(F.sum(F.col("size") * (F.col("size") - F.col("k"))), F.lit(0))).first()[0]
-        last = cost <= budget or cost > 0.7 * before
+    met = tables.keep(heads_met(tables.keep(only_shared(sigs, flags(shared, "sig")))))
+    pairs = tables.keep(first_pairs(met))
+    links = verified(pairs, classes, docs, tables)
+    found = components(links, tables)
+    # longer lists that still hold several components
+    of = tables.keep(classes.join(found, classes.rep == found.u, "left").select("d1", F.coalesce("component", "rep").alias("c")).groupBy("d1").agg(F.min("c").alias("c")))
+    mixed = tables.keep(met.filter(F.col("size") > SMALL).select("sig", "d1").join(of, "d1").groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("sig"))
+    rest = tables.keep(only_shared(sigs, flags(mixed, "sig"), BEFORE).join(mixed, "sig").dropDuplicates(["sig", "d1"]).join(of, "d1"))
+    largest = rest.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.max(F.struct("k", "c")).alias("top")).select("sig", F.col("top.c").alias("largest"))
+    more = tables.keep(across(rest, largest).join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        found = components(links.union(verified(more, classes, docs, tables)), tables)
     ids = tables.keep(classes.join(found, classes.rep == found.u, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), "n_class"))
     tables.drop_all_but(both, ids)
     out = rows.join(ids, ["d1", "d2"], "left")

@@ -62,9 +62,11 @@ def links_by_hand(x, y):
 
 
 def prefix_allows(x, y, counts, most):
-    """Whether some shared signature leaves a link possible, by position and by sketch."""
+    """Whether the first shared signature leaves a link possible, by position and by sketch."""
     (sx, rx), (sy, ry) = (ngram_join.prefix_of(s, counts, most) for s in (x, y))
-    _, i, j = np.intersect1d(sx, sy, return_indices=True)
+    first = next(k for k in sx.tolist() if k in set(sy.tolist()))  # the bound must hold there
+    assert first == next(k for k in sy.tolist() if k in set(sx.tolist()))
+    i, j = np.flatnonzero(sx == first), np.flatnonzero(sy == first)
     differ = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(ngram_join.sketch(x), ngram_join.sketch(y)))
     return bool(((4 * len(y) <= rx[i]) & (4 * len(x) <= ry[j])).any()) and 9 * differ <= len(x) + len(y)
 
@@ -98,9 +100,8 @@ def test_all_small_sizes(spark, docs, monkeypatch, frequent):
     check(spark, docs, texts)
 
 
-def test_hot_table(spark, docs, monkeypatch):
-    """Exact copies, a large group of near copies, one passage that is most of many texts yet does not link them; several rounds."""
-    monkeypatch.setattr(ngram_join, "DEAR", 0)
+def test_hot_table(spark, docs):
+    """Exact copies, a large group of near copies, one passage that is most of many texts yet does not link them."""
     rng = random.Random(9)
     passage = " ".join(f"p{i}" for i in range(60))
     texts = ["copied text of more than five words here"] * 60
@@ -227,6 +228,21 @@ def test_revisits(spark):
     assert {r.record_id: r.body for r in revisits.attach(revisits.resolve_revisits(table), bodies).collect()}[2] == "page"
 
 
+def test_revisits_with_any_column_names(spark):
+    rows = [(1, "http://a.com/x", 1, "response", {"etag": '"1"'}), (2, "https://www.a.com/x/", 2, "revisit", {"etag": '"1"'}), (3, "https://m.a.com/x", 3, "revisit", {"etag": '"1"'}), (4, "http://a.com/x?ref=1", 3, "revisit", None)]
+    table, names = spark.createDataFrame(rows, REC), ("_span", "_near", "_full", "_stored", "_newer", "span", "near", "full", "stored", "newer", "row", "canon", "target", "before", "latest", "a.b", "body")
+    for n in names:
+        table = table.withColumn(n, F.lit(7))
+    out = revisits.resolve_revisits(table)
+    assert out.columns == [*table.columns, *revisits.ADDED]
+    got = {r.record_id: r for r in out.collect()}
+    assert {i: (r.target_id, r.status) for i, r in got.items()} == {1: (None, "response"), 2: (1, "resolved"), 3: (None, "no target"), 4: (None, "no target")}
+    assert all(r[n] == 7 for r in got.values() for n in names)
+    bodies = spark.createDataFrame([(1, "page")], "record_id long, body string")
+    assert {r.record_id: r.body for r in revisits.attach(out, bodies).collect()} == {1: None, 2: "page", 3: None, 4: None}
+    assert revisits.resolve_revisits(table.limit(0)).count() == 0
+
+
 def test_many_captures_of_one_url(spark):
     rng = random.Random(6)
     rows = [(i, "http://h/x", rng.randrange(6000), rng.choice(["response", "revisit"]), {"etag": '"1"'}) for i in range(800)]
