@@ -11,8 +11,8 @@ many tasks: latest response within (URL, span of time), then the latest over the
 
 Defined cases: a record with a null or empty URL, or no time, resolves to nothing ('no target'); records at one time
 are ordered by record_id; repeated rows resolve alike; a revisit before any response has 'no target', one with
-other validators is a 'mismatch', one without any validator 'no validator'; other columns pass through untouched
-under their names, which may not clash with the added ones (those are replaced).
+other validators is a 'mismatch', one without any validator 'no validator'; an empty table gives an empty result;
+other columns pass through untouched, whatever their names, but those with the name of an added one are replaced.
 """
 
 from __future__ import annotations
@@ -31,13 +31,13 @@ SPAN = 1024
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no 'www.' or 'm.', no default port, fragment or tracking parameters, no trailing slash; http and https are one."""
+    """Lower-case host, no 'www.', no default port, fragment or utm_ parameters, no trailing slash; http and https are one. All else tells resources apart."""
     plain = F.regexp_replace(F.trim(url), "#.*$", "")
     host = F.lower(F.regexp_extract(plain, "^[A-Za-z]+://([^/?]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, ":(80|443)$", ""), "^(www|m)\\.", "")
+    host = F.regexp_replace(F.regexp_replace(host, ":(80|443)$", ""), "^www\\.", "")
     rest = F.regexp_replace(plain, "^[A-Za-z]+://[^/?]*", "")
     path = F.regexp_replace(F.regexp_replace(rest, "\\?.*$", ""), "/+$", "")
-    query = F.regexp_replace(F.regexp_extract(rest, "\\?(.*)$", 1), "(^|&)(utm_[a-z]+|ref)=[^&]*", "")
+    query = F.regexp_replace(F.regexp_extract(rest, "\\?(.*)$", 1), "(^|&)utm_[a-z]+=[^&]*", "")
     query = F.regexp_replace(query, "^&", "")
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
@@ -51,46 +51,55 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED,
 
     Bodies need not move: leave them out of records and fetch them by target_id afterwards (attach).
     """
-    rows = records.drop(*ADDED).withColumn("canonical_url", canonical_url(F.col("url")))
-    joinable = F.coalesce(F.col("canonical_url") != "", F.lit(False)) & F.col("at").isNotNull() & F.col("record_id").isNotNull()
-    is_full = F.coalesce(F.col("kind") == "response", F.lit(False))
-    known = rows.filter(joinable).withColumn("_span", F.floor(F.col("at") / span)).withColumn("_full", F.when(is_full, F.struct("at", "record_id")))
-    inside = Window.partitionBy("canonical_url", "_span").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = known.withColumn("_near", F.last("_full", ignorenulls=True).over(inside))
+    # the caller's columns travel in one struct, so that no working column can have the name of one
+    kept = [c for c in records.columns if c.lower() not in ADDED]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept])
+    rows = records.select(row.alias("row"), canonical_url(F.col("url")).alias("canon"))
+    at, record_id = F.col("row.at"), F.col("row.record_id")
+    joinable = F.coalesce(F.col("canon") != "", F.lit(False)) & at.isNotNull() & record_id.isNotNull()
+    is_full = F.coalesce(F.col("row.kind") == "response", F.lit(False))
+    known = rows.filter(joinable).select("row", "canon", F.floor(at / span).alias("span"), F.when(is_full, F.struct(at.alias("at"), record_id.alias("id"))).alias("full"))
+    inside = Window.partitionBy("canon", "span").orderBy("row.at", "row.record_id").rowsBetween(Window.unboundedPreceding, -1)
+    near = known.withColumn("near", F.last("full", ignorenulls=True).over(inside))
     # one row a span: the last response of the spans before
-    spans = known.groupBy("canonical_url", "_span").agg(F.max("_full").alias("_last"))
-    before = Window.partitionBy("canonical_url").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select("canonical_url", "_span", F.last("_last", ignorenulls=True).over(before).alias("_before"))
-    found = near.join(spans, ["canonical_url", "_span"]).withColumn("target_id", F.when(F.col("kind") == "revisit", F.coalesce("_near", "_before")["record_id"]))
-    found = found.drop("_span", "_full", "_near", "_before").unionByName(rows.filter(~joinable).withColumn("target_id", F.lit(None).cast(rows.schema["record_id"].dataType)))
-    full = rows.filter(joinable & is_full).groupBy(F.col("record_id").alias("target_id")).agg(F.first("headers").alias("_stored"))
+    spans = known.groupBy("canon", "span").agg(F.max("full").alias("latest"))
+    earlier = Window.partitionBy("canon").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("canon", "span", F.last("latest", ignorenulls=True).over(earlier).alias("before"))
+    found = near.join(spans, ["canon", "span"]).select("row", "canon", F.when(F.col("row.kind") == "revisit", F.coalesce("near", "before")["id"]).alias("target"))
+    found = found.unionByName(rows.filter(~joinable).withColumn("target", F.lit(None).cast(records.schema["record_id"].dataType)))
+    full = rows.filter(joinable & is_full).groupBy(record_id.alias("target")).agg(F.first("row.headers").alias("stored"))
     # rows without a target would all meet under one null key
-    out = found.filter("target_id is not null").join(full, "target_id", "left")
-    out = out.unionByName(found.filter("target_id is null"), allowMissingColumns=True)
-    own, stored = bare_tag(F.col("headers")), bare_tag(F.col("_stored"))
-    dates = F.col("headers")["last-modified"], F.col("_stored")["last-modified"]
-    tags = own.isNotNull() & stored.isNotNull()
+    out = found.filter("target is not null").join(full, "target", "left")
+    out = out.unionByName(found.filter("target is null"), allowMissingColumns=True)
+    headers, stored, kind = F.col("row.headers"), F.col("stored"), F.col("row.kind")
+    own_tag, stored_tag = bare_tag(headers), bare_tag(stored)
+    dates = headers["last-modified"], stored["last-modified"]
+    tags = own_tag.isNotNull() & stored_tag.isNotNull()
     both_dates = dates[0].isNotNull() & dates[1].isNotNull()
-    agrees = F.when(tags, own == stored).when(both_dates, dates[0] == dates[1])
+    agrees = F.when(tags, own_tag == stored_tag).when(both_dates, dates[0] == dates[1])
     status = (
-        F.when(F.col("kind") == "response", "response")
-        .when(F.coalesce(F.col("kind") != "revisit", F.lit(True)), "other")
-        .when(F.col("target_id").isNull(), "no target")
+        F.when(kind == "response", "response")
+        .when(F.coalesce(kind != "revisit", F.lit(True)), "other")
+        .when(F.col("target").isNull(), "no target")
         .when(agrees.isNull(), "no validator")
         .when(agrees, "resolved")
         .otherwise("mismatch")
     )
-    newer = F.map_filter("headers", lambda k, v: k.isin(*permitted))
-    kept = F.map_filter("_stored", lambda k, v: ~F.coalesce(F.array_contains(F.map_keys("_newer"), k), F.lit(False)))
-    out = out.withColumn("status", status).withColumn("_newer", newer)
-    out = out.withColumn("merged_headers", F.when(F.col("status") == "resolved", F.map_concat(kept, "_newer")))
-    return out.select(*[c for c in rows.columns if c != "canonical_url"], *ADDED)
+    out = out.withColumn("newer", F.map_filter(headers, lambda k, v: k.isin(*permitted))).withColumn("status", status)
+    older = F.map_filter(stored, lambda k, v: ~F.coalesce(F.array_contains(F.map_keys("newer"), k), F.lit(False)))
+    out = out.select("row", "canon", "target", "status", F.when(F.col("status") == "resolved", F.map_concat(older, "newer")).alias("merged"))
+    added = [F.col(c).alias(name) for c, name in zip(("canon", "target", "status", "merged"), ADDED, strict=True)]
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], *added)
 
 
 def attach(resolved: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Adds the stored body (column body of bodies, by record_id) to each resolved revisit; others get null."""
-    wanted = resolved.withColumn("_id", F.when(F.col("status") == "resolved", F.col("target_id")))
-    return wanted.join(bodies.groupBy(F.col("record_id").alias("_id")).agg(F.first("body").alias("body")), "_id", "left").drop("_id")
+    """Adds the stored body (column body of bodies, by record_id) to each resolved revisit; others get null. A column body of resolved is replaced."""
+    kept = [c for c in resolved.columns if c.lower() != "body"]
+    rows = resolved.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.when(F.col("status") == "resolved", F.col("target_id")).alias("target"))
+    full = bodies.groupBy(F.col("record_id").alias("target")).agg(F.first("body").alias("body"))
+    # rows that want no body would all meet under one null key
+    met = rows.filter("target is not null").join(full, "target", "left").select("row", "body")
+    return met.unionByName(rows.filter("target is null").select("row"), allowMissingColumns=True).select(*[F.col("row")[c].alias(c) for c in kept], "body")
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -132,11 +141,11 @@ WITH base AS (
          CASE WHEN page_id % 13 = 0 THEN NULL ELSE day END, '0', 'in ' || (page_id % 30) FROM base
 ), plain AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u FROM rec
 ), parts AS (
-  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '') AS host,
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
          regexp_replace(u, '^[A-Za-z]+://[^/?]*', '') AS rest FROM plain
 ), canon AS (
   SELECT *, regexp_replace(regexp_replace(rest, '\?.*$', ''), '/+$', '') AS path,
-         regexp_replace(regexp_replace(regexp_extract(rest, '\?(.*)$', 1), '(^|&)(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', '') AS query FROM parts
+         regexp_replace(regexp_replace(regexp_extract(rest, '\?(.*)$', 1), '(^|&)utm_[a-z]+=[^&]*', '', 'g'), '^&', '') AS query FROM parts
 ), named AS (SELECT *, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM canon
 ), asof_ AS (
   SELECT *, CASE WHEN kind = 'revisit' THEN last_value(CASE WHEN kind = 'response' THEN record_id END IGNORE NULLS) OVER (
