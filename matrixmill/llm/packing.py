@@ -6,7 +6,8 @@ first; then a bin's smallest piece is replaced by the two unpacked pieces that f
 where they fill it better. A bin shape is repeated while its lengths last, so the plan has a few thousand lines
 for any number of documents. Pieces find their place by rank within their length.
 
-Defined cases: a null or empty text is the end token alone; repeated rows are packed each; texts of any length are
+Defined cases: a null or empty text is the end token alone; the literal text of an added token becomes that token, as
+the tokenizer has it by default; repeated rows are packed each; texts of any length are
 cut into pieces of `capacity`; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,7 +31,8 @@ END_ID = 1
 #: rows that one task ranks, about
 RANKED_TOGETHER = 200_000
 #: No token of the vocabulary spans ASCII white space, nor the place between a letter or digit and one of these marks,
-#: and its text is lower-cased first; so the chunks between such places can be looked up whole.
+#: and its text is lower-cased first; so the chunks between such places can be looked up whole. Only the literal texts of
+#: added tokens come first: they are found in the text as it stands, and part it.
 cut_words = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])").sub
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -44,8 +46,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task; its threads would also keep memory
         tokenizer = tokenizers.Tokenizer.from_str(spec)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = True  # a chunk that only looks like an added token after lower-casing is none
+        added = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        part = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")").split if added else lambda b: [b]
         memo = worker_memo(f"bpe:{tokenizer_path}", 400_000)
+        # under keys that no chunk can have
+        memo.update({b" " + t: np.array([i], "<u4").tobytes() for t, i in added.items()})
+
+        def cut_text(t: str | None) -> list[bytes]:
+            out: list[bytes] = []
+            for k, b in enumerate(part((t or "").encode())):
+                out += [b" " + b] if k % 2 else cut_words(b" ", b.lower()).split()
+            return out
 
         def encoded(chunks: list[bytes]) -> list[bytes]:
             found = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
@@ -53,7 +65,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
         def each(rows: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids)}
-            chunks = [cut_words(b" ", (t or "").encode().lower()).split() for t in rows["text"]]
+            chunks = [cut_text(t) for t in rows["text"]]
             new = memo.missing(set().union(*chunks))
             for i in range(0, len(new), 5000):
                 memo.update(zip(new[i : i + 5000], encoded(new[i : i + 5000]), strict=True))

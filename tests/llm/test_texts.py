@@ -84,8 +84,8 @@ def test_compression_verdicts(spark, docs):
 def test_packing_round_trip(spark, docs, odd):
     rng = random.Random(3)
     texts = odd + [" ".join(rng.choices(["tree", "House,", "été", "x1"], k=rng.randint(0, 400))) for _ in range(60)]
-    own = tokenizers.Tokenizer.from_file(WORDS)
-    own.encode_special_tokens = True
+    texts += ["hi <|endoftext|> there", "<|startoftext|>", "a<|endoftext|><|endoftext|>B", "no <|ENDOFTEXT|> nor <|endoftext|", "<|Endoftext|>x <|endoftext|>"]
+    own = tokenizers.Tokenizer.from_file(WORDS)  # at its defaults
     out = packing.best_two_fit(docs(*texts), WORDS, capacity=512, with_ids=True).collect()
     pieces = {}
     for r in out:
@@ -126,6 +126,37 @@ def test_plan_covers_every_count():
             assert all(a + n == b for (a, n), (b, _) in zip(v, v[1:])) and v[0][0] == 0 and sum(v[-1]) <= 100
 
 
+def plain_best_two_fit(lengths, capacity):
+    """One document at a time: fill greedily with the longest that fits, then trade the smallest for the tightest two."""
+    left, bins = sorted(lengths, reverse=True), 0
+    while left:
+        bin_, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                left.remove(x)
+                bin_.append(x)
+                gap -= x
+        room = gap + bin_[-1]
+        pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if bin_[-1] < a + b <= room]
+        if gap and pairs:
+            _, a, b = max(pairs)
+            left.remove(a)
+            left.remove(b)
+            left = sorted([*left, bin_[-1]], reverse=True)
+        bins += 1
+    return bins
+
+
+def test_as_few_bins_as_one_at_a_time():
+    rng = np.random.default_rng(12)
+    for low, high in ((1, 101), (20, 70), (30, 45), (51, 101)):
+        for _ in range(4):
+            lengths = rng.integers(low, high, 120)
+            lines = packing.plan(np.bincount(lengths, minlength=101), 100)
+            used = {x.first_bin + (r - x.rank_from) // x.per_bin for x in lines.itertuples() for r in range(x.rank_from, x.rank_to)}
+            assert len(used) <= plain_best_two_fit(lengths.tolist(), 100)
+
+
 def test_pack_of_nothing(spark, docs):
     assert packing.best_two_fit(docs("x").limit(0), WORDS).count() == 0
 
