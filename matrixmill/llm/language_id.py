@@ -1,55 +1,62 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time. A text, with A-Z lower-cased, is read as byte sequences:
-its words, cut before marks too, with one blank on either side; words of over SPAN bytes in pieces. Two gated recurrent layers read each sequence, one from
-either end; every byte position gets a label distribution from both states; the document's probabilities are the
-softmax of the mean of its positions' log-probabilities, scaled by the square root of their number up to FOCUS.
-All positions of the whole text count. Equal words have equal positions, so each distinct word of a slice is run
-through the network once and weighs as often as it occurs.
-
-Defined cases: a null text or one without a letter is 'und' with score 0; repeated rows are judged each alone; with
-nothing to learn from, every text is 'und'; other columns are ignored.
+The network is trained in numpy by backpropagation through time. It reads the running text, bytes with A-Z lower-cased,
+across word bounds: spans of SPAN bytes with CONTEXT more on either side, which only bring the states up to date, so that
+every position is labelled once with its neighbours in view. Two gated recurrent layers read each span, one from either
+end; every byte position gets a label distribution from both states; the document's probabilities are the softmax of
+the mean of its positions' log-probabilities, scaled by the square root of their number up to FOCUS. All positions of
+the whole text count.
+
+Defined cases: a null text or one without a letter is 'und' with score 0; repeated rows are judged each alone, ties of
+probability go to the first language by name; with nothing to learn from, as in an empty table, every text is 'und';
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from .base import held_out, id_mod, map_texts, read, worker_memo
-
-HIDDEN, EMBED, SPAN, FOCUS = 8, 8, 32, 64
-#: sequences that are scored at once
-TOGETHER = 768
-#: bound of the training sample: documents of each language, characters of a document, distinct words of each language
-PER_LANG, MAX_CHARS, WORDS_PER_LANG = 150, 20_000, 3000
-EPOCHS, BATCH, RATE = 6, 256, 0.015
+from pyspark.sql.window import Window
+
+from .base import held_out, id_mod, map_texts, read, release_memos
+
+HIDDEN, EMBED, SPAN, CONTEXT, FOCUS = 8, 8, 224, 16, 64
+#: spans that are scored at once
+TOGETHER = 1024
+#: bound of the training sample: documents of each language, characters of a document
+PER_LANG, MAX_CHARS = 150, 20_000
+#: what is learned from them: pieces of each language, bytes of a piece
+PIECES, PIECE = 1500, 64
+EPOCHS, BATCH, RATE = 5, 128, 0.015
 SCHEMA = "doc_id long, lang_pred string, score double"
 LETTER = regex.compile(r"\p{L}")
-cut_marks = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])").sub
 
 
-def byte_words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) and cut at blanks and before marks."""
-    return cut_marks(b" ", (text or "").encode().lower()).split()
+def text_bytes(text: str | None) -> bytes:
+    return (text or "").encode().lower()  # bytes: only A-Z change
 
 
-def sequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (positions, sequences), lengths, and the word of each sequence. Words longer than SPAN become several."""
-    pieces, owner = [], []
-    for i, w in enumerate(words):
-        w = b" " + w + b" "
-        for k in range(0, len(w), SPAN):
-            pieces.append(w[k : k + SPAN])
+def spans(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of at most SPAN bytes with their context; of each the text it is from, and the first and the end of the positions to label."""
+    pieces, owner, first, end = [], [], [], []
+    for i, t in enumerate(texts):
+        for k in range(0, len(t), SPAN):
+            start = max(0, k - CONTEXT)
+            pieces.append(t[start : k + SPAN + CONTEXT])
             owner.append(i)
+            first.append(k - start)
+            end.append(min(k + SPAN, len(t)) - start)
+    return pieces, np.array(owner, np.int64), np.array(first, np.int64), np.array(end, np.int64)
+
+
+def table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (positions, pieces), zeros behind the end of a piece, and lengths."""
     length = np.array([len(p) for p in pieces], np.int64)
-    x = np.zeros((len(pieces), SPAN), np.uint8)
-    x[np.arange(SPAN) < length[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
-    return x[:, : length.max(initial=1)].T.copy(), length, np.array(owner, np.int64)
+    x = np.zeros((len(pieces), int(length.max(initial=1))), np.uint8)
+    x[np.arange(x.shape[1]) < length[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+    return x.T.copy(), length
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -142,12 +149,12 @@ class Network:
         logp = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return logp, states, kept, back, at
 
-    def fit(self, words: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> None:
-        """Adam on the mean negative log-probability of the word's language over all positions."""
+    def fit(self, pieces: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> None:
+        """Adam on the mean negative log-probability of the piece's language over all positions."""
         rng = np.random.default_rng(seed)
         params = [self.embed, self.out, self.bias, *(p for la in self.layers for p in (la.wx, la.wh, la.b))]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-        x, length, owner = sequences(words)
+        x, length = table(pieces)
         t = 0
         for epoch in range(epochs):
             order = rng.permutation(len(length))
@@ -155,7 +162,7 @@ class Network:
                 some = order[k : k + BATCH]
                 t += 1
                 rate = RATE * (1 - epoch / epochs)
-                for p, g, (m, v) in zip(params, self.gradients(x[: length[some].max(), some], length[some], y[owner[some]]), moments, strict=True):
+                for p, g, (m, v) in zip(params, self.gradients(x[: length[some].max(), some], length[some], y[some]), moments, strict=True):
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
                     p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -178,34 +185,44 @@ class Network:
             grads += [dgates @ self.embed.T, dwh, dgates.sum(axis=1, keepdims=True)]
         return [dembed, dout, dbias, *grads]
 
-    def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """(words, 1 + languages): number of positions and their summed log-probabilities."""
-        out = np.zeros((len(words), 1 + len(self.langs)), np.float32)
-        if not words:
-            return out
-        x, length, owner = sequences(words)
-        by_length = np.argsort(length, kind="stable")
+    def text_scores(self, texts: list[bytes]) -> np.ndarray:
+        """(texts, languages): summed log-probabilities of all positions."""
+        out = np.zeros((len(texts), len(self.langs)))
+        pieces, owner, first, end = spans(texts)
+        size = np.array([len(p) for p in pieces], np.int64)
+        by_size = np.argsort(size, kind="stable")
         gates, halves = self.gates(), (self.out[:, :HIDDEN], self.out[:, HIDDEN:])
-        starts = np.flatnonzero(np.diff(length[by_length], prepend=-1)).tolist()
-        for a, b in zip(starts, [*starts[1:], len(length)], strict=True):
-            n = int(length[by_length[a]])
-            for k in range(a, b, TOGETHER):  # small arrays stay in the cache and off the heap's slow path
-                some = by_length[k : min(b, k + TOGETHER)]
-                steps = list(x[:n, some])
-                fwd = self.layers[0].states(gates[0], steps)
-                bwd = self.layers[1].states(gates[1], steps[::-1])[::-1]
-                total = np.zeros((len(self.langs), len(some)), np.float32)
-                for f, g in zip(fwd, bwd, strict=True):
-                    z = halves[0] @ f + halves[1] @ g + self.bias
-                    z -= z.max(axis=0)
-                    total += z - np.log(np.exp(z).sum(axis=0))
-                np.add.at(out, owner[some], np.column_stack([np.full(len(some), n), total.T]))
+        for k in range(0, len(pieces), TOGETHER):  # small arrays stay in the cache and off the heap's slow path
+            some = by_size[k : k + TOGETHER]
+            x, length = table([pieces[i] for i in some])
+            fwd = self.layers[0].states(gates[0], list(x))
+            # from the other end: pieces of one length or nearly so stand together, each set flush with the end
+            shift = len(x) - length
+            back = np.zeros_like(x)
+            live = np.arange(len(x))[:, None] < length
+            back[(np.arange(len(x))[:, None] + shift)[live], np.nonzero(live)[1]] = x[live]
+            ends = shift.any()
+            bwd = self.layers[1].states(gates[1], list((back if ends else x)[::-1]))[::-1]
+            if ends:  # back from flush with the end to flush with the start
+                stacked = np.stack(bwd)
+                at = np.minimum(np.arange(len(x))[:, None] + shift, len(x) - 1)
+                bwd = list(np.take_along_axis(stacked, at[:, None, :], 0))
+            total = np.zeros((len(self.langs), len(some)), np.float32)
+            a, b = first[some], end[some]
+            for t, (f, g) in enumerate(zip(fwd, bwd, strict=True)):
+                z = halves[0] @ f
+                z += halves[1] @ g
+                z += self.bias
+                z -= z.max(axis=0)
+                z -= np.log(np.exp(z).sum(axis=0))
+                total += z * ((a <= t) & (t < b))
+            np.add.at(out, owner[some], total.T)
         return out
 
 
-def training_words(docs: DataFrame, trainable: Column) -> tuple[list[str], list[bytes], np.ndarray]:
-    """Languages, and words with the language of their document. At most PER_LANG documents of each language are read, by hash of doc_id."""
-    known = docs.filter(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+def training_pieces(docs: DataFrame, trainable: Column) -> tuple[list[str], list[bytes], np.ndarray]:
+    """Languages, and pieces of text with the language of their document. PER_LANG documents of each language are read at most, by hash of doc_id."""
+    known = docs.filter(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     langs = sorted(counts)
     if not langs:
@@ -213,57 +230,41 @@ def training_words(docs: DataFrame, trainable: Column) -> tuple[list[str], list[
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * PER_LANG / n))])
     h = F.xxhash64(F.col("doc_id").cast("string"))
     near = known.filter((F.pmod(h, F.lit(1 << 20)) / (1 << 20) < share[F.col("lang")]) & (F.length("text") <= MAX_CHARS))
-    rows = near.orderBy(h, "doc_id").limit(2 * PER_LANG * len(langs)).select("doc_id", "lang", "text").collect()
-    rng, words, y = np.random.default_rng(1), [], []
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id", F.xxhash64("text")))
+    rows = near.withColumn("nth", nth).filter(F.col("nth") <= PER_LANG).collect()
+    rng, pieces, y = np.random.default_rng(1), [], []
     for i, lang in enumerate(langs):
-        found = sorted({w for r in rows if r.lang == lang for w in byte_words(r.text)})
-        some = rng.permutation(len(found))[:WORDS_PER_LANG]
-        words += [found[j] for j in some]
+        texts = [text_bytes(r.text) for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.nth)]
+        found = sorted({t[k : k + PIECE] for t in texts for k in range(0, len(t), PIECE)} - {b""})
+        some = rng.permutation(len(found))[:PIECES]
+        pieces += [found[j] for j in some]
         y += [i] * len(some)
-    return langs, words, np.array(y, int)
+    return langs, pieces, np.array(y, int)
 
 
 def fit(docs: DataFrame, trainable: Column | None = None) -> Network:
-    langs, words, y = training_words(docs, id_mod(F.col("doc_id"), 3) != 1 if trainable is None else trainable)
+    langs, pieces, y = training_pieces(docs, id_mod(F.col("doc_id"), 3) != 1 if trainable is None else trainable)
     network = Network(langs or ["und"])
-    if words:
-        network.fit(words, y)
+    if pieces:
+        network.fit(pieces, y)
     return network
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:
     """Predicted language and its probability for each document."""
-    name = hash(network.out.tobytes() + network.embed.tobytes())
 
     def make():
-        memo = worker_memo(f"language:{name}", 250_000)
-        if not hasattr(memo, "scores"):
-            memo.scores = np.zeros((0, 1 + len(network.langs)), np.float32)  # the memo holds the words' rows
-
-        def learn(new: list[bytes]) -> None:
-            held, passing = len(memo), len(memo.passing)
-            at = np.concatenate([held + np.arange(len(new) - passing), memo.most + np.arange(passing)]).astype(np.int64)
-            if len(at) and at.max() >= len(memo.scores):
-                memo.scores = np.concatenate([memo.scores, np.zeros((int(at.max()) + 1 - len(memo.scores), memo.scores.shape[1]), np.float32)])
-            for k in range(0, len(new), 8192):
-                memo.scores[at[k : k + 8192]] = network.word_scores(new[k : k + 8192])
-            memo.update(zip(new, at.tolist(), strict=True))
+        release_memos()
 
         def each(rows: dict) -> dict:
-            docs = [byte_words(t) for t in rows["text"]]
-            learn(memo.missing(set().union(*docs)))
-            out: dict[str, list] = {"doc_id": rows["doc_id"], "lang_pred": [], "score": []}
-            for text, words in zip(rows["text"], docs, strict=True):
-                if not text or not LETTER.search(text) or network.langs == ["und"]:
-                    out["lang_pred"].append("und")
-                    out["score"].append(0.0)
-                    continue
-                total = memo.scores[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-                pooled = total[1:] / total[0] * np.sqrt(min(total[0], FOCUS))
-                p = np.exp(pooled - pooled.max())
-                out["lang_pred"].append(network.langs[int(p.argmax())])
-                out["score"].append(float(p.max() / p.sum()))
-            return out
+            lettered = [bool(t and LETTER.search(t)) and network.langs != ["und"] for t in rows["text"]]
+            texts = [text_bytes(t) for t, x in zip(rows["text"], lettered, strict=True) if x]
+            n = np.array([len(t) for t in texts], float)[:, None]
+            pooled = network.text_scores(texts) / n * np.sqrt(np.minimum(n, FOCUS))
+            p = np.exp(pooled - pooled.max(axis=1, keepdims=True))
+            found = iter(zip(p.argmax(axis=1).tolist(), (p.max(axis=1) / p.sum(axis=1)).tolist(), strict=True))
+            got = [next(found) if x else (-1, 0.0) for x in lettered]
+            return {"doc_id": rows["doc_id"], "lang_pred": [network.langs[i] if i >= 0 else "und" for i, _ in got], "score": [q for _, q in got]}
 
         return each
 

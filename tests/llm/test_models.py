@@ -77,7 +77,7 @@ def test_pair_sum_identity():
 
 def test_network_gradients():
     net, y = language_id.Network(["a", "b", "c"]), np.array([0, 1, 2])
-    x, length, _ = language_id.sequences([b"hello", b"a", b"worlds"])
+    x, length = language_id.table([b"hello", b"a", b"worlds"])
 
     def loss():
         logp = net.forward(x, length)[0]
@@ -96,14 +96,30 @@ def test_network_gradients():
         assert (up - down) / 2e-2 == pytest.approx(float(g[at]), rel=0.05, abs=2e-4)
 
 
-def test_scoring_in_place_equals_forward():
-    net, words = language_id.Network(["a", "b"]), [b"one", b"three", b"x" * 75, b"two"]
-    x, length, owner = language_id.sequences(words)
-    logp = net.forward(x, length)[0]
-    live = np.arange(len(x))[:, None] < length
-    want = np.zeros((4, 3))
-    np.add.at(want, owner, np.column_stack([length, np.einsum("tlb,tb->bl", logp, live)]))
-    assert np.allclose(net.word_scores(words), want, rtol=1e-3, atol=1e-3)
+def test_scoring_in_place_equals_forward(monkeypatch):
+    """Every position is labelled once, from its span with context; with wide context that is the whole text."""
+    net, texts = language_id.Network(["a", "b"]), [b"one two", b"", b"three", b"running text " * 60, b"x"]
+
+    def whole(t):
+        logp = net.forward(*language_id.table([t]))[0]
+        return logp[:, :, 0].sum(axis=0)
+
+    pieces, owner, first, end = language_id.spans(texts)
+    assert np.bincount(owner, end - first, len(texts)).tolist() == [len(t) for t in texts]
+    want = np.zeros((len(texts), 2))
+    for p, o, a, b in zip(pieces, owner, first, end):
+        want[o] += net.forward(*language_id.table([p]))[0][a:b, :, 0].sum(axis=0)
+    assert np.allclose(net.text_scores(texts), want, rtol=1e-3, atol=1e-3)
+    assert np.allclose(net.text_scores([texts[3]])[0], whole(texts[3]), rtol=1e-2)
+    monkeypatch.setattr(language_id, "CONTEXT", 1000)
+    assert np.allclose(net.text_scores(texts), [whole(t) if t else [0, 0] for t in texts], rtol=1e-3, atol=1e-3)
+
+
+def test_positions_see_their_neighbours():
+    """The states cross word bounds: the same word is labelled otherwise after another one."""
+    net = language_id.Network(["a", "b"])
+    alone, after = (net.forward(*language_id.table([t]))[0][-3:, :, 0] for t in (b"one", b"qqq one"))
+    assert not np.allclose(alone, after, atol=1e-3)
 
 
 def test_language_is_learned(spark):
