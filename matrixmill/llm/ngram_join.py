@@ -13,14 +13,14 @@ each knows how many of its shingles before it the other lacks, which leaves room
 256-bit parity sketch: the bits in which two sketches differ are at most the shingles in which the sets differ.
 
 Documents with equal sets are one class, found by a 128-bit digest, and only classes are compared. First, lists of up
-to SMALL members are compared whole, and each member of a longer one with two heads, of which it takes the first of all
-its lists; exact verification makes links, links make components. Last, in each longer list that then holds several
+to SMALL members are compared whole, and each member of a longer one with the heads of its lists, of which it takes two
+that it may link with; exact verification makes links, links make components. Last, in each longer list that then holds several
 components, what is outside its largest component is compared with all that is in another component and not ruled out;
 a pair that stands in an earlier list too, as the signatures before tell, is left to that one. So a group of near copies
 costs about as many comparisons as it has members, and no link between two components is lost.
 
 The order is by a table of CELLS counters over all documents, then by hash. What a counter holds above the mean and its
-noise tells the class. The table, and the filters of candidates, have a fixed size, so they can be sent to every task.
+noise tells the class. The table, and the filters of documents to verify, have a fixed size, so they can be sent to every task.
 
 Defined cases: null and empty texts, and texts without a word, have no shingles and are components of their own;
 a row without an id gets the component of the documents with the very same set, if any, else none;
@@ -32,12 +32,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,9 +50,8 @@ CLASSES = (32, 1024, 32768)
 #: lists of up to so many members are compared whole by their first and last one
 SMALL = 3
 #: signatures before each that tell whether a pair met in an earlier list
-BEFORE = 4
+BEFORE = 16
 SKETCH = ("s0", "s1", "s2", "s3")
-ENTRY = ("d1", "n", "room", *SKETCH)
 #: bytes that are hashed at once, about; longer words than LONG are hashed one by one
 PIECE, LONG = 1 << 19, 1 << 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -298,32 +295,18 @@ def flagged(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (words[(x & ((1 << FILTER_BITS) - 1)) >> 6] >> (x & 63)) & 1 == 1
 
 
-def only_shared(sigs: DataFrame, shared: np.ndarray, before: int = 0) -> DataFrame:
-    """(sig, d1, n, room, sketch, before) of the signatures that the filter lets through; the rest, which stand alone, need not move. before: so many of the set's signatures that came through ahead of it."""
+def differ_little(x: str, y: str) -> Column:
+    """Whether the sketches of two sides leave a link possible; columns n_x, s0_x, ..."""
+    bits = sum((F.bit_count(F.col(f"{k}_{x}").bitwiseXOR(F.col(f"{k}_{y}"))) for k in SKETCH), F.lit(0))
+    return 9 * bits <= F.col(f"n_{x}") + F.col(f"n_{y}")
 
-    def run(batches):
-        for b in batches:
-            lists = b.column(len(ENTRY) - 1)
-            flat = lists.flatten().to_numpy()
-            keep = flagged(flat, shared)
-            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))[keep]
-            cols = {"sig": flat[keep], "room": b.column(len(ENTRY)).flatten().to_numpy()[keep]}
-            cols |= {k: b.column(i).to_numpy()[owner] for i, k in enumerate(("d1", "n", *SKETCH))}
-            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            size = np.minimum(place, before)
-            start = np.repeat(np.arange(len(owner)) - size, size)
-            ahead = cols["sig"][start + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-            cols["before"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ahead, pa.int64()))
-            yield pa.RecordBatch.from_pydict({k: cols[k] for k in ("sig", *ENTRY, "before")})
 
-    out = sigs.select("d1", "n", *SKETCH, "sigs", "rooms").mapInArrow(run, f"sig long, {', '.join(f'{k} long' for k in ENTRY)}, before array<long>")
-    return out if before else out.drop("before")
+def room_enough() -> Column:
+    return (4 * F.col("n_x") <= F.col("room_y")) & (4 * F.col("n_y") <= F.col("room_x"))
 
 
-def may_link(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
-    """Whether sizes, positions and sketches leave a link possible between two entries of one list."""
-    differ = sum((F.bit_count(x(k).bitwiseXOR(y(k))) for k in SKETCH), F.lit(0))
-    return (4 * x("n") <= y("room")) & (4 * y("n") <= x("room")) & (9 * differ <= x("n") + y("n"))
+def side(info: DataFrame, x: str) -> DataFrame:
+    return info.select(F.col("d1").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in ("n", *SKETCH)))
 
 
 def shingle_arrays(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -346,18 +329,20 @@ def shingle_arrays(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
 
         return each
 
-    found = map_texts(docs.select(F.xxhash64("doc_id").alias("h"), "text"), make, "d1 long, d2 long, n long, shingles array<long>", ("h", "text"))
-    return found.groupBy("d1", "d2", "n").agg(F.first("shingles").alias("shingles"))
+    return map_texts(docs.select(F.xxhash64("doc_id").alias("h"), "text"), make, "d1 long, d2 long, n long, shingles array<long>", ("h", "text"))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     """Of pairs (a, b) of d1 values the links, as (u, v) of the classes' representatives."""
     reps = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct().join(classes, "d1").select(F.xxhash64("rep").alias("h"))
-    arrays = tables.keep(shingle_arrays(docs, flags(reps, "h")).join(classes, ["d1", "d2"]))
-    left = arrays.select(F.col("d1").alias("a"), F.col("rep").alias("u"), F.col("n").alias("a_n"), F.col("shingles").alias("a_set"))
-    right = arrays.select(F.col("d1").alias("b"), F.col("rep").alias("v"), F.col("n").alias("b_n"), F.col("shingles").alias("b_set"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")).cast("long"))
-    links = tables.keep(both.filter(100 * F.col("common") >= 80 * (F.col("a_n") + F.col("b_n") - F.col("common"))).select("u", "v"))
+    arrays = tables.keep(shingle_arrays(docs, flags(reps, "h")))
+    left = arrays.select(F.col("d1").alias("a"), F.col("d2").alias("a2"), F.col("n").alias("a_n"), F.col("shingles").alias("a_set"))
+    right = arrays.select(F.col("d1").alias("b"), F.col("d2").alias("b2"), F.col("n").alias("b_n"), F.col("shingles").alias("b_set"))
+    sized = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("a_set", "b_set")).cast("long")
+    linked = sized.select("a", "a2", "b", "b2", (F.col("a_n") + F.col("b_n")).alias("n"), common.alias("common")).filter(180 * F.col("common") >= 80 * F.col("n")).select("a", "a2", "b", "b2").distinct()
+    ends = [classes.select(F.col("d1").alias(x), F.col("d2").alias(f"{x}2"), F.col("rep").alias(name)) for x, name in (("a", "u"), ("b", "v"))]
+    links = tables.keep(linked.join(ends[0], ["a", "a2"]).join(ends[1], ["b", "b2"]).select("u", "v"))
     tables.drop(arrays)
     return links
 
@@ -379,29 +364,43 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
             return labels.select("u", F.col("c").alias("component"))
 
 
-def heads_met(entries: DataFrame) -> DataFrame:
-    """(sig, d1, size, lo, hi) of the entries of lists with several classes: the list's length, and the d1 of its first and last class where the entry may link with them."""
-    entry = F.struct(*ENTRY)
-    tops = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min(entry).alias("x"), F.max(entry).alias("y")).filter("x.d1 <> y.d1")
-    fit = {h: (F.col("d1") != F.col(f"{h}.d1")) & may_link(F.col, lambda k, h=h: F.col(f"{h}.{k}")) for h in ("x", "y")}
-    met = entries.join(tops, "sig")
-    return met.select("sig", "d1", "size", *(F.when(fit[h], F.col(f"{h}.d1")).alias(c) for h, c in (("x", "lo"), ("y", "hi"))))
+def listed(sigs: DataFrame) -> DataFrame:
+    """(sig, d1, pos, room, size, lo, hi) of the signatures that several classes hold: the list's length, and its first and last class."""
+    each = sigs.select("d1", F.posexplode(F.arrays_zip("sigs", "rooms")).alias("pos", "x")).select("d1", "pos", F.col("x.sigs").alias("sig"), F.col("x.rooms").alias("room"))
+    tops = each.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi")
+    return each.join(tops, "sig")
 
 
-def first_pairs(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of d1 values: all of the short lists; of longer ones each class with the first of the first and the last of the last heads."""
-    short = met.filter(F.col("size") <= SMALL).select("d1", F.explode(F.array("lo", "hi")).alias("d"))
-    long = met.filter(F.col("size") > SMALL).groupBy("d1").agg(F.array(F.min("lo"), F.max("hi")).alias("d")).select("d1", F.explode("d").alias("d"))
-    return short.unionByName(long).filter("d is not null").select(F.least("d1", "d").alias("a"), F.greatest("d1", "d").alias("b")).distinct()
+def first_pairs(members: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (a, b) of d1 values that may link: all of the short lists; of longer ones each class with the first and the last of the heads it may link with."""
+    met = members.select("sig", F.col("d1").alias("x"), F.col("room").alias("room_x"), "size", F.explode(F.array("lo", "hi")).alias("y")).filter("x <> y")
+    heads = members.filter("d1 = lo or d1 = hi").groupBy("sig", F.col("d1").alias("y")).agg(F.max("room").alias("room_y"))
+    # the most room of a pair is that of the first signature it shares
+    met = met.join(heads, ["sig", "y"]).groupBy("x", "y").agg(F.max("room_x").alias("room_x"), F.max("room_y").alias("room_y"), F.min("size").alias("size"))
+    met = met.join(side(info, "x"), "x").join(side(info, "y"), "y").filter(room_enough() & differ_little("x", "y")).select("x", "y", "size")
+    long = met.filter(F.col("size") > SMALL).groupBy("x").agg(F.array_distinct(F.array(F.min("y"), F.max("y"))).alias("y")).select("x", F.explode("y").alias("y"))
+    return met.filter(F.col("size") <= SMALL).select("x", "y").unionByName(long).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def across(rest: DataFrame, largest: DataFrame) -> DataFrame:
+def still_mixed(members: DataFrame, of: DataFrame, info: DataFrame) -> DataFrame:
+    """(sig, d1, n, room, sketch, c, before) of the longer lists that hold several components; before: the set's signatures ahead of this one there, up to BEFORE."""
+    longer = members.filter(F.col("size") > SMALL).select("sig", "d1", "pos", "room")
+    mixed = longer.join(of, "d1").groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("sig")
+    # by class; equal sets that several tasks met fall together. A class has no more entries than signatures.
+    own = longer.join(mixed, "sig").groupBy("d1").agg(F.sort_array(F.collect_set(F.struct("pos", "sig", "room"))).alias("own"))
+    at = lambda i: F.greatest(F.lit(0), i - BEFORE)
+    ahead = F.transform("own", lambda e, i: F.struct(e["sig"].alias("sig"), e["room"].alias("room"), F.transform(F.slice("own", at(i) + 1, i - at(i)), lambda b: b["sig"]).alias("before")))
+    return own.join(info, "d1").join(of, "d1").select("d1", "n", *SKETCH, "c", F.explode(ahead).alias("e")).select("e.sig", "d1", "n", "e.room", *SKETCH, "c", "e.before")
+
+
+def across(rest: DataFrame) -> DataFrame:
     """Pairs (a, b) of every list: what is outside its largest component with all of other components that it may link with, where no earlier list has the pair."""
-    x = rest.join(largest, "sig").filter("c <> largest").alias("x")
-    y = rest.alias("y")
-    fit = may_link(lambda k: F.col(f"x.{k}"), lambda k: F.col(f"y.{k}")) & ~F.arrays_overlap("x.before", "y.before")
-    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & fit)
-    return met.select(F.least("x.d1", "y.d1").alias("a"), F.greatest("x.d1", "y.d1").alias("b")).distinct()
+    largest = rest.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.max(F.struct("k", "c")).alias("top")).select("sig", F.col("top.c").alias("largest"))
+    names = ("d1", "n", "room", *SKETCH, "c", "before")
+    x = rest.join(largest, "sig").filter("c <> largest").select("sig", *(F.col(k).alias(f"{k}_x") for k in names))
+    y = rest.select("sig", *(F.col(k).alias(f"{k}_y") for k in names))
+    met = x.join(y, "sig").filter((F.col("c_x") != F.col("c_y")) & room_enough() & differ_little("x", "y") & ~F.arrays_overlap("before_x", "before_y"))
+    return met.select(F.least("d1_x", "d1_y").alias("a"), F.greatest("d1_x", "d1_y").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -415,17 +414,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.filter("doc_id is not null")
     classes = tables.keep(rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class")))
     sigs = tables.keep(signatures(docs, counts))
-    shared = sigs.select("d1", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi")
-    met = tables.keep(heads_met(tables.keep(only_shared(sigs, flags(shared, "sig")))))
-    pairs = tables.keep(first_pairs(met))
+    info = tables.keep(sigs.select("d1", "n", *SKETCH).dropDuplicates(["d1"]))
+    members = tables.keep(listed(sigs))
+    tables.drop(sigs)
+    pairs = tables.keep(first_pairs(members, info))
     links = verified(pairs, classes, docs, tables)
     found = components(links, tables)
     # longer lists that still hold several components
     of = tables.keep(classes.join(found, classes.rep == found.u, "left").select("d1", F.coalesce("component", "rep").alias("c")).groupBy("d1").agg(F.min("c").alias("c")))
-    mixed = tables.keep(met.filter(F.col("size") > SMALL).select("sig", "d1").join(of, "d1").groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("sig"))
-    rest = tables.keep(only_shared(sigs, flags(mixed, "sig"), BEFORE).join(mixed, "sig").dropDuplicates(["sig", "d1"]).join(of, "d1"))
-    largest = rest.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.max(F.struct("k", "c")).alias("top")).select("sig", F.col("top.c").alias("largest"))
-    more = tables.keep(across(rest, largest).join(pairs, ["a", "b"], "left_anti"))
+    rest = tables.keep(still_mixed(members, of, info))
+    tables.drop(members)
+    more = tables.keep(across(rest).join(pairs, ["a", "b"], "left_anti"))
+    tables.drop(rest)
     if not more.isEmpty():
         found = components(links.union(verified(more, classes, docs, tables)), tables)
     ids = tables.keep(classes.join(found, classes.rep == found.u, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), "n_class"))
