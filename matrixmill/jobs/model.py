@@ -70,8 +70,9 @@ def label_clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Known biclusters to weigh: a label's vectors by the positions with the same remainder of ten. (id, row) and (id, col)."""
     e = table(spark, d, "embeddings").filter("vec_id is not null and label is not null")
     rows = e.select(F.col("label").cast("long").alias("id"), F.col("vec_id").alias("row"))
-    cols = e.select(F.col("label").cast("long").alias("id")).distinct().withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("col", (F.col("id") % 10 + 10 * F.col("col")).cast("int")).filter("col < 64")
-    return rows, cols
+    ids = rows.select("id").distinct().withColumn("r", F.col("id") % 10)
+    cols = vectors_long(spark, d).select(F.col("feature").alias("col")).distinct().withColumn("r", (F.col("col") % 10).cast("long"))
+    return rows, ids.join(cols, "r").select("id", "col")
 
 
 def price_clusters(spark: SparkSession, d: str) -> DataFrame:

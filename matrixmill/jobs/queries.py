@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from ..operators import spectral as SP
 from ..operators import stats as ST
 from ..operators import text as T
 from ..operators import tricluster as TC
+from ..operators.scratch import keep as _kept
 from ..sources import matrix as SRC
+from . import sql as Q
 from .model import DAYS, PRIORITIES, brand_priority, event_cube, expression, label_clusters, members, price_clusters, sample_contexts, samples, table, user_day, vector_cells, vectors_long
 
 QUERIES: dict = {}
@@ -66,8 +70,10 @@ def _(spark, d):
 
 @query("unp1_unpivot", f"WITH {E2} SELECT sample, feature, round(value, 6) AS value FROM x")
 def _(spark, d):
-    wide = table(spark, d, "embeddings").filter("vec_id is not null and embedding is not null and label is not null").select("vec_id", *(F.col("embedding")[i].alias(str(i)) for i in range(64)))
-    return X.unpivot(wide, ["vec_id"], [str(i) for i in range(64)]).select(F.col("vec_id").alias("sample"), F.col("pos").alias("feature"), r6("value")).filter("value is not null")
+    e = table(spark, d, "embeddings").filter("vec_id is not null and embedding is not null and label is not null")
+    n = e.agg(F.max(F.size("embedding")).alias("n")).first().n or 0
+    wide = e.select("vec_id", *(F.get("embedding", F.lit(i)).alias(str(i)) for i in range(n)))
+    return X.unpivot(wide, ["vec_id"], [str(i) for i in range(n)]).select(F.col("vec_id").alias("sample"), F.col("pos").alias("feature"), r6("value")).filter("value is not null")
 
 
 @query("unp2_first_row", "SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1")
@@ -85,10 +91,10 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.subject_of(F.concat_ws("-", "c_name", "c_mktsegment", F.lit("x"))).alias("subject"))
 
 
-@query("prj4_split_targets", "SELECT doc_id, toxic FROM labels")
+@query("prj4_split_targets", "SELECT doc_id, toxic, quality AS class, CAST(CASE WHEN quality IS NOT NULL THEN (SELECT count(DISTINCT b.quality) FROM labels b WHERE b.quality < a.quality) END AS INTEGER) AS code FROM labels a")
 def _(spark, d):
-    rest, found = X.split_targets(table(spark, d, "labels").withColumnRenamed("quality", "class"))
-    return rest.select("doc_id", "toxic") if found == "class" else rest
+    rest, targets = X.split_targets(table(spark, d, "labels").withColumnRenamed("quality", "class"), "doc_id")
+    return rest.join(targets, "doc_id")
 
 
 @query("flt1_class_filter", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
@@ -126,7 +132,7 @@ def _(spark, d):
     return X.usable_contexts(X.moments(expression(spark, d)))
 
 
-@query("flt7_submatrix", f"WITH {E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL) SELECT id, \"row\", col, round(value, 6) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10 AND col < 60")
+@query("flt7_submatrix", f"WITH {E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL) SELECT id, \"row\", col, round(value, 6) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10")
 def _(spark, d):
     rows, cols = label_clusters(spark, d)
     return vector_cells(spark, d).join(rows, "row").join(cols, ["id", "col"]).select("id", "row", "col", r6("value"))
@@ -155,10 +161,11 @@ def _(spark, d):
     return expression(spark, d).join(samples(spark, d), "subject", "left").select("feature", "context", "subject", "sex", "age", "agonal_state")
 
 
-@query("jn3_catalogue", "SELECT upper(w) AS feature, min(p_partkey) AS first_seen FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) WHERE upper(w) IN (SELECT upper(p_name) FROM part UNION SELECT upper(t) FROM (SELECT unnest(string_split(p_name, ' ')) AS t FROM part)) GROUP BY 1")
+@query("jn3_catalogue", "WITH w AS (SELECT p_partkey, p_size, upper(unnest(string_split(p_name, ' '))) AS w FROM part), c AS (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS w FROM part) SELECT w AS feature, min(p_partkey) AS first_seen FROM w WHERE w IN (SELECT w FROM c) GROUP BY 1")
 def _(spark, d):
-    parts = table(spark, d, "part").select("p_partkey", T.names(F.col("p_name")).alias("feature"))
-    return T.in_catalogue(parts, parts.select("feature"), "p_partkey")
+    part = table(spark, d, "part")
+    first_words = part.select(F.upper(F.substring_index("p_name", " ", 1)).alias("feature"))
+    return T.in_catalogue(part.select("p_partkey", T.names(F.col("p_name")).alias("feature")), first_words, "p_partkey")
 
 
 @query("jn5_context_pairs", f"WITH {E1}, {MOM} SELECT p.feature, p.context AS a, q.context AS b, p.n AS n_a, q.n AS n_b FROM m p JOIN m q ON p.feature = q.feature AND p.context < q.context")
@@ -217,7 +224,7 @@ def _(spark, d):
     return X.cube(e, DAYS, X.in_all_contexts(e, DAYS)).select("context", "subject", "feature", r6("value"))
 
 
-@query("agg9_bicluster_pattern", f"WITH {E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL) SELECT id, col, round(avg(value), 6) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10 AND col < 60 GROUP BY 1, 2")
+@query("agg9_bicluster_pattern", f"WITH {E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL) SELECT id, col, round(avg(value), 6) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10 GROUP BY 1, 2")
 def _(spark, d):
     return S.patterns(vector_cells(spark, d), *label_clusters(spark, d)).select("id", "col", r6("value"))
 
@@ -261,14 +268,14 @@ def _(spark, d):
     return e.filter("context = 0").select("subject").intersect(e.filter("context = 6").select("subject"))
 
 
-@query("set3_difference", f"WITH {E1} SELECT subject FROM e WHERE context = 0 EXCEPT SELECT subject FROM e WHERE context = 6")
+@query("set3_difference", f"WITH {E1} SELECT subject FROM e WHERE context = 0 AND feature = 'purchase' EXCEPT SELECT subject FROM e WHERE context = 6 AND feature = 'purchase'")
 def _(spark, d):
-    e = expression(spark, d)
+    e = expression(spark, d).filter("feature = 'purchase'")
     return e.filter("context = 0").select("subject").distinct().join(e.filter("context = 6").select("subject").distinct(), "subject", "left_anti")
 
 
 # tests
-@query("st1_shapiro")
+@query("st1_shapiro", f"WITH {E1}, {Q.shapiro()} SELECT feature, context, n, round(w, 6) AS w, round(p, 6) AS p FROM sw")
 def _(spark, d):
     return ST.shapiro(expression(spark, d)).select("feature", "context", "n", r6("w"), r6("p"))
 
@@ -281,7 +288,7 @@ def _(spark, d):
     return ST.t_statistics(_pairs(spark, d)[2]).select("feature", "a", "b", "df", r6("t"))
 
 
-@query("st2_t_test")
+@query("st2_t_test", f"WITH {_T} SELECT feature, a, b, df, round(t, 6) AS t, round({Q.t_two_sided('t', 'df')}, 6) AS p FROM t")
 def _(spark, d):
     return ST.t_test(_pairs(spark, d)[2]).select("feature", "a", "b", "df", r6("t"), r6("p"))
 
@@ -294,7 +301,7 @@ def _(spark, d):
     return ST.signed_ranks(ST.paired_rows(e, p)).select("feature", "a", "b", "n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"), "zeros")
 
 
-@query("st3_wilcoxon")
+@query("st3_wilcoxon", f"WITH RECURSIVE {_PAIRED}, {Q.ranks()} SELECT feature, a, b, n, round(p, 6) AS p FROM wx")
 def _(spark, d):
     e, _, p = _pairs(spark, d)
     return ST.wilcoxon(ST.paired_rows(e, p)).select("feature", "a", "b", "n", r6("p"))
@@ -305,36 +312,43 @@ def _(spark, d):
     return ST.anova(X.moments(expression(spark, d))).select("feature", r6("f"))
 
 
-@query("st4_anova")
+@query("st4_anova", f"WITH {E1}, {MOM}, g AS (SELECT feature, CAST(count(*) AS DOUBLE) AS k, CAST(sum(n) AS DOUBLE) AS n, sum(n * mean) AS sx, sum(n * mean * mean) AS sxx, sum((n - 1) * var) AS w FROM m GROUP BY 1), h AS (SELECT feature, k - 1 AS d1, n - k AS d2, ((sxx - sx * sx / n) / (k - 1)) / (w / (n - k)) AS f FROM g) SELECT feature, round(f, 6) AS f, round({Q.incomplete_beta('(d2 / 2)', '(d1 / 2)', '(d2 / (d2 + d1 * f))')}, 6) AS p FROM h")
 def _(spark, d):
     return ST.anova(X.moments(expression(spark, d))).select("feature", r6("f"), r6("p"))
 
 
-@query("st5_gated_study")
+_IN_OUT, _ALL = "p.context IN (0,1,2) AND q.context IN (4,5,6)", "p.context < q.context"
+
+
+@query("st5_gated_study", f"WITH RECURSIVE {E1}, {MOM}, {Q.gated(_IN_OUT)} SELECT feature, a, b, branch, round(p, 6) AS p FROM st")
 def _(spark, d):
     e, m, p = _pairs(spark, d)
     return ST.gated_study(e, m, p).select("feature", "a", "b", "branch", r6("p"))
 
 
-@query("st6_p_matrix")
+@query("st6_p_matrix", f"WITH RECURSIVE {E1}, {MOM}, {Q.gated(_ALL)}, h AS (SELECT feature, a, b, CASE WHEN n_a >= 3 AND n_b >= 3 THEN round(p, 10) ELSE 1.0 END AS p FROM st) SELECT feature, a, b, round(p, 6) AS p FROM h UNION ALL SELECT feature, b, a, round(p, 6) FROM h UNION ALL SELECT feature, context, context, 1.0 FROM m")
 def _(spark, d):
     e = expression(spark, d)
     m = X.moments(e)
     return ST.p_matrix(ST.gated_study(e, m, ST.pairs_of(m)), m).select("feature", "a", "b", r6("p"))
 
 
-@query("st7_differential_table")
+_FIT = "fit AS (SELECT feature FROM m WHERE context IN (0,1,2,4,5,6) GROUP BY 1 HAVING max(CASE WHEN context IN (0,1,2) THEN non_zero ELSE 0 END) = 1 AND max(CASE WHEN context IN (4,5,6) THEN non_zero ELSE 0 END) = 1 AND min(n) > 3 AND count(*) = 6)"
+
+
+@query("st7_differential_table", f"""WITH RECURSIVE {E1}, {MOM}, {Q.gated(_IN_OUT)}, {_FIT}, wo AS (SELECT feature, a, max(CASE WHEN n_a >= 3 AND n_b >= 3 THEN round(p, 10) ELSE 1.0 END) AS p FROM st GROUP BY 1, 2),
+sc AS (SELECT feature, min(p) AS score FROM wo GROUP BY 1), oc AS (SELECT feature, CAST(sum(CASE WHEN p < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS occurrences FROM st GROUP BY 1)
+SELECT feature, occurrences, round(score, 6) AS score, CASE WHEN score < 0.05 THEN 'different' ELSE 'not different' END AS verdict, CASE WHEN score < 0.001 THEN '<0.001' WHEN score < 0.01 THEN '<0.01' WHEN score < 0.05 THEN '<0.05' WHEN score < 0.10 THEN '<0.10' ELSE '>=0.10' END AS band FROM oc JOIN sc USING (feature) SEMI JOIN fit USING (feature)""")
 def _(spark, d):
-    return ST.differential_table(expression(spark, d), INPUTS, OUTPUTS)
+    return ST.differential_table(expression(spark, d), INPUTS, OUTPUTS).withColumn("score", F.round("score", 6))
 
 
 def _shares(spark, d):
-    """Pair p-values to aggregate, from plain SQL-able numbers: the t statistic squeezed into 0..1."""
-    t = ST.t_statistics(_pairs(spark, d)[2])
-    return t.withColumn("p", 1 / (1 + F.abs("t")))
+    """Pairs with the p of the t test."""
+    return ST.t_test(_pairs(spark, d)[2])
 
 
-_P = _T + ", q AS (SELECT feature, a, b, n_a, n_b, 1 / (1 + abs(t)) AS p FROM t)"
+_P = _T + f", q AS (SELECT feature, a, b, n_a, n_b, {Q.t_two_sided('t', 'df')} AS p FROM t)"
 
 
 @query("agg3_occurrences", f"WITH {_P} SELECT feature, CAST(sum(CASE WHEN p < 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS occurrences FROM q GROUP BY 1")
@@ -494,17 +508,17 @@ def _(spark, d):
 
 
 # clusters
-@query("agg10_symbol_pattern", f"WITH {_BINS}, r AS (SELECT DISTINCT \"row\", \"row\" % 3 AS id FROM i), k AS (SELECT id, col, bin, count(*) AS n FROM i JOIN r USING (\"row\") WHERE bin IS NOT NULL AND col < 14 GROUP BY 1, 2, 3) SELECT id, col, bin FROM k QUALIFY row_number() OVER (PARTITION BY id, col ORDER BY n DESC, bin) = 1")
+@query("agg10_symbol_pattern", f"WITH {_BINS}, r AS (SELECT DISTINCT \"row\", \"row\" % 3 AS id FROM i), k AS (SELECT id, col, bin, count(*) AS n FROM i JOIN r USING (\"row\") WHERE bin IS NOT NULL GROUP BY 1, 2, 3) SELECT id, col, bin FROM k QUALIFY row_number() OVER (PARTITION BY id, col ORDER BY n DESC, bin) = 1")
 def _(spark, d):
     items, rows, cols = _thirds(spark, d)
     return M.symbol_pattern(items.filter("bin is not null"), rows, cols).select("id", "col", "bin")
 
 
 def _thirds(spark, d):
-    """Three planted row groups over the first 14 columns."""
+    """Three row groups over all columns."""
     items = D.discretized(user_day(spark, d))
     rows = items.select("row").distinct().select((F.col("row") % 3).alias("id"), "row")
-    cols = rows.select("id").distinct().withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(13))))
+    cols = items.select("col").distinct().withColumn("id", F.explode(F.array(*(F.lit(i).cast("long") for i in range(3))))).select("id", "col")
     return items, rows, cols
 
 
@@ -539,7 +553,7 @@ def _(spark, d):
     return M.filter_overlapping(price_clusters(spark, d), 0.4).select("id")
 
 
-@query("pm12_merge")
+@query("pm12_merge", f"WITH {PC}, b0 AS (SELECT id, (SELECT list_sort(list(\"row\")) FROM cr WHERE cr.id = ids.id) AS \"rows\", (SELECT list_sort(list(col)) FROM cc WHERE cc.id = ids.id) AS cols FROM ids), {Q.merge_round(0, 0.5)}, {Q.merge_round(1, 0.5)} SELECT id, \"rows\", cols FROM b2")
 def _(spark, d):
     return M.merge(price_clusters(spark, d), 0.5)
 
@@ -554,9 +568,23 @@ def _(spark, d):
     return M.above(price_clusters(spark, d).withColumn("n_rows", F.size("rows")), "n_rows", 12).select("id")
 
 
-@query("flt9_srt2_numbered", f"WITH {PC} SELECT id, row_number() OVER (ORDER BY id) AS cluster FROM sz WHERE nr > 0 AND nc > 0")
+def _weighed(spark, d) -> DataFrame:
+    """A bicluster for each label and for each part size, the latter with no significance; those of odd labels have no columns."""
+    rows, cols = label_clusters(spark, d)
+    p = S.bicluster_significance(vector_cells(spark, d), rows, cols).select("id", "significance")
+    b = rows.groupBy("id").agg(F.collect_list("row").alias("rows")).join(cols.filter("id % 4 <> 1").groupBy("id").agg(F.collect_list("col").alias("cols")), "id", "left")
+    b = b.join(p, "id", "left").select("id", "rows", F.coalesce("cols", F.array().cast("array<int>")).alias("cols"), "significance")
+    sizes = price_clusters(spark, d).select((F.col("id") + 1000).alias("id"), F.col("rows").cast("array<long>").alias("rows"), "cols", F.lit(None).cast("double").alias("significance"))
+    return b.unionByName(sizes)
+
+
+_SHARE = f"{E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL), pt AS (SELECT id, col, avg(value) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10 GROUP BY 1, 2), sp AS (SELECT col, min(value) AS lo, max(value) AS hi, count(*) AS n FROM v GROUP BY 1), sh AS (SELECT id, pt.col, count(*) FILTER (v.value > greatest(pt.value - (hi - lo) * 0.3 / 2, lo) AND v.value <= least(pt.value + (hi - lo) * 0.3 / 2, hi)) / max(n) AS share FROM pt JOIN sp USING (col) JOIN v ON v.col = pt.col GROUP BY 1, 2)"
+_SIG = _SHARE + f""", pv AS (SELECT id, CASE WHEN min(share) <= 0 THEN 0.0 ELSE exp(sum(ln(CASE WHEN share > 0 THEN share END))) END AS p FROM sh GROUP BY 1), sg AS (SELECT id, n, p, {Q.binomial_at_least('n', 'total', 'p')} AS s0 FROM pv JOIN (SELECT id, count(*) AS n FROM r GROUP BY 1) USING (id) CROSS JOIN (SELECT count(DISTINCT "row") AS total FROM v)), sn AS (SELECT id, n, p, CASE WHEN abs(s0 - 1) <= 1e-10 THEN 1.0 ELSE s0 END AS significance FROM sg)"""
+
+
+@query("flt9_srt2_numbered", f"WITH {_SIG} SELECT 'k-cluster' || CAST(row_number() OVER (ORDER BY id) AS VARCHAR) AS name, round(significance, 9) AS significance FROM sn WHERE id % 4 <> 1")
 def _(spark, d):
-    return M.numbered(price_clusters(spark, d).withColumn("significance", F.lit(0.5))).select("id", F.col("cluster").cast("long").alias("cluster"))
+    return M.cluster_table(_weighed(spark, d), "k-").select("name", F.round("significance", 9).alias("significance"))
 
 
 @query("srt5_mask", f"WITH {PC}, kv AS (SELECT \"row\", col, count(*) AS k FROM cr JOIN cc USING (id) GROUP BY 1, 2), rk AS (SELECT \"row\", col, row_number() OVER (ORDER BY k DESC, \"row\", col) AS i FROM kv), ce AS (SELECT unnest(range(1, 26)) AS \"row\"), cl AS (SELECT unnest(range(1, 13)) AS col) SELECT CAST(\"row\" AS INTEGER) AS \"row\", CAST(col AS INTEGER) AS col FROM ce CROSS JOIN cl ANTI JOIN (SELECT * FROM rk WHERE i <= (SELECT CAST(floor(0.6 * count(*)) AS BIGINT) + 1 FROM kv)) USING (\"row\", col)")
@@ -565,60 +593,101 @@ def _(spark, d):
     return M.masked(cells, price_clusters(spark, d))
 
 
-@query("st9_share", f"WITH {E2}, {VC}, r AS (SELECT CAST(label AS BIGINT) AS id, vec_id AS \"row\" FROM embeddings WHERE label IS NOT NULL), pt AS (SELECT id, col, avg(value) AS value FROM v JOIN r USING (\"row\") WHERE col % 10 = id % 10 AND col < 60 GROUP BY 1, 2), sp AS (SELECT col, min(value) AS lo, max(value) AS hi, count(*) AS n FROM v GROUP BY 1) SELECT id, pt.col, round(count(*) FILTER (v.value > greatest(pt.value - (hi - lo) * 0.3 / 2, lo) AND v.value <= least(pt.value + (hi - lo) * 0.3 / 2, hi)) / max(n), 6) AS share FROM pt JOIN sp USING (col) JOIN v ON v.col = pt.col GROUP BY 1, 2")
+@query("st9_share", f"WITH {_SHARE} SELECT id, col, round(share, 6) AS share FROM sh")
 def _(spark, d):
     cells = vector_cells(spark, d)
     return S.column_shares(cells, S.patterns(cells, *label_clusters(spark, d))).select("id", "col", r6("share"))
 
 
-@query("st9_bicluster_significance")
+@query("st9_bicluster_significance", f"WITH {_SIG} SELECT id, n, round(log10(p), 6) AS log_p, round(significance, 9) AS significance FROM sn")
 def _(spark, d):
-    return S.bicluster_significance(vector_cells(spark, d), *label_clusters(spark, d))
+    return S.bicluster_significance(vector_cells(spark, d), *label_clusters(spark, d)).select("id", "n", F.round(F.log10("p"), 6).alias("log_p"), F.round("significance", 9).alias("significance"))
 
 
-@query("st11_uniform_null", "SELECT CAST(label AS BIGINT) AS id, count(*) AS n, round(pow(0.3, len([c FOR c IN range(label % 10, 60, 10) IF c < 60])), 9) AS p FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL GROUP BY label")
+@query("st11_uniform_null", f"WITH {E2} SELECT CAST(label AS BIGINT) AS id, count(*) AS n, round(pow(0.3, (SELECT count(DISTINCT feature) FROM x WHERE feature % 10 = label % 10)), 9) AS p FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL GROUP BY label")
 def _(spark, d):
     return S.bicluster_significance(vector_cells(spark, d), *label_clusters(spark, d), uniform=True).select("id", "n", F.round("p", 9).alias("p"))
 
 
-@query("st12_symbolic_significance")
+def _symbolic_sql() -> str:
+    """Every kind of null model: shifts upward, or multiples, of each group's most frequent symbols."""
+    moved = """mv AS (SELECT id, 'constant' AS kind, 0 AS mv FROM tp UNION ALL SELECT id, 'additive', unnest(range(0, greatest(0, 4 - top) + 1)) FROM tp UNION ALL SELECT id, 'multiplicative', unnest(CASE WHEN top > 0 THEN range(1, greatest(1, CAST(floor(5 / top) AS BIGINT) - 1) + 1) ELSE [1] END) FROM tp),
+fq AS (SELECT col, bin, count(*) / (SELECT count(DISTINCT "row") FROM i) AS f FROM i WHERE bin IS NOT NULL GROUP BY 1, 2),
+ch AS (SELECT id, kind, mv, exp(sum(ln(coalesce(f, 0.01)))) AS p FROM (SELECT id, kind, mv, pt.col, CASE WHEN kind = 'multiplicative' THEN bin * mv ELSE bin + mv END AS nb FROM pt JOIN mv USING (id)) z LEFT JOIN fq ON fq.col = z.col AND fq.bin = nb GROUP BY 1, 2, 3),
+pk AS (SELECT id, kind, least(1.0, sum(p)) AS p FROM ch GROUP BY 1, 2 UNION ALL SELECT id, 'order', exp(-lgamma(count(*) + 1)) FROM pt GROUP BY 1)"""
+    return f"""WITH {_BINS}, r AS (SELECT DISTINCT "row", "row" % 3 AS id FROM i), k AS (SELECT id, col, bin, count(*) AS n FROM i JOIN r USING ("row") WHERE bin IS NOT NULL GROUP BY 1, 2, 3),
+pt AS (SELECT id, col, bin FROM k QUALIFY row_number() OVER (PARTITION BY id, col ORDER BY n DESC, bin) = 1), tp AS (SELECT id, max(bin) AS top FROM pt GROUP BY 1), {moved}
+SELECT pk.id, kind, n, round(log10(p), 6) AS log_p, round({Q.binomial_at_least('(n + 1)', 'total', 'p')}, 9) AS significance FROM pk JOIN (SELECT id, count(*) AS n FROM r GROUP BY 1) g ON g.id = pk.id CROSS JOIN (SELECT count(DISTINCT "row") AS total FROM i)"""
+
+
+@query("st12_symbolic_significance", _symbolic_sql())
 def _(spark, d):
     items, rows, cols = _thirds(spark, d)
     pattern = M.symbol_pattern(items.filter("bin is not null"), rows, cols)
-    return S.symbolic_significance(items, rows, pattern).withColumn("kind", F.lit("constant")).unionByName(S.symbolic_significance(items, rows, pattern, "order").withColumn("kind", F.lit("order")))
+    out = [S.symbolic_significance(items, rows, pattern, kind).withColumn("kind", F.lit(kind)) for kind in ("constant", "order", "additive", "multiplicative")]
+    return reduce(DataFrame.unionByName, out).select("id", "kind", "n", F.round(F.log10("p"), 6).alias("log_p"), F.round("significance", 9).alias("significance"))
 
 
-@query("mth3_alignment", f"WITH {_BINS} SELECT \"row\", col, max(bin) OVER (PARTITION BY \"row\") - bin AS factor FROM i")
+@query("mth3_alignment", f"WITH {_BINS}, g AS (SELECT \"row\", list_reduce(list_prepend(CAST(1 AS BIGINT), list(DISTINCT CAST(bin AS BIGINT))), lambda x, y: CAST(x * y / gcd(x, y) AS BIGINT)) AS m FROM i WHERE bin > 0 GROUP BY 1) SELECT \"row\", col, 'additive' AS kind, CAST(max(bin) OVER (PARTITION BY \"row\") - bin AS BIGINT) AS factor FROM i UNION ALL SELECT \"row\", col, 'multiplicative', CASE WHEN bin > 0 THEN CAST(m / bin AS BIGINT) END FROM i LEFT JOIN g USING (\"row\") UNION ALL SELECT \"row\", col, 'symmetric', CAST(sign(bin) AS BIGINT) FROM i")
 def _(spark, d):
-    return M.aligned(D.discretized(user_day(spark, d))).select("row", "col", "factor")
+    items = D.discretized(user_day(spark, d))
+    return reduce(DataFrame.unionByName, [M.aligned(items, kind).select("row", "col", F.lit(kind).alias("kind"), F.col("factor").cast("long").alias("factor")) for kind in ("additive", "multiplicative", "symmetric")])
+
 
+_TR = f"{_BINS}, tr AS (SELECT \"row\", list_sort(list(DISTINCT it)) AS items FROM (SELECT \"row\", col * 5 + bin AS it FROM i WHERE bin IS NOT NULL UNION ALL SELECT \"row\", col * 5 + noise_bin FROM i WHERE noise_bin IS NOT NULL) GROUP BY 1), {Q.closed_itemsets('(SELECT ceil(0.12 * count(*)) FROM tr)')}"
 
-@query("pm8_closed_itemsets")
+
+@query("pm8_closed_itemsets", f"WITH RECURSIVE {_TR} SELECT items, support, \"rows\" FROM cs")
 def _(spark, d):
-    return M.closed_itemsets(D.transactions(D.discretized(user_day(spark, d)), 5), 0.12)
+    return M.closed_itemsets(D.transactions(D.discretized(user_day(spark, d)), 5), 0.12).select("items", "support", "rows")
+
 
+_ZD = f"WITH RECURSIVE {E1}, u AS (SELECT subject AS \"row\", context AS col, avg(value) AS value FROM e GROUP BY 1, 2), {_Z}, i AS (SELECT \"row\", col, value, {_bin_sql(5, 'col')} FROM z)"
 
-@query("pm9_closed_sequences")
+
+@query("pm9_closed_sequences", f"{_ZD}, {Q.closed_sequences('(SELECT ceil(0.2 * count(DISTINCT &row&)) FROM i WHERE bin IS NOT NULL)'.replace('&', chr(34)))} SELECT sequence, support, \"rows\" FROM cq")
 def _(spark, d):
     e = expression(spark, d)
     cells = X.means(e.withColumn("feature", F.col("subject"))).select(F.col("feature").alias("row"), F.col("context").alias("col"), "value")
-    return M.closed_sequences(D.sequences(D.discretized(cells)), 0.2)
+    return M.closed_sequences(D.sequences(D.discretized(cells)), 0.2).select("sequence", "support", "rows")
+
 
+_PATTERN = """, xx AS (SELECT items, "rows", unnest(items) AS it FROM cs), cb AS (SELECT items, any_value("rows") AS "rows", CAST(it // 5 AS INTEGER) AS col, CAST(min(it % 5) AS INTEGER) AS bin FROM xx GROUP BY items, 3), bc AS (SELECT any_value("rows") AS "rows", list(col ORDER BY col) AS cols, list(bin ORDER BY col) AS pattern, items FROM cb GROUP BY items)"""
 
-@query("pm10_to_biclusters")
+
+@query("pm10_to_biclusters", f"WITH RECURSIVE {_TR}{_PATTERN}, gd AS (SELECT *, list_reduce([CAST(p AS BIGINT) FOR p IN pattern IF p > 0], lambda x, y: gcd(x, y)) AS g FROM (SELECT * FROM bc WHERE list_max(pattern) > 0) UNION ALL SELECT *, NULL FROM bc WHERE list_max(pattern) = 0) SELECT 'constant' AS kind, \"rows\", cols, pattern FROM gd UNION ALL SELECT 'additive', \"rows\", cols, [p - list_min(pattern) FOR p IN pattern] FROM gd UNION ALL SELECT 'multiplicative', \"rows\", cols, [CAST(p / coalesce(g, 1) AS INTEGER) FOR p IN pattern] FROM gd")
 def _(spark, d):
-    return M.to_biclusters(M.closed_itemsets(D.transactions(D.discretized(user_day(spark, d)), 5), 0.12), 5)
+    found = _kept(M.closed_itemsets(D.transactions(D.discretized(user_day(spark, d)), 5), 0.12))
+    out = [M.to_biclusters(found, 5, kind).select(F.lit(kind).alias("kind"), "rows", "cols", F.col("pattern").cast("array<int>").alias("pattern")) for kind in ("constant", "additive", "multiplicative")]
+    return reduce(DataFrame.unionByName, out)
+
+
+#: supports 0.95, 0.95 * 0.9, ...; the first that more than five closed sets reach
+_LEVELS = """, nn AS (SELECT count(*) AS n FROM tr), lv AS (SELECT 0.95 * pow(0.9, s) AS share FROM (SELECT unnest(range(0, 19)) AS s)), ok AS (SELECT max(share) AS share FROM lv WHERE (SELECT count(*) FROM cs WHERE support >= (SELECT ceil(share * n) FROM nn)) > 5)"""
 
 
-@query("pm11_support_search")
+@query("pm11_support_search", f"WITH RECURSIVE {_TR}{_LEVELS} SELECT items, support, \"rows\" FROM cs WHERE support >= (SELECT ceil(share * n) FROM ok, nn)")
 def _(spark, d):
-    return M.support_search(D.transactions(D.discretized(user_day(spark, d)), 5), 5, 2)
+    return M.support_search(D.transactions(D.discretized(user_day(spark, d)), 5), 5, 2).select("items", "support", "rows")
 
 
 @query("pm14_symbolic_biclusters")
 def _(spark, d):
-    items = D.discretized(user_day(spark, d))
-    return M.symbolic_biclusters(items, D.transactions(items, 5), 5)
+    return M.symbolic_biclusters(user_day(spark, d))
+
+
+@query("pm14_order_biclusters")
+def _(spark, d):
+    e = expression(spark, d)
+    cells = X.means(e.withColumn("feature", F.col("subject"))).select(F.col("feature").alias("row"), F.col("context").alias("col"), "value")
+    return M.symbolic_biclusters(cells, "order", tau_merge=0.8)
+
+
+@query("pm14_column_biclusters")
+def _(spark, d):
+    brand = F.regexp_extract("row", "(\\d+)", 1).cast("int")
+    cells = brand_priority(spark, d).select(brand.alias("row"), F.substring("col", 1, 1).cast("int").alias("col"), "value")
+    return M.symbolic_biclusters(cells, by_columns=True, min_cols=3)
 
 
 @query("pm15_co_clusters")
@@ -631,6 +700,13 @@ def _(spark, d):
     return SP.checkerboard(vector_cells(spark, d), 4)
 
 
+@query("pm15_pm16_significance")
+def _(spark, d):
+    cells = vector_cells(spark, d)
+    found = ((kind, SP.blocks(f(cells, 4), cells)) for kind, f in (("co-clusters", SP.co_clusters), ("checkerboard", SP.checkerboard)))
+    return reduce(DataFrame.unionByName, [S.bicluster_significance(cells, *members).withColumn("kind", F.lit(kind)) for kind, members in found])
+
+
 @query("pm17_edges")
 def _(spark, d):
     return TC.edges(event_cube(spark, d), 0.05, 3)
@@ -652,10 +728,18 @@ def _(spark, d):
     return TC.triclusters(event_cube(spark, d), 0.05, 2, 2, 3)
 
 
-@query("st10_tricluster_significance")
+_CUBE = f"""{E1}, c AS (SELECT context, CAST(list_position(['click','error','purchase','signup','view'], feature) - 1 AS INTEGER) AS s, subject AS f, subject % 10 AS id, value FROM e WHERE feature IN ('click','error','purchase','signup','view')),
+pt AS (SELECT id, s, f, avg(value) AS value FROM c GROUP BY 1, 2, 3), sp AS (SELECT s, min(value) AS lo, max(value) AS hi, count(*) AS m FROM c GROUP BY 1),
+sh AS (SELECT pt.id, pt.s, pt.f, count(*) FILTER (c.value > greatest(pt.value - (hi - lo) * 0.3 / 2, lo) AND c.value <= least(pt.value + (hi - lo) * 0.3 / 2, hi)) / max(m) AS share FROM pt JOIN sp USING (s) JOIN c ON c.s = pt.s GROUP BY 1, 2, 3),
+pv AS (SELECT id, CASE WHEN min(share) <= 0 THEN 0.0 ELSE exp(sum(ln(CASE WHEN share > 0 THEN share END))) END AS p FROM sh GROUP BY 1)"""
+
+
+@query("st10_tricluster_significance", f"WITH {_CUBE} SELECT id, n, round(log10(CASE WHEN p > 0 THEN p END), 5) AS log_p, round({Q.binomial_at_least('n', 'total', 'p')}, 9) AS significance FROM pv JOIN (SELECT id, count(DISTINCT context) AS n FROM c GROUP BY 1) USING (id) CROSS JOIN (SELECT count(DISTINCT context) AS total FROM c)")
 def _(spark, d):
-    c = _clusters(spark, d)
-    return S.tricluster_significance(event_cube(spark, d), c.select("id", F.explode("contexts").alias("context")), c.select("id", F.explode("subjects").alias("subject")), c.select("id", F.explode("features").alias("feature")))
+    e = event_cube(spark, d)
+    part = lambda c: e.select((F.col("feature") % 10).alias("id"), c).distinct()
+    out = S.tricluster_significance(e, part("context"), part("subject"), part("feature"))
+    return out.select("id", "n", F.round(F.log10(F.when(F.col("p") > 0, F.col("p"))), 5).alias("log_p"), F.round("significance", 9).alias("significance"))
 
 
 @query("agg15_quality", f"WITH {E1}, c AS (SELECT context, list_position(['click','error','purchase','signup','view'], feature) AS s, subject AS f, subject % 10 AS id, value FROM e WHERE feature IN ('click','error','purchase','signup','view')) SELECT count(DISTINCT id) AS n_clusters, count(*) AS elements, count(DISTINCT (context, s, f)) AS covered, round(avg(abs(value - mc)), 6) AS deviation_context, round(avg(abs(value - ms)), 6) AS deviation_subject, round(avg(abs(value - mf)), 6) AS deviation_feature FROM (SELECT *, avg(value) OVER (PARTITION BY id, s, f) AS mc, avg(value) OVER (PARTITION BY id, context, f) AS ms, avg(value) OVER (PARTITION BY id, context, s) AS mf FROM c)")

@@ -6,7 +6,8 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .scratch import ranked
 
 
 def standardized(cells: DataFrame, by: str = "col") -> DataFrame:
@@ -43,11 +44,24 @@ def discretized(cells: DataFrame, bins: int = 5, by: str = "col") -> DataFrame:
     return standardized(cells, by).select("row", "col", "value", F.when(known, bin_).alias("bin"), F.when(known, noise).alias("noise_bin"))
 
 
+def quantiles(cells: DataFrame, by: str, bins: int) -> DataFrame:
+    """(by, edges): linearly interpolated quantiles 1/bins .. of each column or row, from ranks dealt over many tasks."""
+    r = ranked(cells.filter("value is not null").select("row", "col", "value"), [by], ["value", "row" if by == "col" else "col"])
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("q"), (F.lit(i / bins) * (F.col("n") - 1)).alias("h")) for i in range(1, bins))))
+    # only the one or two rows next to a quantile go on
+    near = r.select(by, "value", "i", at.alias("e")).filter((F.col("i") - 1 >= F.floor("e.h")) & (F.col("i") - 1 <= F.ceil("e.h")))
+    part = F.col("e.h") - F.floor("e.h")
+    weight = F.when(F.col("i") - 1 == F.floor("e.h"), 1 - part).otherwise(part)
+    edge = near.groupBy(by, F.col("e.q").alias("q")).agg(F.sum(F.col("value") * weight).alias("x"))
+    return edge.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "x"))), lambda e: e["x"]).alias("edges"))
+
+
 def quantile_bins(cells: DataFrame, bins: int = 5, by: str = "col") -> DataFrame:
-    """(row, col, value, bin) by linearly interpolated quantiles of each column or row, right-closed, the lowest included."""
-    edges = cells.groupBy(by).agg(F.percentile("value", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_e"))
-    bin_ = F.aggregate("_e", F.lit(0), lambda n, e: n + (F.col("value") > e).cast("int"))
-    return cells.join(edges, by).select("row", "col", "value", bin_.alias("bin"))
+    """(row, col, value, bin) by linearly interpolated quantiles of each column or row, right-closed, the lowest included. Repeated edges are an error."""
+    edges = quantiles(cells, by, bins)
+    checked = F.when(F.size(F.array_distinct("edges")) < F.size("edges"), F.raise_error(F.concat(F.lit(f"repeated quantile edges in {by} "), F.col(by).cast("string"))).cast("array<double>")).otherwise(F.col("edges"))
+    bin_ = F.aggregate("edges", F.lit(0), lambda n, e: n + (F.col("value") > e).cast("int"))
+    return cells.join(edges.select(by, checked.alias("edges")), by).select("row", "col", "value", bin_.alias("bin"))
 
 
 def symbol_columns(cells: DataFrame, most: int = 10) -> DataFrame:
@@ -56,8 +70,9 @@ def symbol_columns(cells: DataFrame, most: int = 10) -> DataFrame:
 
 
 def codes(table: DataFrame, col: str) -> DataFrame:
-    """(category, code), from 0 in order. The distinct categories are few; their ranks need one small window."""
-    return table.select(F.col(col).alias("category")).filter("category is not null").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("category")) - 1)
+    """(category, code), from 0 in order."""
+    found = table.select(F.col(col).alias("category")).filter("category is not null").distinct()
+    return ranked(found, [], ["category"], "code", "_all").select("category", (F.col("code") - 1).cast("int").alias("code"))
 
 
 def without_dominant(cells: DataFrame, share: float = 0.8) -> DataFrame:

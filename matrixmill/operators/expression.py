@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .discretize import codes
+
 
 def unpivot(wide: DataFrame, ids: list[str], samples: list[str]) -> DataFrame:
     """One row a sample, with its ordinal: the columns become one array, so wide plans stay small."""
@@ -16,10 +18,13 @@ def subject_of(sample: Column) -> Column:
     return F.substring_index(sample, "-", 2)
 
 
-def split_targets(table: DataFrame, names: tuple[str, ...] = ("class", "output", "target")) -> tuple[DataFrame, str | None]:
-    """The matrix without its class column, and that column's name."""
+def split_targets(table: DataFrame, key: str, names: tuple[str, ...] = ("class", "output", "target")) -> tuple[DataFrame, DataFrame | None]:
+    """The matrix without its class column, and the targets (key, class, code): codes from 0 in the order of the classes, none for a missing one."""
     found = next((c for c in table.columns if c.lower() in names), None)
-    return (table.drop(found), found) if found else (table, None)
+    if not found:
+        return table, None
+    targets = table.select(key, F.col(found).alias("class"))
+    return table.drop(found), targets.join(codes(targets, "class").withColumnRenamed("category", "class"), "class", "left").select(key, "class", "code")
 
 
 def drop_incomplete(table: DataFrame) -> DataFrame:

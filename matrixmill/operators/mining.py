@@ -10,10 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Keep a round's table. A checkpoint where the cluster names a folder for it, else the session's cache."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from .scratch import keep as _cut
+from .scratch import ranked
 
 
 def closed_itemsets(transactions: DataFrame, min_support: float, min_items: int = 2) -> DataFrame:
@@ -44,15 +42,27 @@ def in_order(sequence, pattern):
     return F.aggregate(pattern, start, step) >= 0
 
 
-def closed_sequences(sequences: DataFrame, min_support: float, min_cols: int = 2, max_length: int = 10) -> DataFrame:
-    """(id, sequence, support, rows): frequent order patterns with no longer one of the same support; rows by true containment."""
+def without_one(pattern):
+    """The patterns that lack one column of this one; a group left empty goes."""
+    less = F.transform(pattern, lambda g, i: F.transform(g, lambda c: F.filter(F.transform(pattern, lambda h, j: F.when(i == j, F.array_remove(h, c)).otherwise(h)), lambda h: F.size(h) > 0)))
+    return F.flatten(less)
+
+
+def closed_sequences(sequences: DataFrame, min_support: float, min_cols: int = 2, max_length: int | None = None) -> DataFrame:
+    """(id, sequence, support, rows): frequent order patterns with no longer one of the same support; rows by true containment.
+
+    Patterns may be as long as there are columns, unless max_length says less; then patterns of that length are not told
+    from longer ones. A pattern is closed unless one with a column more has its support: those are found by their parts.
+    """
+    if max_length is None:
+        columns = sequences.select(F.explode(F.flatten("sequence")).alias("c")).agg(F.count_distinct("c").alias("n")).first().n
+        max_length = max(1, columns)
     span = PrefixSpan(minSupport=min_support, maxPatternLength=max_length, sequenceCol="sequence")
     found = span.findFrequentSequentialPatterns(sequences.select("sequence")).select(F.transform("sequence", lambda g: F.sort_array(g)).alias("sequence"), F.col("freq").alias("support"))
     width = F.aggregate("sequence", F.lit(0), lambda n, g: n + F.size(g))
-    found = _cut(found.withColumn("width", width).filter(F.col("width") >= min_cols))
-    longer = found.select("support", F.col("sequence").alias("longer"), (F.col("width") - 1).alias("width"))
-    closed = found.join(longer, ["support", "width"], "left").withColumn("inside", F.coalesce(in_order(F.col("longer"), F.col("sequence")), F.lit(False)))
-    closed = closed.groupBy("sequence", "support").agg(F.max("inside").alias("inside")).filter(~F.col("inside")).select(F.xxhash64("sequence").alias("id"), "sequence", "support")
+    found = _cut(found.filter(width >= min_cols))
+    parts = found.select("support", F.explode(without_one(F.col("sequence"))).alias("sequence")).distinct()
+    closed = _cut(found.join(parts, ["support", "sequence"], "left_anti").select(F.xxhash64("sequence").alias("id"), "sequence", "support"))
     # patterns and rows meet on the pattern's first column
     first = closed.withColumn("c", F.col("sequence")[0][0])
     held = sequences.select("row", F.col("sequence").alias("own"), F.explode(F.array_distinct(F.flatten("sequence"))).alias("c"))
@@ -60,23 +70,52 @@ def closed_sequences(sequences: DataFrame, min_support: float, min_cols: int = 2
     return closed.join(rows, "id")
 
 
-def to_biclusters(sets: DataFrame, bins: int) -> DataFrame:
-    """(id, rows, cols, pattern): distinct columns of the items; of a column's items the first gives the symbol."""
+def gcd_of(numbers):
+    """Greatest common divisor of an array of positive longs; null if it is empty."""
+    pair = lambda a, b: F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(a, b)), F.lit(1).cast("long"), lambda g, i: F.when((a % i == 0) & (b % i == 0), i).otherwise(g))
+    return F.aggregate(numbers, F.get(numbers, F.lit(0)), lambda g, b: pair(g, b))
+
+
+def to_biclusters(sets: DataFrame, bins: int, kind: str = "constant") -> DataFrame:
+    """(id, rows, cols, pattern): distinct columns of the items; of a column's items the first gives the symbol.
+
+    An additive pattern is counted from its least symbol; a multiplicative one is divided by the greatest common divisor of its symbols above 0.
+    """
     item = F.explode("items").alias("item")
     cells = sets.select("id", item).groupBy("id", F.floor(F.col("item") / bins).cast("int").alias("col")).agg(F.min(F.col("item") % bins).alias("bin"))
     shape = cells.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("col", "bin"))).alias("c"))
-    return sets.select("id", "rows").join(shape, "id").select("id", "rows", F.col("c.col").alias("cols"), F.col("c.bin").alias("pattern"))
+    out = sets.select("id", "rows").join(shape, "id").select("id", "rows", F.col("c.col").alias("cols"), F.col("c.bin").alias("pattern"))
+    if kind == "additive":
+        return out.withColumn("pattern", F.transform("pattern", lambda b: b - F.array_min("pattern")))
+    if kind == "multiplicative":
+        above_zero = F.filter(F.transform("pattern", lambda b: b.cast("long")), lambda b: b > 0)
+        divisor = F.coalesce(gcd_of(above_zero), F.lit(1))
+        return out.withColumn("pattern", F.transform("pattern", lambda b: (b / divisor).cast("int")))
+    return out
+
+
+def sequence_biclusters(found: DataFrame) -> DataFrame:
+    """(id, rows, cols, sequence): an order pattern's columns, ascending."""
+    return found.select("id", "rows", F.sort_array(F.flatten("sequence")).alias("cols"), "sequence")
 
 
-def support_search(transactions: DataFrame, min_clusters: int, min_rows: int, min_items: int = 2, start: float = 0.95, factor: float = 0.9) -> DataFrame:
-    """Closed itemsets at the highest support that gives more than min_clusters; transactions are kept over the rounds."""
-    transactions = transactions.persist()
+def support_search(transactions: DataFrame, min_clusters: int, min_rows: int, min_items: int = 2, start: float = 0.95, factor: float = 0.9, kind: str = "constant", min_area: int | None = None, least_support: float = 0.0) -> DataFrame:
+    """Closed itemsets (kind 'order': closed sequences) at the highest support that gives more than min_clusters, or more than twice min_area of rows x columns in all.
+
+    The support falls by a factor as long as it is min_rows of all rows, and least_support, at least; the patterns of the last
+    support tried are returned. Transactions are kept over the rounds.
+    """
+    transactions = _cut(transactions)
     n, support = transactions.count(), start
+    floor = max(min_rows / max(1, n), least_support)
+    mine = closed_sequences if kind == "order" else closed_itemsets
+    width = F.size(F.flatten("sequence")) if kind == "order" else F.size("items")
     while True:
-        found = closed_itemsets(transactions, support, min_items)
-        if support * n <= min_rows or found.limit(min_clusters + 1).count() > min_clusters:
+        found = _cut(mine(transactions, max(support, floor), min_items))
+        enough = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("rows") * width), F.lit(0)).alias("area")).first()
+        if enough.n > min_clusters or (min_area is not None and enough.area > 2 * min_area) or support * factor < floor:
             return found
-        support = max(support * factor, min_rows / max(1, n))
+        support *= factor
 
 
 def overlaps(b: DataFrame) -> DataFrame:
@@ -103,17 +142,20 @@ def close_pairs(b: DataFrame, tau: float) -> DataFrame:
 
 
 def merge(b: DataFrame, tau: float, rounds: int = 2) -> DataFrame:
-    """Unions of overlapping biclusters, in at most two rounds. In a round each one takes part in one merge: with its smallest partner that has no smaller one."""
-    out = b.select("id", "rows", "cols")
+    """Unions of overlapping biclusters, in at most two rounds. In a round each one takes part in one merge: with its smallest partner that has no smaller one.
+
+    Other columns stay with what is not merged; a merged bicluster has none yet (null).
+    """
+    out = b.select("id", "rows", "cols", *[c for c in b.columns if c not in ("id", "rows", "cols")])
     for _ in range(rounds):
         pairs = _cut(close_pairs(out, tau))
         first = pairs.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter("n = 1").select("a", "b")
         first = first.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("a"))).filter("n = 1").select("a", "b")
         first = first.join(first.select(F.col("b").alias("a")), "a", "left_anti")
-        left, right = out.toDF("a", "ra", "ca"), out.toDF("b", "rb", "cb")
+        left, right = out.select("id", "rows", "cols").toDF("a", "ra", "ca"), out.select("id", "rows", "cols").toDF("b", "rb", "cb")
         made = first.join(left, "a").join(right, "b").select(F.col("a").alias("id"), F.sort_array(F.array_union("ra", "rb")).alias("rows"), F.sort_array(F.array_union("ca", "cb")).alias("cols"))
         gone = first.select(F.explode(F.array("a", "b")).alias("id"))
-        out = _cut(out.join(gone, "id", "left_anti").unionByName(made))
+        out = _cut(out.join(gone, "id", "left_anti").unionByName(made, allowMissingColumns=True))
     return out
 
 
@@ -168,9 +210,14 @@ def above(b: DataFrame, metric: str, threshold: float) -> DataFrame:
 
 
 def numbered(b: DataFrame) -> DataFrame:
-    """Without clusters that are empty or whose significance is undefined; numbered from 1 by id. Clusters are few: one small window."""
+    """Without clusters that are empty or whose significance is undefined; numbered from 1 by id."""
     kept = b.filter((F.size("rows") > 0) & (F.size("cols") > 0) & F.col("significance").isNotNull() & ~F.isnan("significance"))
-    return kept.withColumn("cluster", F.row_number().over(Window.orderBy("id")))
+    return ranked(kept, [], ["id"], "cluster", "_all").drop("_all")
+
+
+def cluster_table(b: DataFrame, prefix: str = "") -> DataFrame:
+    """(name, significance): clusters numbered by id and named prefix + 'cluster' + number, by significance, then by name as a string."""
+    return numbered(b).select(F.concat(F.lit(f"{prefix}cluster"), F.col("cluster").cast("string")).alias("name"), "significance").orderBy("significance", "name")
 
 
 def aligned(items: DataFrame, kind: str = "additive") -> DataFrame:
@@ -179,21 +226,53 @@ def aligned(items: DataFrame, kind: str = "additive") -> DataFrame:
         return items.withColumn("factor", F.signum("bin"))
     if kind == "additive":
         return items.join(items.groupBy("row").agg(F.max("bin").alias("_top")), "row").withColumn("factor", F.col("_top") - F.col("bin")).drop("_top")
-    gcd = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.least(a, b)), F.lit(1).cast("long"), lambda g, i: F.when((a % i == 0) & (b % i == 0), i).otherwise(g))
     bins = items.filter("bin > 0").groupBy("row").agg(F.collect_set(F.col("bin").cast("long")).alias("s"))
-    lcm = F.aggregate("s", F.lit(1).cast("long"), lambda m, b: (m * b / gcd(m, b)).cast("long"))
+    lcm = F.aggregate("s", F.lit(1).cast("long"), lambda m, b: (m * b / gcd_of(F.array(m, b))).cast("long"))
     return items.join(bins.select("row", lcm.alias("_m")), "row", "left").withColumn("factor", F.when(F.col("bin") > 0, (F.col("_m") / F.col("bin")).cast("long"))).drop("_m")
 
 
-def symbolic_biclusters(items: DataFrame, transactions: DataFrame, bins: int, min_clusters: int = 5, min_rows: int = 2, tau_merge: float = 0.7, tau_filter: float = 0.5) -> DataFrame:
-    """Mine, mask the most covered cells, mine again, merge, filter, sort by area: (id, rows, cols)."""
-    from .discretize import transactions as build
+def transposed(cells: DataFrame) -> DataFrame:
+    return cells.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
+
 
-    first = _cut(to_biclusters(support_search(transactions, min_clusters, min_rows), bins))
-    again = build(masked(items, first), bins)
-    second = to_biclusters(support_search(again, min_clusters, min_rows), bins)
-    both = first.unionByName(second).select("rows", "cols").distinct().withColumn("id", F.xxhash64("rows", "cols")).select("id", "rows", "cols")
-    return ordered(filter_overlapping(merge(_cut(both), tau_merge), tau_filter))
+#: bins of the two kinds of pattern
+KIND_BINS = {"constant": 5, "order": 20}
+
+
+def symbolic_biclusters(cells: DataFrame, kind: str = "constant", bins: int | None = None, by: str = "col", by_columns: bool = False, min_clusters: int = 5, min_rows: int = 2, min_cols: int = 2, rounds: int = 2, tau_merge: float = 0.7, tau_filter: float = 0.5, max_p: float = 1.0) -> DataFrame:
+    """(key, rows, cols, pattern, sequence, significance) of a numeric matrix (row, col, value), largest area first.
+
+    Discretise; mine, mask the most covered cells, and again; merge, filter, sort by area; patterns, significance, keys from 0.
+    kind: 'constant' symbols in each column, or 'order' of the columns (sequence). by_columns: patterns over the rows of a column.
+    A merged cluster's pattern is each column's most frequent symbol. Clusters with a significance above max_p go.
+    """
+    from .discretize import discretized, sequences, transactions
+    from .significance import symbolic_significance
+
+    if kind not in KIND_BINS:
+        raise ValueError(f"no patterns of kind {kind!r}")
+    bins = bins or KIND_BINS[kind]
+    items = _cut(discretized(transposed(cells) if by_columns else cells, bins, by))
+    left, found = items, None
+    for _ in range(rounds):
+        if kind == "order":
+            new = sequence_biclusters(support_search(sequences(left), min_clusters, min_rows, min_cols, kind=kind)).withColumn("pattern", F.lit(None).cast("array<int>"))
+        else:
+            new = to_biclusters(support_search(transactions(left, bins), min_clusters, min_rows, min_cols), bins).withColumn("sequence", F.lit(None).cast("array<array<int>>"))
+        new = new.select("rows", "cols", F.col("pattern").cast("array<int>").alias("pattern"), F.col("sequence").cast("array<array<int>>").alias("sequence"))
+        found = _cut(new if found is None else found.unionByName(new))
+        left = _cut(masked(left, new.withColumn("id", F.xxhash64("rows", "cols"))))
+    found = found.dropDuplicates(["rows", "cols"]).withColumn("id", F.xxhash64("rows", "cols"))
+    out = merge(_cut(found), tau_merge).withColumn("area", F.size("rows") * F.size("cols"))
+    out = _cut(filter_overlapping(out, tau_filter, "area").drop("area"))
+    rows, cols = out.select("id", F.explode("rows").alias("row")), out.select("id", F.explode("cols").alias("col"))
+    modes = symbol_pattern(items.filter("bin is not null"), rows, cols).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", "bin"))), lambda x: x["bin"]).alias("mode"))
+    out = _cut(out.join(modes, "id", "left").withColumn("pattern", F.coalesce("pattern", "mode")).drop("mode"))
+    symbols = out.select("id", F.explode(F.arrays_zip("cols", "pattern")).alias("x")).select("id", F.col("x.cols").alias("col"), F.col("x.pattern").alias("bin"))
+    out = out.join(symbolic_significance(items, rows, symbols, kind, bins, max_p).select("id", "significance"), "id")
+    out = ranked(out.withColumn("_area", -F.size("rows") * F.size("cols")), [], ["_area", "id"], "key", "_all").withColumn("key", F.col("key") - 1)
+    shown = [F.col("cols").alias("rows"), F.col("rows").alias("cols")] if by_columns else ["rows", "cols"]
+    return out.select("key", *shown, "pattern", "sequence", "significance").orderBy("key")
 
 
 def set_algebra(b: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as P
+from .scratch import counts_at
 
 
 def patterns(cells: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
@@ -13,16 +14,28 @@ def patterns(cells: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     return cells.join(rows, "row").join(cols, ["id", "col"]).groupBy("id", "col").agg(F.avg("value").alias("value"))
 
 
-def column_shares(cells: DataFrame, pattern: DataFrame, coherence: float = 0.3) -> DataFrame:
-    """(id, col, share): part of the column within half of coherence times its range of the pattern, (low, high].
+def shares_within(values: DataFrame, bounds: DataFrame, key: str) -> DataFrame:
+    """bounds (key, lower, upper, more columns) with column share: part of the key's values in (lower, upper]. Counted at the bounds in one sort, not joined."""
+    rest = [c for c in bounds.columns if c not in (key, "lower", "upper")]
+    ends = bounds.select(key, *rest, F.explode(F.array(F.struct(F.col("lower").alias("bound"), F.lit(False).alias("top")), F.struct(F.col("upper").alias("bound"), F.lit(True).alias("top")))).alias("e")).select(key, *rest, "e.bound", "e.top")
+    at = counts_at(values, ends, key)
+    n = values.groupBy(key).agg(F.count("value").alias("_n"))
+    inside = F.sum(F.when(F.col("top"), F.col("upto")).otherwise(-F.col("upto")))
+    return at.groupBy(key, *rest).agg(F.greatest(F.lit(0), inside).alias("_k")).join(n, key).select(key, *rest, (F.col("_k") / F.col("_n")).alias("share"))
 
-    Bounds are joined to the column's cells by column; the cells are counted as they stream by, nothing is collected.
-    """
-    spread = cells.groupBy("col").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("n"))
+
+def around(pattern: DataFrame, spread: DataFrame, key: str, coherence: float) -> DataFrame:
+    """Bounds of each pattern value: half of coherence times the key's range to either side, within the range."""
     delta = (F.col("hi") - F.col("lo")) * coherence / 2
-    bounds = pattern.join(spread, "col").select("id", "col", "n", F.greatest(F.col("value") - delta, F.col("lo")).alias("lower"), F.least(F.col("value") + delta, F.col("hi")).alias("upper"))
-    hits = cells.join(bounds, "col").filter((F.col("value") > F.col("lower")) & (F.col("value") <= F.col("upper"))).groupBy("id", "col").agg(F.count(F.lit(1)).alias("k"))
-    return bounds.join(hits, ["id", "col"], "left").select("id", "col", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("share"))
+    rest = [c for c in pattern.columns if c not in (key, "value")]
+    return pattern.join(spread, key).select(key, *rest, F.greatest(F.col("value") - delta, F.col("lo")).alias("lower"), F.least(F.col("value") + delta, F.col("hi")).alias("upper"))
+
+
+def column_shares(cells: DataFrame, pattern: DataFrame, coherence: float = 0.3) -> DataFrame:
+    """(id, col, share): part of the column within half of coherence times its range of the pattern, (low, high]."""
+    values = cells.filter("value is not null").select("col", "value")
+    spread = values.groupBy("col").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return shares_within(values, around(pattern.select("col", "id", "value"), spread, "col", coherence), "col").select("id", "col", "share")
 
 
 def product(col: Column) -> Column:
@@ -45,12 +58,9 @@ def tricluster_significance(cube: DataFrame, contexts: DataFrame, subjects: Data
     """(id, n, p, significance) with the null model of each subject over all contexts and features; n counts the cluster's contexts, not snapped to 1."""
     inside = cube.join(contexts, "context").join(subjects, ["id", "subject"]).join(features, ["id", "feature"])
     pattern = inside.groupBy("id", "subject", "feature").agg(F.avg("value").alias("value"))
-    spread = cube.groupBy("subject").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("m"))
-    delta = (F.col("hi") - F.col("lo")) * coherence / 2
-    keys = ["id", "subject", "feature"]
-    bounds = pattern.join(spread, "subject").select(*keys, "m", F.greatest(F.col("value") - delta, F.col("lo")).alias("lower"), F.least(F.col("value") + delta, F.col("hi")).alias("upper"))
-    hits = cube.select("subject", "value").join(bounds, "subject").filter((F.col("value") > F.col("lower")) & (F.col("value") <= F.col("upper"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
-    share = bounds.join(hits, keys, "left").select("id", (F.coalesce("k", F.lit(0)) / F.col("m")).alias("share"))
+    values = cube.filter("value is not null").select("subject", "value")
+    spread = values.groupBy("subject").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    share = shares_within(values, around(pattern, spread, "subject", coherence), "subject").select("id", "share")
     chance = share.groupBy("id").agg(product(F.col("share")).alias("p"))
     size = contexts.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     total = cube.agg(F.count_distinct("context").alias("total"))
@@ -63,24 +73,33 @@ def symbol_frequencies(items: DataFrame) -> DataFrame:
     return items.filter("bin is not null").groupBy("col", "bin").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(n)).select("col", "bin", (F.col("k") / F.col("n_rows")).alias("frequency"), "n_rows")
 
 
-def symbolic_significance(items: DataFrame, rows: DataFrame, pattern: DataFrame, kind: str = "constant", bins: int = 5) -> DataFrame:
-    """(id, n, p, significance): chance that MORE than n rows show the pattern (id, col, bin).
+def symbolic_significance(items: DataFrame, rows: DataFrame, pattern: DataFrame, kind: str = "constant", bins: int = 5, max_p: float | None = None) -> DataFrame:
+    """(id, n, p, significance): chance that MORE than n rows show the pattern (id, col, bin); those above max_p go.
 
-    constant: product of the symbols' frequencies, 0.01 for one never seen; order: 1 / (columns)!; additive: the sum over all shifts that keep the symbols in range.
-    Other kinds, multiplicative among them, are rejected.
+    constant: product of the symbols' frequencies, 0.01 for one never seen; order: 1 / (columns)!; additive: the sum over the
+    pattern and its shifts upward that keep the symbols in range; multiplicative: the sum over the pattern and its multiples
+    by 2, 3, ... below floor(bins / its largest symbol).
     """
-    if kind not in ("constant", "order", "additive"):
+    if kind not in ("constant", "order", "additive", "multiplicative"):
         raise ValueError(f"no significance for patterns of kind {kind!r}")
     n_rows = items.agg(F.count_distinct("row").alias("total"))
     size = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    freq = symbol_frequencies(items).select("col", "bin", "frequency")
     if kind == "order":
-        chance = pattern.groupBy("id").agg((1 / F.factorial(F.count(F.lit(1)).cast("int"))).alias("p"))
+        # by the logarithm: beyond 20 columns the factorial is no long
+        width = pattern.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("k"))
+        chance = width.select("id", F.exp(-F.aggregate(F.sequence(F.lit(1), "k"), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))).alias("p"))
     else:
-        shifts = F.sequence(F.lit(1 - bins), F.lit(bins - 1)) if kind == "additive" else F.array(F.lit(0))
-        moved = pattern.withColumn("shift", F.explode(shifts)).withColumn("bin", F.col("bin") + F.col("shift"))
-        inside = moved.groupBy("id", "shift").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).filter((F.col("lo") >= 0) & (F.col("hi") < bins))
-        kept = moved.join(inside.select("id", "shift"), ["id", "shift"]).join(freq, ["col", "bin"], "left").withColumn("f", F.coalesce("frequency", F.lit(0.01)))
-        chance = kept.groupBy("id", "shift").agg(product(F.col("f")).alias("p")).groupBy("id").agg(F.least(F.lit(1.0), F.sum("p")).alias("p"))
+        top = pattern.groupBy("id").agg(F.max("bin").alias("top"))
+        if kind == "additive":
+            moves = F.sequence(F.lit(0), F.greatest(F.lit(0), bins - 1 - F.col("top")).cast("int"))
+        elif kind == "multiplicative":
+            moves = F.when(F.col("top") > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.lit(bins) / F.col("top")) - 1).cast("int"))).otherwise(F.array(F.lit(1)))
+        else:
+            moves = F.array(F.lit(0))
+        moved = pattern.join(top, "id").withColumn("move", F.explode(moves))
+        moved = moved.withColumn("bin", F.col("bin") * F.col("move") if kind == "multiplicative" else F.col("bin") + F.col("move"))
+        kept = moved.join(symbol_frequencies(items).select("col", "bin", "frequency"), ["col", "bin"], "left").withColumn("f", F.coalesce("frequency", F.lit(0.01)))
+        chance = kept.groupBy("id", "move").agg(product(F.col("f")).alias("p")).groupBy("id").agg(F.least(F.lit(1.0), F.sum("p")).alias("p"))
     out = chance.join(size, "id").join(F.broadcast(n_rows))
-    return out.withColumn("significance", P.binomial_udf(F.col("n") + 1, F.col("total"), F.col("p"))).select("id", "n", "p", "significance")
+    out = out.withColumn("significance", P.binomial_udf(F.col("n") + 1, F.col("total"), F.col("p"))).select("id", "n", "p", "significance")
+    return out if max_p is None else out.filter(F.col("significance") <= max_p)

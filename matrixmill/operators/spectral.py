@@ -1,93 +1,141 @@
-"""Spectral biclusters of long matrices with few columns: all row-sized work is grouped sums; only column-by-column matrices reach the driver."""
+"""Spectral biclusters of long matrices with few columns.
+
+Cells are brought together once, a matrix row each, and kept; every pass over them is then narrow, and only
+column-by-column matrices, of MOST_COLUMNS columns at most, reach the driver.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .expression import near_zero
+from .scratch import keep
+
+#: bound of what reaches the driver: columns, and their square
+MOST_COLUMNS = 1024
+
+
+def packed(cells: DataFrame) -> tuple[DataFrame, list]:
+    """(row, x) with x: a value for each column, 0 where there is none; and the columns in order. Near-zero values first become 1e-10."""
+    cols = [r.col for r in cells.select("col").distinct().limit(MOST_COLUMNS + 1).collect()]
+    if len(cols) > MOST_COLUMNS:
+        raise ValueError(f"spectral clusters take at most {MOST_COLUMNS} columns")
+    cols = sorted(cols)
+    names = F.array(*map(F.lit, cols))
+    held = cells.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", near_zero(F.col("value")).alias("v")))).alias("m"))
+    return keep(held.select("row", F.transform(names, lambda c: F.coalesce(F.element_at("m", c), F.lit(0.0))).alias("x"))), cols
+
+
+def weights(w: np.ndarray) -> Column:
+    return F.array(*(F.lit(float(x)) for x in w))
+
 
+def dot(x: str, w: Column) -> Column:
+    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
-def gram(cells: DataFrame) -> tuple[list, np.ndarray]:
-    """Column names and the matrix of column products: one array a row, summed pairwise by column pair."""
-    pairs = cells.select("row", F.col("col").alias("a"), F.col("value").alias("x")).join(cells.select("row", F.col("col").alias("b"), F.col("value").alias("y")), "row")
-    sums = pairs.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()  # columns squared
-    cols = sorted({r.a for r in sums})
-    out = np.zeros((len(cols), len(cols)))
+
+def total(x: str) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
+def column_sums(rows: DataFrame, x: Column, n: int) -> np.ndarray:
+    """Sums over all rows of an array column; one small row a column arrives."""
+    sums = rows.select(F.posexplode(x).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s")).collect()
+    out = np.zeros(n)
     for r in sums:
-        out[cols.index(r.a), cols.index(r.b)] = r.s
-    return cols, out
+        out[r.i] = r.s
+    return out
+
 
+def gram(rows: DataFrame, n: int) -> np.ndarray:
+    """The matrix of column products of (row, x): one product a task, added by column pair."""
 
-def scaled(cells: DataFrame) -> DataFrame:
-    """value / sqrt(row sum * column sum); near-zero values first become 1e-10."""
-    v = cells.withColumn("value", near_zero(F.col("value")))
-    r = v.groupBy("row").agg(F.sum("value").alias("_r"))
-    c = v.groupBy("col").agg(F.sum("value").alias("_c"))
-    return v.join(r, "row").join(F.broadcast(c), "col").select("row", "col", (F.col("value") / F.sqrt(F.col("_r") * F.col("_c"))).alias("value"), "_r", "_c")
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((n, n))
+        for f in frames:
+            for k in range(0, len(f), 1024):
+                x = np.stack(f["x"].iloc[k : k + 1024].to_numpy())
+                out += x.T @ x
+        a, b = np.triu_indices(n)
+        yield pd.DataFrame({"a": a, "b": b, "s": out[a, b]})
 
+    out = np.zeros((n, n))
+    for r in rows.select("x").mapInPandas(add, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s")).collect():
+        out[r.a, r.b] = out[r.b, r.a] = r.s
+    return out
 
-def projected(cells: DataFrame, cols: list, vectors: np.ndarray) -> DataFrame:
-    """(row, v): rows times column vectors, as one grouped sum of arrays' components."""
-    table = cells.sparkSession.createDataFrame([(c, [float(x) for x in vectors[i]]) for i, c in enumerate(cols)], schema=f"col {dict(cells.dtypes)['col']}, w array<double>")
-    k = vectors.shape[1]
-    joined = cells.join(F.broadcast(table), "col")
-    return joined.groupBy("row").agg(F.array(*(F.sum(F.col("value") * F.col("w")[i]) for i in range(k))).alias("v"))
+
+def projected(rows: DataFrame, vectors: np.ndarray) -> Column:
+    """Rows times column vectors."""
+    return F.array(*(dot("x", weights(vectors[:, i])) for i in range(vectors.shape[1])))
 
 
 def labelled(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    data = points.withColumn("features", array_to_vector("v"))
+    data = keep(points).withColumn("features", array_to_vector("v"))
     return KMeans(k=k, seed=seed, initMode="k-means||").fit(data).transform(data).drop("features", "v").withColumnRenamed("prediction", "label")
 
 
 def co_clusters(cells: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """(axis, name, label): rows and columns clustered together on 1 + ceil(log2 k) singular vectors, the first left out."""
-    s = scaled(cells).persist()
-    cols, g = gram(s)
-    values, vectors = np.linalg.eigh(g)
+    """(axis, name, label): rows and columns clustered together on 1 + ceil(log2 k) singular vectors, the first left out.
+
+    The matrix is scaled by the roots of row and column sums.
+    """
+    rows, cols = packed(cells)
+    sums = column_sums(rows, F.col("x"), len(cols))
+    root = weights(1 / np.sqrt(sums))
+    scaled = keep(rows.withColumn("r", total("x")).select("row", "r", F.zip_with("x", root, lambda v, c: v * c / F.sqrt("r")).alias("x")))
+    values, vectors = np.linalg.eigh(gram(scaled, len(cols)))
     n = 1 + math.ceil(math.log2(max(2, k)))
     top = np.argsort(values)[::-1][1:n]
     right = vectors[:, top]
     right = right * np.where(right.sum(axis=0) < 0, -1, 1)
-    sums = {r.col: r.c for r in s.groupBy("col").agg(F.max("_c").alias("c")).collect()}
-    rows = projected(s.select("row", "col", "value"), cols, right / np.sqrt(np.maximum(values[top], 1e-12)))
-    row_sums = s.groupBy("row").agg(F.max("_r").alias("_r"))
-    row_points = rows.join(row_sums, "row").select(F.lit("row").alias("axis"), F.col("row").cast("string").alias("name"), F.transform("v", lambda x: x / F.sqrt("_r")).alias("v"))
-    col_points = cells.sparkSession.createDataFrame([("col", str(c), [float(x) / math.sqrt(sums[c]) for x in right[i]]) for i, c in enumerate(cols)], "axis string, name string, v array<double>")
+    left = projected(scaled, right / np.sqrt(np.maximum(values[top], 1e-12)))
+    row_points = scaled.select(F.lit("row").alias("axis"), F.col("row").cast("string").alias("name"), F.transform(left, lambda x: x / F.sqrt("r")).alias("v"))
+    col_points = cells.sparkSession.createDataFrame([("col", str(c), [float(x) / math.sqrt(sums[i]) for x in right[i]]) for i, c in enumerate(cols)], "axis string, name string, v array<double>")
     return labelled(row_points.unionByName(col_points), k, seed)
 
 
-def bistochastic(cells: DataFrame, rounds: int = 4) -> DataFrame:
-    """Rows and columns brought to equal sums in turn, by factors kept beside the cells."""
-    v = cells.withColumn("value", near_zero(F.col("value")))
+def bistochastic(rows: DataFrame, n: int, rounds: int = 4) -> DataFrame:
+    """Rows and columns brought to a mean of 1 in turn. A round needs the column factors only: a row's factor follows from them."""
+    factor = np.ones(n)
     for _ in range(rounds):
-        r = v.groupBy("row").agg(F.avg("value").alias("_m"))
-        v = v.join(r, "row").select("row", "col", (F.col("value") / F.col("_m")).alias("value"))
-        c = v.groupBy("col").agg(F.avg("value").alias("_m"))
-        v = v.join(F.broadcast(c), "col").select("row", "col", (F.col("value") / F.col("_m")).alias("value"))
-    return v
+        mean = dot("x", weights(factor)) / n
+        size = rows.agg(F.count(F.lit(1)).alias("n")).first().n
+        factor = size / column_sums(rows, F.transform("x", lambda v: v / mean), n)
+        last = mean
+    return rows.select("row", F.zip_with("x", weights(factor), lambda v, c: v * c / last).alias("x"))
 
 
 def checkerboard(cells: DataFrame, k: int, seed: int = 0, vectors: int = 6, best: int = 3) -> DataFrame:
     """(axis, name, label): rows and columns clustered apart; of the first vectors those that are closest to piecewise constant."""
-    b = bistochastic(cells).persist()
-    cols, g = gram(b)
-    values, right = np.linalg.eigh(g)
+    rows, cols = packed(cells)
+    b = keep(bistochastic(rows, len(cols)))
+    values, right = np.linalg.eigh(gram(b, len(cols)))
     order = np.argsort(values)[::-1][1 : 1 + vectors]
-    right = right[:, order]
+    size, right = np.sqrt(np.maximum(values[order], 0)), right[:, order]
 
     def spread(v: np.ndarray) -> float:
         cuts = np.array_split(np.sort(v), k)
         return sum(float(((c - c.mean()) ** 2).sum()) for c in cuts if len(c))
 
-    chosen = right[:, np.argsort([spread(right[:, i]) for i in range(right.shape[1])])[:best]]
-    rows = projected(b, cols, chosen).select(F.col("row").cast("string").alias("name"), "v")
-    found = labelled(rows, k, seed).select(F.lit("row").alias("axis"), "name", "label")
-    spark = cells.sparkSession
-    own = labelled(spark.createDataFrame([(str(c), [float(x) for x in chosen[i]]) for i, c in enumerate(cols)], "name string, v array<double>"), min(k, len(cols)), seed)
+    first = np.argsort([spread(right[:, i]) for i in range(right.shape[1])])[:best]
+    chosen, size = right[:, first], size[first]
+    found = labelled(b.select(F.col("row").cast("string").alias("name"), projected(b, chosen).alias("v")), k, seed).select(F.lit("row").alias("axis"), "name", "label")
+    # columns by rows: the transposed matrix times the left vectors
+    own = labelled(cells.sparkSession.createDataFrame([(str(c), [float(x) for x in chosen[i] * size]) for i, c in enumerate(cols)], "name string, v array<double>"), min(k, len(cols)), seed)
     return found.unionByName(own.select(F.lit("col").alias("axis"), "name", "label"))
+
+
+def blocks(labels: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, row) and (id, col): cluster c is the rows labelled c by the columns labelled c, named as in cells, ready for significance."""
+    types = dict(cells.dtypes)
+    side = lambda axis: labels.filter(F.col("axis") == axis).select(F.col("label").cast("long").alias("id"), F.col("name").cast(types[axis]).alias(axis))
+    return side("row"), side("col")

@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def read_wide_matrix(spark: SparkSession, path: str, preamble: int = 2, names: int = 2, context: str | None = None) -> DataFrame:
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, value): text lines with a number that rises along each file: where the line's block begins, plus its place in the block."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("place"), "value")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, seen = None, 0
+        for b in batches:
+            files, starts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            place = []
+            for own in zip(files, starts, strict=True):
+                if own != block:
+                    block, seen = own, 0
+                place.append(own[1] + seen)
+                seen += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(place, pa.int64()), b.column(2)], names=["file", "place", "value"])
+
+    return lines.mapInArrow(number, "file string, place long, value string")
+
+
+def read_wide_matrix(spark: SparkSession, path: str, preamble: int = 2, names: int = 2, context: str | None = None, ragged: str = "fail") -> DataFrame:
     """A tab-separated matrix with preamble lines, an index column, `names` name columns, then one column a sample, as long rows.
 
     (context, name, feature, sample, pos, value, row_pos). Only the header, one line, visits the driver; rows are split
-    on the executors, so any number of columns is one array and the plan stays small.
+    on the executors, so any number of columns is one array and the plan stays small. Each file begins with preamble and
+    header, told by their place in it; blank lines are skipped. A row of another width is an error, or left out with
+    ragged='drop'. row_pos rises along each file.
     """
+    if ragged not in ("fail", "drop"):
+        raise ValueError(f"ragged is 'fail' or 'drop', not {ragged!r}")
     header = spark.read.text(path).limit(preamble + 1).collect()[-1][0].split("\t")
     skip = {*range(1 + names)}
     samples = [c for i, c in enumerate(header) if i not in skip]
-    lines = spark.read.text(path).withColumn("row_pos", F.monotonically_increasing_id())
-    parts = lines.select("row_pos", F.split("value", "\t").alias("p")).filter(F.size("p") == len(header)).filter(F.col("p")[0] != header[0])
+    # a file's first block begins at 0, so its first lines have the places 0, 1, ...
+    parts = placed_lines(spark, path).filter((F.col("place") > preamble) & (F.trim("value") != "")).select(F.col("place").alias("row_pos"), F.split("value", "\t").alias("p"))
+    if ragged == "drop":
+        parts = parts.filter(F.size("p") == len(header))
+    else:
+        wrong = F.raise_error(F.concat(F.lit(f"a row of another width than the header's {len(header)}: "), F.size("p").cast("string"), F.lit(" at place "), F.col("row_pos").cast("string")))
+        parts = parts.withColumn("p", F.when(F.size("p") == len(header), F.col("p")).otherwise(wrong.cast("array<string>")))
     long = parts.select("row_pos", F.col("p")[1].alias("name"), F.col("p")[names].alias("feature"), F.posexplode(F.slice("p", 2 + names, len(samples))).alias("pos", "text"))
     keys = F.array(*map(F.lit, samples))
     return long.select(F.lit(context).alias("context"), "name", "feature", keys[F.col("pos")].alias("sample"), "pos", F.col("text").cast("double").alias("value"), "row_pos")

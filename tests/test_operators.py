@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from matrixmill.operators import discretize as D
 from matrixmill.operators import expression as X
 from matrixmill.operators import mining as M
+from matrixmill.operators import scratch as SCR
 from matrixmill.operators import significance as S
+from matrixmill.operators import spectral as SP
 from matrixmill.operators import stats as ST
 from matrixmill.operators import text as T
 from matrixmill.operators import tricluster as TC
@@ -145,8 +147,23 @@ def test_ratio_runs():
 
 
 def test_symbolic_significance_rejects_unknown_kinds():
-    with pytest.raises(ValueError, match="multiplicative"):
-        S.symbolic_significance(None, None, None, "multiplicative")
+    with pytest.raises(ValueError, match="diagonal"):
+        S.symbolic_significance(None, None, None, "diagonal")
+
+
+def test_symbolic_null_models(spark):
+    """Frequencies of column 0: 0.5, 0.25, 0.25 for symbols 0, 1, 2; of column 1: 0.25, 0.75 for 1, 2; symbol 3 is never seen."""
+    items = spark.createDataFrame([(r, 0, b) for r, b in enumerate([0, 0, 1, 2])] + [(r, 1, b) for r, b in enumerate([1, 2, 2, 2])], "row int, col int, bin int")
+    rows = spark.createDataFrame([(1, 0), (1, 3)], "id long, row int")
+    chance = lambda bins, kind, n: S.symbolic_significance(items, rows, spark.createDataFrame([(1, c, b) for c, b in enumerate(bins)], "id long, col int, bin int"), kind, n).collect()[0].p
+    assert chance([0, 1], "constant", 4) == pytest.approx(0.5 * 0.25)
+    assert chance([0, 1], "order", 4) == pytest.approx(0.5)
+    assert chance([0, 1], "additive", 4) == pytest.approx(0.5 * 0.25 + 0.25 * 0.75 + 0.25 * 0.01)  # 01, 12, 23
+    assert chance([1, 2], "multiplicative", 4) == pytest.approx(0.25 * 0.75)  # twice is not below 4 / 2
+    assert chance([1, 1], "multiplicative", 4) == pytest.approx(0.25 * 0.25 + 0.25 * 0.75 + 0.01 * 0.01)  # 11, 22, 33
+    assert chance([0, 0], "multiplicative", 4) == pytest.approx(0.5 * 0.01)
+    dropped = S.symbolic_significance(items, rows, spark.createDataFrame([(1, 0, 0)], "id long, col int, bin int"), max_p=0.01)
+    assert dropped.count() == 0
 
 
 def test_ratio_runs_extend_both_ways():
@@ -178,6 +195,130 @@ def test_neighbouring_cubes_merge_along_each_axis(spark, axis):
     assert [(r.contexts, r.subjects, r.features) for r in got] == [tuple(both)]
 
 
+def test_edges_part_signs_and_skip_listed_values(spark):
+    # ratios of size 2 with every combination of signs; feature 8 holds a zero, feature 9 a listed value
+    pairs = [(2, 1), (4, 2), (-2, -1), (2, -1), (4, -2), (-2, 1), (-4, 2), (-6, 3), (0, 1), (99, 49.5)]
+    cells = [(0, s, f, float(v)) for f, p in enumerate(pairs) for s, v in enumerate(p)]
+    table = spark.createDataFrame(cells, "context int, subject int, feature int, value double")
+    got = sorted(tuple(r.features) for r in TC.edges(table, 0.01, 2, (99.0,)).collect())
+    assert got == [(0, 1, 2), (3, 4), (5, 6, 7)]
+
+
+def cube_cells(n):
+    """Ratios of n subjects are equal over 4 features in 3 contexts."""
+    return [(c, s, f, (s + 1.0) * (f + 1.0)) for c in range(3) for s in range(n) for f in range(4)]
+
+
+def test_as_many_subjects_as_there_are(spark):
+    """70 subjects of one rectangle: levels go on until none is left."""
+    chain = [(0, i, i + 1, [1, 2]) for i in range(69)]
+    found = TC.rectangles(spark.createDataFrame(chain, "context int, i int, j int, features array<int>"), 2, 2).collect()
+    assert [len(r.subjects) for r in found] == [70]
+
+
+def test_cubes_keep_to_limits_of_deviation(spark):
+    cells = spark.createDataFrame(cube_cells(3), "context int, subject int, feature int, value double")
+    whole = TC.triclusters(cells, 0.01, 2, 2, 3).collect()
+    assert [(r.contexts, r.subjects, r.features) for r in whole] == [([0, 1, 2], [0, 1, 2], [0, 1, 2, 3])]
+    d = TC.deviations(cells, TC.triclusters(cells, 0.01, 2, 2, 3)).collect()[0]
+    by_hand = [abs(s - 2) * (f + 1) for s in (1, 2, 3) for f in range(4)]
+    assert (d.deviation_context, d.deviation_subject) == (0, pytest.approx(sum(by_hand) / 12))
+    assert TC.triclusters(cells, 0.01, 2, 2, 3, limits={"context": 0.0}).count() == 1
+    # rectangles are maximal, so no smaller cube stands in
+    assert TC.triclusters(cells, 0.01, 2, 2, 3, limits={"subject": d.deviation_subject - 0.01}).count() == 0
+    with pytest.raises(ValueError):
+        TC.cubes(cells.limit(0).select("context", F.array("subject").alias("subjects"), F.array("feature").alias("features")), limits={"context": 1.0})
+
+
+def test_long_order_patterns(spark):
+    """13 columns in one order: nothing is cut at a length."""
+    rows = spark.createDataFrame([(r, [[c] for c in range(13)]) for r in range(3)] + [(3, [[c] for c in range(12, -1, -1)])], "row int, sequence array<array<int>>")
+    got = M.closed_sequences(rows, 0.75).collect()
+    assert [(r.sequence, r.rows) for r in got] == [([[c] for c in range(13)], [0, 1, 2])]
+
+
+def test_patterns_are_rebased(spark):
+    sets = spark.createDataFrame([(1, [0 * 9 + 4, 1 * 9 + 6, 2 * 9 + 2], [0, 1]), (2, [0 * 9 + 0, 1 * 9 + 6], [2, 3])], "id long, items array<int>, rows array<int>")
+    get = lambda kind: {r.id: r.pattern for r in M.to_biclusters(sets, 9, kind).collect()}
+    assert get("constant") == {1: [4, 6, 2], 2: [0, 6]}
+    assert get("additive") == {1: [2, 4, 0], 2: [0, 6]}
+    assert get("multiplicative") == {1: [2, 3, 1], 2: [0, 1]}
+
+
+def test_cluster_table_orders_names_as_strings(spark):
+    rows = [(i, [1], [1], 0.5) for i in range(1, 12)] + [(12, [], [1], 0.1), (13, [1], [1], None), (14, [1], [1], float("nan")), (15, [1], [1], 0.25)]
+    got = [r.name for r in M.cluster_table(spark.createDataFrame(rows, "id long, rows array<int>, cols array<int>, significance double"), "a").collect()]
+    assert got == ["acluster12", "acluster1", "acluster10", "acluster11", *(f"acluster{i}" for i in range(2, 10))]
+
+
+@pytest.mark.parametrize("by_columns", [False, True])
+def test_symbolic_biclusters_end_to_end(spark, by_columns):
+    random.seed(5)
+    cells = [(r, c, 3.0 if r < 40 and c in (1, 3, 4) else random.gauss(0, 1)) for r in range(120) for c in range(6)]
+    table = spark.createDataFrame([(c, r, v) if by_columns else (r, c, v) for r, c, v in cells], "row int, col int, value double")
+    out = M.symbolic_biclusters(table, by_columns=by_columns, min_cols=3)
+    got = out.collect()
+    assert [r.key for r in got] == list(range(len(got))) and all(0 <= r.significance <= 1 for r in got)
+    sides = [(r.cols, r.rows) if by_columns else (r.rows, r.cols) for r in got]
+    best = next(i for i, (rows, cols) in enumerate(sides) if {1, 3, 4} <= set(cols) and len(set(rows) & set(range(40))) > 35)
+    assert got[best].significance < 1e-6 and got[best].pattern is not None
+
+
+def test_order_biclusters_end_to_end(spark):
+    random.seed(6)
+    cells = []
+    for r in range(60):
+        values = sorted(random.random() for _ in range(4)) if r < 40 else [random.random() for _ in range(4)]
+        cells += [(r, c, v * 9) for c, v in enumerate(values)]
+    got = M.symbolic_biclusters(spark.createDataFrame(cells, "row int, col int, value double"), "order", by="row", min_cols=3, tau_merge=2.0).collect()
+    assert any(r.sequence and set(r.cols) >= {0, 1, 2} for r in got)
+
+
+def test_support_search_by_area_and_floor(spark):
+    t = spark.createDataFrame([(i, [1, 2, 3]) for i in range(6)] + [(i, [4, 5]) for i in range(6, 10)], "row int, items array<int>")
+    get = lambda **k: sorted(tuple(r["items"]) for r in M.support_search(t, 9, 2, **k).collect())
+    assert get(min_area=8) == [(1, 2, 3)]  # 18 cells are more than twice 8
+    assert get(min_area=9) == [(1, 2, 3), (4, 5)]
+    assert get(least_support=0.5) == [(1, 2, 3)]
+
+
+def test_quantile_bins(spark):
+    table = spark.createDataFrame([(i, 0, float(v)) for i, v in enumerate([1, 2, 3, 4, 10])] + [(i, 1, float(i)) for i in range(5)], "row int, col int, value double")
+    got = {(r.row, r.col): r.bin for r in D.quantile_bins(table, 2).collect()}
+    assert [got[i, 0] for i in range(5)] == [0, 0, 0, 1, 1] == [got[i, 1] for i in range(5)]
+    assert D.quantile_bins(table, 2, "row").count() == 10
+    with pytest.raises(Exception, match="repeated quantile edges in col 0"):
+        D.quantile_bins(spark.createDataFrame([(i, 0, 1.0) for i in range(9)], "row int, col int, value double"), 3).collect()
+
+
+def test_spectral_blocks_are_found_and_weighed(spark):
+    random.seed(7)
+    cells = [(r, c, (9.0 if r % 3 == c % 3 else 1.0) + random.random()) for r in range(60) for c in range(12)]
+    table = spark.createDataFrame(cells, "row int, col int, value double")
+    for f in (SP.co_clusters, SP.checkerboard):
+        labels = f(table, 3)
+        by = {(r.axis, int(r.name)): r.label for r in labels.collect()}
+        assert len(by) == 72
+        for axis, n in (("row", 60), ("col", 12)):
+            groups = [{by[axis, i] for i in range(k, n, 3)} for k in range(3)]
+            assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+        rows, cols = SP.blocks(labels, table)
+        assert S.bicluster_significance(table, rows, cols).count() == 3
+
+
+def test_ranks_and_counts_over_ranges(spark):
+    random.seed(8)
+    data = [(k, round(random.random(), 2), i) for i, k in enumerate(random.choices("ab", [9, 1], k=3000))]
+    df = spark.createDataFrame(data, "k string, v double, i int").repartition(7)
+    got = {r.i: (r.place, r.n) for r in SCR.ranked(df, ["k"], ["v", "i"], "place").collect()}
+    for k in "ab":
+        own = sorted((v, i) for key, v, i in data if key == k)
+        assert all(got[i] == (place, len(own)) for place, (_, i) in enumerate(own, 1))
+    bounds = [(k, b) for k in "ab" for b in (-1.0, 0.0, 0.25, 0.5, 0.51, 2.0)]
+    found = SCR.counts_at(df.select("k", F.col("v").alias("value")), spark.createDataFrame(bounds, "k string, bound double"), "k").collect()
+    assert sorted((r.k, r.bound, r.upto) for r in found) == sorted((k, b, sum(key == k and v <= b for key, v, _ in data)) for k, b in bounds)
+
+
 def test_cubes_that_share_nothing_merge_by_size(spark):
     # 1001 of 11 x 11 x 11 cells are covered, 0.752
     boxes = spark.createDataFrame([(1, list(range(10)), list(range(10)), list(range(10))), (2, [50], [50], [50])], BOX)
@@ -223,6 +364,28 @@ def test_wide_matrix_reader(spark, tmp_path):
     assert spark.createDataFrame([("GTEX-A-1",)], "s string").select(X.subject_of(F.col("s"))).collect()[0][0] == "GTEX-A"
 
 
+def test_wide_matrix_rows_are_never_lost(spark, tmp_path):
+    head = "#1.2\n2\t2\nid\tName\tDescription\tA-1\tB-2\n"
+    (tmp_path / "a").mkdir()
+    # a row like the header's start, a blank line, two files each with its own preamble
+    (tmp_path / "a" / "1.gct").write_text(head + "id\tn1\tgeneA\t0\t1.5\n\n1\tn2\tgeneB\t2\t3\n")
+    (tmp_path / "a" / "2.gct").write_text(head + "7\tn7\tgeneC\t4\t5\n")
+    got = SRC.read_wide_matrix(spark, str(tmp_path / "a")).collect()
+    assert sorted((r.feature, r.pos, r.value) for r in got) == [("geneA", 0, 0.0), ("geneA", 1, 1.5), ("geneB", 0, 2.0), ("geneB", 1, 3.0), ("geneC", 0, 4.0), ("geneC", 1, 5.0)]
+    assert {r.feature: r.row_pos for r in got if r.feature != "geneC"} == {"geneA": 3, "geneB": 5}
+    (tmp_path / "r.gct").write_text(head + "0\tn1\tgeneA\t0\t1.5\n1\tn2\tgeneB\t2\n")
+    with pytest.raises(Exception, match="another width"):
+        SRC.read_wide_matrix(spark, str(tmp_path / "r.gct")).collect()
+    assert {r.feature for r in SRC.read_wide_matrix(spark, str(tmp_path / "r.gct"), ragged="drop").collect()} == {"geneA"}
+
+
+def test_annotations(spark, tmp_path):
+    (tmp_path / "x.json").write_text('[{"id": 1, "text": "aa"}, {"id": 2, "text": "bb"}]')
+    (tmp_path / "x.csv").write_text("id,text\n1,aa\n2,bb\n")
+    for name in ("x.json", "x.csv"):
+        assert sorted((int(r.id), r.text) for r in SRC.read_annotations(spark, str(tmp_path / name)).collect()) == [(1, "aa"), (2, "bb")]
+
+
 def test_sinks(spark, tmp_path):
     f = spark.createDataFrame([("b",), ("a",)], "feature string")
     SRC.write_feature_list(f, str(tmp_path / "l"))
