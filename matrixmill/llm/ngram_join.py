@@ -46,7 +46,7 @@ WIDTH = 5
 CELL_BITS, FILTER_BITS, BLOCK = 20, 24, 1 << 14
 CELLS = 1 << CELL_BITS
 #: counts above the noise from which shingles are combined by 2, 3 and 4
-CLASSES = (32, 1024, 32768)
+CLASSES = (32, 4096, 1 << 19)
 #: lists of up to so many members are compared whole by their first and last one
 SMALL = 3
 #: signatures before each that tell whether a pair met in an earlier list
@@ -187,7 +187,7 @@ def described(docs: DataFrame, tables: Tables) -> tuple[DataFrame, np.ndarray]:
 def bounds(counts: np.ndarray) -> tuple[int, ...]:
     """The least count that tells shingles apart, and the counts above which they are combined: CLASSES above the mean of a cell and its noise."""
     mean = float(counts.mean())
-    return int(max(0, mean - 5 * mean**0.5)), *(int(mean + 5 * mean**0.5) + c for c in CLASSES)
+    return int(max(0, mean - 5 * mean**0.5)), *(int(mean + 3 * mean**0.5) + c for c in CLASSES)
 
 
 def mix_int(x: int) -> int:
@@ -207,7 +207,7 @@ def combined(tokens: list[int], kinds: list[int], missing: int, e: int, level: i
     found: list[tuple[int, int, int]] = []
     for at, (t, kind) in enumerate(zip(tokens, kinds, strict=True)):
         k = min(kind, largest)
-        group = held.setdefault((k, mix_int(t ^ 0xA5A5A5A5A5A5A5A5) % -(-(1 << level) // (5 * (k + 2)))), [])
+        group = held.setdefault((k, mix_int(t ^ 0xA5A5A5A5A5A5A5A5) % -(-(1 << level) // (5 * k))), [])
         for others in combinations(group, k - 1):
             x = level + 1
             for o, _, _ in others:

@@ -89,7 +89,7 @@ def test_no_bound_rules_out_a_link(share, sizes):
     assert seen > 100
 
 
-@pytest.mark.parametrize("frequent", [(32, 1024, 32768), (-100, 2, 4)])
+@pytest.mark.parametrize("frequent", [(32, 4096, 1 << 19), (-100, 2, 4)])
 def test_all_small_sizes(spark, docs, monkeypatch, frequent):
     """Texts of 1 to 18 words and the same with a word put before or behind, or changed: 4 shingles link with 5."""
     monkeypatch.setattr(ngram_join, "CLASSES", frequent)
