@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import keep as _cut
-from .scratch import ranked
+from .scratch import ranked, set_id
 
 
 def closed_itemsets(transactions: DataFrame, min_support: float, min_items: int = 2) -> DataFrame:
@@ -62,7 +62,7 @@ def closed_sequences(sequences: DataFrame, min_support: float, min_cols: int = 2
     width = F.aggregate("sequence", F.lit(0), lambda n, g: n + F.size(g))
     found = _cut(found.filter(width >= min_cols))
     parts = found.select("support", F.explode(without_one(F.col("sequence"))).alias("sequence")).distinct()
-    closed = _cut(found.join(parts, ["support", "sequence"], "left_anti").select(F.xxhash64("sequence").alias("id"), "sequence", "support"))
+    closed = _cut(found.join(parts, ["support", "sequence"], "left_anti").select(F.xxhash64(F.to_json("sequence")).alias("id"), "sequence", "support"))
     # patterns and rows meet on the pattern's first column
     first = closed.withColumn("c", F.col("sequence")[0][0])
     held = sequences.select("row", F.col("sequence").alias("own"), F.explode(F.array_distinct(F.flatten("sequence"))).alias("c"))
@@ -261,8 +261,8 @@ def symbolic_biclusters(cells: DataFrame, kind: str = "constant", bins: int | No
             new = to_biclusters(support_search(transactions(left, bins), min_clusters, min_rows, min_cols), bins).withColumn("sequence", F.lit(None).cast("array<array<int>>"))
         new = new.select("rows", "cols", F.col("pattern").cast("array<int>").alias("pattern"), F.col("sequence").cast("array<array<int>>").alias("sequence"))
         found = _cut(new if found is None else found.unionByName(new))
-        left = _cut(masked(left, new.withColumn("id", F.xxhash64("rows", "cols"))))
-    found = found.dropDuplicates(["rows", "cols"]).withColumn("id", F.xxhash64("rows", "cols"))
+        left = _cut(masked(left, new.withColumn("id", set_id("rows", "cols"))))
+    found = found.dropDuplicates(["rows", "cols"]).withColumn("id", set_id("rows", "cols"))
     out = merge(_cut(found), tau_merge).withColumn("area", F.size("rows") * F.size("cols"))
     out = _cut(filter_overlapping(out, tau_filter, "area").drop("area"))
     rows, cols = out.select("id", F.explode("rows").alias("row")), out.select("id", F.explode("cols").alias("col"))

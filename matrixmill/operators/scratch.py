@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,6 +29,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_id(*arrays: str) -> Column:
+    """A hash of arrays that tells where one ends: a hash of several arrays alone is that of their elements in a row."""
+    return F.xxhash64(*(x for a in arrays for x in (F.size(a), F.col(a))))
+
+
 def _dealt(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Rows cut by sampled ranges of (keys, by), with the range's number, ascending. Rows alike in keys and by stay together."""
     return keep(df.repartitionByRange(*keys, *by).withColumn("_part", F.spark_partition_id()))

@@ -237,6 +237,15 @@ def test_long_order_patterns(spark):
     assert [(r.sequence, r.rows) for r in got] == [([[c] for c in range(13)], [0, 1, 2])]
 
 
+def test_alike_patterns_keep_their_own_rows(spark):
+    """(0, 2) at once and 0 before 2 are two patterns, whose elements in a row are the same."""
+    rows = [(r, [[0, 2]]) for r in range(3)] + [(r, [[0], [2]]) for r in range(3, 6)]
+    got = M.closed_sequences(spark.createDataFrame(rows, "row int, sequence array<array<int>>"), 0.5).collect()
+    assert {str(r.sequence): r.rows for r in got} == {"[[0, 2]]": [0, 1, 2], "[[0], [2]]": [3, 4, 5]}
+    ids = spark.createDataFrame([([1, 2], [3]), ([1], [2, 3])], "rows array<int>, cols array<int>").select(SCR.set_id("rows", "cols").alias("id"))
+    assert ids.distinct().count() == 2
+
+
 def test_patterns_are_rebased(spark):
     sets = spark.createDataFrame([(1, [0 * 9 + 4, 1 * 9 + 6, 2 * 9 + 2], [0, 1]), (2, [0 * 9 + 0, 1 * 9 + 6], [2, 3])], "id long, items array<int>, rows array<int>")
     get = lambda kind: {r.id: r.pattern for r in M.to_biclusters(sets, 9, kind).collect()}
