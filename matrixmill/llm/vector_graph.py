@@ -3,9 +3,9 @@
 Vectors are dealt by hash of id and components into shards of about SHARD rows. In a shard, vectors join the graph in batches of growing
 size: a greedy search from the medoid proposes neighbours, and relaxed pruning keeps one only if no neighbour kept
 before is closer to it by the factor ALPHA than the vector itself, so kept edges point different ways. Reverse edges
-are added and pruned alike; a second pass over all vectors refines the graph. The index is one row a shard. Queries
-come in blocks, and each block meets each shard once; a beam search there returns the k nearest found, with exact
-distances in double precision; a block's answers of all shards are merged by rank.
+are added and pruned alike; a second pass over all vectors refines the graph. The index is one row a shard. Every
+query comes to each shard once, and a beam search there returns the k nearest found, with exact distances in double
+precision; a query's answers of all shards are merged by rank.
 
 Repeated rows are counted before they are dealt, and equal vectors of a shard are one node with the list of their ids,
 so groups of copies, however large, neither fill a shard, cut the graph into pieces nor lose ties. Vectors of different length never compare: shards and searches go by length.
@@ -18,6 +18,8 @@ fewer candidates than k give fewer rows; an empty table gives an empty result; o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,13 +133,22 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
 INDEX = "shard int, dim int, n int, entry int, nodes binary, edges binary, firsts binary, ids binary, copies binary"
 
 
+def key_runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The runs of rows of one key in batches that come sorted by key; a run may go on in the next batch."""
+    for f in frames:
+        changed = np.flatnonzero((f[keys] != f[keys].shift()).any(axis=1).to_numpy())
+        for a, b in zip(changed, [*changed[1:], len(f)], strict=True):
+            yield tuple(int(v) for v in f[keys].iloc[a]), f.iloc[a:b]
+
+
 def build_index(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
-    """One row a shard: distinct vectors (float64), edges, and the ids of each node, ascending, with how many rows each id has there."""
+    """One row a shard: distinct vectors (float64), edges, and the ids of each node, ascending, with how many rows each id has there. A task builds one shard after another."""
     rows = usable(vectors)
     key = F.xxhash64("vec_id", "embedding")
     shards = max(1, -(-rows.select(key).distinct().count() // shard_rows))
 
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+    def graph(key: tuple, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        f = pd.concat(parts)
         x = np.stack(f["embedding"].to_numpy()).astype(np.float64)
         ids, copies = f["vec_id"].to_numpy(), f["copies"].to_numpy()
         nodes, of = np.unique(x, axis=0, return_inverse=True)
@@ -146,47 +157,71 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
         edges, entry = build(nodes.astype(np.float32))
         return pd.DataFrame([(key[0], key[1], len(nodes), entry, nodes.tobytes(), edges.astype("<i4").tobytes(), firsts.astype("<i8").tobytes(), ids[order].astype("<i8").tobytes(), copies[order].astype("<i8").tobytes())], columns=[c.split()[0] for c in INDEX.split(", ")])
 
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts = None, []
+        for key, f in key_runs(frames, ["shard", "dim"]):
+            if key != now and parts:
+                yield graph(now, parts)
+                parts = []
+            now = key
+            parts.append(f)
+        if parts:
+            yield graph(now, parts)
+
     distinct = rows.groupBy("vec_id", "embedding").agg(F.count(F.lit(1)).alias("copies"))
-    dealt = distinct.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int")).withColumn("dim", F.size("embedding"))
-    return dealt.groupBy("shard", "dim").applyInPandas(one, INDEX)
+    dealt = distinct.select("vec_id", "embedding", "copies", F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.size("embedding").alias("dim"))
+    # a shard is a partition: neither chance nor coalescing puts two large ones in one task
+    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dim").mapInPandas(each, INDEX)
 
 
 ANSWER = "query long, query_id long, vec_id long, score double"
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_BEAM, block_rows: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found in all shards, ties to the smaller id, for each distinct (vec_id, embedding) of the queries."""
+    """(query_id, rank, vec_id, score): the k nearest found in all shards, ties to the smaller id, for each distinct (vec_id, embedding) of the queries.
+
+    Each shard stays where it is and every query comes to it once, in blocks; a task holds one shard and one block.
+    """
     index = cut(index)
     # numbered, then kept: the number tells different vectors of one id apart
     queries = cut(usable(queries).distinct().withColumn("query", F.monotonically_increasing_id())).withColumn("dim", F.size("embedding"))
-    blocks = max(1, -(-queries.count() // block_rows))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    pairs = index.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "n", "entry", "nodes", "edges", "firsts", "ids", "copies")
-    # every block of queries goes to every shard of its vectors' length: the shards are few and their names bounded
+    # every query goes to every shard of its vectors' length: the shards are few and their names bounded
     names = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    sent = queries.join(names, "dim").select("query", "vec_id", "embedding", "dim", "block", F.explode("shards").alias("shard"))
+    sent = queries.join(names, "dim").select("dim", "query", "vec_id", "embedding", F.explode("shards").alias("shard"))
+    # ids are never null here, or pandas would hold them as floats
+    zero = F.lit(0).cast("long")
+    both = index.select("*", F.lit(0).alias("kind"), zero.alias("query"), zero.cast(dict(queries.dtypes)["vec_id"]).alias("vec_id")).unionByName(sent.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    shards = (index.agg(F.max("shard").alias("s")).first().s or 0) + 1
 
-    def one(key: tuple, shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def answers(s: dict, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int, float]] = []
-        if len(shard) and len(asked):
-            s = shard.iloc[0]
-            nodes = np.frombuffer(s["nodes"]).reshape(s["n"], -1)
-            edges = np.frombuffer(s["edges"], "<i4").reshape(s["n"], -1).astype(np.int64)
-            firsts, ids, copies = (np.frombuffer(s[c], "<i8") for c in ("firsts", "ids", "copies"))
-            x = nodes.astype(np.float32)
-            q = np.stack(asked["embedding"].to_numpy())
-            found, _ = search(x, (x**2).sum(axis=1), edges, int(s["entry"]), q.astype(np.float32), max(beam, k + 1))
-            for query, qid, v, near in zip(asked["query"].tolist(), asked["vec_id"].tolist(), q, found, strict=True):
-                near = near[near >= 0]
-                exact = np.sqrt(((nodes[near] - v) ** 2).sum(axis=1))
-                # of equal vectors the k + 1 smallest ids are all that can rank
-                rows = [(d, int(ids[p])) for d, at in zip(exact.tolist(), near.tolist(), strict=True) for p in range(firsts[at], min(firsts[at + 1], firsts[at] + k + 1)) if ids[p] != qid for _ in range(min(k, copies[p]))]
-                out += [(query, qid, i, d) for d, i in sorted(rows)[:k]]
+        nodes, x, edges, firsts, ids, copies = (s[c] for c in ("nodes", "x", "edges", "firsts", "ids", "copies"))
+        q = np.stack(asked["embedding"].to_numpy())
+        found, _ = search(x, s["norms"], edges, s["entry"], q.astype(np.float32), max(beam, k + 1))
+        for query, qid, v, near in zip(asked["query"].tolist(), asked["vec_id"].tolist(), q, found, strict=True):
+            near = near[near >= 0]
+            exact = np.sqrt(((nodes[near] - v) ** 2).sum(axis=1))
+            # of equal vectors the k + 1 smallest ids are all that can rank
+            rows = [(d, int(ids[p])) for d, at in zip(exact.tolist(), near.tolist(), strict=True) for p in range(firsts[at], min(firsts[at + 1], firsts[at] + k + 1)) if ids[p] != qid for _ in range(min(k, copies[p]))]
+            out += [(query, qid, i, d) for d, i in sorted(rows)[:k]]
         return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"])
 
-    answers = pairs.groupBy("shard", "dim", "block").cogroup(sent.groupBy("shard", "dim", "block")).applyInPandas(one, ANSWER)
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for key, f in key_runs(frames, ["shard", "dim", "kind"]):
+            if key[2] == 0:  # the shard comes ahead of its queries
+                s = f.iloc[0]
+                nodes = np.frombuffer(s["nodes"]).reshape(int(s["n"]), -1)
+                x = nodes.astype(np.float32)
+                held = {"nodes": nodes, "x": x, "norms": (x**2).sum(axis=1), "edges": np.frombuffer(s["edges"], "<i4").reshape(len(x), -1).astype(np.int64), "entry": int(s["entry"])}
+                held |= {c: np.frombuffer(s[c], "<i8") for c in ("firsts", "ids", "copies")}
+            else:
+                for a in range(0, len(f), block_rows):
+                    yield answers(held, f.iloc[a : a + block_rows])
+
+    found = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dim", "kind", "query").mapInPandas(each, ANSWER)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
-    return answers.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def is_query(vec_id: Column) -> Column:
