@@ -154,8 +154,8 @@ def worker_memo(key: str, most: int = 300_000, beside: tuple[str, ...] = ()) ->
     return _MEMOS[kind]
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, trainable: Column, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """(text, label) of at most per_class documents of each class, chosen by hash of doc_id.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, trainable: Column, per_class: int, max_chars: int, beside: Column | None = None) -> list[tuple]:
+    """(text, label), with beside (text, label, beside), of at most per_class documents of each class, chosen by hash of doc_id.
 
     The bound on what reaches the driver is 2 * per_class * max_chars characters: longer texts are not chosen for
     learning (scoring always reads whole texts). A doc_id labelled more than once takes its largest label; rows
@@ -166,9 +166,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, trainable: C
     ids = [marks.filter(F.col("label") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     # at most 2 * per_class rows: the broadcast is bounded by the parameter
     chosen = F.broadcast(ids[0].unionByName(ids[1]))
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(chosen, "doc_id")
-    rows = rows.orderBy(order, "doc_id", F.xxhash64("text")).limit(2 * per_class).select("doc_id", "text", "label").collect()
-    return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    rows = docs.select("doc_id", "text", (F.lit(None).cast("long") if beside is None else beside).alias("beside")).filter(F.length("text").between(1, max_chars)).join(chosen, "doc_id")
+    rows = rows.orderBy(order, "doc_id", F.xxhash64("text")).limit(2 * per_class).select("doc_id", "text", "label", "beside").collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
+    return [(r.text, r.label) if beside is None else (r.text, r.label, r.beside) for r in rows]
 
 
 def keep_texts(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], list[bool]]], columns: tuple[str, ...]) -> DataFrame:

@@ -110,12 +110,17 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
 
 
+def char_count(docs: DataFrame) -> Column:
+    """The character count the table gives; of tables without one, the text's own."""
+    return (F.col("n_chars") if "n_chars" in docs.columns else F.length("text")).cast("long")
+
+
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None) -> Machine:
     trainable = id_mod(F.col("doc_id"), 3) != 1 if trainable is None else trainable
-    sample = training_sample(docs, labels, "quality", trainable, PER_CLASS, MAX_CHARS)
-    machine, y = Machine(), np.array([q for _, q in sample], float)
+    sample = training_sample(docs, labels, "quality", trainable, PER_CLASS, MAX_CHARS, char_count(docs))
+    machine, y = Machine(), np.array([q for _, q, _ in sample], float)
     if len(set(y)) == 2:
-        machine.fit([features(t, len(t)) for t, _ in sample], y)
+        machine.fit([features(t, n) for t, _, n in sample], y)
     else:
         machine.v[:] = 0
     return machine
@@ -130,7 +135,7 @@ def _scored(machine: Machine, texts: list, sizes: list) -> list[float]:
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """Score and prediction of each document."""
-    docs = docs.select("doc_id", (F.col("n_chars") if "n_chars" in docs.columns else F.length("text")).cast("long").alias("n_chars"), "text")
+    docs = docs.select("doc_id", char_count(docs).alias("n_chars"), "text")
 
     def make():
         def each(rows: dict) -> dict:
