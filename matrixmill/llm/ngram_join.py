@@ -280,11 +280,18 @@ def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return map_texts(docs, make, f"d1 long, n long, {', '.join(f'{s} long' for s in SKETCH)}, sigs array<long>, rooms array<long>")
 
 
+def flag_words(ids: DataFrame, column: str) -> DataFrame:
+    """(word, bits): a filter of fixed size, at most 2^18 words: the bits given by the last FILTER_BITS bits of a column."""
+    return ids.groupBy(word_of(F.col(column)).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(column).bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+
+
+def word_of(c: Column) -> Column:
+    return F.shiftright(c.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6).cast("int")
+
+
 def flags(ids: DataFrame, column: str) -> np.ndarray:
-    """A filter of fixed size: the bits given by the last FILTER_BITS bits of a column. What arrives here is at most its 2^18 words."""
-    c = F.col(column)
-    at = F.shiftright(c.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6).cast("int")
-    words = ids.groupBy(at.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    """The words of a filter, here."""
+    words = flag_words(ids, column).toArrow()
     out = np.zeros(1 << FILTER_BITS - 6, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out
@@ -435,13 +442,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, all its columns. Of repeated rows one stays; rows without an id all stay."""
-    found = jaccard_components(docs)
-    kept = cut(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    out = docs.join(kept.filter("n = 1"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    """The document with the smallest doc_id of each component, all its columns. Of repeated rows one stays; rows without an id all stay.
+
+    A filter of fixed size tells most rows that surely stay, so their texts do not move; the others meet the exact list.
+    """
+    found = cut(jaccard_components(docs).filter("doc_id is not null").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("first")))
+    kept = cut(found.filter("first").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    doubtful = found.filter("not first").select("doc_id").unionByName(kept.filter("n > 1").select("doc_id"))
+    word, bits = ("_" * (1 + max(map(len, docs.columns))) + c for c in "wb")  # longer than any name there
+    # at most 2^18 rows, whatever the input
+    words = F.broadcast(flag_words(doubtful.select(F.xxhash64("doc_id").alias("h")), "h").toDF(word, bits))
+    h = F.xxhash64("doc_id")
+    met = docs.withColumn(word, word_of(h)).join(words, word, "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col(bits), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = met.filter(~hit).select(columns)
+    suspects = met.filter(hit).select(columns)
+    out = out.unionByName(suspects.join(kept.filter("n = 1"), "doc_id", "left_semi"))
     repeated = kept.filter("n > 1")
     if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        out = out.unionByName(suspects.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out
 
 
