@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, nbest, ngram_join, packing, quality_model, quality_rules, revisits, toxicity, vector_graph, wordpiece
+from . import centroids, language_id, nbest, ngram_join, packing, quality_model, quality_rules, revisits, spelling, toxicity, vector_graph, wordpiece
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_token_combination_join": ngram_join.op8_token_combination_join,
         "op9_revisit_resolution": revisits.op9_revisit_resolution,
         "op10_nbest_segmentation": nbest.op10_nbest_segmentation,
+        "op11_anagram_hashing": spelling.op11_anagram_hashing,
+        "op12_annulus_search": centroids.op12_annulus_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_revisit_resolution": revisits.ORACLE}
+    return {"op9_revisit_resolution": revisits.ORACLE, "op11_anagram_hashing": spelling.ORACLE, "op12_annulus_search": centroids.oracle()}

@@ -18,6 +18,9 @@ NAMED = {
     "op6": "doc_id bigint held_out boolean score double predicted int",
     "op7": "doc_id bigint piece int start bigint length bigint ids_crc32 bigint sequence_id bigint offset bigint",
     "op8": "doc_id bigint n_shingles bigint component_id bigint",
+    "op11": "word string form string root string n bigint n_near bigint form_n bigint",
+    "op12": "vec_id bigint cluster int distance bigint cluster_inertia bigint inertia bigint centroid_sha256 string",
+    "op13": "doc_id bigint held_out boolean n_tokens bigint n_known bigint train_tokens bigint base_score double score double",
 }
 SPLIT = {"op4": (3, 1), "op5": (3, 1), "op6": (5, 0)}
 
@@ -102,7 +105,8 @@ def test_clashing_columns_and_nulls(spark, tmp_path):
 
 def test_oracle_sql(spark, results):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{DIR}/pages.parquet'")
+    for table in ("pages", "documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
     for name, sql in registry.oracle_sql().items():
         if name in registry.queries():
             found = db.execute(sql)
