@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, language_id, nbest, ngram_join, packing, quality_model, quality_rules, revisits, spelling, toxicity, vector_graph, wordpiece
+from . import centroids, language_id, nbest, ngram_join, ngram_trie, packing, quality_model, quality_rules, revisits, spelling, toxicity, vector_graph, wordpiece
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_nbest_segmentation": nbest.op10_nbest_segmentation,
         "op11_anagram_hashing": spelling.op11_anagram_hashing,
         "op12_annulus_search": centroids.op12_annulus_search,
+        "op13_elias_fano_trie": ngram_trie.op13_elias_fano_trie,
     }
 
 
