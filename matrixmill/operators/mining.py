@@ -5,69 +5,23 @@ A bicluster table has id, rows array, cols array; overlaps are counted on explod
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth, PrefixSpan
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .closed import Itemsets, Sequences, closed, first_enough
 from .scratch import keep as _cut
 from .scratch import ranked, set_id
 
 
 def closed_itemsets(transactions: DataFrame, min_support: float, min_items: int = 2) -> DataFrame:
-    """(id, items, support, rows): frequent itemsets without a superset of the same support. Supersets can only be found at that support, the join's key."""
-    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(transactions.select("items")).freqItemsets
-    sets = _cut(found.select(F.sort_array("items").alias("items"), F.col("freq").alias("support")).filter(F.size("items") >= min_items))
-    # a superset of one more item at the same support is enough to look for
-    smaller = sets.select("support", F.explode("items").alias("x"), "items").select("support", F.array_remove("items", F.col("x")).alias("items"))
-    closed = sets.join(smaller.distinct(), ["support", "items"], "left_anti")
-    ids = closed.withColumn("id", F.xxhash64("items"))
-    return ids.join(supporting_rows(transactions, ids), "id")
+    """(id, items, support, rows): frequent itemsets without a superset of the same support."""
+    return closed(transactions, Itemsets, min_support, min_items)
 
 
-def supporting_rows(transactions: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, rows): rows that hold all items, by an item join and a count."""
-    need = sets.select("id", F.size("items").alias("need"), F.explode("items").alias("item"))
-    have = transactions.select("row", F.explode("items").alias("item"))
-    hits = need.join(have, "item").groupBy("id", "row").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).filter("k = need")
-    return hits.groupBy("id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-
-
-def in_order(sequence, pattern):
-    """Whether the pattern's column groups are subsets of later and later groups of the sequence."""
-    start = F.lit(0)
-    step = lambda at, group: F.when(at < 0, at).otherwise(
-        F.coalesce(F.get(F.filter(F.transform(sequence, lambda s, i: F.when((i >= at) & (F.size(F.array_except(group, s)) == 0), i + 1)), lambda x: x.isNotNull()), F.lit(0)), F.lit(-1))
-    )
-    return F.aggregate(pattern, start, step) >= 0
-
-
-def without_one(pattern):
-    """The patterns that lack one column of this one; a group left empty goes."""
-    less = F.transform(pattern, lambda g, i: F.transform(g, lambda c: F.filter(F.transform(pattern, lambda h, j: F.when(i == j, F.array_remove(h, c)).otherwise(h)), lambda h: F.size(h) > 0)))
-    return F.flatten(less)
-
-
-def closed_sequences(sequences: DataFrame, min_support: float, min_cols: int = 2, max_length: int | None = None) -> DataFrame:
-    """(id, sequence, support, rows): frequent order patterns with no longer one of the same support; rows by true containment.
-
-    Patterns may be as long as there are columns, unless max_length says less; then patterns of that length are not told
-    from longer ones. A pattern is closed unless one with a column more has its support: those are found by their parts.
-    """
-    if max_length is None:
-        columns = sequences.select(F.explode(F.flatten("sequence")).alias("c")).agg(F.count_distinct("c").alias("n")).first().n
-        max_length = max(1, columns)
-    span = PrefixSpan(minSupport=min_support, maxPatternLength=max_length, sequenceCol="sequence")
-    found = span.findFrequentSequentialPatterns(sequences.select("sequence")).select(F.transform("sequence", lambda g: F.sort_array(g)).alias("sequence"), F.col("freq").alias("support"))
-    width = F.aggregate("sequence", F.lit(0), lambda n, g: n + F.size(g))
-    found = _cut(found.filter(width >= min_cols))
-    parts = found.select("support", F.explode(without_one(F.col("sequence"))).alias("sequence")).distinct()
-    closed = _cut(found.join(parts, ["support", "sequence"], "left_anti").select(F.xxhash64(F.to_json("sequence")).alias("id"), "sequence", "support"))
-    # patterns and rows meet on the pattern's first column
-    first = closed.withColumn("c", F.col("sequence")[0][0])
-    held = sequences.select("row", F.col("sequence").alias("own"), F.explode(F.array_distinct(F.flatten("sequence"))).alias("c"))
-    rows = first.join(held, "c").filter(in_order(F.col("own"), F.col("sequence"))).groupBy("id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    return closed.join(rows, "id")
+def closed_sequences(sequences: DataFrame, min_support: float, min_cols: int = 2) -> DataFrame:
+    """(id, sequence, support, rows): frequent order patterns without one of a column more and the same support; rows by true containment."""
+    return closed(sequences, Sequences, min_support, min_cols)
 
 
 def gcd_of(numbers):
@@ -103,19 +57,15 @@ def support_search(transactions: DataFrame, min_clusters: int, min_rows: int, mi
     """Closed itemsets (kind 'order': closed sequences) at the highest support that gives more than min_clusters, or more than twice min_area of rows x columns in all.
 
     The support falls by a factor as long as it is min_rows of all rows, and least_support, at least; the patterns of the last
-    support tried are returned. Transactions are kept over the rounds.
+    support tried are returned. It is one search, whose bound falls: what was found stays, and growth goes on where it waited.
     """
     transactions = _cut(transactions)
-    n, support = transactions.count(), start
-    floor = max(min_rows / max(1, n), least_support)
-    mine = closed_sequences if kind == "order" else closed_itemsets
-    width = F.size(F.flatten("sequence")) if kind == "order" else F.size("items")
-    while True:
-        found = _cut(mine(transactions, max(support, floor), min_items))
-        enough = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("rows") * width), F.lit(0)).alias("area")).first()
-        if enough.n > min_clusters or (min_area is not None and enough.area > 2 * min_area) or support * factor < floor:
-            return found
-        support *= factor
+    floor = max(min_rows / max(1, transactions.count()), least_support)
+    shares = [start]
+    while shares[-1] * factor >= floor:
+        shares.append(shares[-1] * factor)
+    enough = lambda n, area: n > min_clusters or (min_area is not None and area > 2 * min_area)
+    return first_enough(transactions, Sequences if kind == "order" else Itemsets, [max(s, floor) for s in shares], min_items, enough)
 
 
 def overlaps(b: DataFrame) -> DataFrame:

@@ -1,12 +1,17 @@
 """Queries that SQL can't say against plain Python over the same small tables."""
 
 import itertools
+import math
+import random
 import re
 
 import pytest
 
 from matrixmill.jobs import queries as Q
 from matrixmill.jobs.model import event_cube
+from matrixmill.operators import closed as CL
+from matrixmill.operators import mining as M
+from matrixmill.operators import tricluster as TC
 
 DIR = "/root/testdata/sf0.001"
 
@@ -138,3 +143,109 @@ def test_content_words(spark):
             words = [singular(w) for w in re.split("[^a-z]+", text.lower()) if len(w) > 1 and w not in stop]
             want[doc_id] = (len(words), len(set(words)))
     assert {r.doc_id: (r.n_words, r.n_distinct) for r in Q.QUERIES["str1_content_words"](spark, DIR).collect()} == want
+
+
+def plain_closed_sets(rows, least, min_size):
+    """Every intersection of transactions is closed, and every closed set is one."""
+    found = {frozenset(r) for r in rows}
+    todo = set(found)
+    while todo:
+        todo = {a & b for a in todo for b in map(frozenset, rows)} - found
+        found |= todo
+    held = {s: [i for i, r in enumerate(rows) if s <= set(r)] for s in found}
+    return {(tuple(sorted(s)), tuple(r)) for s, r in held.items() if len(s) >= min_size and len(r) >= least}
+
+
+def test_closed_itemsets_of_random_rows(spark):
+    rng = random.Random(2)
+    rows = [sorted(rng.sample(range(100, 112), rng.randint(0, 9))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(rows)), "row int, items array<int>")
+    for share, size in ((0.1, 1), (0.3, 2), (1.0, 1)):
+        got = {(tuple(r["items"]), tuple(r.rows)) for r in M.closed_itemsets(df, share, size).collect()}
+        assert got == plain_closed_sets(rows, max(1, math.ceil(share * len(rows))), size)
+    assert M.closed_itemsets(df.limit(0), 0.5).count() == 0
+
+
+def plain_closed_sequences(rows, least, min_size):
+    """All weak orders of all column sets that so many rows agree on, without those that one column more leaves with as many rows."""
+    rank = [{c: g for g, group in enumerate(r) for c in group} for r in rows]
+    columns = sorted({c for r in rank for c in r})
+    held = {}
+    for k in range(1, len(columns) + 1):
+        for cols in itertools.combinations(columns, k):
+            by_order = {}
+            for i, r in enumerate(rank):
+                if all(c in r for c in cols):
+                    levels = sorted({r[c] for c in cols})
+                    by_order.setdefault(tuple(tuple(c for c in cols if r[c] == x) for x in levels), []).append(i)
+            held |= {p: tuple(v) for p, v in by_order.items() if len(v) >= least}
+    less = {(tuple(g for g in (tuple(c for c in g if c != x) for g in p) if g), len(v)) for p, v in held.items() for x in itertools.chain(*p)}
+    return {(p, v) for p, v in held.items() if sum(map(len, p)) >= min_size and (p, len(v)) not in less}
+
+
+def test_closed_sequences_of_random_rows(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(30):
+        cols = rng.sample(range(6), rng.randint(0, 6))
+        rows.append([sorted(c for c in cols if c % 3 == g or (c + 1) % 3 == g and c > 3) for g in range(3)])
+    rows = [[g for g in r if g] for r in rows]
+    rows = [[[c for c in g if not any(c in h for h in r[:i])] for i, g in enumerate(r)] for r in rows]
+    rows = [[g for g in r if g] for r in rows] + [[[5], [0, 1], [2]], [[0], [1], [5]]] * 3
+    df = spark.createDataFrame(list(enumerate(rows)), "row int, sequence array<array<int>>")
+    for share, size in ((0.1, 1), (0.2, 2)):
+        got = {(tuple(map(tuple, r.sequence)), tuple(r.rows)) for r in M.closed_sequences(df, share, size).collect()}
+        assert got == plain_closed_sequences(rows, math.ceil(share * len(rows)), size)
+
+
+def test_search_goes_on_where_it_waited(spark, monkeypatch):
+    """Falling bounds find what each bound alone finds, also when little is weighed and held at once; no candidate is weighed twice."""
+    monkeypatch.setattr(CL, "CHUNK", 7)
+    monkeypatch.setattr(CL, "HELD", 5)
+    rng = random.Random(4)
+    rows = [sorted(rng.sample(range(10), rng.randint(2, 8))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(rows)), "row int, items array<int>")
+    kind = CL.Itemsets(df, 3)
+    weighed = []
+    plain = kind.weigh
+    kind.weigh = lambda c: (weighed.extend((b, i) for b, i, _ in c), plain(c))[1]
+    search = CL.Search(kind, 2, 3)
+    for least in (20, 12, 6, 3):
+        search.lower(least)
+        assert search.n == len(plain_closed_sets(rows, least, 2))
+    assert len(weighed) == len(set(weighed))
+    assert {(tuple(r["items"]), tuple(r.rows)) for r in search.patterns().collect()} == plain_closed_sets(rows, 3, 2)
+
+
+def test_alike_columns_are_one_pattern(spark):
+    """30 columns that are the same, and 25 columns in one order: one pattern each, in a few passes."""
+    same = spark.createDataFrame([(r, list(range(30))) for r in range(20)] + [(20 + r, [100 + r]) for r in range(10)], "row int, items array<int>")
+    assert [(r["items"], r.support) for r in M.closed_itemsets(same, 0.5).collect()] == [(list(range(30)), 20)]
+    order = spark.createDataFrame([(r, [[c] for c in range(25)]) for r in range(20)], "row int, sequence array<array<int>>")
+    assert [(r.sequence, r.support) for r in M.closed_sequences(order, 0.5).collect()] == [([[c] for c in range(25)], 20)]
+
+
+def test_block_of_many_subjects_is_one_rectangle(spark):
+    """30 subjects that run together over 6 features, in two contexts: one rectangle each and one cube, not 2 ** 30; beyond the bound of a task, joins give the same."""
+    edges = [(c, i, j, [1, 2, 3, 4, 5, 6]) for c in range(2) for i, j in itertools.combinations(range(30), 2)]
+    df = spark.createDataFrame(edges, "context int, i int, j int, features array<int>")
+    found = TC.rectangles(df, 2, 3)
+    assert [(r.context, r.subjects, r.features) for r in found.orderBy("context").collect()] == [(c, list(range(30)), [1, 2, 3, 4, 5, 6]) for c in range(2)]
+    assert [(r.contexts, len(r.subjects), len(r.features)) for r in TC.cubes(found, 2, 2, 3).collect()] == [([0, 1], 30, 6)]
+    few = df.filter("j < 5")
+    rows = lambda x: sorted(map(str, x.collect()))
+    assert rows(TC.rectangles(few, 2, 3, context_bytes=1)) == rows(TC.rectangles(few, 2, 3))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rectangles_and_cubes_of_random_edges(spark, seed):
+    """Overlapping runs of every size, so that much is contained in part only."""
+    rng = random.Random(seed)
+    edges = {(c, i, j, tuple(sorted(rng.sample(range(9), rng.randint(3, 8))))) for c in range(4) for i, j in itertools.combinations(range(5), 2) for _ in range(rng.randint(0, 2))}
+    df = spark.createDataFrame(sorted(edges), "context int, i int, j int, features array<int>")
+    want = plain_rectangles(sorted(edges), 2)
+    found = TC.rectangles(df, 2, 2)
+    assert {(r.context, tuple(r.subjects), tuple(r.features)) for r in found.collect()} == want
+    for contexts in (1, 2, 3):
+        got = [(tuple(r.contexts), tuple(r.subjects), tuple(r.features)) for r in TC.cubes(found, contexts, 2, 2).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain_cubes(sorted(want), contexts, 2, 2)
