@@ -1,6 +1,6 @@
 """Symbolic biclusters: closed itemsets and order sequences with their rows, merging, filtering, masking, metrics.
 
-A bicluster table has id, rows array, cols array; overlaps are counted on exploded members, through columns first.
+A bicluster table has id, rows array, cols array; overlaps meet on rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from .closed import Itemsets, Sequences, closed, first_enough
 from .scratch import keep as _cut
 from .scratch import ranked, set_id
+from .setjoin import contained
 
 
 def closed_itemsets(transactions: DataFrame, min_support: float, min_items: int = 2) -> DataFrame:
@@ -69,14 +70,15 @@ def support_search(transactions: DataFrame, min_clusters: int, min_rows: int, mi
 
 
 def overlaps(b: DataFrame) -> DataFrame:
-    """(a, b, common_cols, common_rows) of pairs a < b with a common column and row, with both sides' sizes. Columns first: they are fewer, and prune the pairs."""
-    members = b.select("id", F.size("rows").alias("n_rows"), F.size("cols").alias("n_cols"), "rows", "cols")
-    c = members.select("id", F.explode("cols").alias("x"))
-    by_col = c.select(F.col("id").alias("a"), "x").join(c.select(F.col("id").alias("b"), "x"), "x").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common_cols"))
-    left = members.select(F.col("id").alias("a"), F.col("n_rows").alias("rows_a"), F.col("n_cols").alias("cols_a"), F.col("rows").alias("_ra"))
-    right = members.select(F.col("id").alias("b"), F.col("n_rows").alias("rows_b"), F.col("n_cols").alias("cols_b"), F.col("rows").alias("_rb"))
-    out = by_col.join(left, "a").join(right, "b").withColumn("common_rows", F.size(F.array_intersect("_ra", "_rb")))
-    return out.filter("common_rows > 0").drop("_ra", "_rb")
+    """(a, b, common_cols, common_rows) of pairs a < b with a common column and row, with both sides' sizes.
+
+    Pairs meet on rows, which are many, and are counted there; of the members only columns, which are few, come to the pairs.
+    """
+    r = b.select("id", F.explode("rows").alias("x"))
+    by_row = r.toDF("a", "x").join(r.toDF("b", "x"), "x").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("common_rows"))
+    side = lambda k: b.select(F.col("id").alias(k), F.size("rows").alias(f"rows_{k}"), F.size("cols").alias(f"cols_{k}"), F.col("cols").alias(f"_c{k}"))
+    out = by_row.join(side("a"), "a").join(side("b"), "b").withColumn("common_cols", F.size(F.array_intersect("_ca", "_cb")).cast("long"))
+    return out.filter("common_cols > 0").select("a", "b", "common_cols", "rows_a", "cols_a", "rows_b", "cols_b", "common_rows")
 
 
 def overlap_ratio(b: DataFrame) -> DataFrame:
@@ -86,9 +88,22 @@ def overlap_ratio(b: DataFrame) -> DataFrame:
 
 
 def close_pairs(b: DataFrame, tau: float) -> DataFrame:
-    o = overlaps(b)
+    """(a, b) with tau of the larger number of columns in common, and tau of the smaller area.
+
+    Then tau of the smaller row set is shared, so a set join on rare rows finds the pairs; sizes and columns rule most out before rows are compared.
+    """
+    if tau <= 0:  # any overlap will do
+        return overlaps(b).select("a", "b")
+    found = contained(b.select("id", F.col("rows").alias("members")), tau)
+    side = lambda k: b.select(F.col("id").alias(k), F.size("rows").alias(f"rows_{k}"), F.size("cols").alias(f"cols_{k}"), F.col("cols").alias(f"_c{k}"))
+    near = found.join(side("a"), "a").join(side("b"), "b").filter(F.least("cols_a", "cols_b") >= tau * F.greatest("cols_a", "cols_b"))
+    near = near.withColumn("common_cols", F.size(F.array_intersect("_ca", "_cb"))).filter((F.col("common_cols") > 0) & (F.col("common_cols") >= tau * F.greatest("cols_a", "cols_b"))).drop("_ca", "_cb")
     area = F.least(F.col("rows_a") * F.col("cols_a"), F.col("rows_b") * F.col("cols_b"))
-    return o.filter((F.col("common_cols") >= tau * F.greatest("cols_a", "cols_b")) & (F.col("common_rows") * F.col("common_cols") >= tau * area)).select("a", "b")
+    # with all rows of the smaller in common the area must do
+    near = _cut(near.withColumn("area", area).filter(F.least("rows_a", "rows_b") * F.col("common_cols") >= tau * F.col("area")).select("a", "b", "common_cols", "area"))
+    rows = lambda k: b.select(F.col("id").alias(k), F.col("rows").alias(f"_r{k}"))
+    common = F.size(F.array_intersect("_ra", "_rb"))
+    return near.join(rows("a"), "a").join(rows("b"), "b").filter((common > 0) & (common * F.col("common_cols") >= tau * F.col("area"))).select("a", "b")
 
 
 def merge(b: DataFrame, tau: float, rounds: int = 2) -> DataFrame:
@@ -226,8 +241,6 @@ def symbolic_biclusters(cells: DataFrame, kind: str = "constant", bins: int | No
 
 
 def set_algebra(b: DataFrame) -> DataFrame:
-    """(a, b, n_union, n_common, inside) of the row sets of biclusters that overlap: sizes of union and intersection, and whether a lies in b."""
-    o = overlaps(b).select("a", "b")
-    left, right = b.select(F.col("id").alias("a"), F.col("rows").alias("x")), b.select(F.col("id").alias("b"), F.col("rows").alias("y"))
-    both = o.join(left, "a").join(right, "b")
-    return both.select("a", "b", F.size(F.array_union("x", "y")).alias("n_union"), F.size(F.array_intersect("x", "y")).alias("n_common"), (F.size(F.array_except("x", "y")) == 0).alias("inside"))
+    """(a, b, n_union, n_common, inside) of the row sets of biclusters that overlap: sizes of union and intersection, and whether a lies in b. Counts tell them all."""
+    o = overlaps(b)
+    return o.select("a", "b", (F.col("rows_a") + F.col("rows_b") - F.col("common_rows")).alias("n_union"), F.col("common_rows").alias("n_common"), (F.col("common_rows") == F.col("rows_a")).alias("inside"))

@@ -6,6 +6,8 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import keep
+
 #: fixed values: the five key terms of the feature list
 KEYWORDS = ("receptor", "brain", "neuro", "gaba", "dopamine")
 
@@ -32,24 +34,37 @@ def names(col: Column) -> Column:
     return F.explode(F.filter(F.split(F.upper(F.trim(col)), "\\s+"), lambda x: x != ""))
 
 
-def tf_idf(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, weight): raw counts, idf ln((1+n)/(1+df))+1, rows of length 1. Three shuffles of the term table, by (doc, term), term and doc."""
+#: terms whose idf every task may hold: those with more than one in so many of all (document, term) rows, so never more of them
+FREQUENT = 10_000
+
+
+def weighted(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, w): raw counts times idf ln((1+n)/(1+df))+1.
+
+    The few terms that most documents hold would each be one key of the join with idf: theirs is sent to all tasks, of
+    which there are at most FREQUENT by the threshold; only the rest is joined by term.
+    """
     tf = tokens(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(df, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    df = keep(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    most = (df.agg(F.sum("df").alias("n")).first().n or 0) / FREQUENT
+    common, rest = df.filter(F.col("df") > most).select("term", "idf"), df.filter(F.col("df") <= most).select("term", "idf")
+    known = tf.join(F.broadcast(common), "term", "left")
+    w = (F.col("tf") * F.col("idf")).alias("w")
+    return known.filter("idf is not null").select(key, "term", w).unionByName(known.filter("idf is null").drop("idf").join(rest, "term").select(key, "term", w))
+
+
+def tf_idf(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, weight): rows of length 1."""
+    raw = weighted(docs, key, text)
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def keyword_scores(docs: DataFrame, key: str, text: str, keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:
-    """(key, score): summed weights of the key terms. Norms need all terms, but only a sum a document; the term rows joined back are the key terms' alone."""
-    tf = tokens(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = F.col("tf") * F.col("idf")
-    hit = F.when(F.col("term").isin(*keywords), w).otherwise(0.0)
-    return tf.join(df, "term").groupBy(key).agg((F.sum(hit) / F.sqrt(F.sum(w * w))).alias("score"))
+    """(key, score): summed weights of the key terms. Norms need all terms, but only a sum a document."""
+    hit = F.when(F.col("term").isin(*keywords), F.col("w")).otherwise(0.0)
+    return weighted(docs, key, text).groupBy(key).agg((F.sum(hit) / F.sqrt(F.sum(F.col("w") ** 2))).alias("score"))
 
 
 def selected_names(scored: DataFrame, annotations: DataFrame, key: str, name_col: str, threshold: float = 0.3) -> DataFrame:
