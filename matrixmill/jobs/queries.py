@@ -16,6 +16,7 @@ from ..operators import stats as ST
 from ..operators import text as T
 from ..operators import tricluster as TC
 from ..operators.scratch import keep as _kept
+from ..operators.scratch import tidy
 from ..sources import matrix as SRC
 from . import sql as Q
 from .model import DAYS, PRIORITIES, brand_priority, event_cube, expression, label_clusters, members, price_clusters, sample_contexts, samples, table, user_day, vector_cells, vectors_long
@@ -44,7 +45,7 @@ ov AS (SELECT a, b, common_cols, common_rows, x.nr AS rows_a, x.nc AS cols_a, y.
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = tidy(f)
         if sql:
             SQL[name] = sql
         return f

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import keep, tidy
 
 #: rows of a block; candidates weighed in one pass over the blocks; of them, those added up in one task; patterns that the driver holds
 BLOCK_ROWS, CHUNK, PART, HELD = 1 << 16, 2048, 64, 20_000
@@ -283,6 +283,7 @@ def least_count(share: float, n: int) -> int:
     return max(1, math.ceil(share * n))
 
 
+@tidy
 def closed(rows: DataFrame, kind: type, share: float, min_size: int) -> DataFrame:
     """The closed patterns that a share of the rows supports."""
     rows = keep(rows)
@@ -292,6 +293,7 @@ def closed(rows: DataFrame, kind: type, share: float, min_size: int) -> DataFram
     return search.patterns()
 
 
+@tidy
 def first_enough(rows: DataFrame, kind: type, shares: list[float], min_size: int, enough: Callable[[int, int], bool]) -> DataFrame:
     """The closed patterns at the first of falling shares where enough(patterns, rows x width in all) holds, else at the last: one search, whose bound falls."""
     rows = keep(rows)

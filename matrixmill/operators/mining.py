@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from .closed import Itemsets, Sequences, closed, first_enough
 from .scratch import keep as _cut
-from .scratch import ranked, set_id
+from .scratch import ranked, set_id, tidy
 from .setjoin import contained
 
 
@@ -54,6 +54,7 @@ def sequence_biclusters(found: DataFrame) -> DataFrame:
     return found.select("id", "rows", F.sort_array(F.flatten("sequence")).alias("cols"), "sequence")
 
 
+@tidy
 def support_search(transactions: DataFrame, min_clusters: int, min_rows: int, min_items: int = 2, start: float = 0.95, factor: float = 0.9, kind: str = "constant", min_area: int | None = None, least_support: float = 0.0) -> DataFrame:
     """Closed itemsets (kind 'order': closed sequences) at the highest support that gives more than min_clusters, or more than twice min_area of rows x columns in all.
 
@@ -87,6 +88,7 @@ def overlap_ratio(b: DataFrame) -> DataFrame:
     return o.select("a", "b", (F.col("common_rows") * F.col("common_cols") / small).alias("ratio"))
 
 
+@tidy
 def close_pairs(b: DataFrame, tau: float) -> DataFrame:
     """(a, b) with tau of the larger number of columns in common, and tau of the smaller area.
 
@@ -106,6 +108,7 @@ def close_pairs(b: DataFrame, tau: float) -> DataFrame:
     return near.join(rows("a"), "a").join(rows("b"), "b").filter((common > 0) & (common * F.col("common_cols") >= tau * F.col("area"))).select("a", "b")
 
 
+@tidy
 def merge(b: DataFrame, tau: float, rounds: int = 2) -> DataFrame:
     """Unions of overlapping biclusters, in at most two rounds. In a round each one takes part in one merge: with its smallest partner that has no smaller one.
 
@@ -132,6 +135,7 @@ def filter_overlapping(b: DataFrame, tau: float, relevance: str | None = None) -
     return b.join(gone, "id", "left_anti")
 
 
+@tidy
 def masked(cells: DataFrame, b: DataFrame, share: float = 0.6) -> DataFrame:
     """Cells without the most covered ones: int(share * covered cells) + 1 of them, ties by (row, col). Counts rank first; cells only at the boundary."""
     cover = _cut(b.select(F.explode("rows").alias("row"), "cols").select("row", F.explode("cols").alias("col")).groupBy("row", "col").agg(F.count(F.lit(1)).alias("k")))
@@ -204,6 +208,7 @@ def transposed(cells: DataFrame) -> DataFrame:
 KIND_BINS = {"constant": 5, "order": 20}
 
 
+@tidy
 def symbolic_biclusters(cells: DataFrame, kind: str = "constant", bins: int | None = None, by: str = "col", by_columns: bool = False, min_clusters: int = 5, min_rows: int = 2, min_cols: int = 2, rounds: int = 2, tau_merge: float = 0.7, tau_filter: float = 0.5, max_p: float = 1.0) -> DataFrame:
     """(key, rows, cols, pattern, sequence, significance) of a numeric matrix (row, col, value), largest area first.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +24,59 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: tables kept since the operators that now run began, innermost last
+_SCOPES: list[list[str]] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: what follows is planned, and after a lost executor restarted, from there."""
     path = f"{shared_dir(df.sparkSession)}/matrixmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _tables_read(df: DataFrame) -> set[str]:
+    """Names of the kept tables that a DataFrame reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    out: set[str] = set()
+    for i in range(leaves.size()):
+        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation":
+            relation = leaves.apply(i).relation()
+            if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                paths = relation.location().rootPaths()
+                out |= {paths.apply(k).getName() for k in range(paths.size())}
+    return out
+
+
+def tidy(f: Callable) -> Callable:
+    """An operator that, once it returns, leaves of the tables kept on its way only those that its result reads; the others are deleted."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        _SCOPES.append([])
+        try:
+            out = f(*args, **kwargs)
+        finally:
+            kept = _SCOPES.pop()
+        read: set[str] = set()
+        for df in out if isinstance(out, tuple) else (out,):
+            if isinstance(df, DataFrame):
+                read |= _tables_read(df)
+        for path in kept:
+            if path.rsplit("/", 1)[1] in read:
+                if _SCOPES:  # whoever called may be done with it
+                    _SCOPES[-1].append(path)
+            else:
+                spark = SparkSession.active()
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        return out
+
+    return run
+
+
 def set_id(*arrays: str) -> Column:
     """A hash of arrays that tells where one ends: a hash of several arrays alone is that of their elements in a row."""
     return F.xxhash64(*(x for a in arrays for x in (F.size(a), F.col(a))))

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from matrixmill.jobs import queries as Q
@@ -88,6 +89,24 @@ def test_edges_rectangles_and_cubes(spark, cube):
     assert {(tuple(r.contexts), tuple(r.subjects), tuple(r.features)) for r in Q.QUERIES["pm19_pm22_triclusters"](spark, DIR).collect()} == cubes
 
 
+def test_runs_by_all_pairs():
+    """Random ratios of every density, ties among them, against trying all ends."""
+    rng = random.Random(7)
+    for _ in range(300):
+        n, spread = rng.randint(0, 40), rng.choice([0.01, 0.3, 2, 8])
+        r = sorted(round(1 + spread * rng.random(), rng.choice([2, 6])) for _ in range(n))
+        for w, least in ((0.05, 1), (0.05, 3), (0.2, 4)):
+            assert TC.runs(r, w, least) == sorted(plain_runs(r, w, least))
+
+
+def test_runs_of_many_ratios():
+    """A dense and a sparse million."""
+    for spread in (100, 1e9):
+        r = np.sort(np.random.default_rng(1).uniform(1, spread, 1_000_000) if spread == 100 else np.exp(np.random.default_rng(1).uniform(0, 3e5 / 6e2, 20_000)))
+        found = TC.runs(r, 0.001, 3)
+        assert found and all(b - a + 1 >= 3 for a, b in found) and all(x[1] < y[0] for x, y in zip(found, found[1:]))
+
+
 def boxes(spark):
     return {r.id: (set(r.contexts), set(r.subjects), set(r.features)) for r in Q._small_boxes(spark, DIR).collect()}
 

@@ -404,3 +404,27 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
     SRC.write_csv(f, str(tmp_path / "c"))
     assert SRC.read_delimited(spark, str(tmp_path / "c"), ",").count() == 2
+
+
+def test_tidy_leaves_what_results_read(spark):
+    """Of the tables kept on the way only those that a result reads stay; an outer operator deletes what inner ones left for it."""
+    import glob
+
+    def there():
+        return set(glob.glob(SCR.shared_dir(spark).removeprefix("file:") + "/matrixmill-*"))
+
+    @SCR.tidy
+    def inner():
+        SCR.keep(spark.range(3))
+        return SCR.keep(spark.range(5)).join(SCR.keep(spark.range(4)), "id")
+
+    @SCR.tidy
+    def outer():
+        return SCR.keep(inner().filter("id > 0")), 1
+
+    before = there()
+    df = inner()
+    assert len(there() - before) == 2 and df.count() == 4
+    before = there()
+    df, one = outer()
+    assert len(there() - before) == 1 and df.count() == 3 and one == 1
