@@ -124,6 +124,26 @@ def test_covered_boxes_go_in_order(spark):
     assert sorted(r.id for r in Q.QUERIES["pm20_delete_covered"](spark, DIR).collect()) == sorted(left)
 
 
+def test_chain_of_covered_boxes(spark, monkeypatch):
+    """500 boxes, each half in the next and half in the one before: every second one goes. A few rounds, not one a box."""
+    rows = [(i, [0], [0], [i, i + 1]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, contexts array<int>, subjects array<int>, features array<int>")
+    left, there = [], {}
+    for i, *_, f in rows:
+        present = [x for j, *_, x in rows if j > i] + [there[j] for j in left]
+        if len({c for x in present for c in x} & set(f)) < 0.9 * len(f):
+            left.append(i)
+            there[i] = f
+    rounds = []
+    plain = TC._cut
+    monkeypatch.setattr(TC, "_cut", lambda df: (rounds.append(1), plain(df))[1])
+    assert sorted(r.id for r in TC.without_covered(df, 0.9).collect()) == left
+    assert len(rounds) < 40
+    # blocks of a few cells settle the same
+    few = df.filter("id < 12")
+    assert sorted(r.id for r in TC.without_covered(few, 0.9, block_cells=8).collect()) == [i for i in left if i < 11] + [11]
+
+
 def test_boxes_merge_to_a_fixpoint(spark):
     left = boxes(spark)
     while True:
