@@ -708,12 +708,15 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, [S.bicluster_significance(cells, *members).withColumn("kind", F.lit(kind)) for kind, members in found])
 
 
-@query("pm17_edges")
+_C = f"{E1}, c AS (SELECT context, CAST(list_position(['click','error','purchase','signup','view'], feature) - 1 AS INTEGER) AS s, subject AS f, value FROM e WHERE feature IN ('click','error','purchase','signup','view'))"
+
+
+@query("pm17_edges", f"WITH RECURSIVE {_C}, {Q.ratio_edges(0.05, 3)} SELECT context, i, j, features FROM ed")
 def _(spark, d):
     return TC.edges(event_cube(spark, d), 0.05, 3)
 
 
-@query("pm18_rectangles")
+@query("pm18_rectangles", f"WITH RECURSIVE {_C}, {Q.ratio_edges(0.05, 3)}, {Q.edge_rectangles(2, 3)} SELECT context, subjects, features FROM rc")
 def _(spark, d):
     return TC.rectangles(TC.edges(event_cube(spark, d), 0.05, 3), 2, 3)
 
@@ -724,9 +727,9 @@ def _clusters(spark, d):
     return e.groupBy((F.col("feature") % 10).alias("id")).agg(F.sort_array(F.collect_set("context")).alias("contexts"), F.sort_array(F.collect_set("subject")).alias("subjects"), F.sort_array(F.collect_set("feature")).alias("features"))
 
 
-@query("pm19_pm22_triclusters")
+@query("pm19_pm22_triclusters", f"WITH RECURSIVE {_C}, {Q.ratio_edges(0.05, 3)}, {Q.edge_rectangles(2, 3)}, {Q.rectangle_cubes(2, 2, 3)} SELECT contexts, subjects, features FROM cb")
 def _(spark, d):
-    return TC.triclusters(event_cube(spark, d), 0.05, 2, 2, 3)
+    return TC.triclusters(event_cube(spark, d), 0.05, 2, 2, 3).drop("id")
 
 
 _CUBE = f"""{E1}, c AS (SELECT context, CAST(list_position(['click','error','purchase','signup','view'], feature) - 1 AS INTEGER) AS s, subject AS f, subject % 10 AS id, value FROM e WHERE feature IN ('click','error','purchase','signup','view')),
@@ -748,7 +751,11 @@ def _(spark, d):
     return TC.quality(event_cube(spark, d), _clusters(spark, d)).select("n_clusters", "elements", "covered", *map(r6, ("deviation_context", "deviation_subject", "deviation_feature")))
 
 
-@query("pm20_delete_covered")
+_BX = """lj AS (SELECT CAST(month(o_orderdate) AS BIGINT) AS id, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS day, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS pr, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) AS brand FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+bx AS (SELECT id, contexts, subjects, features FROM """ + " JOIN ".join(f"(SELECT id, list_sort(list(x)) AS {out} FROM (SELECT id, {c} AS x, count(*) AS n, avg(count(*)) OVER (PARTITION BY id) AS m FROM lj GROUP BY 1, 2) WHERE n > m GROUP BY 1)" + ("" if out == "contexts" else " USING (id)") for c, out in (("day", "contexts"), ("pr", "subjects"), ("brand", "features"))) + ")"
+
+
+@query("pm20_delete_covered", f"WITH RECURSIVE {_BX}, {Q.boxes_in_order(0.8)} SELECT bx.id, contexts, subjects, features FROM bx JOIN kp USING (id)")
 def _(spark, d):
     return TC.without_covered(_small_boxes(spark, d), 0.8).select("id", "contexts", "subjects", "features")
 

@@ -113,3 +113,41 @@ def merge_round(k: int, tau: float) -> str:
 fa{k} AS (SELECT a, min(b) AS b FROM pr{k} GROUP BY 1), fb{k} AS (SELECT min(a) AS a, b FROM fa{k} GROUP BY 2), fc{k} AS (SELECT * FROM fb{k} WHERE a NOT IN (SELECT b FROM fb{k})),
 b{k + 1} AS (SELECT * FROM b{k} WHERE id NOT IN (SELECT a FROM fc{k} UNION ALL SELECT b FROM fc{k}) UNION ALL
   SELECT f.a, list_sort(list_distinct(list_concat(x."rows", y."rows"))), list_sort(list_distinct(list_concat(x.cols, y.cols))) FROM fc{k} f JOIN b{k} x ON x.id = f.a JOIN b{k} y ON y.id = f.b)"""
+
+
+def ratio_edges(window: float, least: int) -> str:
+    """CTEs (recursive) from cells c (context, s, f, value) to ed (context, i, j, features): the widest run of a segment, extended, then the segments on either side."""
+    return f"""q AS (SELECT x.context, x.s AS i, y.s AS j, x.f, abs(x.value / y.value) AS r, CASE WHEN x.value * y.value > 0 THEN 0 WHEN x.value > 0 THEN 1 ELSE 2 END AS sgn FROM c x JOIN c y ON x.context = y.context AND x.f = y.f AND x.s < y.s WHERE x.value <> 0 AND y.value <> 0),
+gr AS MATERIALIZED (SELECT row_number() OVER () AS g, *, list_transform(r, lambda v: len(list_filter(r, lambda z: z <= v * (1 + {window}))) - 1) AS e FROM (SELECT context, i, j, list(r ORDER BY r, f) AS r, list(f ORDER BY r, f) AS f FROM q GROUP BY context, i, j, sgn)),
+sg AS (SELECT g, CAST(0 AS BIGINT) AS a, CAST(len(r) AS BIGINT) AS b, CAST(NULL AS BIGINT) AS p, CAST(NULL AS BIGINT) AS q FROM gr UNION ALL
+  SELECT g, t.a, t.b, t.p, t.q FROM (
+    SELECT g, a, b, coalesce(list_max([k FOR k IN range(a, f0) IF e[k + 1] - k < {least}]) + 1, a) AS p, coalesce(list_min([k FOR k IN range(l0 + 1 - {least}, b - {least}) IF e[k + 1] - k < {least}]) - 1 + {least}, greatest(l0, b - 1)) AS q FROM (
+      SELECT *, f0 + m - 1 AS l0 FROM (SELECT *, a + list_position(z, m) - 1 AS f0 FROM (SELECT *, list_max(z) AS m FROM (
+        SELECT g, a, b, e, [least(e[k + 1], b - 1) - k + 1 FOR k IN range(a, b)] AS z FROM sg JOIN gr USING (g) WHERE p IS NULL AND b - a >= {least}))) WHERE m >= {least})) u,
+    LATERAL (SELECT unnest([u.a, u.q + 1, u.p]) AS a, unnest([u.p, u.b, u.q]) AS b, unnest([NULL, NULL, u.p]) AS p, unnest([NULL, NULL, u.q]) AS q) t),
+ed AS MATERIALIZED (SELECT context, i, j, list_sort(f[p + 1:q + 1]) AS features FROM sg JOIN gr USING (g) WHERE p IS NOT NULL)"""
+
+
+def edge_rectangles(subjects: int, features: int) -> str:
+    """CTEs (recursive) from ed to rc (context, subjects, features): every path of edges, then those that no other holds."""
+    return f"""pa AS (SELECT context, [i, j] AS subjects, features FROM ed UNION SELECT p.context, list_append(p.subjects, d.j), list_sort(list_intersect(p.features, d.features)) FROM pa p JOIN ed d ON d.context = p.context AND d.i = p.subjects[-1] WHERE len(list_intersect(p.features, d.features)) >= {features}),
+pf AS MATERIALIZED (SELECT DISTINCT * FROM pa WHERE len(subjects) >= {subjects} AND len(features) >= {features}),
+rc AS (SELECT * FROM pf x WHERE NOT EXISTS (SELECT 1 FROM pf y WHERE y.context = x.context AND (y.subjects <> x.subjects OR y.features <> x.features) AND list_has_all(y.subjects, x.subjects) AND list_has_all(y.features, x.features)))"""
+
+
+def rectangle_cubes(contexts: int, subjects: int, features: int) -> str:
+    """CTEs (recursive) from rc to cb (contexts, subjects, features): every chain of rectangles over rising contexts, then those that no other holds."""
+    mask = lambda c: f"list_sum([CAST(1 AS BIGINT) << x FOR x IN {c}])"
+    return f"""cs AS (SELECT [context] AS contexts, subjects, features FROM rc UNION SELECT list_append(s.contexts, r.context), list_sort(list_intersect(s.subjects, r.subjects)), list_sort(list_intersect(s.features, r.features)) FROM cs s JOIN rc r ON r.context > s.contexts[-1]
+  WHERE len(list_intersect(s.subjects, r.subjects)) >= {subjects} AND len(list_intersect(s.features, r.features)) >= {features}),
+cf AS MATERIALIZED (SELECT *, CAST({mask('contexts')} AS BIGINT) AS t, CAST({mask('subjects')} AS BIGINT) AS u, len(features) AS n FROM cs WHERE len(contexts) >= {contexts}),
+cb AS (SELECT contexts, subjects, features FROM cf x WHERE NOT EXISTS (SELECT 1 FROM cf y WHERE y.t & x.t = x.t AND y.u & x.u = x.u AND y.n >= x.n AND (y.t <> x.t OR y.u <> x.u OR y.n > x.n) AND list_has_all(y.features, x.features)))"""
+
+
+def boxes_in_order(share: float) -> str:
+    """CTEs (recursive) from boxes bx (id, contexts, subjects, features) to kp (id): one box after the other goes if the others that are left cover it."""
+    return f"""cl AS MATERIALIZED (SELECT id, (x, y, z) AS cell FROM (SELECT id, unnest(contexts) AS x, subjects, features FROM bx), unnest(subjects) AS u(y), unnest(features) AS v(z)),
+ov AS (SELECT a.id, b.id AS other, list(a.cell) AS cells FROM cl a JOIN cl b ON a.cell = b.cell AND a.id <> b.id GROUP BY 1, 2),
+ob AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS nth, (SELECT count(*) FROM cl WHERE cl.id = bx.id) AS n, coalesce((SELECT list({{'o': other, 'c': cells}}) FROM ov WHERE ov.id = bx.id), []) AS others FROM bx),
+gn AS (SELECT CAST(0 AS BIGINT) AS nth, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT ob.nth, CASE WHEN len(list_distinct(flatten([x.c FOR x IN others IF NOT list_contains(gone, x.o)]))) >= {share} * n THEN list_append(gone, ob.id) ELSE gone END FROM gn JOIN ob ON ob.nth = gn.nth + 1),
+kp AS (SELECT id FROM bx WHERE NOT list_contains((SELECT arg_max(gone, nth) FROM gn), id))"""
