@@ -1,6 +1,13 @@
 """A corpus from documents to packed sequences: toxicity, quality, near duplicates, packing.
 
-Each stage reads all that the one before kept, as a table in the shared folder.
+Each stage reads all that the one before kept, as a table in the shared folder, which goes once the next is written.
+
+Defined cases: a null or empty text is scored like any other (its features are all zero), is no near duplicate of anything,
+and packs as its end token; a row without an id is scored, keeps its place unless rejected, and packs under a null id;
+rows that are repeated stay together through the filters, and one of them stays after the near duplicates; of a group of
+near duplicates the smallest id stays; without any label of a kind no document is rejected by it; texts of any length are
+read whole; columns beside those of documents go along unchanged, whatever their names, to the last stage, which returns
+its own; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -8,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from matrixmill.llm import ngram_join, packing, quality_model, toxicity
-from matrixmill.llm.base import cut, read
+from matrixmill.llm.base import Tables, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = cut(docs) if i < len(STAGES) - 1 else docs
-    return docs
+    tables, docs = Tables(spark), read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        kept = tables.keep(stage(spark, docs, sf_dir))
+        tables.drop_all_but(kept)
+        docs = kept
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    tables.drop_all_but()  # packing reads a table of its own
+    return out

@@ -372,18 +372,20 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
 
 
 def listed(sigs: DataFrame) -> DataFrame:
-    """(sig, d1, pos, room, size, lo, hi) of the signatures that several classes hold: the list's length, and its first and last class."""
+    """(sig, d1, pos, room, size, lo, hi) of the signatures that several classes hold: the list's length, and its first and last class, each with the room it has there."""
     each = sigs.select("d1", F.posexplode(F.arrays_zip("sigs", "rooms")).alias("pos", "x")).select("d1", "pos", F.col("x.sigs").alias("sig"), F.col("x.rooms").alias("room"))
-    tops = each.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi")
+    # of a class that several tasks met, the most room
+    lo, hi = F.min(F.struct("d1", (-F.col("room")).alias("less"))), F.max(F.struct("d1", "room"))
+    tops = each.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), lo.alias("lo"), hi.alias("hi")).filter("lo.d1 <> hi.d1")
+    tops = tops.select("sig", "size", F.struct(F.col("lo.d1").alias("d1"), (-F.col("lo.less")).alias("room")).alias("lo"), "hi")
     return each.join(tops, "sig")
 
 
 def first_pairs(members: DataFrame, info: DataFrame) -> DataFrame:
     """Pairs (a, b) of d1 values that may link: all of the short lists; of longer ones each class with the first and the last of the heads it may link with."""
-    met = members.select("sig", F.col("d1").alias("x"), F.col("room").alias("room_x"), "size", F.explode(F.array("lo", "hi")).alias("y")).filter("x <> y")
-    heads = members.filter("d1 = lo or d1 = hi").groupBy("sig", F.col("d1").alias("y")).agg(F.max("room").alias("room_y"))
+    met = members.select(F.col("d1").alias("x"), F.col("room").alias("room_x"), "size", F.explode(F.array("lo", "hi")).alias("y")).select("x", "room_x", "size", F.col("y.d1").alias("y"), F.col("y.room").alias("room_y")).filter("x <> y")
     # the most room of a pair is that of the first signature it shares
-    met = met.join(heads, ["sig", "y"]).groupBy("x", "y").agg(F.max("room_x").alias("room_x"), F.max("room_y").alias("room_y"), F.min("size").alias("size"))
+    met = met.groupBy("x", "y").agg(F.max("room_x").alias("room_x"), F.max("room_y").alias("room_y"), F.min("size").alias("size"))
     met = met.join(side(info, "x"), "x").join(side(info, "y"), "y").filter(room_enough() & differ_little("x", "y")).select("x", "y", "size")
     long = met.filter(F.col("size") > SMALL).groupBy("x").agg(F.array_distinct(F.array(F.min("y"), F.max("y"))).alias("y")).select("x", F.explode("y").alias("y"))
     return met.filter(F.col("size") <= SMALL).select("x", "y").unionByName(long).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
