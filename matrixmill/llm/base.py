@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -122,11 +125,11 @@ class Memo(dict):
         super().__init__()
         self.most, self.passing = most, []
 
-    def missing(self, keys: set) -> list:
+    def missing(self, keys: Iterable) -> list:
         """The keys that are not held and must be added now; lets the passing keys of the last slice go."""
         for k in self.passing:
             self.pop(k, None)
-        new = sorted(keys - self.keys(), key=len)
+        new = sorted(set(filterfalse(self.__contains__, keys)), key=len)
         stay = min(max(0, self.most - len(self)), bisect_right(new, self.LONG, key=len))
         self.passing = new[stay:]
         return new
@@ -136,12 +139,16 @@ _MEMOS: dict[str, Memo] = {}
 
 
 def release_memos(but: tuple[str, ...] = ()) -> None:
-    """Let go the memos that earlier jobs left in this Python worker."""
+    """Let go the memos that earlier jobs left in this Python worker, and give what they held back to the system."""
     gone = [k for k in _MEMOS if k not in but]
     for k in gone:
         del _MEMOS[k]
     if gone:
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+        if trim is not None:
+            trim(0)
 
 
 def worker_memo(key: str, most: int = 300_000, beside: tuple[str, ...] = ()) -> Memo:

@@ -16,6 +16,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,10 +35,34 @@ RANKED_TOGETHER = 200_000
 #: No token of the vocabulary spans ASCII white space, nor the place between a letter or digit and one of these marks,
 #: and its text is lower-cased first; so the chunks between such places can be looked up whole. Only the literal texts of
 #: added tokens come first: they are found in the text as it stands, and part it.
-cut_words = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])").sub
+_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+#: no UTF-8 text holds this byte
+_BETWEEN = b"\xff"
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_TOKENIZERS: dict[str, tokenizers.Tokenizer] = {}
+
+
+def worker_tokenizer(path: str, spec: str) -> tokenizers.Tokenizer:
+    """One for all tasks of a Python worker."""
+    if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task; its threads would also keep memory
+        _TOKENIZERS.clear()
+        _TOKENIZERS[path] = tokenizers.Tokenizer.from_str(spec)
+        _TOKENIZERS[path].encode_special_tokens = True  # a chunk that only looks like an added token after lower-casing is none
+    return _TOKENIZERS[path]
+
+
+def cut_words(texts: list[bytes]) -> list[list[bytes]]:
+    """The chunks of each text, lower-cased: between white space, and between a letter or digit and a mark. All texts are cut in one go."""
+    whole = _BETWEEN.join(texts).lower()
+    b = np.frombuffer(whole, np.uint8)
+    at = np.flatnonzero(_MARK[b[1:]] & _LETTER[b[:-1]]) + 1
+    return [t.split() for t in np.insert(b, at, 32).tobytes().split(_BETWEEN)] if texts else []
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of at most `capacity` ids of each document; with_ids adds the ids (little-endian 32 bits) themselves."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -44,29 +70,29 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task; its threads would also keep memory
-        tokenizer = tokenizers.Tokenizer.from_str(spec)
-        tokenizer.encode_special_tokens = True  # a chunk that only looks like an added token after lower-casing is none
+        tokenizer = worker_tokenizer(tokenizer_path, spec)
         added = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
         part = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")").split if added else lambda b: [b]
         memo = worker_memo(f"bpe:{tokenizer_path}", 400_000)
         # under keys that no chunk can have
         memo.update({b" " + t: np.array([i], "<u4").tobytes() for t, i in added.items()})
 
-        def cut_text(t: str | None) -> list[bytes]:
-            out: list[bytes] = []
-            for k, b in enumerate(part((t or "").encode())):
-                out += [b" " + b] if k % 2 else cut_words(b" ", b.lower()).split()
-            return out
+        def cut_texts(texts: list[bytes]) -> list[list[bytes]]:
+            if not any(a in t for t in texts for a in added):
+                return cut_words(texts)
+            parts = [part(t) for t in texts]
+            # what stands between added tokens is cut like a text of its own
+            cut_parts = iter(cut_words([p for ps in parts for p in ps[::2]]))
+            return [[c for k, p in enumerate(ps) for c in ([b" " + p] if k % 2 else next(cut_parts))] for ps in parts]
 
         def encoded(chunks: list[bytes]) -> list[bytes]:
             found = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
+            return [array("I", e.ids).tobytes() for e in found]
 
         def each(rows: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids)}
-            chunks = [cut_text(t) for t in rows["text"]]
-            new = memo.missing(set().union(*chunks))
+            chunks = cut_texts([(t or "").encode() for t in rows["text"]])
+            new = memo.missing(chain.from_iterable(chunks))
             for i in range(0, len(new), 5000):
                 memo.update(zip(new[i : i + 5000], encoded(new[i : i + 5000]), strict=True))
             for doc_id, doc in zip(rows["doc_id"], chunks, strict=True):
