@@ -44,7 +44,7 @@ def weighted(docs: DataFrame, key: str, text: str) -> DataFrame:
     The few terms that most documents hold would each be one key of the join with idf: theirs is sent to all tasks, of
     which there are at most FREQUENT by the threshold; only the rest is joined by term.
     """
-    tf = tokens(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = keep(tokens(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))  # read again below: texts are cut once
     n = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
     df = keep(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
     most = (df.agg(F.sum("df").alias("n")).first().n or 0) / FREQUENT
