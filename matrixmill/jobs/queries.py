@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,8 +17,9 @@ from ..operators import stats as ST
 from ..operators import text as T
 from ..operators import tricluster as TC
 from ..operators.scratch import keep as _kept
-from ..operators.scratch import tidy
+from ..operators.scratch import shared_dir, tidy
 from ..sources import matrix as SRC
+from ..sources import wide as WIDE
 from . import sql as Q
 from .model import DAYS, PRIORITIES, brand_priority, event_cube, expression, label_clusters, members, price_clusters, sample_contexts, samples, table, user_day, vector_cells, vectors_long
 
@@ -64,6 +66,29 @@ def _(spark, d):
     return SRC.read_features(expression(spark, d), want).select("feature", "context", "subject", r6("value"))
 
 
+@query("src1_wide_matrix", f"WITH {E2} SELECT CAST(sample AS VARCHAR) AS feature, CAST(feature AS VARCHAR) AS sample, feature AS pos, round(value, 6) AS value FROM x WHERE value IS NOT NULL")
+def _(spark, d):
+    """Vectors written as a wide matrix in two batches, one of them twice, and read back in splits."""
+    e = table(spark, d, "embeddings").filter("vec_id is not null and embedding is not null and label is not null")
+    n = e.agg(F.max(F.size("embedding")).alias("n")).first().n or 0
+    name = F.col("vec_id").cast("string")
+    wide = e.select(name.alias("id"), F.lit("vector").alias("name"), name.alias("feature"), *(F.get("embedding", F.lit(i)).cast("double").alias(str(i)) for i in range(n)))
+    WIDE.register(spark)
+    path = f"{shared_dir(spark)}/wide-{uuid.uuid4().hex}"
+    for batch in (0, 1, 1):
+        wide.filter(F.pmod(F.col("id").cast("long"), F.lit(2)) == batch).write.format("wide_matrix").option("batch", f"part{batch}").mode("append").save(path)
+    return spark.read.format("wide_matrix").option("layout", "long").load(path).filter("value is not null").select("feature", "sample", "pos", r6("value"))
+
+
+@query("snk1_append_batches", "SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS batch, c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_nationkey IS NOT NULL")
+def _(spark, d):
+    """A table appended in two batches, one of them twice."""
+    c, path = table(spark, d, "customer"), f"{shared_dir(spark)}/appended-{uuid.uuid4().hex}"
+    for batch, rest in (("even", 0), ("odd", 1), ("even", 0)):
+        SRC.append_table(c.filter(F.col("c_nationkey") % 2 == rest).select("c_custkey", "c_mktsegment", "c_acctbal"), path, batch)
+    return spark.read.parquet(path).select("batch", "c_custkey", "c_mktsegment", "c_acctbal")
+
+
 @query("src6_row_ids", "SELECT CAST(c_custkey AS BIGINT) AS row_id, c_mktsegment FROM customer")
 def _(spark, d):
     return SRC.with_row_ids(table(spark, d, "customer").select("c_custkey", "c_mktsegment"))

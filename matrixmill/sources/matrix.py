@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.scratch import keep
+from .wide import register
+
 
 def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, place, value): text lines with a number that rises along each file: where the line's block begins, plus its place in the block."""
@@ -79,8 +82,64 @@ def with_row_ids(table: DataFrame) -> DataFrame:
     return table.withColumnRenamed(first, "row_id") if unique else table.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def append_table(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_table(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append typed rows to a Parquet table, made where there is none; other columns or types than the table's are an error.
+
+    With a batch's name the rows are its partition (`batch=...`), and appending it again replaces them: a job that broke off
+    and runs again writes no row twice.
+    """
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        there = {c: t for c, t in spark.read.parquet(path).dtypes if c != "batch" or batch is None}
+        if there != dict(df.dtypes):
+            raise ValueError(f"the table holds {there}, not {dict(df.dtypes)}")
+    if batch is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, by: str, parts: int, properties: dict | None = None, quote: str = '"') -> DataFrame:
+    """A database table read by `parts` tasks, each a range of the integer column `by`; filters and columns are pushed to the database.
+
+    The column is named in the database as it is here, between the database's quotes.
+    """
+    options = {**(properties or {}), "url": url}
+    ends = spark.read.format("jdbc").options(**options, query=f"SELECT min({quote}{by}{quote}) AS lo, max({quote}{by}{quote}) AS hi FROM {table}").load().toDF("lo", "hi").first()
+    reader = spark.read.format("jdbc").options(**options, dbtable=table)
+    if ends.lo is not None and ends.hi > ends.lo:
+        reader = reader.options(partitionColumn=by, lowerBound=str(ends.lo), upperBound=str(ends.hi + 1), numPartitions=str(parts))
+    return reader.load()
+
+
+def append_jdbc(df: DataFrame, url: str, table: str, keys: list[str], properties: dict | None = None, chunk: int = 1000) -> None:
+    """Append rows to a database table, made where there is none, `chunk` at a time. Rows whose keys the table holds are left out,
+    so an append that broke off is completed when it runs again. A unique index on the keys guards against two appends at once."""
+    spark, options = df.sparkSession, {**(properties or {}), "url": url, "dbtable": table}
+    df.limit(0).write.format("jdbc").options(**options).mode("ignore").save()  # makes the table where there is none
+    held = spark.read.format("jdbc").options(**options).load().select(*keys)
+    df = keep(df.join(held, keys, "left_anti"))  # the table is read before rows go to it
+    df.dropDuplicates(keys).write.format("jdbc").options(**options, batchsize=str(chunk)).mode("append").save()
+
+
+def read_dataset(spark: SparkSession, path: str, classes: tuple[str, ...] = ("class", "output", "target")) -> tuple[DataFrame, DataFrame | None]:
+    """A table of attributes with row ids, and (row_id, class) of its class column, if one of the known names is there.
+
+    `.arff` by its attributes; other text by the separator that its header holds most often of tab, semicolon, comma and bar.
+    """
+    if path.rstrip("/").endswith("arff"):
+        register(spark)
+        table = spark.read.format("arff").load(path).drop("row_pos")
+    else:
+        first = spark.read.text(path).first()
+        if first is None:
+            raise ValueError(f"no header in {path}")
+        header = first[0]
+        table = spark.read.csv(path, header=True, inferSchema=True, sep=max("\t;,|", key=header.count))
+    table = keep(with_row_ids(table))  # numbers given once
+    found = next((c for c in classes if c in table.columns), None)
+    return table, None if found is None else table.select("row_id", F.col(found).alias("class"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
