@@ -35,7 +35,7 @@ MISSING = ["", "NA", "null", "?"]
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
     return fs.LocalFileSystem(), path
 
 
