@@ -1,9 +1,14 @@
 """LM scoring: an Elias-Fano trie of word trigrams with quantised smoothed probabilities, in shards.
 
-Model. The WORDS most frequent training words have ids of their own; all others are known by one id, RARE, and then by
-their own share within it, so every word has a count and a probability. p(token | two before) is interpolated absolute
-discounting down to the unigrams. An unseen word is one outcome beside the known ones, as in the base score: it gets what
-the rare words' counts are discounted by, plus one. Probabilities sum to one over the known words, the end and the unseen.
+Model. p(token | two before) is interpolated absolute discounting down to the unigrams, over all training words: each has
+its own unigram, bigrams and trigrams, however rare. An unseen word is one outcome beside the known ones, as in the base
+score: it gets what the known words' counts are discounted by, plus one. Probabilities sum to one over the known words, the
+end and the unseen. Only who asks for n_words gets a class model: the n_words most frequent words are told apart, the
+others share one id, RARE, and are then known by their own share within it.
+
+Ids. The WORDS most frequent words have short ids, the same everywhere. Any other word goes by its hash; rows that hold such
+words bring a list of their hashes and number them from RARE + 1 on, and so does each shard. No table of all words is needed
+anywhere.
 
 Shards. A trigram (u, v, w) belongs to the shard of its middle word v; a middle word with more than a shard's share
 of the tokens is dealt by u over as many shards as its share asks. A shard holds, each level monotone and in Elias-Fano
@@ -12,10 +17,12 @@ place among the followers of v alone, which is a small number. A query finds w a
 predecessors, then that place within (v, u): three successor searches. Probabilities and back-off weights are 16-bit
 steps of log10. A task lays its shard's levels into one file, maps it into memory, and answers all n-grams that texts ask there.
 
-Spark's part: (1) words are counted, (2) bigrams of the training texts are counted and each list of followers is sent to
-the shards of its first word, (3) every text's trigrams, sorted and packed in blocks of the texts' tasks, go to their shards
-once: those of training texts are counted into the trie there, and all are answered from it. What comes back are sums per
-document of each block. Nothing but the WORDS ids and counts, of fixed size, reaches the driver or is sent to all tasks.
+Spark's part: (1) words are counted, (2) bigrams of the training texts are counted, those that end in a word without a short
+id where that word is counted, so that they take its count along; each list of followers is sent to the shards of its first
+word, (3) every text's trigrams, sorted and packed in blocks of the texts' tasks, go to their shards once: those of training
+texts are counted into the trie there, and all are answered from it, (4) what came down to the unigram of a word without a
+short id asks where that word is counted. What comes back are sums per document of each block. Nothing but the WORDS ids
+and counts, of fixed size, reaches the driver or is sent to all tasks.
 
 Words are known by 64-bit hashes. Counts are over all training texts, without cut-off.
 
@@ -42,14 +49,16 @@ from .ngram_join import _IS_SPACE, PIECE, mix, word_hashes
 
 ID_BITS = 16
 START, END, RARE = (1 << ID_BITS) - 3, (1 << ID_BITS) - 2, (1 << ID_BITS) - 1
-#: words with ids of their own
+#: words with short ids; all others go by hash
 WORDS = START
 DISCOUNT, STEP = 0.75, 4096
 #: bytes of text behind one shard, and tokens that a task gathers before it sends them
 SHARD_BYTES, FLUSH = 16 << 20, 1 << 21
+#: trigrams in one row of wide keys: they and their names fit 21 bits a word
+WIDE_ROW = 1 << 19
 
 # kinds of rows on the way to a shard
-TRAIN, ASKED, RARE_ASKED, FOLLOWERS, COUNTS, DOCS = range(6)
+TRAIN, ASKED, RARE_ASKED, FOLLOWERS, COUNTS, DOCS, TRAIN_WIDE, ASKED_WIDE, FOLLOWERS_WIDE, BACKED_OFF = range(10)
 ROW = "shard int, kind int, flush long, a binary, b binary, c binary"
 _ROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("flush", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _64 = np.uint64
@@ -108,7 +117,75 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             held = 0
     if group:
         together()
-    return np.concatenate(out), np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+    h = np.concatenate(out)
+    h[h <= RARE] ^= ~_64(0)  # a hash is no short id
+    return h, np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+
+
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes among short ids and hashes, ascending, and x with each as RARE + 1 and its place there."""
+    names = np.unique(x[x > RARE])
+    return names, np.where(x > RARE, np.searchsorted(names, x).astype(np.uint64) + _64(RARE + 1), x)
+
+
+def by_name(names: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The hashes again."""
+    return np.where(x > RARE, names[np.maximum(x, RARE + 1).astype(np.int64) - RARE - 1], x) if len(names) else x
+
+
+def bits_of(names: int) -> int:
+    """Bits for the short ids and so many names."""
+    return (RARE + names).bit_length()
+
+
+def joint(bits: int, *ids: np.ndarray) -> np.ndarray:
+    out = ids[0].astype(np.uint64)
+    for x in ids[1:]:
+        out = out << _64(bits) | x.astype(np.uint64)
+    return out
+
+
+def apart(keys: np.ndarray, bits: int, fields: int) -> list[np.ndarray]:
+    return [keys >> _64(bits * k) & _64((1 << bits) - 1) for k in range(fields - 1, -1, -1)]
+
+
+def pack_wide(names: np.ndarray, *ids: np.ndarray) -> bytes:
+    """Sorted keys of several ids, numbered by names, with those names that they use."""
+    used = np.unique(np.concatenate(ids))
+    used = used[np.searchsorted(used, _64(RARE + 1)) :]
+    head = pack_sorted(names[used.astype(np.int64) - RARE - 1])
+    own = [np.where(x > RARE, np.searchsorted(used, x).astype(np.uint64) + _64(RARE + 1), x) for x in ids]
+    return len(head).to_bytes(4, "little") + head + pack_sorted(joint(bits_of(len(used)), *own))
+
+
+def names_in(data: bytes) -> np.ndarray:
+    return unpack_sorted(data[4 : 4 + int.from_bytes(data[:4], "little")])
+
+
+def unpack_wide(data: bytes, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    names = names_in(data)
+    return names, apart(unpack_sorted(data[4 + int.from_bytes(data[:4], "little") :]), bits_of(len(names)), fields)
+
+
+def renumbered(given: np.ndarray, x: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Ids by the given names as ids by other names; RARE for what those lack."""
+    at = np.minimum(np.searchsorted(names, given), max(len(names) - 1, 0))
+    new = np.where(names[at] == given, at + RARE + 1, RARE) if len(names) else np.full(len(given), RARE)
+    return np.where(x > RARE, new[np.maximum(x, RARE + 1).astype(np.int64) - RARE - 1].astype(np.uint64), x)
+
+
+def all_names(rows: list[tuple]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(names_in(a) for _, a, *_ in rows)]))
+
+
+def wide_ids(rows: list[tuple], fields: int, names: np.ndarray) -> list[np.ndarray]:
+    """The keys of all rows end to end, by these names."""
+    found = [[renumbered(given, x, names) for x in ids] for given, ids in (unpack_wide(a, fields) for _, a, *_ in rows)]
+    return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.uint64)] * fields
+
+
+def numbers(data: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(unpack(x).astype(np.int64) for x in data)])
 
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +242,7 @@ def map_blocks(docs: DataFrame, send) -> DataFrame:
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
     """The rows of one shard by kind. A shard is a partition."""
-    held: dict[int, list[tuple]] = {k: [] for k in range(6)}
+    held: dict[int, list[tuple]] = {k: [] for k in range(10)}
     for batch in batches:
         for shard, kind, flush, a, b, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
             held[kind].append((flush, a, b, c, shard))
@@ -217,23 +294,32 @@ def most_frequent(counts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The model's words: ids, counts and unigram probabilities, and over how many shards each middle word is dealt."""
+    """The model's words: ids, counts and unigram probabilities, and over how many shards each middle word is dealt.
 
-    def __init__(self, top: np.ndarray, counts: np.ndarray, total: int, distinct: int, texts: int, shards: int) -> None:
+    apart: words without a short id are told apart, too; otherwise they are one class.
+    """
+
+    def __init__(self, top: np.ndarray, counts: np.ndarray, total: int, distinct: int, texts: int, shards: int, apart: bool = False) -> None:
         order = np.argsort(top)
         self.sorted, self.ids, self.n = top[order], order.astype(np.int64), counts
         self.total, self.known = total + texts, distinct + (texts > 0)
         self.rare, self.rare_kinds, self.texts, self.shards = total - int(counts.sum()), distinct - len(top), texts, shards
+        self.apart = apart
         p = np.zeros(1 << ID_BITS)
         p[: len(counts)], p[END], p[RARE] = counts, texts, self.rare + 1
         with np.errstate(divide="ignore"):
             self.p = p / (self.total + 1) if self.total else np.ones(1 << ID_BITS)
+            if apart and self.total:  # nothing goes by RARE; a hash's unigram is asked elsewhere
+                self.p = np.where(p > 0, self.unigram(p), 0)
+                self.p[RARE] = 1
             self.code = code(self.p)
         seen = np.zeros(1 << ID_BITS, np.int64)
-        seen[: len(counts)], seen[START], seen[RARE] = counts, texts, self.rare
+        # the counts of words by hash are below the last short id's, so one shard holds each up to 2^16 shards
+        seen[: len(counts)], seen[START], seen[RARE] = counts, texts, 0 if apart else self.rare
         self.dealt = np.maximum(1, -(-seen * shards // max(self.total, 1)))
 
     def of(self, h: np.ndarray) -> np.ndarray:
+        """Short ids; RARE for all other words."""
         if not len(self.sorted):
             return np.full(len(h), RARE)
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
@@ -243,7 +329,14 @@ class Words:
         return (mix(v.astype(np.uint64) << _64(32) | part.astype(np.uint64)) % _64(self.shards)).astype(np.int64)
 
     def part(self, v: np.ndarray, other: np.ndarray) -> np.ndarray:
-        return (mix(other.astype(np.uint64) + _64(1)) % self.dealt[v].astype(np.uint64)).astype(np.int64)
+        return (mix(other.astype(np.uint64) + _64(1)) % self.dealt_over(v).astype(np.uint64)).astype(np.int64)
+
+    def dealt_over(self, v: np.ndarray) -> np.ndarray:
+        return self.dealt[np.minimum(v, RARE).astype(np.int64)]
+
+    def unigram(self, c: np.ndarray) -> np.ndarray:
+        """The probability of a word or end by its count; of the unseen word for c = 0."""
+        return np.where(c > 0, c - DISCOUNT, DISCOUNT * self.known + 1) / (self.total + 1)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.known + 1)))
@@ -260,75 +353,105 @@ def code(p: np.ndarray) -> np.ndarray:
 
 
 def sequences(words: Words, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts end to end, START twice before and END after each, and the places of what is predicted."""
+    """The ids of all texts end to end, hashes where there is no short one, START twice before and END after each, and the places of what is predicted."""
     first = np.cumsum(sizes + 3) - sizes - 3
-    out = np.full(int((sizes + 3).sum()), START, np.int64)
+    out = np.full(int((sizes + 3).sum()), START, np.uint64)
     body = np.arange(len(h)) + np.repeat(first + 2 - np.cumsum(sizes) + sizes, sizes)
-    out[body] = words.of(h)
+    ids = words.of(h)
+    out[body] = np.where(ids == RARE, h, ids.astype(np.uint64)) if words.apart else ids
     out[first + sizes + 2] = END
     told = np.ones(len(out), bool)
     told[first] = told[first + 1] = False
     return out, np.flatnonzero(told)
 
 
-def followers(docs: DataFrame, words: Words) -> DataFrame:
-    """Rows of FOLLOWERS to each shard that a word is dealt over: sorted (v, w) and how often w follows v in the training texts."""
+def followers(docs: DataFrame, words: Words, counts: DataFrame) -> DataFrame:
+    """Rows of FOLLOWERS to each shard that a word is dealt over: sorted (v, w) and how often w follows v in the training texts.
+
+    FOLLOWERS_WIDE: those with words by hash; they also bring how often w comes at all, if it has no short id.
+    """
 
     def send(flush, h, sizes, learned, held, ids):
         x, at = sequences(words, h[np.repeat(learned, sizes)], sizes[learned])
-        keys, counts = np.unique(x[at - 1] << ID_BITS | x[at], return_counts=True)
-        v, w = keys >> ID_BITS, keys & RARE
-        order, parts = by_shard(words.shard(v, words.part(v, w)), keys)
-        for s, p in parts:
-            yield s, FOLLOWERS, 0, pack_sorted(keys[order[p]]), pack(counts[order[p]]), None
+        names, i = numbered(x)
+        keys, n = np.unique(joint(32, i[at - 1], i[at]), return_counts=True)
+        v, w = apart(keys, 32, 2)
+        gv, gw = by_name(names, v), by_name(names, w)
+        # the word's own shard, where it is counted
+        shard = np.where(w > RARE, (gw % _64(words.shards)).astype(np.int64), words.shard(gv, words.part(gv, gw)))
+        wide = (v > RARE) | (w > RARE)
+        for kind, rows in ((FOLLOWERS, np.flatnonzero(~wide)), (FOLLOWERS_WIDE, np.flatnonzero(wide))):
+            order, parts = by_shard(shard[rows], keys[rows])
+            for s, p in parts:
+                o = rows[order[p]]
+                yield s, kind, 0, pack_sorted(joint(ID_BITS, v[o], w[o])) if kind == FOLLOWERS else pack_wide(names, v[o], w[o]), pack(n[o]), None
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = counted(gathered(batches)[FOLLOWERS])
-        if not len(keys):
-            return
-        # word by word, as a word dealt over many shards has its list sent to each
-        v = (keys >> _64(ID_BITS)).astype(np.int64)
-        alone = words.dealt[v] == 1
+    def targets(v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, rows) for each shard of each word; word by word, as a word dealt over many shards has its list sent to each."""
+        alone = words.dealt_over(v) == 1
         groups = [(np.flatnonzero(alone), words.shard(v[alone], np.zeros(alone.sum())))]
         for word in np.unique(v[~alone]).tolist():
             mine = np.flatnonzero(v == word)
             many = int(words.dealt[word])
             groups += [(mine, np.full(len(mine), s)) for s in np.unique(words.shard(np.full(many, word), np.arange(many))).tolist()]
         for rows, target in groups:
-            order, parts = by_shard(target, keys[rows])
+            order, parts = by_shard(target, rows)
             for s, p in parts:
-                yield row_batch([(s, FOLLOWERS, 0, pack_sorted(keys[rows][order[p]]), pack(counts[rows][order[p]]), None)])
+                yield s, rows[order[p]]
 
-    return to_shards(map_blocks(docs, send), words.shards).mapInArrow(add, ROW)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = gathered(batches)
+        keys, n = counted(held[FOLLOWERS])
+        for s, o in targets(keys >> _64(ID_BITS)):
+            yield row_batch([(s, FOLLOWERS, 0, pack_sorted(keys[o]), pack(n[o]), None)])
+        if not held[FOLLOWERS_WIDE]:
+            return
+        names = all_names(held[FOLLOWERS_WIDE])
+        keys, n = merged(joint(32, *wide_ids(held[FOLLOWERS_WIDE], 2, names)), numbers([b for _, _, b, *_ in held[FOLLOWERS_WIDE]]))
+        v, w = apart(keys, 32, 2)
+        times = looked_up(held)(by_name(names, w))  # 0 for short ids
+        for s, o in targets(by_name(names, v)):
+            yield row_batch([(s, FOLLOWERS_WIDE, 0, pack_wide(names, v[o], w[o]), pack(n[o]), pack(times[o]))])
+
+    rows = map_blocks(docs, send)
+    return to_shards(rows.unionByName(counts) if words.apart else rows, words.shards).mapInArrow(add, ROW)
 
 
 def asked(docs: DataFrame, words: Words) -> DataFrame:
-    """Every text's trigrams with its place in the block (TRAIN or ASKED), its rare words (RARE_ASKED), and what is known of the block's texts (DOCS)."""
+    """Every text's trigrams with its place in the block (TRAIN or ASKED; WIDE: with words by hash), its words without a short id (RARE_ASKED), and what is known of the block's texts (DOCS)."""
 
     def send(flush, h, sizes, learned, held, ids):
         x, at = sequences(words, h, sizes)
-        u, v, w = x[at - 2], x[at - 1], x[at]
         doc = np.repeat(np.arange(len(sizes)), sizes + 1)
-        key = v << 2 * ID_BITS | u << ID_BITS | w
-        shard, known = words.shard(v, words.part(v, u)), learned[doc]
-        for kind, rows in ((TRAIN, np.flatnonzero(known)), (ASKED, np.flatnonzero(~known))):
-            order, parts = by_shard(shard[rows], key[rows])
-            for s, p in parts:
+        shard, known = words.shard(x[at - 1], words.part(x[at - 1], x[at - 2])), learned[doc]
+        names, i = numbered(x)
+        u, v, w = i[at - 2], i[at - 1], i[at]
+        bits = bits_of(len(names))
+        group = shard << 2 | (np.maximum(np.maximum(u, v), w) > RARE) << 1 | known
+        order = np.lexsort((joint(bits, v, u, w), group) if 3 * bits <= 64 else (w, u, v, group))
+        group = group[order]
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=bool(len(order))):
+            s, kind = int(group[a]) >> 2, ((ASKED, TRAIN), (ASKED_WIDE, TRAIN_WIDE))[int(group[a]) >> 1 & 1][int(group[a]) & 1]
+            for start in range(a, b, WIDE_ROW):
+                o = order[start : min(b, start + WIDE_ROW)]
                 # a text that repeats a trigram asks it once, with its count
-                o = rows[order[p]]
-                k, d = key[o], doc[o]
-                new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]))
-                yield s, kind, flush, pack_sorted(k[new]), pack(d[new]), pack(np.diff(new, append=len(k)))
+                new = np.flatnonzero(np.concatenate([[True], np.any([k[o[1:]] != k[o[:-1]] for k in (v, u, w, doc)], axis=0)]))
+                k = [y[o[new]] for y in (v, u, w)]
+                yield s, kind, flush, pack_wide(names, *k) if kind in (TRAIN_WIDE, ASKED_WIDE) else pack_sorted(joint(ID_BITS, *k)), pack(doc[o[new]]), pack(np.diff(new, append=len(o)))
+        w = x[at]
+        del i, u, v, order, group
         rare = words.of(h) == RARE
         hr, dr = h[rare], np.repeat(np.arange(len(sizes)), sizes)[rare]
         order, parts = by_shard((hr % _64(words.shards)).astype(np.int64), hr)
         for s, p in parts:
             yield s, RARE_ASKED, flush, pack_sorted(hr[order[p]]), pack(dr[order[p]]), None
         n = np.append(words.n, words.texts)
-        mine = np.where(w == END, len(n) - 1, w)
-        own = np.flatnonzero((w != RARE))
-        base = np.bincount(doc[own], words.base(n[mine[own]]), len(sizes))
-        seen = np.bincount(doc[own], (n[mine[own]] > 0), len(sizes)).astype(np.int64)
+        own = np.flatnonzero(w < RARE)
+        mine = w[own].astype(np.int64)
+        mine[mine == END] = len(n) - 1
+        base = np.bincount(doc[own], words.base(n[mine]), len(sizes))
+        seen = np.bincount(doc[own], (n[mine] > 0), len(sizes)).astype(np.int64)
         about = json.dumps([ids, held.astype(int).tolist()]).encode()
         yield int(flush >> 32) % words.shards, DOCS, flush, zstandard.compress(about, 1), pack(np.concatenate([sizes + 1, seen])), pack_floats(base)
 
@@ -343,58 +466,87 @@ class Trie:
     def __init__(self, levels: dict[str, np.ndarray], unigrams: np.ndarray) -> None:
         self.q1 = unigrams.astype(np.int64)
         self.lists = {n: EliasFano(*(levels[f"{n}.{p}"] for p in ("size", "low", "high", "ones"))) for n in self.LISTS}
-        self.heads, self.q2, self.g2, self.q3, self.g3 = (levels[n] for n in ("heads", "q2", "g2", "q3", "g3"))
-        self.of = np.full(1 << ID_BITS, -1, np.int64)
+        self.heads, self.names, self.q2, self.g2, self.q3, self.g3 = (levels[n] for n in ("heads", "names", "q2", "g2", "q3", "g3"))
+        self.bits = bits_of(len(self.names))
+        self.of = np.full(RARE + 1 + len(self.names), -1, np.int64)
         self.of[self.heads] = np.arange(len(self.heads))
 
     @staticmethod
     def levels(trigrams: np.ndarray, counts: np.ndarray, bigrams: np.ndarray, n2: np.ndarray, p1: np.ndarray) -> dict[str, np.ndarray]:
-        """Levels of sorted distinct (v, u, w) and (v, w) with their counts."""
-        v2 = (bigrams >> _64(ID_BITS)).astype(np.int64)
+        """Levels of sorted distinct (v, u, w) and (v, w) of short ids with their counts. p1: unigram probabilities by id."""
+        return Trie.laid(*Trie.nodes(apart(trigrams, ID_BITS, 3), counts, ID_BITS), bigrams, n2, p1[(bigrams & _64(RARE)).astype(np.int64)], np.zeros(0, np.uint64))
+
+    @staticmethod
+    def nodes(trigrams: list[np.ndarray], counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of (v, u, w) in any order: the distinct (v, u), the place there and the w of each distinct trigram, and its count."""
+        v, u, w = trigrams
+        if 3 * bits <= 64:
+            keys, counts = merged(joint(bits, v, u, w), counts)
+            node = keys >> _64(bits)
+            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+            mine = np.repeat(np.arange(len(first)), np.diff(first, append=len(node)))
+            node = node[first]
+        else:
+            node, mine = np.unique(joint(bits, v, u), return_inverse=True)
+            keys, counts = merged(joint(bits, mine, w), counts)
+            mine = (keys >> _64(bits)).astype(np.int64)
+        return node, mine, keys & _64((1 << bits) - 1), counts
+
+    @staticmethod
+    def laid(node: np.ndarray, mine: np.ndarray, third: np.ndarray, counts: np.ndarray, bigrams: np.ndarray, n2: np.ndarray, p1: np.ndarray, names: np.ndarray) -> dict[str, np.ndarray]:
+        """Levels of nodes() and of sorted distinct (v, w) with their counts and w's unigram probability, all numbered by names."""
+        bits = bits_of(len(names))
+        b, low = _64(bits), _64((1 << bits) - 1)
+        v2 = (bigrams >> b).astype(np.int64)
         heads, start, size = np.unique(v2, return_index=True, return_counts=True)
         k = np.repeat(np.arange(len(heads)), size)
         total = np.add.reduceat(n2, start) if len(heads) else n2
         g2 = DISCOUNT * size / np.maximum(total, 1)
-        p2 = np.maximum(n2 - DISCOUNT, 0) / total[k] + g2[k] * p1[(bigrams & _64(RARE)).astype(np.int64)] if len(heads) else np.zeros(0)
-        after = k.astype(np.uint64) << _64(ID_BITS) | bigrams & _64(RARE)
-        place = np.full(1 << ID_BITS, -1, np.int64)
+        p2 = np.maximum(n2 - DISCOUNT, 0) / total[k] + g2[k] * p1 if len(heads) else np.zeros(0)
+        after = k.astype(np.uint64) << b | bigrams & low
+        place = np.full(RARE + 1 + len(names), -1, np.int64)
         place[heads] = np.arange(len(heads))
 
-        node, first, kinds = np.unique(trigrams >> _64(ID_BITS), return_index=True, return_counts=True)
-        kn = place[(node >> _64(ID_BITS)).astype(np.int64)]
-        mine = np.repeat(np.arange(len(node)), kinds)
+        kn = place[(node >> b).astype(np.int64)]
+        first = np.searchsorted(mine, np.arange(len(node)))
+        kinds = np.diff(first, append=len(mine))
         total3 = np.add.reduceat(counts, first) if len(node) else counts
         g3 = DISCOUNT * kinds / np.maximum(total3, 1)
-        i2 = np.searchsorted(after, kn[mine].astype(np.uint64) << _64(ID_BITS) | trigrams & _64(RARE))
+        i2 = np.searchsorted(after, kn[mine].astype(np.uint64) << b | third)
         p3 = np.maximum(counts - DISCOUNT, 0) / total3[mine] + g3[mine] * p2[i2] if len(node) else np.zeros(0)
         at = np.concatenate([[0], np.cumsum(size[kn])]).astype(np.int64)
-        m = len(heads) << ID_BITS
+        m = len(heads) << bits
         lists = {
             "after": EliasFano.of(after, m), "after_at": EliasFano.of(start, len(after)),
-            "before": EliasFano.of(kn.astype(np.uint64) << _64(ID_BITS) | node & _64(RARE), m),
+            "before": EliasFano.of(kn.astype(np.uint64) << b | node & low, m),
             "third": EliasFano.of(at[mine] + i2 - start[kn[mine]], int(at[-1])), "third_at": EliasFano.of(at[:-1], int(at[-1])),
         }
         out = {f"{n}.{p}": x for n, ef in lists.items() for p, x in ef.parts().items()}
-        return out | {"heads": heads, "q2": code(p2), "g2": code(g2), "q3": code(p3), "g3": code(g3)}
+        return out | {"heads": heads, "names": names, "q2": code(p2), "g2": code(g2), "q3": code(p3), "g3": code(g3)}
 
     def codes(self, keys: np.ndarray) -> np.ndarray:
-        """-log10 in STEPs of each (v, u, w)."""
-        v, u, w = (keys >> _64(2 * ID_BITS)).astype(np.int64), keys >> _64(ID_BITS) & _64(RARE), keys & _64(RARE)
-        out = self.q1[w.astype(np.int64)]
-        k = self.of[v]
+        """-log10 in STEPs of each (v, u, w) of short ids."""
+        return self.found(*apart(keys, ID_BITS, 3))[0]
+
+    def found(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """-log10 in STEPs of each (v, u, w), and whether w follows v at all; if not, the unigram of a w without a short id is left out."""
+        b = _64(self.bits)
+        out, after = self.q1[np.minimum(w, RARE).astype(np.int64)], np.zeros(len(w), bool)
+        k = self.of[v.astype(np.int64)]
         rows = np.flatnonzero(k >= 0)
         k = k[rows].astype(np.uint64)
-        i2, seen2 = self.lists["after"].find(k << _64(ID_BITS) | w[rows])
+        i2, seen2 = self.lists["after"].find(k << b | w[rows])
         out[rows] += self.g2[k]
         out[rows[seen2]] = self.q2[i2[seen2]]
-        node, there = self.lists["before"].find(k << _64(ID_BITS) | u[rows])
+        after[rows[seen2]] = True
+        node, there = self.lists["before"].find(k << b | u[rows])
         out[rows[there]] += self.g3[node[there]]
         both = np.flatnonzero(seen2 & there)
         # the word's place among the followers of v is its name below (v, u)
         relative = i2[both].astype(np.uint64) - self.lists["after_at"][k[both].astype(np.int64)]
         i3, seen3 = self.lists["third"].find(self.lists["third_at"][node[both]] + relative)
         out[rows[both[seen3]]] = self.q3[i3[seen3]]
-        return out
+        return out, after
 
 
 def lay_out(levels: dict[str, np.ndarray]) -> tuple[bytes, list[bytes]]:
@@ -424,38 +576,107 @@ _ANSWER = pa.schema([("flush", pa.int64()), ("kind", pa.int32()), ("doc", pa.bin
 
 
 def shard_levels(held: dict[int, list[tuple]], words: Words) -> dict[str, np.ndarray]:
-    bigrams, n2 = counted(held[FOLLOWERS])
-    keys, n = [unpack_sorted(a) for _, a, *_ in held[TRAIN]], [unpack(c).astype(np.int64) for _, _, _, c, _ in held[TRAIN]]
-    trigrams, counts = merged(np.concatenate(keys), np.concatenate(n)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return Trie.levels(trigrams, counts, bigrams, n2, words.p)
+    wide2, wide3 = held[FOLLOWERS_WIDE], held[TRAIN_WIDE]
+    names = all_names(wide2 + wide3)
+    bits = bits_of(len(names))
+    keys, n2 = counted(held[FOLLOWERS])
+    v, w = (np.concatenate(x) for x in zip(apart(keys, ID_BITS, 2), wide_ids(wide2, 2, names), strict=True))
+    n2 = np.concatenate([n2, numbers([b for _, _, b, *_ in wide2])])
+    p1 = np.concatenate([np.zeros(len(keys)), words.unigram(numbers([c for _, _, _, c, _ in wide2]))])
+    p1 = np.where(w > RARE, p1, words.p[np.minimum(w, RARE).astype(np.int64)])
+    bigrams = joint(bits, v, w)
+    order = np.argsort(bigrams)
+    bigrams, n2, p1 = bigrams[order], n2[order], p1[order]
+    del v, w, order
+    keys = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(a) for _, a, *_ in held[TRAIN])])
+    trigrams = [np.concatenate(x) for x in zip(apart(keys, ID_BITS, 3), wide_ids(wide3, 3, names), strict=True)]
+    del keys
+    return Trie.laid(*Trie.nodes(trigrams, numbers([c for _, _, _, c, _ in held[TRAIN] + wide3]), bits), bigrams, n2, p1, names)
+
+
+def answer_row(*row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({f.name: [x] for f, x in zip(_ANSWER, row, strict=True)}, schema=_ANSWER)
+
+
+def looked_up(held: dict[int, list[tuple]]):
+    """A function from hashes to how often the word comes in the training texts; of the words that this shard counts."""
+    keys, counts = counted(held[COUNTS])
+
+    def times(h: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return np.where(keys[at] == h, counts[at], 0)
+
+    return times
 
 
 def answered(rows: DataFrame, words: Words) -> DataFrame:
-    """Sums per text of each block that asked: codes of its trigrams (TRAIN); known words, base and share within the rare ones (RARE_ASKED). DOCS pass."""
+    """Sums per text of each block that asked: codes of its trigrams (TRAIN); known words, base and share within the class of rare ones (RARE_ASKED). DOCS pass.
+
+    BACKED_OFF: hashes whose unigram is still to be asked, a row for each shard that counts them (flush); a: hashes, b: blocks, c: texts and times.
+    """
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = gathered(batches)
-        out = lambda *row: pa.RecordBatch.from_pydict({f.name: [x] for f, x in zip(_ANSWER, row, strict=True)}, schema=_ANSWER)
         for flush, a, b, c, _ in held[DOCS]:
-            yield out(flush, DOCS, None, a, b, c)
-        keys, counts = counted(held[COUNTS])
+            yield answer_row(flush, DOCS, None, a, b, c)
+        times = looked_up(held)
         for flush, a, b, _, _ in held[RARE_ASKED]:
             h, doc = unpack_sorted(a), unpack(b).astype(np.int64)
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            n = np.where(keys[at] == h, counts[at], 0) if len(keys) else np.zeros(len(h), np.int64)
+            n = times(h)
             docs, place = np.unique(doc, return_inverse=True)
-            yield out(flush, RARE_ASKED, pack_sorted(docs), pack(np.bincount(place, n > 0).astype(np.int64)), pack_floats(np.bincount(place, words.base(n))), pack_floats(np.bincount(place, words.within_rare(n))))
+            share = np.zeros(len(docs)) if words.apart else np.bincount(place, words.within_rare(n))
+            yield answer_row(flush, RARE_ASKED, pack_sorted(docs), pack(np.bincount(place, n > 0).astype(np.int64)), pack_floats(np.bincount(place, words.base(n))), pack_floats(share))
         held[COUNTS], held[RARE_ASKED] = [], []
-        if held[TRAIN] or held[ASKED]:
-            trie = Trie(mapped(shard_levels(held, words)), words.code)
-            for flush, a, b, c, _ in held[TRAIN] + held[ASKED]:
-                docs, place = np.unique(unpack(b).astype(np.int64), return_inverse=True)
-                sums = np.bincount(place, trie.codes(unpack_sorted(a)) * unpack(c).astype(np.int64)).astype(np.int64)
-                yield out(flush, TRAIN, pack_sorted(docs), pack(sums), None, None)
+        del times
+        asking = [(TRAIN, x) for x in held[TRAIN] + held[ASKED]] + [(TRAIN_WIDE, x) for x in held[TRAIN_WIDE] + held[ASKED_WIDE]]
+        if not asking:
+            return
+        trie, left = Trie(mapped(shard_levels(held, words)), words.code), []
+        held.clear()
+        for kind, (flush, a, b, c, _) in asking:
+            doc, n = unpack(b).astype(np.int64), unpack(c).astype(np.int64)
+            if kind == TRAIN:
+                codes = trie.codes(unpack_sorted(a))
+            else:
+                names, ids = unpack_wide(a, 3)
+                codes, seen = trie.found(*(renumbered(names, x, trie.names) for x in ids))
+                off = np.flatnonzero((ids[2] > RARE) & ~seen)
+                left.append((by_name(names, ids[2][off]), np.full(len(off), flush), doc[off], n[off]))
+            docs, place = np.unique(doc, return_inverse=True)
+            yield answer_row(flush, TRAIN, pack_sorted(docs), pack(np.bincount(place, codes * n).astype(np.int64)), None, None)
+        if left:
+            h, flush, doc, n = (np.concatenate(x) for x in zip(*left, strict=True))
+            order, parts = by_shard((h % _64(words.shards)).astype(np.int64), h)
+            for s, p in parts:
+                o = order[p]
+                yield answer_row(s, BACKED_OFF, None, pack_sorted(h[o]), pack(flush[o]), pack(np.concatenate([doc[o], n[o]])))
 
     return to_shards(rows, words.shards).mapInArrow(answer, ANSWER)
 
 
+def unigrams(answers: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
+    """The codes that BACKED_OFF asks for, as sums per text (TRAIN)."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = gathered(batches)
+        times = looked_up(held)
+        if not held[BACKED_OFF]:
+            return
+        h = np.concatenate([unpack_sorted(a) for _, a, *_ in held[BACKED_OFF]])
+        flush = numbers([b for _, _, b, *_ in held[BACKED_OFF]])
+        doc, n = (np.concatenate(x) for x in zip(*(unpack(c).astype(np.int64).reshape(2, -1) for _, _, _, c, _ in held[BACKED_OFF]), strict=True))
+        sums = code(words.unigram(times(h))).astype(np.int64) * n
+        order, parts = by_shard(flush, doc)
+        for block, p in parts:
+            docs, place = np.unique(doc[order[p]], return_inverse=True)
+            yield answer_row(block, TRAIN, pack_sorted(docs), pack(np.bincount(place, sums[order[p]]).astype(np.int64)), None, None)
+
+    asking = answers.filter(F.col("kind") == BACKED_OFF).select(F.col("flush").cast("int").alias("shard"), "kind", F.lit(0).cast("long").alias("flush"), "a", "b", "c")
+    return to_shards(asking.unionByName(counts), words.shards).mapInArrow(answer, ANSWER)
+
+
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -485,40 +706,47 @@ def prepared(docs: DataFrame, learned: Column, held: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learned, F.lit(False)).alias("learned"), F.coalesce(held, F.lit(False)).alias("held"), F.col("text"))
 
 
-def model(docs: DataFrame, tables: Tables, n_words: int = WORDS, shard_bytes: int = SHARD_BYTES) -> tuple[Words, DataFrame, DataFrame]:
-    """The model's words, and its rows of COUNTS and FOLLOWERS. docs: as prepared."""
+def model(docs: DataFrame, tables: Tables, n_words: int | None = None, shard_bytes: int = SHARD_BYTES, short: int = WORDS) -> tuple[Words, DataFrame, DataFrame]:
+    """The model's words, and its rows of COUNTS and FOLLOWERS. docs: as prepared.
+
+    n_words: None, or how many words a class model tells apart (at most WORDS). short: how many words have short ids (at most WORDS); no result depends on it.
+    """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     shards = max(1, -(-size // shard_bytes))
     counts = tables.keep(word_counts(docs, shards))
     total = counts.select(F.col("flush").alias("n"), F.from_json(F.col("c").cast("string"), "array<long>").alias("c")).agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("n", F.col("c")[0], F.col("c")[1]))).first()
-    words = Words(*most_frequent(counts, min(n_words, WORDS)), *total, shards)
-    return words, counts, tables.keep(followers(docs, words))
+    words = Words(*most_frequent(counts, min(short if n_words is None else n_words, WORDS)), *total, shards, n_words is None)
+    return words, counts, tables.keep(followers(docs, words, counts))
 
 
-def levels(docs: DataFrame, learned: Column, n_words: int = WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def levels(docs: DataFrame, learned: Column, n_words: int | None = None, shard_bytes: int = SHARD_BYTES, short: int = WORDS) -> DataFrame:
     """(shard, head, levels): the trie itself, as a scoring task maps it into memory; head tells each level's type, length and place."""
     docs = prepared(docs, learned, F.lit(False))
-    words, _, lists = model(docs, Tables(docs.sparkSession), n_words, shard_bytes)
+    words, _, lists = model(docs, Tables(docs.sparkSession), n_words, shard_bytes, short)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = gathered(batches)
-        if held[TRAIN]:
+        if some := held[TRAIN] + held[TRAIN_WIDE]:
             head, parts = lay_out(shard_levels(held, words))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([held[TRAIN][0][4]], pa.int32()), "head": [head], "levels": [b"".join(parts)]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([some[0][4]], pa.int32()), "head": [head], "levels": [b"".join(parts)]})
 
-    rows = asked(docs, words).filter(F.col("kind") == TRAIN).unionByName(lists)
+    rows = asked(docs, words).filter(F.col("kind").isin(TRAIN, TRAIN_WIDE)).unionByName(lists)
     return to_shards(rows, words.shards).mapInArrow(lay, "shard int, head binary, levels binary")
 
 
-def scored(docs: DataFrame, learned: Column, held: Column, n_words: int = WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def scored(docs: DataFrame, learned: Column, held: Column, n_words: int | None = None, shard_bytes: int = SHARD_BYTES, short: int = WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text, by the model of the learned ones."""
     tables = Tables(docs.sparkSession)
     docs = prepared(docs, learned, held)
-    words, counts, lists = model(docs, tables, n_words, shard_bytes)
+    words, counts, lists = model(docs, tables, n_words, shard_bytes, short)
     rows = asked(docs, words).unionByName(lists).unionByName(counts)
     answers = tables.keep(answered(rows, words))
-    tables.drop_all_but(answers)
-    return added_up(answers, words)
+    tables.drop(lists)
+    out = answers.filter(F.col("kind") != BACKED_OFF)
+    if words.apart:
+        out = out.unionByName(tables.keep(unigrams(answers, counts, words)))
+    tables.drop(counts)
+    return added_up(out, words)
 
 
 def op13_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,3 +140,86 @@ def test_levels_answer_as_the_scores_do(spark):
     docs = spark.createDataFrame([(i, f"the cat sat on the {w}") for i, w in enumerate(["mat", "hat", "mat", "dog", "cat"] * 5)], "doc_id long, text string")
     rows = N.levels(docs, F.lit(True), shard_bytes=60).collect()
     assert len(rows) > 1 and all(r.levels and r.head for r in rows)
+
+
+def plain_of_all(docs):
+    """Rows as the operator's, every word told apart."""
+    learned = [tokens(t) for i, t in docs if i is not None and zlib.crc32(str(i).encode()) % 10]
+    c = collections.Counter(w for t in learned for w in t)
+    if learned:
+        c["\n"] = len(learned)
+    total, kinds = sum(c.values()), len(c)
+    one = lambda w: (c[w] - N.DISCOUNT if w in c else N.DISCOUNT * kinds + 1) / (total + 1)
+    two, three = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for t in learned:
+        x = [" ", " ", *t, "\n"]
+        for u, v, w in zip(x, x[1:], x[2:]):
+            two[v][w] += 1
+            three[u, v][w] += 1
+    sums = {k: sum(n.values()) for d in (two, three) for k, n in d.items()}
+    q = lambda p: min(round(-math.log10(p) * N.STEP), 65535)
+
+    def code(u, v, w):
+        p = one(w)
+        out = q(p)
+        for follow, key in ((two, v), (three, (u, v))):
+            if key in follow:
+                g = N.DISCOUNT * len(follow[key]) / sums[key]
+                p = max(follow[key].get(w, 0) - N.DISCOUNT, 0) / sums[key] + g * p
+                out = q(p) if w in follow[key] else out + q(g)
+        return out
+
+    out = []
+    for i, text in docs:
+        t = tokens(text)
+        x = [" ", " ", *t, "\n"]
+        base = sum(math.log10((c.get(w, 0) + 0.1) / (total + 0.1 * (kinds + 1))) for w in x[2:])
+        score = -sum(code(*z) for z in zip(x, x[1:], x[2:])) / N.STEP
+        out.append((str(i), i is not None and zlib.crc32(str(i).encode()) % 10 == 0, len(t) + 1, sum(w in c for w in x[2:]), total, base, score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("short", "shard_bytes"), [(N.WORDS, 1 << 24), (40, 1 << 24), (40, 1500), (3, 400), (0, 3000)])
+def test_every_word_is_told_apart(spark, odd, short, shard_bytes):
+    """Few short ids leave most words to go by hash; the result is the same."""
+    rng = np.random.default_rng(5)
+    words = [f"{chr(97 + i % 26)}{i}" for i in range(80)]
+    texts = [" ".join(rng.choice(words, 40, p=(w := 1 / np.arange(1, 81)) / w.sum())) for _ in range(120)]
+    docs = [*enumerate([*odd[:8], *texts, "B1 b1 B1\tb1 c2", "new words new words a0 new"]), (None, "a0 b1 a0 b1"), (7, "word"), (7, "word")]
+    docs += [(i, "never seen a0 b1 never seen") for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = N.scored(df, N.id_mod(F.col("doc_id"), 10) != 0, N.held_out(F.col("doc_id"), 10, 0), None, shard_bytes, short).collect()
+    same(got, plain_of_all(docs))
+
+
+def test_more_words_than_short_ids(spark):
+    """70,000 words, so some must go by hash; before, all beyond the 65,533 most frequent were one word to the model."""
+    texts = [" ".join(f"w{700 * i + k}" for k in range(700)) for i in range(100)]
+    docs = [*enumerate(texts + [" ".join(t.split()[::-1]) for t in texts] + texts[::-1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = N.scored(df, N.id_mod(F.col("doc_id"), 10) != 0, N.held_out(F.col("doc_id"), 10, 0)).collect()
+    same(got, plain_of_all(docs))
+
+
+def test_nothing_learned_of_words_by_hash(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    df = spark.createDataFrame([(held[0], "some text"), (None, None)], "doc_id long, text string")
+    rows = N.scored(df, N.id_mod(F.col("doc_id"), 10) != 0, N.held_out(F.col("doc_id"), 10, 0)).collect()
+    assert [r.score for r in rows] == [0, 0]
+
+
+def test_nodes_of_wide_ids():
+    """Keys of three ids that fit 64 bits and such that do not give the same nodes."""
+    rng = np.random.default_rng(1)
+    ids, counts = [rng.integers(0, 9, 500).astype(np.uint64) for _ in range(3)], rng.integers(1, 5, 500)
+    a, b = N.Trie.nodes(ids, counts, 20), N.Trie.nodes(ids, counts, 30)
+    assert (N.joint(30, *N.apart(a[0], 20, 2)) == b[0]).all() and all((x == y).all() for x, y in zip(a[1:], b[1:]))
+
+
+def test_wide_keys():
+    rng = np.random.default_rng(2)
+    x = rng.choice(np.array([3, 9, N.START, N.END, 1 << 20, (1 << 64) - 5, 1 << 63], np.uint64), (3, 400))
+    names, i = N.numbered(x.ravel())
+    order = np.lexsort(i.reshape(3, -1)[::-1])
+    given, ids = N.unpack_wide(N.pack_wide(names, *i.reshape(3, -1)[:, order]), 3)
+    assert (np.stack([N.by_name(given, k) for k in ids]) == x[:, order]).all()
