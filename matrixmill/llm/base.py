@@ -90,6 +90,22 @@ def slices(batch: pa.RecordBatch, text_col: str = "text") -> Iterator[pa.RecordB
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """What this Python worker no longer uses goes back to the system: freed Arrow buffers and freed heap pages stay with it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim is not None:
+        trim(0)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """The slices of all batches; after each batch what it took is given back."""
+    for batch in batches:
+        yield from slices(batch, text_col)
+        del batch
+        give_back()
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str | StructType, columns: tuple[str, ...] = ("doc_id", "text"), flush: bool = False) -> DataFrame:
     """Run make() once per task; its function maps column lists to column lists, slice by slice.
 
@@ -100,11 +116,10 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            for part in slices(batch, columns[-1]):
-                out = each(part.to_pydict())
-                if out is not None and len(out[arrow.names[0]]):
-                    yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        for part in sliced(batches, columns[-1]):
+            out = each(part.to_pydict())
+            if out is not None and len(out[arrow.names[0]]):
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
         if flush:
             out = each(None)
             if out is not None and len(out[arrow.names[0]]):
@@ -139,16 +154,13 @@ _MEMOS: dict[str, Memo] = {}
 
 
 def release_memos(but: tuple[str, ...] = ()) -> None:
-    """Let go the memos that earlier jobs left in this Python worker, and give what they held back to the system."""
+    """Let go the memos that earlier jobs left in this Python worker, and give what those jobs held back to the system, with memos or without."""
     gone = [k for k in _MEMOS if k not in but]
     for k in gone:
         del _MEMOS[k]
     if gone:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
-        if trim is not None:
-            trim(0)
+    give_back()
 
 
 def worker_memo(key: str, most: int = 300_000, beside: tuple[str, ...] = ()) -> Memo:
@@ -185,8 +197,7 @@ def keep_texts(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            for part in slices(batch, columns[-1]):
-                yield part.filter(pa.array(each(part.select(list(columns)).to_pydict()), pa.bool_()))
+        for part in sliced(batches, columns[-1]):
+            yield part.filter(pa.array(each(part.select(list(columns)).to_pydict()), pa.bool_()))
 
     return df.mapInArrow(run, schema)
