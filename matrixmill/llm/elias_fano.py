@@ -1,6 +1,7 @@
 """Monotone sequences in Elias-Fano form: n numbers below u in about 2 + log2(u / n) bits each, read and searched without unpacking.
 
-All methods take and give numpy arrays, so one call answers many look-ups.
+All methods take and give numpy arrays, so one call answers many look-ups. Many look-ups in ascending order meet the sequence
+in runs of bounded length, each read in one go.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 _CHUNK = 1 << 16  # numbers whose low bits are laid out at once; a multiple of 8
+_RUN = 1 << 16  # numbers read at once for look-ups in ascending order
+_DENSE = 16  # such look-ups are many from one in so many numbers on
 
 
 def _words(bits: np.ndarray) -> np.ndarray:
@@ -63,7 +66,28 @@ class EliasFano:
         # shifted in two steps: a shift by 64 is undefined
         return ((self.low[word] >> off) | ((self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - off))) & self.mask
 
+    def _many(self, x: np.ndarray) -> bool:
+        return len(x) * _DENSE > self.n > 0 and bool((x[1:] >= x[:-1]).all())
+
+    def _run(self, a: int, b: int) -> np.ndarray:
+        """The numbers a to b - 1."""
+        first, last = np.searchsorted(self.ones, [a, b - 1], "right") - 1
+        places = np.flatnonzero(np.unpackbits(self.high[first : last + 1].view(np.uint8), bitorder="little"))[a - self.ones[first] : b - self.ones[first]]
+        i = np.arange(a, b)
+        return ((places + (first * 64 - i)).astype(np.uint64) << np.uint64(self.shift)) | self._low(i)
+
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        if not self._many(i):
+            return self._each(i)
+        out = np.empty(len(i), np.uint64)
+        starts = range(0, self.n, _RUN)
+        cuts = np.searchsorted(i, [*starts, self.n]).tolist()
+        for a, x, y in zip(starts, cuts, cuts[1:]):
+            if x < y:
+                out[x:y] = self._run(a, min(a + _RUN, self.n))[i[x:y] - a]
+        return out
+
+    def _each(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i, "right") - 1
         place = word * 64 + _nth_bit(self.high[word], i - self.ones[word])
         return ((place - i).astype(np.uint64) << np.uint64(self.shift)) | self._low(i)
@@ -75,6 +99,21 @@ class EliasFano:
     def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each value the index of its first successor (itself, if there), and whether it is there. Values lie below the universe."""
         y = values.astype(np.uint64)
+        return self._find_ascending(y) if self._many(y) else self._find_each(y)
+
+    def _find_ascending(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, there = np.full(len(y), self.n), np.zeros(len(y), bool)
+        starts = np.arange(0, self.n, _RUN)
+        ends = np.minimum(starts + _RUN, self.n)
+        cuts = np.searchsorted(y, self._each(ends - 1), "right").tolist()
+        for a, b, start, stop in zip(starts.tolist(), ends.tolist(), [0, *cuts], cuts):
+            if start < stop:
+                run, wanted = self._run(a, b), y[start:stop]
+                i = np.searchsorted(run, wanted)
+                at[start:stop], there[start:stop] = a + i, run[i] == wanted
+        return at, there
+
+    def _find_each(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bucket, low = (y >> np.uint64(self.shift)).astype(np.int64), y & self.mask
         a = np.where(bucket > 0, self._zero(np.maximum(bucket - 1, 0)) - (bucket - 1), 0)
         end = self._zero(bucket) - bucket

@@ -15,7 +15,8 @@ of the tokens is dealt by u over as many shards as its share asks. A shard holds
 form: the words that follow each v; the words u before each v; and for each (v, u) the words that follow, each as its
 place among the followers of v alone, which is a small number. A query finds w among v's followers, u among v's
 predecessors, then that place within (v, u): three successor searches. Probabilities and back-off weights are 16-bit
-steps of log10. A task lays its shard's levels into one file, maps it into memory, and answers all n-grams that texts ask there.
+steps of log10. A task lays its shard's levels into one file, maps it into memory, and answers all n-grams that texts ask there:
+each distinct one once, in ascending order.
 
 Spark's part: (1) words are counted, (2) bigrams of the training texts are counted, those that end in a word without a short
 id where that word is counted, so that they take its count along; each list of followers is sent to the shards of its first
@@ -36,6 +37,7 @@ from __future__ import annotations
 import json
 import tempfile
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,8 @@ WORDS = START
 DISCOUNT, STEP = 0.75, 4096
 #: bytes of text behind one shard, and tokens that a task gathers before it sends them
 SHARD_BYTES, FLUSH = 16 << 20, 1 << 21
+#: leading bits by which a word's short id is looked up
+SLOT_BITS = 20
 #: trigrams in one row of wide keys: they and their names fit 21 bits a word
 WIDE_ROW = 1 << 19
 
@@ -122,15 +126,30 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
 
 
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where x, in which equal values stand together, comes to another value."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Its values, ascending. np.unique alone goes by a hash table, which takes some twenty times as long."""
+    x = np.sort(x)
+    return x[firsts(x)]
+
+
 def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes among short ids and hashes, ascending, and x with each as RARE + 1 and its place there."""
-    names = np.unique(x[x > RARE])
-    return names, np.where(x > RARE, np.searchsorted(names, x).astype(np.uint64) + _64(RARE + 1), x)
+    far, out = np.flatnonzero(x > RARE), x.copy()
+    names = distinct(x[far])
+    out[far] = np.searchsorted(names, x[far]) + RARE + 1
+    return names, out
 
 
 def by_name(names: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The hashes again."""
-    return np.where(x > RARE, names[np.maximum(x, RARE + 1).astype(np.int64) - RARE - 1], x) if len(names) else x
+    far, out = np.flatnonzero(x > RARE), x.copy()
+    out[far] = names[x[far].astype(np.int64) - RARE - 1]
+    return out
 
 
 def bits_of(names: int) -> int:
@@ -151,11 +170,9 @@ def apart(keys: np.ndarray, bits: int, fields: int) -> list[np.ndarray]:
 
 def pack_wide(names: np.ndarray, *ids: np.ndarray) -> bytes:
     """Sorted keys of several ids, numbered by names, with those names that they use."""
-    used = np.unique(np.concatenate(ids))
-    used = used[np.searchsorted(used, _64(RARE + 1)) :]
+    used, own = numbered(np.concatenate(ids))
     head = pack_sorted(names[used.astype(np.int64) - RARE - 1])
-    own = [np.where(x > RARE, np.searchsorted(used, x).astype(np.uint64) + _64(RARE + 1), x) for x in ids]
-    return len(head).to_bytes(4, "little") + head + pack_sorted(joint(bits_of(len(used)), *own))
+    return len(head).to_bytes(4, "little") + head + pack_sorted(joint(bits_of(len(used)), *own.reshape(len(ids), -1)))
 
 
 def names_in(data: bytes) -> np.ndarray:
@@ -171,11 +188,13 @@ def renumbered(given: np.ndarray, x: np.ndarray, names: np.ndarray) -> np.ndarra
     """Ids by the given names as ids by other names; RARE for what those lack."""
     at = np.minimum(np.searchsorted(names, given), max(len(names) - 1, 0))
     new = np.where(names[at] == given, at + RARE + 1, RARE) if len(names) else np.full(len(given), RARE)
-    return np.where(x > RARE, new[np.maximum(x, RARE + 1).astype(np.int64) - RARE - 1].astype(np.uint64), x)
+    far, out = np.flatnonzero(x > RARE), x.copy()
+    out[far] = new[x[far].astype(np.int64) - RARE - 1]
+    return out
 
 
 def all_names(rows: list[tuple]) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(names_in(a) for _, a, *_ in rows)]))
+    return distinct(np.concatenate([np.zeros(0, np.uint64), *(names_in(a) for _, a, *_ in rows)]))
 
 
 def wide_ids(rows: list[tuple], fields: int, names: np.ndarray) -> list[np.ndarray]:
@@ -192,17 +211,26 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct keys, ascending, with their counts added up."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    first = firsts(keys)
     return keys[first], np.add.reduceat(counts, first)
 
 
-def by_shard(shard: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """The order by (shard, key), and each shard's part of it."""
-    order = np.lexsort((key, shard))
+def ascending(x: np.ndarray, bits: int) -> np.ndarray:
+    """The order of numbers below 1 << bits. Numbers that carry their places are sorted in a fraction of the time in which places are."""
+    place = len(x).bit_length()
+    if bits + place > 64:
+        return np.argsort(x)
+    return (np.sort(x << _64(place) | np.arange(len(x), dtype=np.uint64)) & _64((1 << place) - 1)).astype(np.int64)
+
+
+def by_shard(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The order by shard, as they come within one, and each shard's part of it."""
+    small = len(shard) and int(shard.max()) < 1 << 16  # sorted by digits
+    order = np.argsort(shard.astype(np.uint16) if small else shard, kind="stable")
     s = shard[order]
-    cuts = np.flatnonzero(np.diff(s, prepend=-1))
+    cuts = firsts(s)
     return order, [(int(s[a]), slice(a, b)) for a, b in zip(cuts, np.append(cuts[1:], len(s)), strict=bool(len(s)))]
 
 
@@ -264,7 +292,7 @@ def word_counts(docs: DataFrame, shards: int) -> DataFrame:
 
     def send(flush, h, sizes, learned, held, ids):
         keys, counts = np.unique(h[np.repeat(learned, sizes)], return_counts=True)
-        order, parts = by_shard((keys % _64(shards)).astype(np.int64), keys)
+        order, parts = by_shard((keys % _64(shards)).astype(np.int64))
         for s, at in parts:
             yield s, COUNTS, 0, pack_sorted(keys[order[at]]), pack(counts[order[at]]), None
         yield int(flush & 0xFFFF) % shards, DOCS, int(learned.sum()), None, None, None
@@ -320,10 +348,25 @@ class Words:
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """Short ids; RARE for all other words."""
-        if not len(self.sorted):
-            return np.full(len(h), RARE)
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.ids[at], RARE)
+        found, ids, first, crowded = self.slots
+        slot = (h >> _64(64 - SLOT_BITS)).astype(np.int64)
+        at = first[slot]
+        out = np.where(found[at] == h, ids[at], RARE)
+        more = np.flatnonzero(crowded[slot])
+        if len(more):
+            at = np.minimum(np.searchsorted(self.sorted, h[more]), len(self.sorted) - 1)
+            out[more] = np.where(self.sorted[at] == h[more], self.ids[at], RARE)
+        return out
+
+    @cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words and ids, none at the end; the place there of the first word that begins with each SLOT_BITS bits, and whether others do. Each task makes it anew."""
+        slot = (self.sorted >> _64(64 - SLOT_BITS)).astype(np.int64)
+        at = firsts(slot)
+        first, crowded = np.full(1 << SLOT_BITS, len(slot), np.int32), np.zeros(1 << SLOT_BITS, bool)
+        first[slot[at]] = at
+        crowded[slot[at]] = np.diff(at, append=len(slot)) > 1
+        return np.append(self.sorted, _64(0)), np.append(self.ids, RARE), first, crowded
 
     def shard(self, v: np.ndarray, part: np.ndarray) -> np.ndarray:
         return (mix(v.astype(np.uint64) << _64(32) | part.astype(np.uint64)) % _64(self.shards)).astype(np.int64)
@@ -381,7 +424,7 @@ def followers(docs: DataFrame, words: Words, counts: DataFrame) -> DataFrame:
         shard = np.where(w > RARE, (gw % _64(words.shards)).astype(np.int64), words.shard(gv, words.part(gv, gw)))
         wide = (v > RARE) | (w > RARE)
         for kind, rows in ((FOLLOWERS, np.flatnonzero(~wide)), (FOLLOWERS_WIDE, np.flatnonzero(wide))):
-            order, parts = by_shard(shard[rows], keys[rows])
+            order, parts = by_shard(shard[rows])
             for s, p in parts:
                 o = rows[order[p]]
                 yield s, kind, 0, pack_sorted(joint(ID_BITS, v[o], w[o])) if kind == FOLLOWERS else pack_wide(names, v[o], w[o]), pack(n[o]), None
@@ -395,7 +438,7 @@ def followers(docs: DataFrame, words: Words, counts: DataFrame) -> DataFrame:
             many = int(words.dealt[word])
             groups += [(mine, np.full(len(mine), s)) for s in np.unique(words.shard(np.full(many, word), np.arange(many))).tolist()]
         for rows, target in groups:
-            order, parts = by_shard(target, rows)
+            order, parts = by_shard(target)
             for s, p in parts:
                 yield s, rows[order[p]]
 
@@ -409,7 +452,8 @@ def followers(docs: DataFrame, words: Words, counts: DataFrame) -> DataFrame:
         names = all_names(held[FOLLOWERS_WIDE])
         keys, n = merged(joint(32, *wide_ids(held[FOLLOWERS_WIDE], 2, names)), numbers([b for _, _, b, *_ in held[FOLLOWERS_WIDE]]))
         v, w = apart(keys, 32, 2)
-        times = looked_up(held)(by_name(names, w))  # 0 for short ids
+        times, far = np.zeros(len(w), np.int64), np.flatnonzero(w > RARE)  # 0 for short ids
+        times[far] = looked_up(held)(names)[w[far].astype(np.int64) - RARE - 1]
         for s, o in targets(by_name(names, v)):
             yield row_batch([(s, FOLLOWERS_WIDE, 0, pack_wide(names, v[o], w[o]), pack(n[o]), pack(times[o]))])
 
@@ -423,41 +467,66 @@ def asked(docs: DataFrame, words: Words) -> DataFrame:
     def send(flush, h, sizes, learned, held, ids):
         x, at = sequences(words, h, sizes)
         doc = np.repeat(np.arange(len(sizes)), sizes + 1)
-        shard, known = words.shard(x[at - 1], words.part(x[at - 1], x[at - 2])), learned[doc]
+        group = words.shard(x[at - 1], words.part(x[at - 1], x[at - 2])) << 2
         names, i = numbered(x)
         u, v, w = i[at - 2], i[at - 1], i[at]
         bits = bits_of(len(names))
-        group = shard << 2 | (np.maximum(np.maximum(u, v), w) > RARE) << 1 | known
-        order = np.lexsort((joint(bits, v, u, w), group) if 3 * bits <= 64 else (w, u, v, group))
-        group = group[order]
-        cuts = np.flatnonzero(np.diff(group, prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=bool(len(order))):
-            s, kind = int(group[a]) >> 2, ((ASKED, TRAIN), (ASKED_WIDE, TRAIN_WIDE))[int(group[a]) >> 1 & 1][int(group[a]) & 1]
-            for start in range(a, b, WIDE_ROW):
-                o = order[start : min(b, start + WIDE_ROW)]
-                # a text that repeats a trigram asks it once, with its count
-                new = np.flatnonzero(np.concatenate([[True], np.any([k[o[1:]] != k[o[:-1]] for k in (v, u, w, doc)], axis=0)]))
-                k = [y[o[new]] for y in (v, u, w)]
-                yield s, kind, flush, pack_wide(names, *k) if kind in (TRAIN_WIDE, ASKED_WIDE) else pack_sorted(joint(ID_BITS, *k)), pack(doc[o[new]]), pack(np.diff(new, append=len(o)))
-        w = x[at]
-        del i, u, v, order, group
-        rare = words.of(h) == RARE
-        hr, dr = h[rare], np.repeat(np.arange(len(sizes)), sizes)[rare]
-        order, parts = by_shard((hr % _64(words.shards)).astype(np.int64), hr)
+        group |= (np.maximum(np.maximum(u, v), w) > RARE).astype(np.int64) << 1 | learned[doc]
+        key = joint(bits, v, u, w) if 3 * bits <= 64 else None
+        order, parts = by_shard(group)
+        del x, i, group
+        for g, p in parts:
+            s, kind = g >> 2, ((ASKED, TRAIN), (ASKED_WIDE, TRAIN_WIDE))[g >> 1 & 1][g & 1]
+            o = order[p]
+            o = o[np.argsort(key[o]) if key is not None else np.lexsort((w[o], u[o], v[o]))]
+            other = key[o[1:]] != key[o[:-1]] if key is not None else np.any([k[o[1:]] != k[o[:-1]] for k in (v, u, w)], axis=0)
+            run = np.cumsum(np.concatenate([[False], other]))
+            # a text that repeats a trigram asks it once, with its count
+            by_text = np.sort(run << 32 | doc[o])
+            new = firsts(by_text)
+            texts, times = by_text[new] & 0xFFFFFFFF, np.diff(new, append=len(o))
+            k = [y[o[new]] for y in (v, u, w)]
+            for start in range(0, len(new), WIDE_ROW):
+                c = slice(start, start + WIDE_ROW)
+                part = [y[c] for y in k]
+                yield s, kind, flush, pack_wide(names, *part) if kind in (TRAIN_WIDE, ASKED_WIDE) else pack_sorted(joint(ID_BITS, *part)), pack(texts[c]), pack(times[c])
+        del u, v, key, order
+        word = w != END
+        rare = np.flatnonzero(w[word] >= RARE)
+        rare = rare[np.argsort(h[rare])]
+        hr, dr = h[rare], doc[word][rare]
+        order, parts = by_shard((hr % _64(words.shards)).astype(np.int64))
         for s, p in parts:
             yield s, RARE_ASKED, flush, pack_sorted(hr[order[p]]), pack(dr[order[p]]), None
         n = np.append(words.n, words.texts)
         own = np.flatnonzero(w < RARE)
         mine = w[own].astype(np.int64)
         mine[mine == END] = len(n) - 1
-        base = np.bincount(doc[own], words.base(n[mine]), len(sizes))
-        seen = np.bincount(doc[own], (n[mine] > 0), len(sizes)).astype(np.int64)
+        base = np.bincount(doc[own], words.base(n)[mine], len(sizes))
+        seen = np.bincount(doc[own], (n > 0)[mine], len(sizes)).astype(np.int64)
         about = json.dumps([ids, held.astype(int).tolist()]).encode()
         yield int(flush >> 32) % words.shards, DOCS, flush, zstandard.compress(about, 1), pack(np.concatenate([sizes + 1, seen])), pack_floats(base)
 
     return map_blocks(docs, send)
 
 
+def trigram_keys(trigrams: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Each (v, u, w) as one number, in their order; if they are too wide for that, (v, u) goes by its place in a list, which comes along."""
+    v, u, w = trigrams
+    if 3 * bits <= 64:
+        return joint(bits, v, u, w), None
+    pair = joint(bits, v, u)
+    pairs = distinct(pair)
+    return joint(bits, np.searchsorted(pairs, pair), w), pairs
+
+
+def parents(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ascending keys hold above their last id, each once, and the place there of every key's."""
+    node = keys >> _64(bits)
+    first = firsts(node)
+    return node[first], np.repeat(np.arange(len(first)), np.diff(first, append=len(node)))
+
+
 class Trie:
     """The levels of one shard."""
 
@@ -479,18 +548,14 @@ class Trie:
     @staticmethod
     def nodes(trigrams: list[np.ndarray], counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of (v, u, w) in any order: the distinct (v, u), the place there and the w of each distinct trigram, and its count."""
-        v, u, w = trigrams
-        if 3 * bits <= 64:
-            keys, counts = merged(joint(bits, v, u, w), counts)
-            node = keys >> _64(bits)
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-            mine = np.repeat(np.arange(len(first)), np.diff(first, append=len(node)))
-            node = node[first]
-        else:
-            node, mine = np.unique(joint(bits, v, u), return_inverse=True)
-            keys, counts = merged(joint(bits, mine, w), counts)
-            mine = (keys >> _64(bits)).astype(np.int64)
-        return node, mine, keys & _64((1 << bits) - 1), counts
+        keys, pairs = trigram_keys(trigrams, bits)
+        return Trie.split(*merged(keys, counts), pairs, bits)
+
+    @staticmethod
+    def split(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """nodes() of ascending distinct trigram_keys()."""
+        node, mine = parents(keys, bits)
+        return node if pairs is None else pairs[node.astype(np.int64)], mine, keys & _64((1 << bits) - 1), counts
 
     @staticmethod
     def laid(node: np.ndarray, mine: np.ndarray, third: np.ndarray, counts: np.ndarray, bigrams: np.ndarray, n2: np.ndarray, p1: np.ndarray, names: np.ndarray) -> dict[str, np.ndarray]:
@@ -526,25 +591,46 @@ class Trie:
 
     def codes(self, keys: np.ndarray) -> np.ndarray:
         """-log10 in STEPs of each (v, u, w) of short ids."""
-        return self.found(*apart(keys, ID_BITS, 3))[0]
-
-    def found(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """-log10 in STEPs of each (v, u, w), and whether w follows v at all; if not, the unigram of a w without a short id is left out."""
-        b = _64(self.bits)
+        kinds, place = np.unique(keys, return_inverse=True)
+        return self.found(*trigram_keys(apart(kinds, ID_BITS, 3), self.bits))[0][place]
+
+    def found(self, keys: np.ndarray, pairs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """-log10 in STEPs of ascending distinct trigram_keys(), and whether w follows v at all; if not, the unigram of a w without a short id is left out.
+
+        Each (v, u) and each (v, w) is searched once, in ascending order.
+        """
+        b, low = _64(self.bits), _64((1 << self.bits) - 1)
+        node, mine = parents(keys, self.bits)
+        node = node if pairs is None else pairs[node.astype(np.int64)]
+        w = keys & low
         out, after = self.q1[np.minimum(w, RARE).astype(np.int64)], np.zeros(len(w), bool)
-        k = self.of[v.astype(np.int64)]
+        head = self.of[(node >> b).astype(np.int64)]
+        k = head[mine]
         rows = np.flatnonzero(k >= 0)
         k = k[rows].astype(np.uint64)
-        i2, seen2 = self.lists["after"].find(k << b | w[rows])
+        pair = k << b | w[rows]
+        order = ascending(pair, self.bits + len(self.heads).bit_length())
+        pair = pair[order]
+        first = firsts(pair)
+        i, there = self.lists["after"].find(pair[first])
+        times = np.diff(first, append=len(pair))
+        i2, seen2 = np.empty(len(rows), np.int64), np.empty(len(rows), bool)
+        i2[order], seen2[order] = np.repeat(i, times), np.repeat(there, times)
+        del pair, order
         out[rows] += self.g2[k]
         out[rows[seen2]] = self.q2[i2[seen2]]
         after[rows[seen2]] = True
-        node, there = self.lists["before"].find(k << b | u[rows])
-        out[rows[there]] += self.g3[node[there]]
-        both = np.flatnonzero(seen2 & there)
+        # each (v, u): its place among the predecessors, back-off and first place of its list less that of v's list
+        known = np.flatnonzero(head >= 0)
+        i, there = self.lists["before"].find(head[known].astype(np.uint64) << b | node[known] & low)
+        known, i = known[there], i[there]
+        back, begin, here = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.zeros(len(node), bool)
+        here[known], back[known] = True, self.g3[i]
+        begin[known] = self.lists["third_at"][i].astype(np.int64) - self.lists["after_at"][head[known]].astype(np.int64)
+        out += back[mine]
         # the word's place among the followers of v is its name below (v, u)
-        relative = i2[both].astype(np.uint64) - self.lists["after_at"][k[both].astype(np.int64)]
-        i3, seen3 = self.lists["third"].find(self.lists["third_at"][node[both]] + relative)
+        both = np.flatnonzero(seen2 & here[mine[rows]])
+        i3, seen3 = self.lists["third"].find(begin[mine[rows[both]]] + i2[both])
         out[rows[both[seen3]]] = self.q3[i3[seen3]]
         return out, after
 
@@ -575,9 +661,28 @@ ANSWER = "flush long, kind int, doc binary, a binary, b binary, c binary"
 _ANSWER = pa.schema([("flush", pa.int64()), ("kind", pa.int32()), ("doc", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
-def shard_levels(held: dict[int, list[tuple]], words: Words) -> dict[str, np.ndarray]:
-    wide2, wide3 = held[FOLLOWERS_WIDE], held[TRAIN_WIDE]
-    names = all_names(wide2 + wide3)
+def shard_names(held: dict[int, list[tuple]]) -> np.ndarray:
+    return all_names(held[FOLLOWERS_WIDE] + held[TRAIN_WIDE])
+
+
+def trigrams_in(rows: list[tuple[int, tuple]], names: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """trigram_keys() of rows of (kind, row), end to end."""
+    bits = bits_of(len(names))
+
+    def ids(kind: int, data: bytes) -> list[np.ndarray]:
+        if kind in (TRAIN, ASKED):
+            return apart(unpack_sorted(data), ID_BITS, 3)
+        given, found = unpack_wide(data, 3)
+        return [renumbered(given, x, names) for x in found]
+
+    if 3 * bits <= 64:
+        return np.concatenate([np.zeros(0, np.uint64), *(joint(bits, *ids(k, a)) for k, (_, a, *_) in rows)]), None
+    return trigram_keys([np.concatenate(x) for x in zip(*(ids(k, a) for k, (_, a, *_) in rows), strict=True)], bits)
+
+
+def shard_levels(held: dict[int, list[tuple]], words: Words, names: np.ndarray, trigrams: np.ndarray, counts: np.ndarray, pairs: np.ndarray | None) -> dict[str, np.ndarray]:
+    """Levels of distinct trigrams_in() of training texts with their counts, and of the bigrams held."""
+    wide2 = held[FOLLOWERS_WIDE]
     bits = bits_of(len(names))
     keys, n2 = counted(held[FOLLOWERS])
     v, w = (np.concatenate(x) for x in zip(apart(keys, ID_BITS, 2), wide_ids(wide2, 2, names), strict=True))
@@ -585,13 +690,19 @@ def shard_levels(held: dict[int, list[tuple]], words: Words) -> dict[str, np.nda
     p1 = np.concatenate([np.zeros(len(keys)), words.unigram(numbers([c for _, _, _, c, _ in wide2]))])
     p1 = np.where(w > RARE, p1, words.p[np.minimum(w, RARE).astype(np.int64)])
     bigrams = joint(bits, v, w)
-    order = np.argsort(bigrams)
+    order = ascending(bigrams, 2 * bits)
     bigrams, n2, p1 = bigrams[order], n2[order], p1[order]
     del v, w, order
-    keys = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(a) for _, a, *_ in held[TRAIN])])
-    trigrams = [np.concatenate(x) for x in zip(apart(keys, ID_BITS, 3), wide_ids(wide3, 3, names), strict=True)]
-    del keys
-    return Trie.laid(*Trie.nodes(trigrams, numbers([c for _, _, _, c, _ in held[TRAIN] + wide3]), bits), bigrams, n2, p1, names)
+    return Trie.laid(*Trie.split(trigrams, counts, pairs, bits), bigrams, n2, p1, names)
+
+
+def added_by(doc: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct texts and the sums of their whole numbers."""
+    if len(doc) and int(doc.max()) < 4 * len(doc):
+        docs = np.flatnonzero(np.bincount(doc))
+        return docs, np.bincount(doc, x)[docs].astype(np.int64)
+    docs, place = np.unique(doc, return_inverse=True)
+    return docs, np.bincount(place, x).astype(np.int64)
 
 
 def answer_row(*row) -> pa.RecordBatch:
@@ -630,25 +741,43 @@ def answered(rows: DataFrame, words: Words) -> DataFrame:
             yield answer_row(flush, RARE_ASKED, pack_sorted(docs), pack(np.bincount(place, n > 0).astype(np.int64)), pack_floats(np.bincount(place, words.base(n))), pack_floats(share))
         held[COUNTS], held[RARE_ASKED] = [], []
         del times
-        asking = [(TRAIN, x) for x in held[TRAIN] + held[ASKED]] + [(TRAIN_WIDE, x) for x in held[TRAIN_WIDE] + held[ASKED_WIDE]]
+        learned = [(k, x) for k in (TRAIN, TRAIN_WIDE) for x in held[k]]
+        asking = learned + [(k, x) for k in (ASKED, ASKED_WIDE) for x in held[k]]
         if not asking:
             return
-        trie, left = Trie(mapped(shard_levels(held, words)), words.code), []
+        # all blocks' trigrams at once: each distinct one is counted and looked up once
+        names = shard_names(held)
+        keys, pairs = trigrams_in(asking, names)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = firsts(keys)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+        keys = keys[first]
+        del order, first
+        n = numbers([c for _, (_, _, _, c, _) in learned])
+        counts = np.bincount(place[: len(n)], n, len(keys)).astype(np.int64)
+        taught = np.flatnonzero(counts)
+        trie, left = Trie(mapped(shard_levels(held, words, names, keys[taught], counts[taught], pairs)), words.code), []
         held.clear()
+        del n, counts, taught
+        codes, seen = trie.found(keys, pairs)
+        del keys, pairs, trie
+        start = 0
         for kind, (flush, a, b, c, _) in asking:
             doc, n = unpack(b).astype(np.int64), unpack(c).astype(np.int64)
-            if kind == TRAIN:
-                codes = trie.codes(unpack_sorted(a))
-            else:
-                names, ids = unpack_wide(a, 3)
-                codes, seen = trie.found(*(renumbered(names, x, trie.names) for x in ids))
-                off = np.flatnonzero((ids[2] > RARE) & ~seen)
-                left.append((by_name(names, ids[2][off]), np.full(len(off), flush), doc[off], n[off]))
-            docs, place = np.unique(doc, return_inverse=True)
-            yield answer_row(flush, TRAIN, pack_sorted(docs), pack(np.bincount(place, codes * n).astype(np.int64)), None, None)
+            mine, start = place[start : start + len(doc)], start + len(doc)
+            if kind == ASKED_WIDE:  # what training texts hold follows
+                given, (_, _, w) = unpack_wide(a, 3)
+                off = np.flatnonzero((w > RARE) & ~seen[mine])
+                left.append((by_name(given, w[off]), np.full(len(off), flush), doc[off], n[off]))
+            docs, sums = added_by(doc, codes[mine] * n)
+            yield answer_row(flush, TRAIN, pack_sorted(docs), pack(sums), None, None)
         if left:
             h, flush, doc, n = (np.concatenate(x) for x in zip(*left, strict=True))
-            order, parts = by_shard((h % _64(words.shards)).astype(np.int64), h)
+            order = np.argsort(h)
+            h, flush, doc, n = h[order], flush[order], doc[order], n[order]
+            order, parts = by_shard((h % _64(words.shards)).astype(np.int64))
             for s, p in parts:
                 o = order[p]
                 yield answer_row(s, BACKED_OFF, None, pack_sorted(h[o]), pack(flush[o]), pack(np.concatenate([doc[o], n[o]])))
@@ -668,10 +797,10 @@ def unigrams(answers: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
         flush = numbers([b for _, _, b, *_ in held[BACKED_OFF]])
         doc, n = (np.concatenate(x) for x in zip(*(unpack(c).astype(np.int64).reshape(2, -1) for _, _, _, c, _ in held[BACKED_OFF]), strict=True))
         sums = code(words.unigram(times(h))).astype(np.int64) * n
-        order, parts = by_shard(flush, doc)
+        order, parts = by_shard(flush)
         for block, p in parts:
-            docs, place = np.unique(doc[order[p]], return_inverse=True)
-            yield answer_row(block, TRAIN, pack_sorted(docs), pack(np.bincount(place, sums[order[p]]).astype(np.int64)), None, None)
+            docs, total = added_by(doc[order[p]], sums[order[p]])
+            yield answer_row(block, TRAIN, pack_sorted(docs), pack(total), None, None)
 
     asking = answers.filter(F.col("kind") == BACKED_OFF).select(F.col("flush").cast("int").alias("shard"), "kind", F.lit(0).cast("long").alias("flush"), "a", "b", "c")
     return to_shards(asking.unionByName(counts), words.shards).mapInArrow(answer, ANSWER)
@@ -726,9 +855,11 @@ def levels(docs: DataFrame, learned: Column, n_words: int | None = None, shard_b
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = gathered(batches)
-        if some := held[TRAIN] + held[TRAIN_WIDE]:
-            head, parts = lay_out(shard_levels(held, words))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([some[0][4]], pa.int32()), "head": [head], "levels": [b"".join(parts)]})
+        if some := [(k, x) for k in (TRAIN, TRAIN_WIDE) for x in held[k]]:
+            names = shard_names(held)
+            keys, pairs = trigrams_in(some, names)
+            head, parts = lay_out(shard_levels(held, words, names, *merged(keys, numbers([c for _, (_, _, _, c, _) in some])), pairs))
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([some[0][1][4]], pa.int32()), "head": [head], "levels": [b"".join(parts)]})
 
     rows = asked(docs, words).filter(F.col("kind").isin(TRAIN, TRAIN_WIDE)).unionByName(lists)
     return to_shards(rows, words.shards).mapInArrow(lay, "shard int, head binary, levels binary")

@@ -223,3 +223,91 @@ def test_wide_keys():
     order = np.lexsort(i.reshape(3, -1)[::-1])
     given, ids = N.unpack_wide(N.pack_wide(names, *i.reshape(3, -1)[:, order]), 3)
     assert (np.stack([N.by_name(given, k) for k in ids]) == x[:, order]).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 900, 70_000, 150_000])
+def test_many_look_ups_in_order(n):
+    """Ascending look-ups answer as single ones do, gaps, repeats and runs' ends included."""
+    rng = np.random.default_rng(n)
+    x = np.sort(np.concatenate([rng.integers(0, 40 * n, n - n // 2), rng.integers(7 * n, 7 * n + n // 8 + 1, n // 2)]))
+    ef = EliasFano.of(x, 50 * n)
+    y = np.sort(np.concatenate([x[::3], rng.integers(0, 50 * n, n // 2), x[-1:], x[65_535:65_537], [0, 50 * n - 1]]))
+    at, there = ef.find(y)
+    assert (at == np.searchsorted(x, y)).all() and (there == np.isin(y, x)).all()
+    i = np.sort(np.concatenate([rng.integers(0, n, n // 2), [0, n - 1, n - 1]]))
+    assert (ef[i] == x[i]).all()
+
+
+def test_many_look_ups_read_each_number_once(monkeypatch):
+    """Numbers close together took a binary search each: some 17 reads a look-up here."""
+    ef, read = EliasFano.of(np.arange(100_000) + (1 << 20), 1 << 36), []
+    low = EliasFano._low
+    monkeypatch.setattr(EliasFano, "_low", lambda self, i: read.append(len(i)) or low(self, i))
+    at, there = ef.find(np.arange(100_000) + (1 << 20))
+    assert (at == np.arange(100_000)).all() and there.all() and sum(read) < 110_000
+
+
+def small_trie(ids, counts, bits):
+    v, u, w = ids
+    two, place = np.unique(N.joint(bits, v, w), return_inverse=True)
+    n2 = np.bincount(place, counts).astype(np.int64)
+    p1 = np.full(1 << N.ID_BITS, 1 / 9)
+    return N.Trie(N.Trie.laid(*N.Trie.nodes(ids, counts, bits), two, n2, p1[: len(two)], np.zeros(0, np.uint64)), N.code(p1))
+
+
+def test_each_pair_is_searched_once(monkeypatch):
+    """However often texts ask a trigram, and however many trigrams share a pair; before, every trigram asked was searched."""
+    rng = np.random.default_rng(3)
+    ids, counts = [rng.integers(0, 9, 5000).astype(np.uint64) for _ in range(3)], rng.integers(1, 5, 5000)
+    trie, find, sizes = small_trie(ids, counts, N.ID_BITS), EliasFano.find, []
+    asked = N.joint(N.ID_BITS, *(np.concatenate([x, rng.integers(0, 12, 500).astype(np.uint64)]) for x in ids))
+    one_by_one = np.concatenate([trie.codes(k) for k in asked[-700:].reshape(-1, 1)])
+    monkeypatch.setattr(EliasFano, "find", lambda self, y: sizes.append(len(y)) or find(self, y))
+    assert (trie.codes(asked)[-700:] == one_by_one).all()
+    assert len(sizes) == 3 and sizes[0] <= 12**2 and sizes[1] <= 12**2 and sizes[2] <= 9**3
+
+
+def test_look_ups_of_wide_ids(monkeypatch):
+    """Keys of three ids that don't fit 64 bits give the same answers."""
+    rng = np.random.default_rng(6)
+    ids, counts = [rng.integers(0, 9, 400).astype(np.uint64) for _ in range(3)], rng.integers(1, 5, 400)
+    other = np.stack([np.concatenate([x, rng.integers(0, 12, 300).astype(np.uint64)]) for x in ids])
+    other = np.unique(other, axis=1)  # in order by column
+    found = []
+    for bits in (20, 22, 30):
+        monkeypatch.setattr(N, "bits_of", lambda names, bits=bits: bits)
+        found.append(small_trie(ids, counts, bits).found(*N.trigram_keys(list(other), bits)))
+    assert all((a == b).all() for f in found[1:] for a, b in zip(found[0], f))
+
+
+def test_blocks_of_wide_ids(monkeypatch):
+    """A block of so many words that three ids don't fit 64 bits asks the same."""
+    texts = [" ".join(f"w{i * k % 50}" for k in range(60)) for i in range(40)]
+    h, sizes = N.hashed(texts)
+    kinds, n = np.unique(h, return_counts=True)
+    words = N.Words(kinds[:20], n[:20], len(h), len(kinds), len(sizes), 3, True)
+    monkeypatch.setattr(N, "map_blocks", lambda docs, send: send)
+    rows = []
+    for bits in (17, 22):
+        monkeypatch.setattr(N, "bits_of", lambda names, bits=bits: bits)
+        sent = list(N.asked(None, words)(0, h, sizes, np.arange(40) % 5 > 0, np.arange(40) % 5 == 0, list(range(40))))
+        rows.append([])
+        for s, kind, flush, a, b, c in sent:
+            if kind in (N.TRAIN_WIDE, N.ASKED_WIDE):
+                names, ids = N.unpack_wide(a, 3)
+                a = [N.by_name(names, x).tolist() for x in ids]
+            rows[-1].append((s, kind, flush, a, b, c))
+    assert rows[0] == rows[1] and {r[1] for r in rows[0]} == {N.TRAIN, N.ASKED, N.TRAIN_WIDE, N.ASKED_WIDE, N.RARE_ASKED, N.DOCS}
+
+
+def test_short_ids_by_leading_bits():
+    """Words that share their leading bits, the first and last hash, and hashes of no word."""
+    rng = np.random.default_rng(8)
+    known = np.unique(np.concatenate([rng.integers(1 << 17, 1 << 63, 3000), (5 << 50) + np.arange(40)]).astype(np.uint64))
+    known = np.append(known, np.uint64((1 << 64) - 1))
+    top = rng.permutation(known)
+    words = N.Words(top, np.ones(len(top), np.int64), len(top), len(top), 1, 1, True)
+    asked = np.concatenate([top, known + np.uint64(1), known - np.uint64(1)])
+    ids = {h: i for i, h in enumerate(top.tolist())}
+    assert words.of(asked).tolist() == [ids.get(h, N.RARE) for h in asked.tolist()]
+    assert (N.Words(top[:0], np.zeros(0, np.int64), 5, 5, 1, 1, True).of(asked) == N.RARE).all()
