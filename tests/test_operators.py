@@ -216,6 +216,14 @@ def test_as_many_subjects_as_there_are(spark):
     assert [len(r.subjects) for r in found] == [70]
 
 
+def test_large_sets_are_not_copied_for_each_member(spark):
+    """400 sets of 1500 members, in a file that the planner takes for small: as many copies of each would be 3.6 GB."""
+    sets = [(0, [k % 7], list(range(5 * k, 5 * k + 1500))) for k in range(400)] + [(0, [k % 7], list(range(5 * k + 9, 5 * k + 99))) for k in range(20)]
+    found = TC.maximal(spark.createDataFrame(sets, "context int, subjects array<int>, features array<int>"), ["context"], ["subjects", "features"])
+    assert found.columns == ["context", "subjects", "features"]
+    assert sorted((r.subjects[0], r.features[0], len(r.features)) for r in found.collect()) == sorted((k % 7, 5 * k, 1500) for k in range(400))
+
+
 def test_cubes_keep_to_limits_of_deviation(spark):
     cells = spark.createDataFrame(cube_cells(3), "context int, subject int, feature int, value double")
     whole = TC.triclusters(cells, 0.01, 2, 2, 3).collect()
