@@ -224,6 +224,14 @@ def test_large_sets_are_not_copied_for_each_member(spark):
     assert sorted((r.subjects[0], r.features[0], len(r.features)) for r in found.collect()) == sorted((k % 7, 5 * k, 1500) for k in range(400))
 
 
+def test_cubes_of_large_rectangles(spark):
+    """Windows of 1500 features in a row, alike in two contexts: as cubes only whole windows are maximal."""
+    found = [(c, 0, 1, list(range(5 * k, 5 * k + 1500))) for c in range(2) for k in range(250)]
+    rects = TC.rectangles(spark.createDataFrame(found, "context int, i int, j int, features array<int>"), 2, 3)
+    got = TC.cubes(rects, 2, 2, 1490).collect()
+    assert sorted((r.contexts, r.subjects, r.features[0], len(r.features)) for r in got) == [([0, 1], [0, 1], 5 * k, 1500) for k in range(250)]
+
+
 def test_cubes_keep_to_limits_of_deviation(spark):
     cells = spark.createDataFrame(cube_cells(3), "context int, subject int, feature int, value double")
     whole = TC.triclusters(cells, 0.01, 2, 2, 3).collect()
