@@ -50,9 +50,9 @@ def quantiles(cells: DataFrame, by: str, bins: int) -> DataFrame:
     at = F.explode(F.array(*(F.struct(F.lit(i).alias("q"), (F.lit(i / bins) * (F.col("n") - 1)).alias("h")) for i in range(1, bins))))
     # only the one or two rows next to a quantile go on
     near = r.select(by, "value", "i", at.alias("e")).filter((F.col("i") - 1 >= F.floor("e.h")) & (F.col("i") - 1 <= F.ceil("e.h")))
-    part = F.col("e.h") - F.floor("e.h")
-    weight = F.when(F.col("i") - 1 == F.floor("e.h"), 1 - part).otherwise(part)
-    edge = near.groupBy(by, F.col("e.q").alias("q")).agg(F.sum(F.col("value") * weight).alias("x"))
+    # from the lower row on: between equal values the quantile is that value, to the last bit
+    low, high, part = F.min("value"), F.max("value"), F.max(F.col("e.h") - F.floor("e.h"))
+    edge = near.groupBy(by, F.col("e.q").alias("q")).agg(F.when(low == high, low).otherwise(low + (high - low) * part).alias("x"))
     return edge.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "x"))), lambda e: e["x"]).alias("edges"))
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from matrixmill.jobs import model as MODEL
 from matrixmill.operators import discretize as D
 from matrixmill.operators import expression as X
 from matrixmill.operators import mining as M
@@ -307,6 +308,21 @@ def test_support_search_by_area_and_floor(spark):
     assert get(least_support=0.5) == [(1, 2, 3)]
 
 
+def test_sums_of_odd_doubles(spark):
+    odd = {0: [None], 1: [1e300, 1.0], 2: [float("inf"), 1.0], 3: [float("nan"), 1.0], 4: [None, 0.25], 5: [1 / 3, 0.5], 6: [0.1] * 10, 7: [float("inf"), float("-inf")]}
+    table = spark.createDataFrame([(k, v) for k, vs in odd.items() for v in vs], "k int, v double")
+    got = {r.k: r.s for r in table.groupBy("k").agg(MODEL.steady_sum("v").alias("s")).collect()}
+    assert math.isnan(got.pop(3)) and math.isnan(got.pop(7))
+    assert got == {0: None, 1: 1e300, 2: math.inf, 4: 0.25, 5: 1 / 3 + 0.5, 6: 1.0}
+
+
+def test_quantiles_between_equal_values(spark):
+    """Every quantile lies between two copies of a value: the bin of that value ends there, with all of its copies."""
+    values = [0.1] * 2 + [0.21] * 3 + [2.81] * 2 + [2.85] * 3 + [6.69] * 3 + [9.0]
+    got = D.quantile_bins(spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "row int, col int, value double"))
+    assert {(r.value, r.bin) for r in got.collect()} == {(0.1, 0), (0.21, 0), (2.81, 1), (2.85, 2), (6.69, 3), (9.0, 4)}
+
+
 def test_quantile_bins(spark):
     table = spark.createDataFrame([(i, 0, float(v)) for i, v in enumerate([1, 2, 3, 4, 10])] + [(i, 1, float(i)) for i in range(5)], "row int, col int, value double")
     got = {(r.row, r.col): r.bin for r in D.quantile_bins(table, 2).collect()}
