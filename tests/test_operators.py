@@ -308,6 +308,26 @@ def test_support_search_by_area_and_floor(spark):
     assert get(least_support=0.5) == [(1, 2, 3)]
 
 
+AMOUNTS = (46.73, 85.77, 52.42)  # as doubles another sum from the end than from the start
+
+
+@pytest.fixture(scope="module")
+def shuffled_events(spark, tmp_path_factory):
+    """Users 1 to 3 on Monday (context 0) and Friday (4): the same amounts in another order, or one amount."""
+    def on(user, day, *values):
+        return [(user, f"2024-01-0{day + 1} 10:00:00", "view", v) for v in values]
+
+    rows = [*on(1, 0, *AMOUNTS), *on(1, 4, *AMOUNTS[::-1]), *on(2, 0, *AMOUNTS), *on(2, 4, 1.0), *on(3, 0, 1.0), *on(3, 4, *AMOUNTS[::-1])]
+    d = str(tmp_path_factory.mktemp("events"))
+    spark.createDataFrame(rows, "user_id long, ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{d}/events.parquet")
+    return d
+
+
+def test_values_do_not_hang_on_the_order_of_events(spark, shuffled_events):
+    cells = MODEL.expression(spark, shuffled_events).filter("subject <> 3").select("subject", F.lit(0).alias("col"), "value").filter("value > 2")
+    assert [(r.n_distinct, r.real) for r in D.symbol_columns(cells).collect()] == [(1, False)]
+
+
 def test_sums_of_odd_doubles(spark):
     odd = {0: [None], 1: [1e300, 1.0], 2: [float("inf"), 1.0], 3: [float("nan"), 1.0], 4: [None, 0.25], 5: [1 / 3, 0.5], 6: [0.1] * 10, 7: [float("inf"), float("-inf")]}
     table = spark.createDataFrame([(k, v) for k, vs in odd.items() for v in vs], "k int, v double")
