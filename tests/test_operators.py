@@ -328,6 +328,18 @@ def test_values_do_not_hang_on_the_order_of_events(spark, shuffled_events):
     assert [(r.n_distinct, r.real) for r in D.symbol_columns(cells).collect()] == [(1, False)]
 
 
+@pytest.fixture(scope="module")
+def shuffled_pairs(spark, shuffled_events):
+    """User 1 keeps the same value, users 2 and 3 differ by as much, one up and one down."""
+    e = MODEL.expression(spark, shuffled_events)
+    return ST.paired_rows(e, ST.pairs_of(X.moments(e), [0], [4]))
+
+
+def test_equal_differences_of_shuffled_events_tie(shuffled_pairs):
+    got = ST.signed_ranks(shuffled_pairs).collect()
+    assert [(r.a, r.b, r.n, r.w_plus, r.w_minus, r.tie_sum, r.zeros) for r in got] == [(0, 4, 2, 1.5, 1.5, 6, 1)]
+
+
 def test_sums_of_odd_doubles(spark):
     odd = {0: [None], 1: [1e300, 1.0], 2: [float("inf"), 1.0], 3: [float("nan"), 1.0], 4: [None, 0.25], 5: [1 / 3, 0.5], 6: [0.1] * 10, 7: [float("inf"), float("-inf")]}
     table = spark.createDataFrame([(k, v) for k, vs in odd.items() for v in vs], "k int, v double")
