@@ -340,6 +340,10 @@ def test_equal_differences_of_shuffled_events_tie(shuffled_pairs):
     assert [(r.a, r.b, r.n, r.w_plus, r.w_minus, r.tie_sum, r.zeros) for r in got] == [(0, 4, 2, 1.5, 1.5, 6, 1)]
 
 
+def test_wilcoxon_of_shuffled_events(shuffled_pairs):
+    assert [(r.n, r.p) for r in ST.wilcoxon(shuffled_pairs).collect()] == [(2, 1.0)]
+
+
 def test_sums_of_odd_doubles(spark):
     odd = {0: [None], 1: [1e300, 1.0], 2: [float("inf"), 1.0], 3: [float("nan"), 1.0], 4: [None, 0.25], 5: [1 / 3, 0.5], 6: [0.1] * 10, 7: [float("inf"), float("-inf")]}
     table = spark.createDataFrame([(k, v) for k, vs in odd.items() for v in vs], "k int, v double")
